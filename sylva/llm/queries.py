@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
+from .fingerprints import op10_fingerprints
 from .mixing import op1_mixing
+from .quality_rules import OP9_SQL, op9_quality_rules
 from .sharding import op5_sharding
+from .token_counts import op3_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_bpe": op2_bpe,
+    "op3_token_counts": op3_token_counts,
     "op5_sharding": op5_sharding,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_quality_rules": OP9_SQL,
+}
