@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, documents, text_hash, written
+from .common import WORD_PATTERN, documents, fits_broadcast, text_hash, written
 
 SEED = 11
 EPOCHS = 3
@@ -32,9 +32,9 @@ def word_count(text: str | Column = "text") -> Column:
 
 
 def queued(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, name (of the source, never null), size, place (in the shuffled order), run (of places), as a table."""
+    """doc_id, source, text_hash, name (of the source, never null), size, place (in the shuffled order), run (of places), as a table."""
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    out = docs.select("doc_id", "source", name.alias("name"), word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", text_hash()).alias("place"))
+    out = docs.select("doc_id", "source", text_hash().alias("text_hash"), name.alias("name"), word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", text_hash()).alias("place"))
     return written(out.withColumn("run", F.shiftright("place", 52) + RUNS // 2), "queued")
 
 
@@ -73,7 +73,7 @@ def timed(queue: DataFrame, shares: DataFrame) -> DataFrame:
     runs = queue.groupBy("name", "run").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(shares, "name")
     within = Window.partitionBy("name", "run").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     out = queue.join(runs, ["name", "run"]).withColumn("done", F.col("before") + F.sum("size").over(within))
-    return written(out.select("doc_id", "source", "name", "size", "source_size", "weight", "target", "done"), "timed")
+    return written(out.select("doc_id", "source", "text_hash", "name", "size", "source_size", "weight", "target", "done"), "timed")
 
 
 def copies(times: DataFrame, epochs: int = EPOCHS) -> DataFrame:
@@ -127,7 +127,7 @@ def _below(x: float) -> float:
 
 
 def mix_sources(docs: DataFrame, weights=cycled_weights, epochs: int = EPOCHS, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """The mix's share of every document: doc_id, source, size, source_size, target, copies, taken (words).
+    """The mix's share of every document: doc_id, source, text_hash, size, source_size, target, copies, taken (words).
 
     weights: name, weight as a DataFrame, or a function of the queue that makes it. Sort `copies` of the result's
     queue by (finish, name) for the order itself.
@@ -141,7 +141,20 @@ def mix_sources(docs: DataFrame, weights=cycled_weights, epochs: int = EPOCHS, b
     passes = [(F.lit(e) * F.col("source_size") + F.col("done")) / F.col("weight") for e in range(epochs)]
     taken = sum(((p < finish) | ((p == finish) & (F.col("name") <= name))).cast("int") for p in passes)
     out = times.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """docs with a row for each pass of the mix over a document; rows with the same doc_id, source and text are one document."""
+    taken = mix_sources(docs, **how).where("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("_sylva_copies"), F.count("*").alias("n"))
+    taken = written(taken.select(F.col("doc_id").alias("_sylva_id"), F.col("source").alias("_sylva_source"), F.col("text_hash").alias("_sylva_hash"), "_sylva_copies", "n"), "taken")
+    if taken.where("n > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "source", "text"])
+    right = taken.drop("n")
+    right = F.broadcast(right) if fits_broadcast(right, 64) else right
+    same = (text_hash(docs["text"]) == F.col("_sylva_hash")) & docs["doc_id"].eqNullSafe(F.col("_sylva_id")) & docs["source"].eqNullSafe(F.col("_sylva_source"))
+    passes = F.explode(F.sequence(F.lit(1), F.col("_sylva_copies").cast("int"))).alias("_sylva_pass")
+    return docs.join(right, same).select(*(docs[c] for c in docs.columns), passes).drop("_sylva_pass")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
