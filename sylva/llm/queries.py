@@ -10,12 +10,14 @@ from .mixing import op1_mixing
 from .ngram_join import op6_ngram_join
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .sharding import op5_sharding
+from .substring_dedup import op4_substring_dedup
 from .token_counts import op3_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_ngram_join": op6_ngram_join,
     "op7_quality_classifier": op7_quality_classifier,
