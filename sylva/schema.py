@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 def _struct(text: str) -> T.StructType:
     """From 'name kind' parts; a ! after the kind means that the column has no nulls."""
-    kinds = {"string": T.StringType(), "int": T.IntegerType(), "ints": T.ArrayType(T.IntegerType())}
+    kinds = {"string": T.StringType(), "int": T.IntegerType(), "ints": T.ArrayType(T.IntegerType()), "strings": T.ArrayType(T.StringType())}
     fields = []
     for part in text.split(","):
         name, kind = part.split()
@@ -22,9 +22,9 @@ NODES = _struct(
     "qualified_name string, local_name string, prefix string, namespace_uri string, value string"
 )
 
-#: What the parse kernel adds, so that no later step has to walk the tree: the path of the owning element
-#: (of an element: itself), the ids of the elements on it, and the element's number among its equals.
-PATH_COLUMNS = _struct("path_key string, anc_ids ints, sibling_occurrence int")
+#: What the parse kernel adds, so that no later step has to walk the tree: the expanded names of the elements from the
+#: root to the owning element (of an element: itself), their ids, and an element's number among its equals.
+PATH_COLUMNS = _struct("path strings, anc_ids ints, sibling_occurrence int")
 
 PARSED = T.StructType(NODES.fields + PATH_COLUMNS.fields)
 

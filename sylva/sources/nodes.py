@@ -142,18 +142,16 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     deepest = nodes.where("node_type = 'element'").agg(F.max("depth")).first()[0] or 0
     order = Window.partitionBy("document_id").orderBy("node_order").rowsBetween(Window.unboundedPreceding, 0)
     name = expanded_name(F.col("local_name"), F.col("namespace_uri"))
-    part = F.concat(F.octet_length(name).cast("string"), F.lit(":"), name)
     element = F.col("node_type") == "element"
-    levels = [F.last(F.when(element & (F.col("depth") == k), F.struct(F.col("node_id").alias("id"), part.alias("part"))), ignorenulls=True).over(order) for k in range(1, deepest + 1)]
-    own_depth = F.when(element, F.col("depth")).otherwise(F.col("depth") - 1)
-    steps = F.slice(F.array(*levels), 1, F.col("own_depth")) if levels else F.array().cast("array<struct<id:int,part:string>>")
-    out = nodes.withColumn("own_depth", F.greatest(own_depth, F.lit(0))).withColumn("steps", steps)
-    inside = F.col("own_depth") > 0
+    levels = [F.last(F.when(element & (F.col("depth") == k), F.struct(F.col("node_id").alias("id"), name.alias("name"))), ignorenulls=True).over(order) for k in range(1, deepest + 1)]
+    own_depth = F.greatest(F.when(element, F.col("depth")).otherwise(F.col("depth") - 1), F.lit(0))
+    out = nodes.withColumn("own_depth", own_depth).withColumn("levels", F.array(*levels) if levels else F.lit(None).cast("array<struct<id:int,name:string>>"))
+    steps = F.when(F.col("own_depth") > 0, F.slice("levels", 1, F.col("own_depth")))
     same = Window.partitionBy("document_id", "parent_id", "node_type", "local_name", "namespace_uri").orderBy("node_order")
     return out.select(
         *nodes.columns,
-        F.when(inside, F.array_join(F.transform("steps", lambda s: s.part), "|")).alias("path_key"),
-        F.when(inside, F.transform("steps", lambda s: s.id)).alias("anc_ids"),
+        F.transform(steps, lambda s: s["name"]).alias("path"),
+        F.transform(steps, lambda s: s["id"]).alias("anc_ids"),
         F.when(element, F.row_number().over(same)).alias("sibling_occurrence"),
     )
 

@@ -21,20 +21,15 @@ WHITESPACE = ("preserve", "drop_blank")
 ARROW = to_arrow_schema(PARSED)
 
 
-def path_part(name: str) -> str:
-    """A step of a path key: the name with its length in bytes before it, so no name can be taken for two."""
-    return f"{len(name.encode())}:{name}"
-
-
 def expanded(local: str, uri: str) -> str:
     return f"{{{uri}}}{local}" if uri else local
 
 
 class _Element:
-    __slots__ = ("anc", "children", "depth", "key", "node_id", "seen")
+    __slots__ = ("anc", "children", "depth", "node_id", "path", "seen")
 
-    def __init__(self, node_id: int, depth: int, key: str | None, anc: list[int] | None):
-        self.node_id, self.depth, self.key, self.anc = node_id, depth, key, anc
+    def __init__(self, node_id: int, depth: int, path: list[str] | None, anc: list[int] | None):
+        self.node_id, self.depth, self.path, self.anc = node_id, depth, path, anc
         self.children = 0
         self.seen: dict[str, int] = {}
 
@@ -65,11 +60,11 @@ class NodeReader:
         self.stack = [_Element(1, 0, None, None)]
         self.row(None, None, 0, "document", (None,) * 5, None, None, None, None)
 
-    def row(self, parent, sibling, depth, kind, names, value, key, anc, occurrence) -> int:
+    def row(self, parent, sibling, depth, kind, names, value, path, anc, occurrence) -> int:
         n = self.next_id
         self.next_id = n + 1
         qualified, local, prefix, uri, _ = names
-        for column, x in zip(self.columns, (self.document_id, n, parent, n, sibling, depth, kind, qualified, local, prefix, uri, value, key, anc, occurrence), strict=True):
+        for column, x in zip(self.columns, (self.document_id, n, parent, n, sibling, depth, kind, qualified, local, prefix, uri, value, path, anc, occurrence), strict=True):
             column.append(x)
         return n
 
@@ -85,7 +80,7 @@ class NodeReader:
     def content(self, kind: str, names: tuple, value: str) -> None:
         owner = self.stack[-1]
         owner.children += 1
-        self.row(owner.node_id, owner.children, owner.depth + 1, kind, names, value, owner.key, owner.anc, None)
+        self.row(owner.node_id, owner.children, owner.depth + 1, kind, names, value, owner.path, owner.anc, None)
 
     def flush(self) -> None:
         if self.text:
@@ -100,13 +95,13 @@ class NodeReader:
         owner = self.stack[-1]
         owner.children += 1
         occurrence = owner.seen[names[4]] = owner.seen.get(names[4], 0) + 1
-        key = path_part(names[4]) if owner.key is None else f"{owner.key}|{path_part(names[4])}"
+        path = [*(owner.path or ()), names[4]]
         anc = [*(owner.anc or ()), self.next_id]
         depth = owner.depth + 1
-        node = self.row(owner.node_id, owner.children, depth, "element", names, None, key, anc, occurrence)
+        node = self.row(owner.node_id, owner.children, depth, "element", names, None, path, anc, occurrence)
         for i in range(0, len(attributes), 2):
-            self.row(node, None, depth + 1, "attribute", self.name(attributes[i]), attributes[i + 1], key, anc, None)
-        self.stack.append(_Element(node, depth, key, anc))
+            self.row(node, None, depth + 1, "attribute", self.name(attributes[i]), attributes[i + 1], path, anc, None)
+        self.stack.append(_Element(node, depth, path, anc))
 
     def end(self, _: str) -> None:
         self.flush()
