@@ -12,6 +12,7 @@ fingerprints. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,28 @@ RANGE_BYTES = 8 << 20
 MAX_RANGES = 8192
 
 
+@lru_cache(maxsize=64)
+def probes(bins: int, block: int) -> np.ndarray:
+    """The bins that each bin asks at the attempts of a block: 8, then twice as many in each further block."""
+    attempts = np.arange(8 << block, dtype=np.uint64) + np.uint64((8 << block) - 7)
+    at = np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed(at[None, :] + attempts[:, None]) % np.uint64(bins)).astype(np.int64)
+
+
 def donors(full: np.ndarray) -> np.ndarray:
     """For every bin the full bin whose value it takes: itself, or the first full one in the sequence of its hashes."""
     out = np.arange(len(full))
     empty = np.flatnonzero(~full)
-    attempt = 0
+    block = 0
     while len(empty):
-        attempt += 1
-        at = (mixed(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) % np.uint64(len(full))).astype(np.int64)
-        hit = full[at]
-        out[empty[hit]] = at[hit]
-        empty = empty[~hit]
+        asked = probes(len(full), block)[:, empty]
+        hit = full[asked]
+        first = hit.argmax(axis=0)
+        each = np.arange(len(empty))
+        found = hit[first, each]
+        out[empty[found]] = asked[first, each][found]
+        empty = empty[~found]
+        block += 1
     return out
 
 
