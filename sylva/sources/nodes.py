@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -44,7 +45,8 @@ def parsed_nodes(sources: DataFrame, whitespace: str = "preserve", batch_rows: i
     if malformed not in ("raise", "drop"):
         raise ValueError("malformed must be 'raise' or 'drop'")
 
-    def kernel(batches):
+    # Spark takes equal plans for the same cached data, also when a file has changed since: a token keeps each call's apart.
+    def kernel(batches, token=uuid.uuid4().hex):  # noqa: B008
         for batch in batches:
             waiting, rows = [], 0
             for document_id, content in zip(batch.column(0), batch.column(1), strict=True):

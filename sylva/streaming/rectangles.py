@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +33,15 @@ def _rows(spark: SparkSession, file, spec: XmlRectSpec, document_id, whitespace,
     if id_check not in ID_CHECKS:
         raise ValueError(f"id_check must be one of {', '.join(ID_CHECKS)}")
     nodes = parse_files(spark, file, document_id, whitespace or spec.whitespace, check_count(chunk_rows, "chunk_rows")).persist()
-    check_rectangle(nodes, spec if id_check == "memory" else _without_id_check(spec))
+    try:
+        check_rectangle(nodes, spec if id_check == "memory" else _without_id_check(spec))
+    except Exception:
+        nodes.unpersist()
+        raise
     return nodes, rectangle(nodes, spec).orderBy(*ORDER[spec.representation])
 
 
 def _without_id_check(spec: XmlRectSpec) -> XmlRectSpec:
-    from dataclasses import replace
-
     return replace(spec, identifier=None)
 
 
