@@ -3,7 +3,7 @@
 Each task has a DuckDB database of its own with the merge table of the vocabulary. The distinct pre-tokens of a
 batch become rows (word, position, token); a recursive query joins neighbours to the merge table and contracts
 each word's leftmost pair of least rank, until no word has a pair. The ids of a text are those of its pre-tokens
-in order. Decoding joins (text, position, id) rows to the vocabulary and aggregates the bytes in order.
+in order. Decoding joins (position, id) rows to the vocabulary and aggregates each text's bytes in order of position.
 
 Nulls: a null text is encoded as an empty one, null ids decode to nothing; doc_id may be null or repeated. A
 pre-token of more than LONG bytes is contracted pair by pair outside SQL, where the steps of a recursive query
@@ -13,13 +13,14 @@ would hold the square of its length. An empty table gives an empty result; other
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.kernels import map_arrow
 from .common import documents
@@ -27,34 +28,41 @@ from .pretokens import PreTokenizer
 
 LONG = 256
 #: Pre-tokens in one recursive query, rows in one decoding query, and remembered pre-tokens: bounds on memory.
-WORDS, ROWS, KNOWN = 50_000, 2_000_000, 400_000
+WORDS, ROWS, KNOWN = 40_000, 1_000_000, 1_000_000
 
+# A row has the key of the pair that it begins: the rank of the merged token, then the place. One window over all words in
+# order reads the neighbours: it sorts once for each step, where windows by word would be many and small.
 CONTRACT = """
-WITH RECURSIVE s(step, w, pos, tok) AS (
-    SELECT 0, w, pos, tok FROM start
+WITH RECURSIVE s(step, w, pos, tok, key) AS (
+    SELECT 0, w, pos, tok, (m.merged::BIGINT << 20) + pos
+    FROM (SELECT *, CASE WHEN lead(w) OVER o = w THEN lead(tok) OVER o END AS nxt FROM start WINDOW o AS (ORDER BY w, pos)) n
+    LEFT JOIN merges m ON m.pair = (n.tok::BIGINT << 32) + n.nxt
   UNION ALL
-    SELECT step + 1, w, pos, CASE WHEN key = best THEN (key >> 20)::INTEGER ELSE tok END
+    SELECT step + 1, w, pos, n.tok, (m.merged::BIGINT << 20) + pos
     FROM (
-        SELECT *, lag(key) OVER (PARTITION BY w ORDER BY pos) AS before
+        SELECT step, w, pos,
+            CASE WHEN key = best THEN (best >> 20)::INTEGER ELSE tok END AS tok,
+            CASE WHEN key = best THEN CASE WHEN w2 = w THEN tok2 END
+                 WHEN w1 = w THEN CASE WHEN key1 = best THEN (best >> 20)::INTEGER ELSE tok1 END END AS nxt
         FROM (
-            SELECT *, min(key) OVER (PARTITION BY w) AS best
-            FROM (
-                SELECT n.*, (m.merged::BIGINT << 20) + n.pos AS key
-                FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM s) n
-                LEFT JOIN merges m ON m.l = n.tok AND m.r = n.nxt
-            )
+            SELECT s.*, best,
+                lag(s.w) OVER o AS w0, lag(key) OVER o AS key0,
+                lead(s.w) OVER o AS w1, lead(key) OVER o AS key1, lead(tok) OVER o AS tok1,
+                lead(s.w, 2) OVER o AS w2, lead(tok, 2) OVER o AS tok2
+            FROM s JOIN (SELECT w, min(key) AS best FROM s GROUP BY w HAVING min(key) IS NOT NULL) b ON b.w = s.w
+            WINDOW o AS (ORDER BY s.w, s.pos)
         )
-    )
-    WHERE best IS NOT NULL AND before IS DISTINCT FROM best
+        WHERE NOT (w0 IS NOT DISTINCT FROM w AND key0 IS NOT DISTINCT FROM best)
+    ) n
+    LEFT JOIN merges m ON m.pair = (n.tok::BIGINT << 32) + n.nxt
 )
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM s)
-WHERE step = last GROUP BY w ORDER BY w
+SELECT s.w, list(tok ORDER BY pos) AS ids
+FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) last ON s.w = last.w AND s.step = last.step
+GROUP BY s.w ORDER BY s.w
 """
 
-DECODE = """
-SELECT d, list(v.piece ORDER BY pos) AS pieces FROM rows JOIN vocabulary v USING (tok) GROUP BY d ORDER BY d
-"""
+# The bytes in order of place; a text's are then one slice.
+DECODE = "SELECT piece FROM rows JOIN vocabulary USING (tok) ORDER BY pos"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,9 +79,10 @@ class Codec:
         self.ranks = read_ranks(path)
         self.split = PreTokenizer(pattern).split
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        merges = pa.table(dict(zip(("l", "r", "merged"), np.array(pairs, dtype=np.int32).T, strict=True)))
+        l, r, merged = np.array(pairs, dtype=np.int64).T
+        merges = pa.table({"pair": (l << 32) + r, "merged": merged.astype(np.int32)})
         vocabulary = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array(self.ranks.keys(), pa.binary())})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
@@ -121,8 +130,8 @@ class Codec:
     @property
     def pairs(self) -> dict[tuple[int, int], int]:
         if not hasattr(self, "_pairs"):
-            l, r, m = (self.db.execute("SELECT l, r, merged FROM merges").fetchnumpy()[k] for k in ("l", "r", "merged"))
-            self._pairs = dict(zip(zip(l.tolist(), r.tolist(), strict=True), m.tolist(), strict=True))
+            found = self.db.execute("SELECT pair >> 32 AS l, pair & 4294967295 AS r, merged FROM merges").fetchnumpy()
+            self._pairs = dict(zip(zip(found["l"].tolist(), found["r"].tolist(), strict=True), found["merged"].tolist(), strict=True))
         return self._pairs
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,12 +149,12 @@ class Codec:
         if len(self.known) > KNOWN:
             self.forget()
         split = [self.split(t) for t in texts]
-        new = {p for pieces in split for p in pieces} - self.known.keys()
+        new = set().union(*split) - self.known.keys()
         if new:
             self.learn(sorted(new))
             for name in ("starts", "lengths", "ids"):
                 setattr(self, name, [np.concatenate(getattr(self, name))])
-        at = np.fromiter((self.known[p] for pieces in split for p in pieces), np.int64, sum(map(len, split)))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         lengths = self.lengths[0][at]
         ends = np.cumsum(lengths)
         ids = self.ids[0][np.repeat(self.starts[0][at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
@@ -154,22 +163,19 @@ class Codec:
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes of each text; ends: where each text's ids end, from 0."""
-        out = [b""] * (len(ends) - 1)
-        lengths = np.diff(ends)
-        rows = pa.table({"d": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), "pos": np.arange(len(ids), dtype=np.int32), "tok": ids})
-        self.db.register("rows", rows)
-        found = self.db.sql(DECODE).to_arrow_table()
+        self.db.register("rows", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "tok": ids}))
+        parts = self.db.sql(DECODE).to_arrow_table()["piece"].chunks
         self.db.unregister("rows")
-        d, pieces = found["d"].to_numpy(), found["pieces"].combine_chunks()
-        starts = pieces.offsets.to_numpy()
-        flat = pieces.values.to_pylist()
-        for i, a, b in zip(d.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if b - a != lengths[i]:
-                raise ValueError("an id that the vocabulary doesn't have")
-            out[i] = b"".join(flat[a:b])
-        if len(d) != np.count_nonzero(lengths):
+        if sum(map(len, parts)) != len(ids):
             raise ValueError("an id that the vocabulary doesn't have")
-        return out
+        places, data = [np.zeros(1, np.int64)], []
+        for part in parts:  # a chunk's bytes lie one after the other
+            _, offsets, values = part.buffers()
+            at = np.frombuffer(offsets, np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+            data.append(memoryview(values or b"")[at[0] : at[-1]])
+            places.append(places[-1][-1] + at[1:] - at[0])
+        whole, at = b"".join(data), np.concatenate(places)[ends].tolist()
+        return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def contract_long(tokens: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -247,16 +253,27 @@ def decoded(rows: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    ids = encoded(docs, path, pattern, keep)
-    digests = ids.select(
-        *keep,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "ids",
-    )
-    kept = (*keep, "n_tokens", "ids_sha256")
-    return decoded(digests, path, pattern, kept).select(*kept, F.sha2("bytes", 256).alias("decoded_sha256"))
+    """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256 of each row: encoded and decoded by one process."""
+
+    def kernel(batches):
+        c = codec(path, pattern)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for a, b in _runs([len(t) for t in texts], ROWS):
+                ids, ends = c.encode(texts[a:b])
+                out = c.decode(ids, ends)
+                names = list(map(str, ids.tolist()))
+                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+                columns = [
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.array([hashlib.sha256(" ".join(names[x:y]).encode()).hexdigest() for x, y in spans], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in batch.columns[:-1]), *columns], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(*keep, "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return map_arrow(rows, kernel, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

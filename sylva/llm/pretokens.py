@@ -4,36 +4,43 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import regex
 
 
+class _Parts(dict):
+    """The pre-tokens of parts that follow a space, with that space; remembered up to a bound."""
+
+    LIMIT = 300_000
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, part: str) -> list[str]:
+        found = self.find(" " + part)
+        if "\n" not in part and len(part) < 64:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[part] = found
+        return found
+
+
 class PreTokenizer:
     """Splits texts by a pattern that never crosses a lone space between two other characters.
 
-    Such a space always begins a pre-token, so the parts between spaces are split one by one and remembered
-    (up to a bound). Texts with two white-space characters together, or with a special string, are split whole.
+    Such a space always begins a pre-token, so the parts between spaces are split one by one and remembered.
+    Texts with two white-space characters together, or with a special string, are split whole.
     """
 
-    LIMIT = 300_000
     RUN = re.compile(r"\s\s")
 
     def __init__(self, pattern: str, special: tuple[str, ...] = ()):
         self.find = regex.compile(pattern).findall
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def part(self, part: str) -> tuple[str, ...]:
-        """The pre-tokens of a part that follows a space, with that space."""
-        found = self.known.get(part)
-        if found is None:
-            found = tuple(self.find(" " + part))
-            if "\n" not in part and len(part) < 64:
-                if len(self.known) >= self.LIMIT:
-                    self.known.clear()
-                self.known[part] = found
-        return found
+        self.parts = _Parts(self.find)
 
     def whole(self, text: str) -> list[str]:
         if self.cut is None:
@@ -50,10 +57,7 @@ class PreTokenizer:
         if not self.simple(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        out = self.find(first)
-        for x in rest:
-            out += self.part(x)
-        return out
+        return [*self.find(first), *chain.from_iterable(map(self.parts.__getitem__, rest))]
 
     def counts(self, text: str) -> Counter:
         """How often each pre-token occurs in a text."""
@@ -62,6 +66,6 @@ class PreTokenizer:
         first, *rest = text.split(" ")
         out = Counter(self.find(first))
         for x, n in Counter(rest).items():
-            for piece in self.part(x):
+            for piece in self.parts[x]:
                 out[piece] += n
         return out
