@@ -152,3 +152,21 @@ def one_of_each(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataF
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     return with_component_ids(linked(documents(spark, sf_dir)))
+
+
+#: The same in DuckDB's SQL, pair by pair.
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+grams AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, CASE WHEN len(words) < {GRAM} THEN words ELSE words[i:i + {GRAM - 1}] END AS gram
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - {GRAM - 2}))) AS i FROM w WHERE len(words) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * overlap >= {PERCENT} * (x.n + y.n - overlap)),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents
+  UNION
+    SELECT reach.doc_id, l.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = reach.other)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""

@@ -7,7 +7,7 @@ from .classifier import op7_quality_classifier
 from .fingerprints import op10_fingerprints
 from .line_dedup import op8_line_dedup
 from .mixing import op1_mixing
-from .ngram_join import op6_ngram_join
+from .ngram_join import OP6_SQL, op6_ngram_join
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .sharding import op5_sharding
 from .substring_dedup import op4_substring_dedup
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_ngram_join": OP6_SQL,
     "op9_quality_rules": OP9_SQL,
 }
