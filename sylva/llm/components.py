@@ -12,15 +12,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step of alternating stars; edges: u, v. Large: all larger neighbours of u go to the least one around u.
 
     Small: all smaller neighbours of u, and u, go to the least of them. A hub's least neighbour is found by
-    partial sums, and its edges meet that one row in a join that AQE can split.
+    partial sums and written, so that its edges meet that one row in a join of two shuffled sides, which AQE can split.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").distinct()
 

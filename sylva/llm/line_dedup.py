@@ -79,7 +79,7 @@ def removed_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_sylva_hash").alias("text_hash"), F.col("x.start").alias("start"))
     found = rows.select("x.chunk", F.array_join(F.slice("all", F.col("x.start") + 1, F.col("x.lines")), "\n").alias("bytes"), place.alias("place"), "x.lines")
     found = written(found, "candidates")
-    first = found.groupBy("chunk", "bytes").agg(F.min("place").alias("first"))
+    first = written(found.groupBy("chunk", "bytes").agg(F.min("place").alias("first")), "first")  # apart, so that AQE can split a hot chunk's rows
     gone = found.join(first, ["chunk", "bytes"]).where("place != first")
     numbers = F.sequence(F.col("place.start"), F.col("place.start") + F.col("lines") - 1)
     gone = gone.groupBy(F.col("place.doc_id").alias("_sylva_id"), F.col("place.text_hash").alias("_sylva_hash")).agg(

@@ -120,9 +120,10 @@ def linked(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
     keys = wanted.select(F.col("in").alias("block"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     keys = F.broadcast(keys) if fits_broadcast(keys, 48) else keys
     found = texts.join(keys, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("block", "text")
-    sets = map_arrow(found, kernel, "block long, id string, elements array<long>").dropDuplicates(["block", "id"])
+    sets = written(map_arrow(found, kernel, "block long, id string, elements array<long>").dropDuplicates(["block", "id"]), "sets")
     merged = components(jaccard_links(sets, percent)).select(F.col("id").alias("set_id"), F.col("component").alias("merged"))
     classes = first.select("set_id").join(merged, "set_id", "left").select("set_id", F.coalesce("merged", "set_id").alias("component"))
+    classes = written(classes, "classes")  # not joined where it was summed: AQE can split the rows of a set with many copies
     some = rows.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "set_id").join(classes, "set_id").drop("set_id")
     none = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("string").alias("component"))
     return some.unionByName(none)
@@ -132,7 +133,7 @@ def with_component_ids(rows: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the component) of `linked` rows."""
     rows = written(rows, "linked")
     some = rows.where(F.col("component").isNotNull())
-    least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = written(some.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     out = some.join(least, "component").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(rows.where(F.col("component").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

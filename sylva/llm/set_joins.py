@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import map_arrow
+from .common import written
 
 #: Sets and elements in a part of a block.
 PART_SETS, PART_ELEMENTS = 1500, 1_000_000
@@ -120,7 +121,7 @@ def in_cells(sets: DataFrame) -> DataFrame:
     """
     size = sets.groupBy("block").agg(F.count("*").alias("sets"), F.sum(F.size("elements")).alias("total"))
     parts = size.select("block", F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("total") / PART_ELEMENTS)).cast("int").alias("parts"))
-    own = sets.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    own = sets.join(written(parts, "parts"), "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cells.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("side"), "id", "elements")
 

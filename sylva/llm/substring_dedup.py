@@ -175,7 +175,7 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
     right = F.broadcast(wanted) if fits_broadcast(wanted, 64) else wanted
     found = texts.join(right, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("block", F.col("id").cast("string").alias("id"), "text", "start", "n")
-    sets = map_arrow(found, kernel, "block long, id string, elements array<long>").dropDuplicates(["block", "id"])
+    sets = written(map_arrow(found, kernel, "block long, id string, elements array<long>").dropDuplicates(["block", "id"]), "sets")
     links = jaccard_links(sets, PERCENT)
     return components(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
 
@@ -195,7 +195,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     merged = merged.select("class", F.coalesce("component", "class").alias("kind"), "row", "last", F.col("component").isNotNull().alias("near"))
     across = F.struct("row.none", "row.doc_id", "row.text_hash") != F.col("last")
     kinds = written(merged.where(F.col("near") | across).select("class", "kind", "row"), "kinds")
-    first = kinds.groupBy("kind").agg(F.min("row").alias("first"))
+    first = written(kinds.groupBy("kind").agg(F.min("row").alias("first")), "first")
     kinds = written(kinds.select("class", "kind").join(first, "kind"), "kinds")
     found = written(table.drop("bands").join(F.broadcast(kinds) if fits_broadcast(kinds, 64) else kinds, "class").withColumn("place", row), "occurrences")
     starts = found.where("place = first").select("kind", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["kind"])
@@ -222,7 +222,7 @@ def _passages(spans: DataFrame) -> DataFrame:
     right = F.broadcast(joined) if fits_broadcast(joined, 24) else joined
     out = passages.join(right, passages["kind"] == right["id"], "left").withColumn("component_id", F.coalesce("component", "kind"))
     out = written(out.select("doc_id", "text_hash", "start_word", (F.col("end") - F.col("start_word")).cast("int").alias("n_words"), "component_id", "removed"), "passages")
-    first = out.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id"))
+    first = written(out.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id")), "first")
     return out.join(F.broadcast(first) if fits_broadcast(first, 24) else first, "component_id").select("doc_id", "text_hash", "start_word", "n_words", "component_id", "first_doc_id", "removed")
 
 
