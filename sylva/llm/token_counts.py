@@ -24,7 +24,7 @@ from .common import documents, utf8_bytes, written
 from .pretokens import PreTokenizer
 
 LIMIT = 1024
-#: So many of the most frequent pre-tokens are broadcast (some 3 MB); the number doesn't follow the input.
+#: At most so many of the most frequent pre-tokens are broadcast (some 3 MB); the number doesn't follow the input.
 HEAD = 1 << 18
 #: A kernel hands on the distinct pre-tokens it has gathered when there are so many.
 GATHERED = 400_000
@@ -90,10 +90,22 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
     return map_arrow(pretokens, count, "piece string, n long, pieces int")
 
 
+def frequent_pieces(dictionary: DataFrame, head: int) -> DataFrame:
+    """piece, pieces of the most frequent pre-tokens, at most `head`: those above a frequency that a histogram gives, so none are sorted."""
+    grade = F.floor(8 * F.log2("n"))
+    left, least = head, None
+    for x in sorted(dictionary.groupBy(grade.alias("grade")).count().collect(), reverse=True):
+        left -= x["count"]
+        if left < 0:
+            break
+        least = x.grade
+    return dictionary.where(F.lit(False) if least is None else grade >= least).select("piece", "pieces")
+
+
 def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of docs."""
     dictionary = written(piece_counts(distinct_pretokens(docs, path), path), "pieces")
-    frequent = docs.sparkSession.sparkContext.broadcast({x.piece: x.pieces for x in dictionary.orderBy(F.desc("n"), "piece").limit(head).select("piece", "pieces").toLocalIterator()})
+    frequent = docs.sparkSession.sparkContext.broadcast({x.piece: x.pieces for x in frequent_pieces(dictionary, head).toLocalIterator()})
 
     def sums(batches):
         splitter, known = _splitter(path), frequent.value
