@@ -1,11 +1,10 @@
 """N-gram Jaccard join: documents whose sets of word 3-grams are 90 % alike, and their components.
 
-1. Equal sets are one class. 2. Classes that can be alike get into one block: two sets with a similarity of 0.9
-differ in at most a ninth of the smaller one's elements. The elements are dealt to more parts than that by a hash,
-so at least one part with elements is the same in both; classes that share the signature of a part are candidates.
-Sizes are cut into classes whose neighbours cover all partners, and a set signs for its own and the next smaller
-one. This is exact: no similar pair is missed. 3. Inside the blocks, T-occurrence search with DivideSkip finds the
-links (set_joins). 4. The links' components are those of the documents.
+1. Equal sets are one class. 2. Classes that can be alike get into one block: similar sets differ in a bounded number of
+elements. The elements are dealt to more parts than that by a hash, so at least one part with elements is the same in
+both; classes that share the signature of a part are candidates. Sizes are cut into classes whose neighbours cover all
+partners, and a set signs for its own and the next smaller one. This is exact: no similar pair is missed. 3. Inside the
+blocks, T-occurrence search with DivideSkip finds the links (set_joins). 4. The links' components are those of the documents.
 
 Nulls: a null or blank text has no set and is linked with nothing. A null doc_id counts last for the component's
 least id. Rows with one doc_id and different texts are different documents; repeated rows are copies. Very long texts
@@ -28,8 +27,8 @@ from .set_joins import jaccard_links
 
 GRAM = 3
 PERCENT = 90
-#: More parts than differing elements, so that sets with up to so many empty parts share one with elements.
-SPARE = 2
+#: At most so many common n-grams are known to every task (1 MB).
+COMMON = 1 << 17
 
 
 def grams(text: str, known: WordHashes, n: int = GRAM) -> np.ndarray:
@@ -41,11 +40,21 @@ def set_id(elements: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(elements.tobytes())
 
 
+#: More parts than differing elements, so that sets with up to so many empty parts share one with elements.
+SPARE = 2
+
+
 class Signer:
-    """The signatures of a set's parts; similar sets share one."""
+    """The signatures of a set's parts; similar sets share one.
+
+    Common elements are left out of the parts, else a line that many documents have would make parts alike: what differs
+    among the rest is no more than what differs at all. Sets with few others sign with all their elements; the bounds
+    overlap by what two similar sets can differ in, so a pair always has one way in common.
+    """
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         self.percent = percent
+        self.common = np.zeros(0, np.uint64) if common is None else common  # sorted
         self.ends: list[int] = [0]  # the largest size of each class of sizes; class 0 is empty
 
     def size_class(self, n: int) -> int:
@@ -53,29 +62,77 @@ class Signer:
             self.ends.append((self.ends[-1] + 1) * 100 // self.percent)
         return int(np.searchsorted(self.ends, n))
 
+    def rare(self, elements: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return elements
+        at = np.minimum(np.searchsorted(self.common, elements), len(self.common) - 1)
+        return elements[self.common[at] != elements]
+
     def __call__(self, elements: np.ndarray) -> np.ndarray:
         out = []
+        rare = self.rare(elements)
         own = self.size_class(len(elements))
         for c in (own - 1, own):
             differing = self.ends[c] * (100 - self.percent) // self.percent
             if c < 1 or not differing:  # only equal sets are similar
                 continue
-            parts = differing + 1 + SPARE
-            h = mixed(elements)
-            at = (h % np.uint64(parts)).astype(np.int64)
-            sums = np.zeros(parts, dtype=np.uint64)
-            np.add.at(sums, at, mixed(h + np.uint64(1)))
-            full = np.bincount(at, minlength=parts) > 0
-            keys = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)))
-            out.append(keys[full] if parts - full.sum() <= SPARE else keys)
+            spare = max(SPARE, (differing + 1) // 5)
+            parts = differing + 1 + spare
+            enough = 2 * parts
+            if len(rare) >= enough:
+                out.append(self.sign(rare, parts, spare, c << 1))
+            if len(rare) < enough + differing:
+                out.append(self.sign(elements, parts, spare, c << 1 | 1))
         return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
+    @staticmethod
+    def sign(elements: np.ndarray, parts: int, spare: int, way: int) -> np.ndarray:
+        h = mixed(elements)
+        at = (h % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, dtype=np.uint64)
+        np.add.at(sums, at, mixed(h + np.uint64(1)))
+        full = np.bincount(at, minlength=parts) > 0
+        keys = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64(way << 32)))
+        return keys[full] if parts - full.sum() <= spare else keys
+
+
+def common_grams(docs: DataFrame, n: int, most: int = COMMON) -> np.ndarray:
+    """Sorted hashes of the n-grams that several different sets of a task have, the most frequent by a histogram: at most `most`.
+
+    They only steer the signatures; any choice gives the same result. The bound doesn't follow the input.
+    """
+
+    def kernel(batches):
+        known = WordHashes()
+        for batch in batches:
+            different = {}
+            for text in batch.column(0):
+                elements = grams(text.as_py() or "", known, n)
+                different[set_id(elements)] = elements
+            found, counts = np.unique(np.concatenate(list(different.values()) or [np.zeros(0, np.uint64)]), return_counts=True)
+            often = counts > 2
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64)), pa.array(counts[often], pa.int64())], ["gram", "sets"])
+
+    sums = written(map_arrow(docs.select("text"), kernel, "gram long, sets long").groupBy("gram").agg(F.sum("sets").alias("sets")), "common")
+    grade = F.floor(8 * F.log2("sets"))
+    left, least = most, None
+    for x in sorted(sums.groupBy(grade.alias("grade")).count().collect(), reverse=True):
+        left -= x["count"]
+        if left < 0:
+            break
+        least = x.grade
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(np.array([r.gram for r in sums.where(grade >= least).select("gram").toLocalIterator()], dtype=np.int64).astype(np.uint64))
+
 
 def signed(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_id, block (64 bits of it), signatures of each row, as a table without texts."""
 
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, n))
+
     def kernel(batches):
-        known, signer = WordHashes(), Signer(percent)
+        known, signer = WordHashes(), Signer(percent, common.value)
         for batch in batches:
             sizes, ids, keys, ends = [], [], [], [0]
             for text in batch.column(2):
@@ -94,10 +151,9 @@ def signed(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
 
 def blocks(rows: DataFrame) -> DataFrame:
     """id (the 64 bits of a set), component: the candidates, by what signatures they share."""
-    keys = rows.where(F.size("signatures") > 0).groupBy("block").agg(F.first("signatures").alias("signatures")).select("block", F.explode("signatures").alias("key"))
-    keys = written(keys, "keys")
-    shared = keys.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select("key", "least")
-    return components(keys.join(shared, "key").where("block != least").select("block", "least"))
+    keys = rows.select("block", F.explode("signatures").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select("key", "least"), "shared")
+    return components(keys.join(F.broadcast(shared) if fits_broadcast(shared, 24) else shared, "key").where("block != least").select("block", "least").distinct())
 
 
 def linked(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:

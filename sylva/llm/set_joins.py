@@ -22,7 +22,7 @@ from ..functions.kernels import map_arrow
 from .common import written
 
 #: Sets and elements in a part of a block.
-PART_SETS, PART_ELEMENTS = 1500, 1_000_000
+PART_SETS, PART_ELEMENTS = 3000, 1_500_000
 #: The weight of DivideSkip's choice of how many lists are long.
 MU = 0.01
 

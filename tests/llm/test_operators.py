@@ -185,16 +185,18 @@ def test_op6_empty_and_one_of_each(spark, docs, empty):
     assert max(left.values()) == 1
 
 
-def test_signatures_miss_no_similar_pair():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_signatures_miss_no_similar_pair(percent):
     rng = np.random.default_rng(1)
-    signer = ngram_join.Signer(90)
-    for n in (9, 10, 19, 40, 120, 400):
+    for n in (1, 2, 9, 10, 19, 40, 120, 400):
         for _ in range(40):
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-            drop = int(rng.integers(0, n // 19 + 1))
+            drop = int(rng.integers(0, n // 8 + 1))
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, drop, dtype=np.uint64)]))
+            common = np.unique(rng.choice(np.concatenate([a, b]), int(rng.integers(0, n))))
             inter = len(np.intersect1d(a, b))
-            if 100 * inter >= 90 * (len(a) + len(b) - inter) and inter < len(a):
+            if 100 * inter >= percent * (len(a) + len(b) - inter) and inter < max(len(a), len(b)):
+                signer = ngram_join.Signer(percent, common)
                 assert set(signer(a).tolist()) & set(signer(b).tolist())
 
 
