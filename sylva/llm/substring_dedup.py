@@ -112,8 +112,8 @@ def _bands(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class, start, n, before, after, bands of every paragraph, as a table without texts."""
-    names = ["class", "start", "n", "before", "after", "bands"]
+    """doc_id, text_hash, class, start, n, bands of every paragraph, as a table without texts."""
+    names = ["class", "start", "n", "bands"]
 
     def kernel(batches):
         cutter = Cutter()
@@ -129,38 +129,43 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                     if not len(a):
                         continue
                     prepared = cutter.runs(h)
-
-                    def run(x, y, prepared=prepared):
-                        return cutter.run(prepared, x, y)
-
                     bands = np.zeros((len(a), BANDS), np.uint64)
                     if len(enough := np.flatnonzero(b - a >= MINHASHED)):
                         grams = shingle_hashes(h, SHINGLE)
                         of = np.concatenate([grams[x : y - SHINGLE + 1] for x, y in zip(a[enough].tolist(), b[enough].tolist(), strict=True)])
                         sizes = b[enough] - a[enough] - SHINGLE + 1
                         bands[enough] = _bands(of, np.cumsum(sizes) - sizes)
-                    found.append((run(a, b).astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), _contexts(run, len(h), a, -1), _contexts(run, len(h), b, 1), bands.astype(np.int64)))
-                columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 2, *[np.zeros((0, STEPS), np.int32)] * 2, np.zeros((0, BANDS), np.int64)]
+                    found.append((cutter.run(prepared, a, b).astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), bands.astype(np.int64)))
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 2, np.zeros((0, BANDS), np.int64)]
                 filled = np.where((columns[2] >= MINHASHED), BANDS, 0) if len(columns[0]) else np.zeros(0, np.int64)
                 lists = [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2])]
-                for c in columns[3:5]:
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * STEPS), pa.array(c.ravel())))
-                lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *filled]).astype(np.int32)), pa.array(columns[5][filled > 0].ravel())))
+                lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *filled]).astype(np.int32)), pa.array(columns[3][filled > 0].ravel())))
                 rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(lists, names))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], ["doc_id", "text_hash", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    kind = "x array<struct<class:long,start:int,n:int,before:array<int>,after:array<int>,bands:array<long>>>"
+    kind = "x array<struct<class:long,start:int,n:int,bands:array<long>>>"
     out = map_arrow(rows, kernel, f"doc_id long, text_hash long, {kind}")
     return written(out.select("doc_id", "text_hash", F.explode("x").alias("x")).select("doc_id", "text_hash", "x.*"), "paragraphs")
 
 
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, component of the classes that are similar to others. classes: class, row (doc_id, text_hash, start, n), bands."""
-    keys = written(classes.where(F.size("bands") > 0).select("class", F.posexplode("bands").alias("band", "key")).select("class", F.xxhash64("band", "key").alias("key")), "bands")
+def _row(*more: str) -> Column:
+    """What orders occurrences: doc_id (null last), text hash, and more."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", *more)
+
+
+def _fitting(df: DataFrame, row_bytes: int) -> DataFrame:
+    return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
+
+
+def near_classes(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """id, component of the classes that are similar to others."""
+    keys = table.where(F.size("bands") > 0).select("class", F.posexplode("bands").alias("band", "key")).select("class", F.xxhash64("band", "key").alias("key"))
     shared = keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key", "least")
-    blocks = written(components(keys.join(shared, "key").where("class != least").select("class", "least")), "blocks")
-    wanted = written(classes.join(blocks, classes["class"] == blocks["id"]).select(F.col("class").alias("id"), F.col("component").alias("block"), F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"), "row.start", "row.n"), "wanted")
+    shared = written(shared, "shared")
+    blocks = written(components(keys.join(_fitting(shared, 24), "key").where("class != least").select("class", "least").distinct()), "blocks")
+    one = table.join(_fitting(blocks, 24), table["class"] == blocks["id"]).groupBy("id", "component").agg(F.min(_row("start", "n")).alias("row"))
+    wanted = written(one.select("id", F.col("component").alias("block"), F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"), "row.start", "row.n"), "wanted")
 
     def kernel(batches):
         cutter = Cutter()
@@ -173,8 +178,7 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["block", "id", "elements"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    right = F.broadcast(wanted) if fits_broadcast(wanted, 64) else wanted
-    found = texts.join(right, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("block", F.col("id").cast("string").alias("id"), "text", "start", "n")
+    found = texts.join(_fitting(wanted, 64), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("block", F.col("id").cast("string").alias("id"), "text", "start", "n")
     sets = written(map_arrow(found, kernel, "block long, id string, elements array<long>").dropDuplicates(["block", "id"]), "sets")
     links = jaccard_links(sets, PERCENT)
     return components(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
@@ -185,22 +189,55 @@ def _agreed(side: str) -> Column:
     return F.aggregate(F.zip_with(side, f"first_{side}", lambda a, b: (a == b) & (a != 0)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s.n + F.when(s.on & x, STEP).otherwise(0)).alias("n"), (s.on & x).alias("on")), lambda s: s.n)
 
 
+def with_contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found (doc_id, text_hash, start, n, kind of paragraphs) with before and after: hashes of the words around each, as a table."""
+
+    def kernel(batches):
+        cutter = Cutter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(3)
+                flat = lists.flatten()
+                sides: tuple[list, list] = ([], [])
+                for text, places in zip(part.column(2), lists, strict=True):
+                    h = cutter.words(text.as_py() or "")
+                    prepared = cutter.runs(h)
+                    start, n = (places.values.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+                    for side, edge, way in ((sides[0], start, -1), (sides[1], start + n, 1)):
+                        side.append(_contexts(lambda x, y, p=prepared: cutter.run(p, x, y), len(h), edge, way))
+                columns = [flat.field(c) for c in ("start", "n", "kind")]
+                for side in sides:
+                    values = np.concatenate(side) if side else np.zeros((0, STEPS), np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * STEPS), pa.array(values.ravel())))
+                rows = pa.StructArray.from_arrays(columns, ["start", "n", "kind", "before", "after"])
+                ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["doc_id", "text_hash", "x"])
+
+    by_row = written(found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "n", "kind")).alias("places")), "places")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    rows = texts.join(_fitting(by_row, 400), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text_hash", "text", "places")
+    kind = "x array<struct<start:int,n:int,kind:long,before:array<int>,after:array<int>>>"
+    out = map_arrow(rows, kernel, f"doc_id long, text_hash long, {kind}")
+    return written(out.select("doc_id", "text_hash", F.explode("x").alias("x")).select("doc_id", "text_hash", "x.*"), "occurrences")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, start_word, n_words, component_id, first_doc_id, removed: the passages that several documents have."""
     table = paragraph_table(docs)
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start", "n")
-    classes = written(table.groupBy("class").agg(F.min(row).alias("row"), F.max(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("last"), F.first("bands").alias("bands")), "classes")
-    near = written(near_classes(docs, classes), "near")
-    merged = classes.join(F.broadcast(near) if fits_broadcast(near, 24) else near, classes["class"] == near["id"], "left")
-    merged = merged.select("class", F.coalesce("component", "class").alias("kind"), "row", "last", F.col("component").isNotNull().alias("near"))
-    across = F.struct("row.none", "row.doc_id", "row.text_hash") != F.col("last")
-    kinds = written(merged.where(F.col("near") | across).select("class", "kind", "row"), "kinds")
-    first = written(kinds.groupBy("kind").agg(F.min("row").alias("first")), "first")
-    kinds = written(kinds.select("class", "kind").join(first, "kind"), "kinds")
-    found = written(table.drop("bands").join(F.broadcast(kinds) if fits_broadcast(kinds, 64) else kinds, "class").withColumn("place", row), "occurrences")
+    near = written(near_classes(docs, table), "near")
+    document = F.xxhash64("doc_id", "text_hash")
+    across = table.groupBy("class").agg(F.min(document).alias("a"), F.max(document).alias("b")).where("a != b").select("class")
+    classes = across.unionByName(near.select(F.col("id").alias("class"))).distinct()
+    kinds = written(classes.join(_fitting(near, 24), classes["class"] == near["id"], "left").select("class", F.coalesce("component", "class").alias("kind")), "kinds")
+    found = with_contexts(docs, table.select("doc_id", "text_hash", "start", "n", "class").join(_fitting(kinds, 24), "class").drop("class"))
+    found = found.withColumn("place", _row("start", "n"))
+    first = written(found.groupBy("kind").agg(F.min("place").alias("first")), "first")
+    found = found.join(_fitting(first, 64), "kind")
     starts = found.where("place = first").select("kind", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["kind"])
+    starts = written(starts, "starts")
     other = F.struct("place.none", "place.doc_id", "place.text_hash") != F.struct("first.none", "first.doc_id", "first.text_hash")
-    spans = found.where(other).join(F.broadcast(starts) if fits_broadcast(starts, 96) else starts, "kind").withColumn("left", _agreed("before")).withColumn("right", _agreed("after"))
+    spans = found.where(other).join(_fitting(starts, 96), "kind").withColumn("left", _agreed("before")).withColumn("right", _agreed("after"))
     spans = written(spans.where(F.col("left") + F.col("n") + F.col("right") >= min_words).select("doc_id", "text_hash", "start", "n", "left", "right", "kind", "first"), "spans")
     here = spans.select("doc_id", "text_hash", (F.col("start") - F.col("left")).alias("a"), (F.col("start") + F.col("n") + F.col("right")).alias("b"), "kind", F.lit(True).alias("removed"))
     # The first occurrence's own span is as long as the longest that agrees with it.
@@ -219,11 +256,10 @@ def _passages(spans: DataFrame) -> DataFrame:
     inside = Window.partitionBy("doc_id", "text_hash", "number")
     edges = marked.select("kind", F.min("kind").over(inside).alias("least")).where("kind != least").distinct()
     joined = written(components(edges), "joined")
-    right = F.broadcast(joined) if fits_broadcast(joined, 24) else joined
-    out = passages.join(right, passages["kind"] == right["id"], "left").withColumn("component_id", F.coalesce("component", "kind"))
+    out = passages.join(_fitting(joined, 24), passages["kind"] == joined["id"], "left").withColumn("component_id", F.coalesce("component", "kind"))
     out = written(out.select("doc_id", "text_hash", "start_word", (F.col("end") - F.col("start_word")).cast("int").alias("n_words"), "component_id", "removed"), "passages")
     first = written(out.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id")), "first")
-    return out.join(F.broadcast(first) if fits_broadcast(first, 24) else first, "component_id").select("doc_id", "text_hash", "start_word", "n_words", "component_id", "first_doc_id", "removed")
+    return out.join(_fitting(first, 24), "component_id").select("doc_id", "text_hash", "start_word", "n_words", "component_id", "first_doc_id", "removed")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
