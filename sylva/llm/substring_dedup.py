@@ -6,8 +6,10 @@ content-defined cuts (about ten words): the cuts inside a repeated passage are t
 1. Every paragraph has a hash and, from MINHASHED words on, MinHash bands over its five-word shingles. 2. Equal paragraphs are
 one class; classes that collide in a band are candidates, whose exact Jaccard similarity is computed inside blocks
 (set_joins), and similar ones are merged. 3. An occurrence is compared with its class's first one in the corpus:
-hashes of the words before and after, in steps of STEP, say how far the two agree. 4. Where they agree over
-MIN_WORDS words, the span is a repeated passage; overlapping spans of a document are one. 5. Passages that share
+hashes of the words before and after, in steps of STEP, say how far the two agree. Where they agree over
+MIN_WORDS words, the span is a repeated passage. 4. Windows of WIDE words around the occurrences are banded too: where
+they collide and differ, both texts are grown from the occurrence over changed words, and a span of MIN_WORDS words with an
+exact Jaccard similarity of PERCENT is a repeated passage, too. Overlapping spans of a document are one. 5. Passages that share
 paragraph classes, directly or through others, are one component; all but those with the first occurrences are removals.
 
 BANDS bands of ROWS rows find a pair of similarity 0.8 with a chance of 0.98, equal ones always.
@@ -38,6 +40,11 @@ MINHASHED = 8
 #: How far an occurrence is compared with the first one, each way.
 STEP, STEPS = 8, 6
 MIN_WORDS = 36
+#: Words of the windows, from an occurrence on and up to it, that are banded for near passages; at least so many at a text's
+#: ends; over how many words two windows are the same: enough for the exact comparison to see it.
+WIDE, NARROW, SAME = 40, 24, MIN_WORDS + STEP
+#: How many words each way a near pair is grown, past how many changed ones at once, and how many equal ones must follow them.
+REACH, CHANGED, RESUMED = 64, 4, 4
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
@@ -111,6 +118,66 @@ def _bands(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([mixed(sum((values[b * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(b + 1))) for b in range(BANDS)], axis=1)
 
 
+def _windows(h: np.ndarray, prepared, start: np.ndarray, n: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (two to an occurrence) and band keys (twice BANDS) of the windows around occurrences; a short window has hash 0.
+
+    own: a number of the text. A window that the text's end cuts off before SAME words has a hash that no other text has.
+    """
+    a = np.stack([start, np.maximum(start + n - WIDE, 0)], axis=1).ravel()
+    b = np.stack([np.minimum(start + WIDE, len(h)), start + n], axis=1).ravel()
+    long = b - a >= NARROW
+    wholes, bands = np.zeros(len(a), np.uint64), np.zeros((len(a), BANDS), np.uint64)
+    if long.any():
+        a, b = a[long], b[long]
+        after = np.tile([True, False], len(start))[long]
+        x, y = np.where(after, a, np.maximum(b - SAME, 0)), np.where(after, np.minimum(a + SAME, len(h)), b)
+        wholes[long] = Cutter.run(prepared, x, y) ^ np.where(y - x < SAME, mixed(x.astype(np.uint64) + np.array([own]).astype(np.uint64)), np.uint64(0))
+        grams = shingle_hashes(h, SHINGLE)
+        edges = np.stack([a, b - SHINGLE + 1], axis=1).ravel()
+        # Each second run, between a window's end and the next one's begin, isn't used.
+        values = np.stack([np.minimum.reduceat(np.append(mixed(grams ^ s), ~np.uint64(0)), edges)[::2] for s in _SEEDS])
+        bands[long] = np.stack([mixed(sum((values[k * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(k + 1))) for k in range(BANDS)], axis=1)
+    return wholes.reshape(-1, 2), bands.reshape(-1, 2 * BANDS)
+
+
+def near_span(x: list[int], i: int, y: list[int], j: int) -> tuple[int, int, int, int] | None:
+    """The widest span around places i and j over which x and y are similar as sets of shingles: from and to in x, in y."""
+
+    def grown(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        """How far both agree from their begin on: the ends of the equal runs, with few changed words between them."""
+        ends, p, q = [], 0, 0
+        while True:
+            while p < len(x) and q < len(y) and x[p] == y[q]:
+                p, q = p + 1, q + 1
+            ends.append((p, q))
+            for d, e in _SKIPS:
+                if len(x) - p - d >= RESUMED and x[p + d : p + d + RESUMED] == y[q + e : q + e + RESUMED]:
+                    p, q = p + d, q + e
+                    break
+            else:
+                return ends
+
+    def shingles(words: list[int]) -> set[tuple[int, ...]]:
+        return {tuple(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
+
+    right, left = grown(x[i:], y[j:]), grown(x[:i][::-1], y[:j][::-1])
+    while True:
+        (r, s), (p, q) = right[-1], left[-1]
+        if min(p + r, q + s) < MIN_WORDS:
+            return None
+        a, b = shingles(x[i - p : i + r]), shingles(y[j - q : j + s])
+        if 100 * len(a & b) >= PERCENT * len(a | b):
+            return i - p, i + r, j - q, j + s
+        # The shorter outermost run goes.
+        tails = [side[-1][0] - side[-2][0] if len(side) > 1 else 1 << 30 for side in (left, right)]
+        if min(tails) == 1 << 30:
+            return None
+        (left if tails[0] <= tails[1] else right).pop()
+
+
+_SKIPS = sorted(((d, e) for d in range(CHANGED + 1) for e in range(CHANGED + 1) if d or e), key=lambda x: (max(x), abs(x[0] - x[1])))
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, class, start, n, bands of every paragraph, as a table without texts."""
     names = ["class", "start", "n", "bands"]
@@ -190,7 +257,7 @@ def _agreed(side: str) -> Column:
 
 
 def with_contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """found (doc_id, text_hash, start, n, kind of paragraphs) with before and after: hashes of the words around each, as a table."""
+    """found (doc_id, text_hash, start, n, kind of paragraphs) with before and after: hashes of the words around each, and windows and bands (_windows), as a table."""
 
     def kernel(batches):
         cutter = Cutter()
@@ -199,29 +266,83 @@ def with_contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 lists = part.column(3)
                 flat = lists.flatten()
-                sides: tuple[list, list] = ([], [])
-                for text, places in zip(part.column(2), lists, strict=True):
+                sides: tuple[list, ...] = ([], [], [], [])
+                for text, places, own in zip(part.column(2), lists, part.column(1).to_pylist(), strict=True):
                     h = cutter.words(text.as_py() or "")
                     prepared = cutter.runs(h)
                     start, n = (places.values.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
                     for side, edge, way in ((sides[0], start, -1), (sides[1], start + n, 1)):
                         side.append(_contexts(lambda x, y, p=prepared: cutter.run(p, x, y), len(h), edge, way))
+                    for side, values in zip(sides[2:], _windows(h, prepared, start, n, own), strict=True):
+                        side.append(values.astype(np.int64))
                 columns = [flat.field(c) for c in ("start", "n", "kind")]
-                for side in sides:
-                    values = np.concatenate(side) if side else np.zeros((0, STEPS), np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * STEPS), pa.array(values.ravel())))
-                rows = pa.StructArray.from_arrays(columns, ["start", "n", "kind", "before", "after"])
+                for side, wide, of in zip(sides, (STEPS, STEPS, 2, 2 * BANDS), (np.int32, np.int32, np.int64, np.int64), strict=True):
+                    values = np.concatenate(side) if side else np.zeros((0, wide), of)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * wide), pa.array(values.ravel())))
+                rows = pa.StructArray.from_arrays(columns, ["start", "n", "kind", "before", "after", "windows", "bands"])
                 ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["doc_id", "text_hash", "x"])
 
     by_row = written(found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "n", "kind")).alias("places")), "places")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
     rows = texts.join(_fitting(by_row, 400), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text_hash", "text", "places")
-    kind = "x array<struct<start:int,n:int,kind:long,before:array<int>,after:array<int>>>"
+    kind = "x array<struct<start:int,n:int,kind:long,before:array<int>,after:array<int>,windows:array<long>,bands:array<long>>>"
     out = map_arrow(rows, kernel, f"doc_id long, text_hash long, {kind}")
     return written(out.select("doc_id", "text_hash", F.explode("x").alias("x")).select("doc_id", "text_hash", "x.*"), "occurrences")
 
 
+def near_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text_hash, a, b, kind, removed: verified spans of passages that are similar and not the same.
+
+    Occurrences of a kind of which a window collides in a band are candidates. Of each different window the first
+    occurrence is compared with the first one of all: the others with the same window share it word for word.
+    """
+    place = F.struct("place.none", "place.doc_id", "place.text_hash", "place.start")
+    keys = found.select("kind", place.alias("place"), "windows", F.posexplode("bands").alias("at", "band"))
+    keys = keys.select("kind", "place", F.element_at("windows", F.floor(F.col("at") / BANDS).cast("int") + 1).alias("window"), F.xxhash64("kind", "at", "band").alias("key")).where("window != 0")
+    keys = written(keys.groupBy("key", "window").agg(F.min(F.struct("place", "kind")).alias("one")), "near_keys")
+    first = keys.groupBy("key").agg(F.min("one").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    first = written(first, "near_first")
+    pairs = keys.join(_fitting(first, 96), "key").where("(one.place.none, one.place.doc_id, one.place.text_hash) IS DISTINCT FROM (first.place.none, first.place.doc_id, first.place.text_hash)")
+    pairs = pairs.select(F.col("one.kind").alias("kind"), F.col("one.place").alias("x"), F.col("first.place").alias("y")).distinct()
+    pairs = written(pairs, "near_pairs")
+    sides = pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct().groupBy(F.col("p.doc_id").alias("d"), F.col("p.text_hash").alias("h")).agg(F.collect_list("p.start").alias("starts"))
+    sides = written(sides, "near_sides")
+
+    def around(batches):
+        cutter = Cutter()
+        for batch in batches:
+            for text, starts, doc, of in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = cutter.words(text.as_py() or "").astype(np.int64)
+                for at in range(0, len(starts), 256):
+                    some = starts[at : at + 256]
+                    words = [h[max(0, x - REACH) : x + REACH] for x in some]
+                    ends = np.cumsum([0, *map(len, words)])
+                    columns = [pa.array([doc] * len(some), pa.int64()), pa.array([of] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "start", "words"])
+
+    def verify(batches):
+        for batch in batches:
+            out = []
+            for kind, x, y, mine, first in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                span = near_span(mine, min(REACH, x["start"]), first, min(REACH, y["start"]))
+                if span:
+                    for p, (a, b), removed in ((x, span[:2], True), (y, span[2:], False)):
+                        zero = max(0, p["start"] - REACH)
+                        out.append((p["doc_id"], p["text_hash"], zero + a, zero + b, kind, removed))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], ["doc_id", "text_hash", "a", "b", "kind", "removed"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    rows = texts.join(_fitting(sides, 400), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text_hash", "text", "starts")
+    words = map_arrow(rows, around, "doc_id long, text_hash long, start int, words array<long>").dropDuplicates(["doc_id", "text_hash", "start"])
+    words = written(words.select(F.xxhash64("doc_id", "text_hash", "start").alias("at"), "words"), "near_words")
+    for side, name in (("x", "mine"), ("y", "theirs")):
+        own = words.select("at", F.col("words").alias(name))
+        pairs = pairs.withColumn("at", F.xxhash64(f"{side}.doc_id", f"{side}.text_hash", f"{side}.start")).join(_fitting(own, 1200), "at").drop("at")
+    return written(map_arrow(pairs.select("kind", "x", "y", "mine", "theirs"), verify, "doc_id long, text_hash long, a int, b int, kind long, removed boolean").distinct(), "near_spans")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, start_word, n_words, component_id, first_doc_id, removed: the passages that several documents have."""
     table = paragraph_table(docs)
@@ -232,6 +353,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kinds = written(classes.join(_fitting(near, 24), classes["class"] == near["id"], "left").select("class", F.coalesce("component", "class").alias("kind")), "kinds")
     found = with_contexts(docs, table.select("doc_id", "text_hash", "start", "n", "class").join(_fitting(kinds, 24), "class").drop("class"))
     found = found.withColumn("place", _row("start", "n"))
+    near_passages = near_spans(docs, found)
     first = written(found.groupBy("kind").agg(F.min("place").alias("first")), "first")
     found = found.join(_fitting(first, 64), "kind")
     starts = found.where("place = first").select("kind", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["kind"])
@@ -243,7 +365,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # The first occurrence's own span is as long as the longest that agrees with it.
     there = spans.groupBy("kind").agg(F.first("first").alias("first"), F.max("left").alias("left"), F.max("right").alias("right"))
     there = there.select("first.doc_id", "first.text_hash", (F.col("first.start") - F.col("left")).alias("a"), (F.col("first.start") + F.col("first.n") + F.col("right")).alias("b"), "kind", F.lit(False).alias("removed"))
-    return _passages(here.unionByName(there))
+    return _passages(here.unionByName(there).unionByName(near_passages))
 
 
 def _passages(spans: DataFrame) -> DataFrame:

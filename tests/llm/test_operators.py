@@ -124,6 +124,36 @@ def test_op4_finds_passages(spark, docs, rows, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def words_of(rng, n):
+    return [f"{a}{b}" for a, b in rng.integers(0, 10**6, (n, 2))]
+
+
+def test_op4_finds_passages_with_a_changed_word(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(60):
+        passage = words_of(rng, 60)
+        changed = [*passage[:30], "changed", *passage[31 - i % 2 :]]  # another word, or one more
+        texts += [[*words_of(rng, 40), *x, *words_of(rng, 40)] for x in (passage, changed)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs).collect()
+    wide = {r.doc_id for r in found if r.start_word == 40 and r.n_words >= 60}
+    assert len(wide) >= 0.95 * len(texts)
+    assert all(40 <= r.start_word and r.start_word + r.n_words <= 101 for r in found)
+    assert {r.doc_id for r in found if r.removed} <= set(range(1, 120, 2))
+
+
+def test_near_span_is_as_similar_as_asked():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 60, 80).tolist()
+    other = rng.integers(0, 1 << 60, 80).tolist()
+    assert substring_dedup.near_span(x, 10, x, 10) == (0, 80, 0, 80)
+    y = [*other[:5], *x[10:40], 1, *x[41:70], *other[70:]]
+    assert substring_dedup.near_span(x, 20, y, 15) == (10, 70, 5, 65)
+    y = [w if i % 6 else -i for i, w in enumerate(x)]
+    assert substring_dedup.near_span(x, 20, y, 20) is None
+
+
 def test_op5_sharding(spark, docs, rows, empty):
     records = common.written(sharding.slotted(docs), "slotted")
     slots = common.written(sharding.slot_map(records), "map")
