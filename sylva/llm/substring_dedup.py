@@ -7,7 +7,8 @@ content-defined cuts (about ten words): the cuts inside a repeated passage are t
 one class; classes that collide in a band are candidates, whose exact Jaccard similarity is computed inside blocks
 (set_joins), and similar ones are merged. 3. An occurrence is compared with its class's first one in the corpus:
 hashes of the words before and after, in steps of STEP, say how far the two agree. Where they agree over
-MIN_WORDS words, the span is a repeated passage. 4. Windows of WIDE words around the occurrences are banded too: where
+MIN_WORDS words, the span is a repeated passage. Where some don't, the occurrences are grouped by each choice of contexts
+that gives MIN_WORDS words and compared with their group's first, so any two that share so many meet. 4. Windows of WIDE words around the occurrences are banded too: where
 they collide and differ, both texts are grown from the occurrence over changed words, and a span of MIN_WORDS words with an
 exact Jaccard similarity of PERCENT is a repeated passage, too. Overlapping spans of a document are one. 5. Passages that share
 paragraph classes, directly or through others, are one component; all but those with the first occurrences are removals.
@@ -291,6 +292,36 @@ def with_contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
     return written(out.select("doc_id", "text_hash", F.explode("x").alias("x")).select("doc_id", "text_hash", "x.*"), "occurrences")
 
 
+def _shares(min_words: int) -> Column:
+    """The ways to have min_words words with STEP-wise contexts: i steps before and j after, and the hash of kind and contexts.
+
+    Similar paragraphs needn't have the same length, so theirs are a step shorter and longer, too.
+    """
+    steps = F.greatest(F.ceil((F.lit(min_words) - F.col("n")) / STEP), F.lit(0)).cast("int")
+    spread = F.when(F.col("merged"), 1).otherwise(0)
+    sums = F.sequence(F.greatest(steps - spread, F.lit(0)), steps + spread)
+    ways = F.flatten(F.transform(sums, lambda t: F.transform(F.sequence(F.lit(0), t), lambda i: F.struct(i.alias("i"), (t - i).alias("j")))))
+    side = lambda of, k: F.when(k == 0, 1).otherwise(F.get(of, k - 1))
+    # Words after are asked for as well where i is 0, and so on; a context beyond the text is 0.
+    ways = F.filter(ways, lambda w: (w["i"] <= STEPS) & (w["j"] <= STEPS) & (side("before", w["i"]) != 0) & (side("after", w["j"]) != 0))
+    return F.transform(ways, lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j"), F.xxhash64("kind", w["i"], w["j"], side("before", w["i"]), side("after", w["j"])).alias("key")))
+
+
+def shared_spans(found: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, text_hash, a, b, kind, removed: spans of min_words words that an occurrence shares with the first one that has them.
+
+    found: occurrences with contexts, place and merged (whether its kind has similar paragraphs).
+    """
+    document = F.xxhash64("place.doc_id", "place.text_hash")
+    keys = found.select("kind", "n", "place", F.explode(_shares(min_words)).alias("x")).select("kind", "n", "place", "x.*")
+    first = keys.groupBy("key").agg(F.min("place").alias("first"), F.min(document).alias("d"), F.max(document).alias("e")).where("d != e").select("key", "first")
+    first = written(first, "first_of_key")
+    met = keys.join(_fitting(first, 64), "key").where("(place.none, place.doc_id, place.text_hash) IS DISTINCT FROM (first.none, first.doc_id, first.text_hash)")
+    met = met.where(STEP * (F.col("i") + F.col("j")) + F.col("n") >= min_words)
+    sides = F.array(*(F.struct(*(F.col(f"{p}.{c}").alias(c) for c in ("doc_id", "text_hash")), (F.col(f"{p}.start") - STEP * F.col("i")).alias("a"), (F.col(f"{p}.start") + F.col(f"{p}.n") + STEP * F.col("j")).alias("b"), "kind", F.lit(p == "place").alias("removed")) for p in ("place", "first")))
+    return met.select(F.explode(sides).alias("s")).select("s.*").distinct()
+
+
 def near_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text_hash, a, b, kind, removed: verified spans of passages that are similar and not the same.
 
@@ -360,21 +391,33 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     starts = written(starts, "starts")
     other = F.struct("place.none", "place.doc_id", "place.text_hash") != F.struct("first.none", "first.doc_id", "first.text_hash")
     spans = found.where(other).join(_fitting(starts, 96), "kind").withColumn("left", _agreed("before")).withColumn("right", _agreed("after"))
-    spans = written(spans.where(F.col("left") + F.col("n") + F.col("right") >= min_words).select("doc_id", "text_hash", "start", "n", "left", "right", "kind", "first"), "spans")
+    enough = F.col("left") + F.col("n") + F.col("right") >= min_words
+    # Where an occurrence doesn't agree with the first one of its kind, it may with a later one.
+    split = written(spans.where(~enough).select("kind").distinct(), "split")
+    merged = near.select(F.col("component").alias("kind"), F.lit(True).alias("merged")).distinct()
+    again = found.join(_fitting(split, 16), "kind").join(_fitting(merged, 16), "kind", "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
+    shared = written(shared_spans(again, min_words), "shared_spans")
+    spans = written(spans.where(enough).select("doc_id", "text_hash", "start", "n", "left", "right", "kind", "first"), "spans")
     here = spans.select("doc_id", "text_hash", (F.col("start") - F.col("left")).alias("a"), (F.col("start") + F.col("n") + F.col("right")).alias("b"), "kind", F.lit(True).alias("removed"))
     # The first occurrence's own span is as long as the longest that agrees with it.
     there = spans.groupBy("kind").agg(F.first("first").alias("first"), F.max("left").alias("left"), F.max("right").alias("right"))
     there = there.select("first.doc_id", "first.text_hash", (F.col("first.start") - F.col("left")).alias("a"), (F.col("first.start") + F.col("first.n") + F.col("right")).alias("b"), "kind", F.lit(False).alias("removed"))
-    return _passages(here.unionByName(there).unionByName(near_passages))
+    return _passages(here.unionByName(there).unionByName(shared).unionByName(near_passages))
 
 
 def _passages(spans: DataFrame) -> DataFrame:
-    """Spans that overlap are one passage; passages with a common kind of paragraph are in one component."""
+    """Spans that overlap are one passage; passages with a common kind of paragraph are in one component.
+
+    Spans to remove and spans that stay are passages apart: what stays may reach beyond what goes.
+    """
     by_row = Window.partitionBy("doc_id", "text_hash").orderBy("a", "b", "kind")
     reach = F.max("b").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", (reach.isNull() | (F.col("a") >= reach)).cast("int"))
     marked = written(marked.withColumn("number", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, 0))), "marked")
-    passages = marked.groupBy("doc_id", "text_hash", "number").agg(F.min("a").alias("start_word"), F.max("b").alias("end"), F.min("kind").alias("kind"), F.max("removed").alias("removed"))
+    by_fate = Window.partitionBy("doc_id", "text_hash", "removed").orderBy("a", "b", "kind")
+    reach = F.max("b").over(by_fate.rowsBetween(Window.unboundedPreceding, -1))
+    apart = marked.withColumn("new", (reach.isNull() | (F.col("a") >= reach)).cast("int")).withColumn("own", F.sum("new").over(by_fate.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = apart.groupBy("doc_id", "text_hash", "removed", "own").agg(F.min("a").alias("start_word"), F.max("b").alias("end"), F.min("kind").alias("kind"))
     inside = Window.partitionBy("doc_id", "text_hash", "number")
     edges = marked.select("kind", F.min("kind").over(inside).alias("least")).where("kind != least").distinct()
     joined = written(components(edges), "joined")

@@ -143,6 +143,19 @@ def test_op4_finds_passages_with_a_changed_word(spark):
     assert {r.doc_id for r in found if r.removed} <= set(range(1, 120, 2))
 
 
+def test_op4_finds_passages_whose_pieces_came_before(spark):
+    rng = np.random.default_rng(5)
+    texts, later = [], []
+    for _ in range(40):
+        passage = words_of(rng, 60)
+        texts += [[*words_of(rng, 30), *passage[k : k + 30], *words_of(rng, 30)] for k in (0, 15, 30)]
+        later += [[*words_of(rng, 30), *passage, *words_of(rng, 30)] for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([*texts, *later])], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert {r.doc_id for r in found} == set(range(len(texts), len(texts) + len(later)))
+    assert {r.doc_id for r in found if r.removed} == set(range(len(texts) + 1, len(texts) + len(later), 2))
+
+
 def test_near_span_is_as_similar_as_asked():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 1 << 60, 80).tolist()
