@@ -1,8 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of neighbouring lines says where a chunk ends, so a shift of lines moves no boundary
-but the nearest. Of chunks of several lines that occur more than once in the corpus, the first occurrence (least
-doc_id) stays and the others are removed, if their bytes are the same and not just their hashes.
+but the nearest. Short runs hold no whole chunk, so each two neighbouring lines with words (and the blank ones between)
+are a chunk as well: all lines of a repeated run are in such pairs. Of chunks of several lines that occur more than once
+in the corpus, the first occurrence (least doc_id) stays and the others are removed, if their bytes are the same and not
+just their hashes.
 
 Nulls: a null text has no lines and stays null; a null doc_id counts last. Repeated rows (doc_id and text the same)
 are one document: its chunks stay or go in all of them. A chunk of one line, or with fewer than two lines that have
@@ -11,6 +13,9 @@ words, is never removed. An empty table gives an empty result. Extra columns are
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +32,7 @@ WINDOW = 2
 
 
 def chunks(text: str, spread: int = SPREAD) -> list[tuple[int, int, int]]:
-    """(hash, first line, lines) of every chunk with at least two lines that have words."""
+    """(hash, first line, lines) of every chunk with at least two lines that have words, and of every pair of such lines."""
     lines = text.split("\n")
     if len(lines) < 2:
         return []
@@ -37,12 +42,13 @@ def chunks(text: str, spread: int = SPREAD) -> list[tuple[int, int, int]]:
     for i in range(1, WINDOW):
         rolling[i:] += h[:-i] * np.uint64(2 * i + 0x9E3779B97F4A7C15)
     last = np.flatnonzero(mixed(rolling) % np.uint64(spread) == 0)
-    out, start = [], 0
+    filled = [i for i, b in enumerate(encoded) if b.split()]
+    found, start = {(a, b + 1) for a, b in itertools.pairwise(filled)}, 0
     for end in [*(last + 1).tolist(), len(lines)]:
-        if end - start > 1 and sum(1 for b in encoded[start:end] if b.split()) > 1:
-            out.append((xxhash.xxh3_64_intdigest(b"\n".join(encoded[start:end])) - (1 << 63), start, end - start))
+        if bisect.bisect_left(filled, end) - bisect.bisect_left(filled, start) > 1:
+            found.add((start, end))
         start = end
-    return out
+    return [(xxhash.xxh3_64_intdigest(b"\n".join(encoded[a:b])) - (1 << 63), a, b - a) for a, b in sorted(found)]
 
 
 def chunk_table(docs: DataFrame, spread: int = SPREAD) -> DataFrame:

@@ -330,6 +330,29 @@ def test_boundaries_survive_a_shift():
     assert len(a & b) >= len(a) - 1
 
 
+def test_op8_leaves_no_repeated_run_of_lines(spark):
+    rng = np.random.default_rng(6)
+    line = iter(f"line {i} of its own" for i in range(10**6))
+    texts = [[next(line) for _ in range(int(rng.integers(1, 12)))] for _ in range(60)]
+    for k in range(2, 8):
+        for i in range(10):
+            run = texts[6 * i][:k]
+            at = int(rng.integers(0, len(texts[6 * i + 1]) + 1))
+            texts.append([*texts[6 * i + 1][:at], *run[:1], *[""] * (i % 2), *run[1:], next(line)])
+            texts.append([next(line), *run[:1], *[""] * (i % 2), *run[1:], next(line)])
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    seen = set()
+    for i, lines in enumerate(texts):
+        filled = [k for k, x in enumerate(lines) if x]
+        pairs = [(a, b, "\n".join(lines[a : b + 1])) for a, b in zip(filled, filled[1:], strict=False)]
+        gone = {k for a, b, p in pairs if p in seen for k in range(a, b + 1)}
+        seen |= {p for _, _, p in pairs}
+        assert not gone & {k for k, x in enumerate(lines) if x and x in found[i].text.split("\n")}
+        assert {x for k, x in enumerate(lines) if x and k not in gone} <= set(found[i].text.split("\n"))
+    assert sum(r.n_removed_lines for r in found.values()) > 200
+
+
 def test_op9_quality_rules(spark, docs, rows, empty, monkeypatch):
     def measure(text):
         w = WORD.findall(text)
