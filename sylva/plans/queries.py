@@ -209,6 +209,11 @@ def row_candidates(spark, sf_dir):
     return review_xml_proposal(spark, propose_xml_profile(spark, nodes_of(sources).persist()), "rows").select("path", "occurrences", "priority", "evidence")
 
 
+def row_candidates_all(spark, sf_dir):
+    """row_candidates over every order."""
+    return review_xml_proposal(spark, propose_xml_profile(spark, nodes_of(order_documents(spark, sf_dir)).persist()), "rows").select("path", "occurrences", "priority", "evidence")
+
+
 def analyst(spark: SparkSession, sources: DataFrame, **how) -> AnalystTable:
     return xml_analyst_table(nodes_of(sources), validate=False, **how)
 
@@ -325,7 +330,7 @@ def streamed(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     orders_wide, orders_generated_id, orders_items_long, nodes_customer, nodes_kind_counts, nodes_preserve_ws, nodes_valid, node_children, structure_paths, independent_repeats_long,
     long_value_index, wide_missing, namespace_rows, text_roundtrip, attr_normalization, type_inference, id_candidates, row_candidates, analyst_orders, analyst_keys, analyst_presence,
-    mixed_content, analyst_misc, analyst_expand, alternating_pairs, amplification, malformed_pages, conversations_long, sink_parquet, sink_csv, streamed,
+    mixed_content, analyst_misc, analyst_expand, alternating_pairs, amplification, malformed_pages, conversations_long, sink_parquet, sink_csv, streamed, row_candidates_all,
 )}
 
 _BUCKET = f"CAST(o_custkey % {BUCKETS} AS VARCHAR)"
@@ -402,5 +407,7 @@ ORACLES = {
     "conversations_long": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS entity_index, text AS value FROM conversations",
     "sink_parquet": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name, CAST(round(c_acctbal * 100) AS INTEGER) AS balance FROM customer WHERE c_nationkey = 3""",
     "sink_csv": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS INTEGER) AS VARCHAR) AS balance FROM customer WHERE c_nationkey = 3""",
+    "row_candidates_all": """SELECT 'orders/order' AS path, count(*) AS occurrences, 'primary' AS priority, 'sample' AS evidence FROM orders
+        UNION ALL SELECT 'orders/order/item', count(*), 'alternative', 'sample' FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     "streamed": f"""WITH {_NATION_ROWS} SELECT c_nationkey || '.xml' AS document_id, CAST(rn AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name FROM c""",
 }

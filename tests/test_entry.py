@@ -40,3 +40,19 @@ def test_against_sql(spark, name):
     assert sorted(found.columns) == sorted(expected.columns)
     assert as_rows(found) == as_rows(expected)
     spark.catalog.clearCache()
+
+
+def whole(spark, name):
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    found, expected = queries.QUERIES[name](spark, SMALL).toPandas(), db.execute(queries.ORACLES[name]).df()
+    assert as_rows(found) == as_rows(expected)
+    spark.catalog.clearCache()
+    return found, db
+
+
+def test_row_candidates_cover_every_order(spark):
+    found, db = whole(spark, "row_candidates_all")
+    counts = dict(zip(found.path, found.occurrences, strict=True))
+    assert counts["orders/order"] == db.execute("SELECT count(*) FROM orders").fetchone()[0]
