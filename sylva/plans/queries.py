@@ -316,6 +316,26 @@ def sink_csv(spark, sf_dir):
     return spark.read.csv(str(folder / "out.csv"), header=True, schema="document_id string, record_index int, record_id string, record_node_id int, name string, balance string").select("record_index", "record_id", "name", "balance")
 
 
+def sink_parquet_all(spark, sf_dir):
+    """sink_parquet over a file of all customers."""
+    folder = Path(tempfile.mkdtemp(prefix="sylva-sink-"))
+    sources = flat_customers(spark, sf_dir)
+    _files(sources, folder)
+    spec = compiled(spark, sources, xml_profile("c", "@id", {"name": "name", "balance": "balance"}, {"balance": "integer"}))
+    rectangle_xml_parquet(spark, str(folder / "customers.xml"), spec, str(folder / "out"), batch_rows=5000)
+    return spark.read.parquet(str(folder / "out")).select("record_index", "record_id", "name", "balance")
+
+
+def sink_csv_all(spark, sf_dir):
+    """sink_csv over a file of all customers."""
+    folder = Path(tempfile.mkdtemp(prefix="sylva-sink-"))
+    sources = flat_customers(spark, sf_dir)
+    _files(sources, folder)
+    spec = compiled(spark, sources, xml_profile("c", "@id", {"name": "name", "balance": "balance"}))
+    rectangle_xml_csv(spark, str(folder / "customers.xml"), spec, str(folder / "out.csv"))
+    return spark.read.csv(str(folder / "out.csv"), header=True, schema="document_id string, record_index int, record_id string, record_node_id int, name string, balance string").select("record_index", "record_id", "name", "balance")
+
+
 def streamed(spark, sf_dir):
     folder = Path(tempfile.mkdtemp(prefix="sylva-stream-"))
     (folder / "in").mkdir()
@@ -330,7 +350,7 @@ def streamed(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     orders_wide, orders_generated_id, orders_items_long, nodes_customer, nodes_kind_counts, nodes_preserve_ws, nodes_valid, node_children, structure_paths, independent_repeats_long,
     long_value_index, wide_missing, namespace_rows, text_roundtrip, attr_normalization, type_inference, id_candidates, row_candidates, analyst_orders, analyst_keys, analyst_presence,
-    mixed_content, analyst_misc, analyst_expand, alternating_pairs, amplification, malformed_pages, conversations_long, sink_parquet, sink_csv, streamed, row_candidates_all,
+    mixed_content, analyst_misc, analyst_expand, alternating_pairs, amplification, malformed_pages, conversations_long, sink_parquet, sink_csv, streamed, row_candidates_all, sink_parquet_all, sink_csv_all,
 )}
 
 _BUCKET = f"CAST(o_custkey % {BUCKETS} AS VARCHAR)"
@@ -409,5 +429,7 @@ ORACLES = {
     "sink_csv": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS INTEGER) AS VARCHAR) AS balance FROM customer WHERE c_nationkey = 3""",
     "row_candidates_all": """SELECT 'orders/order' AS path, count(*) AS occurrences, 'primary' AS priority, 'sample' AS evidence FROM orders
         UNION ALL SELECT 'orders/order/item', count(*), 'alternative', 'sample' FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
+    "sink_parquet_all": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, CAST(c_custkey AS VARCHAR) AS record_id, c_name AS name, CAST(round(c_acctbal * 100) AS INTEGER) AS balance FROM customer""",
+    "sink_csv_all": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, CAST(c_custkey AS VARCHAR) AS record_id, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS INTEGER) AS VARCHAR) AS balance FROM customer""",
     "streamed": f"""WITH {_NATION_ROWS} SELECT c_nationkey || '.xml' AS document_id, CAST(rn AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name FROM c""",
 }

@@ -56,3 +56,9 @@ def test_row_candidates_cover_every_order(spark):
     found, db = whole(spark, "row_candidates_all")
     counts = dict(zip(found.path, found.occurrences, strict=True))
     assert counts["orders/order"] == db.execute("SELECT count(*) FROM orders").fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["sink_parquet_all", "sink_csv_all"])
+def test_sinks_take_every_customer(spark, name):
+    found, db = whole(spark, name)
+    assert len(found) == db.execute("SELECT count(*) FROM customer").fetchone()[0]
