@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import map_arrow
-from .common import documents
+from .common import documents, map_arrow
 
 LABELLED, POOL = 6000, 6000
 ROUNDS, PER_ROUND = 5, 100

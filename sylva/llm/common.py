@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import kernels
 
 #: A word is a run of other characters than these six (space, tab, line feed, VT, FF, carriage return).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast up to so many bytes, by a count of its rows; beyond, both sides are shuffled.
+#: A side of a join is broadcast up to so many bytes, by a sum over its rows; beyond, both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
+#: Rows that a kernel gets at once: what it keeps for a batch doesn't follow the session's batch size.
+SLICE = 512
+
 _workspaces: dict[str, SparkSession] = {}
 
 
@@ -24,10 +33,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(kernel, schema); the kernel gets slices of at most SLICE rows."""
+
+    def sliced(batches):
+        return kernel(batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+
+    return kernels.map_arrow(df, sliced, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sylva-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,7 +59,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sylva-{name}-{uuid.uuid4().hex}"
     _workspaces[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sylva_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `written` has made and that nothing reads any more."""
+    for table in tables:
+        path = table._sylva_path
+        _delete(_workspaces.pop(path), path)
 
 
 def clean_up() -> None:
@@ -47,8 +81,7 @@ def clean_up() -> None:
     for path, spark in list(_workspaces.items()):
         del _workspaces[path]
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: its own folder goes with it
             return
 
@@ -56,14 +89,28 @@ def clean_up() -> None:
 atexit.register(clean_up)
 
 
-def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether df, with rows of so many bytes, is small enough for each executor to hold. Counts at most one row beyond."""
-    return df.limit(limit // row_bytes + 1).count() <= limit // row_bytes
+def _held(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_held(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(24).cast("long"), lambda n, x: n + _held(x, kind.elementType))
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 24
+    return F.lit(8)
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of df, whatever their arrays and strings hold, are small enough for each executor to keep."""
+    size = sum((_held(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it fits; else as it is, for a shuffled join that AQE splits where it is skewed."""
-    return F.broadcast(df) if fits_broadcast(df, row_bytes, limit) else df
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
 def text_hash(text: str | Column = "text") -> Column:
@@ -76,14 +123,16 @@ def utf8_bytes(text: str | Column = "text") -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
+    """64-bit hashes of words (bytes); short ones are remembered, up to a bound: some 25 MB."""
 
-    LIMIT = 1_000_000
+    LIMIT, LENGTH = 200_000, 40
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LENGTH:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step of alternating stars; edges: u, v. Large: all larger neighbours of u go to the least one around u.
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One step of alternating stars, and the table that it reads; edges: u, v.
 
-    Small: all smaller neighbours of u, and u, go to the least of them. A hub's least neighbour is found by
-    partial sums and written, so that its edges meet that one row in a join of two shuffled sides, which AQE can split.
+    Large: all larger neighbours of u go to the least one around u. Small: all smaller neighbours of u, and u, go to the
+    least of them. A hub's least neighbour is found by partial sums and written, so that its edges meet that one row in
+    a join of two shuffled sides, which AQE can split.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,13 +23,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    return out.where("u != v").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component for every end of an edge: the least id that edges lead to. edges: two columns of one type.
 
-    Alternates large and small stars until the edges no longer change; each round is written to the shared folder.
+    Alternates large and small stars until the edges no longer change; each round is written to the shared folder, and
+    the one before it deleted.
     """
     a, b = edges.columns
     edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
@@ -38,5 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now.n == 0 or now == state:
             break
         state = now
-        edges = written(_star(_star(edges, True), False), "edges")
+        for large in (True, False):
+            out, least = _star(edges, large)
+            before, edges = edges, written(out, "edges")
+            release(before, least)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

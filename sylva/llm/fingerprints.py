@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import map_arrow
-from .common import WordHashes, documents, mixed, shingle_hashes, word_hashes
+from .common import WordHashes, documents, map_arrow, mixed, shingle_hashes, word_hashes
 
 SHINGLE = 5
 BINS = 512

@@ -22,8 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import map_arrow
-from .common import documents, fits_broadcast, mixed, text_hash, written
+from .common import documents, map_arrow, maybe_broadcast, mixed, text_hash, written
 
 #: A chunk ends after a line whose rolling hash is 0 modulo this.
 SPREAD = 4
@@ -77,11 +76,11 @@ def removed_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     table = chunk_table(docs, spread)
     often = table.groupBy("chunk").count().where("count > 1").select("chunk")
     often = written(often, "often")
-    repeated = table.join(F.broadcast(often) if fits_broadcast(often, 16) else often, "chunk")
+    repeated = table.join(maybe_broadcast(often), "chunk")
     by_row = repeated.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("chunk", "start", "lines")).alias("x"))
     by_row = written(by_row.select(F.col("doc_id").alias("_sylva_id"), F.col("text_hash").alias("_sylva_hash"), "x"), "repeated")
     texts = docs.select("doc_id", "text")
-    rows = texts.join(F.broadcast(by_row) if fits_broadcast(by_row, 128) else by_row, _of_row(texts, by_row)).select("doc_id", "_sylva_hash", F.split("text", "\n").alias("all"), F.explode("x").alias("x"))
+    rows = texts.join(maybe_broadcast(by_row), _of_row(texts, by_row)).select("doc_id", "_sylva_hash", F.split("text", "\n").alias("all"), F.explode("x").alias("x"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_sylva_hash").alias("text_hash"), F.col("x.start").alias("start"))
     found = rows.select("x.chunk", F.array_join(F.slice("all", F.col("x.start") + 1, F.col("x.lines")), "\n").alias("bytes"), place.alias("place"), "x.lines")
     found = written(found, "candidates")
@@ -97,7 +96,7 @@ def removed_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
 def dedup_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     """docs with text as it is left, and n_lines, n_removed_lines, n_removed_chunks."""
     gone = removed_lines(docs, spread)
-    out = docs.join(F.broadcast(gone) if fits_broadcast(gone, 128) else gone, _of_row(docs, gone), "left")
+    out = docs.join(maybe_broadcast(gone), _of_row(docs, gone), "left")
     lines = F.split(docs["text"], "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_sylva_lines"), i)), "\n")
     counts = {

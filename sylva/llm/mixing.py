@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, documents, fits_broadcast, text_hash, written
+from .common import WORD_PATTERN, documents, maybe_broadcast, text_hash, written
 
 SEED = 11
 EPOCHS = 3
@@ -150,8 +150,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     taken = written(taken.select(F.col("doc_id").alias("_sylva_id"), F.col("source").alias("_sylva_source"), F.col("text_hash").alias("_sylva_hash"), "_sylva_copies", "n"), "taken")
     if taken.where("n > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "source", "text"])
-    right = taken.drop("n")
-    right = F.broadcast(right) if fits_broadcast(right, 64) else right
+    right = maybe_broadcast(taken.drop("n"))
     same = (text_hash(docs["text"]) == F.col("_sylva_hash")) & docs["doc_id"].eqNullSafe(F.col("_sylva_id")) & docs["source"].eqNullSafe(F.col("_sylva_source"))
     passes = F.explode(F.sequence(F.lit(1), F.col("_sylva_copies").cast("int"))).alias("_sylva_pass")
     return docs.join(right, same).select(*(docs[c] for c in docs.columns), passes).drop("_sylva_pass")

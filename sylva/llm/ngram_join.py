@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import map_arrow
-from .common import WordHashes, documents, fits_broadcast, mixed, shingle_hashes, text_hash, word_hashes, written
+from .common import WordHashes, documents, map_arrow, maybe_broadcast, mixed, release, shingle_hashes, text_hash, word_hashes, written
 from .components import components
 from .set_joins import jaccard_links
 
@@ -153,13 +152,15 @@ def blocks(rows: DataFrame) -> DataFrame:
     """id (the 64 bits of a set), component: the candidates, by what signatures they share."""
     keys = rows.select("block", F.explode("signatures").alias("key"))
     shared = written(keys.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select("key", "least"), "shared")
-    return components(keys.join(F.broadcast(shared) if fits_broadcast(shared, 24) else shared, "key").where("block != least").select("block", "least").distinct())
+    return components(keys.join(maybe_broadcast(shared), "key").where("block != least").select("block", "least").distinct())
 
 
 def linked(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component (a set_id; of a row without a set, null) of each row."""
     rows = signed(docs, n, percent)
     candidates = written(blocks(rows), "blocks")
+    with_signatures, rows = rows, written(rows.drop("signatures"), "rows")
+    release(with_signatures)
     first = rows.where("n_shingles > 0").groupBy("set_id", "block").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"))
     wanted = first.join(candidates.select(F.col("id").alias("block"), F.col("component").alias("in")), "block").select("set_id", "in", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
     wanted = written(wanted, "wanted")
@@ -174,8 +175,7 @@ def linked(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
     keys = wanted.select(F.col("in").alias("block"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    keys = F.broadcast(keys) if fits_broadcast(keys, 48) else keys
-    found = texts.join(keys, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("block", "text")
+    found = texts.join(maybe_broadcast(keys), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("block", "text")
     sets = written(map_arrow(found, kernel, "block long, id string, elements array<long>").dropDuplicates(["block", "id"]), "sets")
     merged = components(jaccard_links(sets, percent)).select(F.col("id").alias("set_id"), F.col("component").alias("merged"))
     classes = first.select("set_id").join(merged, "set_id", "left").select("set_id", F.coalesce("merged", "set_id").alias("component"))
@@ -201,7 +201,7 @@ def one_of_each(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataF
     keep = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("row")).select("row.doc_id", "row.text_hash")
     keep = keep.unionByName(rows.where(F.col("component").isNull()).select("doc_id", "text_hash").distinct())
     keep = keep.select(F.col("doc_id").alias("_sylva_id"), F.col("text_hash").alias("_sylva_hash"))
-    keep = F.broadcast(keep) if fits_broadcast(keep, 32) else keep
+    keep = maybe_broadcast(keep)
     kept = docs.join(keep, (text_hash(docs["text"]) == keep["_sylva_hash"]) & docs["doc_id"].eqNullSafe(keep["_sylva_id"]), "left_semi")
     counted = rows.where(F.col("component").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if counted.limit(1).count() else kept

@@ -19,8 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import map_arrow
-from .common import documents, fits_broadcast, written
+from .common import documents, fits_broadcast, map_arrow, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -101,7 +100,7 @@ def apply_rules(docs: DataFrame, host: str = "source", limit: int = LINE_DOCUMEN
     rows = line_table(docs, host)
     frequent = written(frequent_lines(rows, limit), "frequent")
     each = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.words")
-    if fits_broadcast(frequent, 48):
+    if fits_broadcast(frequent):
         hits = each.join(F.broadcast(frequent), ["host", "line"])
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

@@ -1,9 +1,10 @@
 """Exact Jaccard links inside candidate blocks, by T-occurrence search with DivideSkip.
 
-Sets that can be similar lie in one block. A block has an inverted index: for each element the sets with it. A
-query with n elements needs partners that occur in at least T of its lists. The longest lists are set aside: the
-others are merged and counted, and what occurs often enough there is looked up in the long ones by binary search.
-Only links that join two components are returned: their closure is that of all links.
+Sets that can be similar lie in one block. A block has an inverted index: for each element the sets with it, in order
+of size. A query with n elements needs partners that occur in at least T of its lists. The longest lists are set aside.
+The short ones are merged, by a heap or, where they hold many entries, by counting; what occurs often enough there is
+looked up in the long ones by binary search. Only links that join two components are returned: their closure is that of
+all links.
 
 A block with many sets is cut into parts, and each two parts meet in a cell of their own, so no task holds more
 than a cell, whatever the size of a block.
@@ -11,6 +12,7 @@ than a cell, whatever the size of a block.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -18,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import map_arrow
-from .common import written
+from .common import map_arrow, written
 
 #: Sets and elements in a part of a block.
-PART_SETS, PART_ELEMENTS = 3000, 1_500_000
+PART_SETS, PART_ELEMENTS = 1000, 500_000
 #: The weight of DivideSkip's choice of how many lists are long.
 MU = 0.01
+#: Up to so many entries of short lists are merged by a heap; more are counted, which gives the same.
+HEAP = 64
+#: Candidates that are looked up in the long lists at once; those that these links join to the query are then passed over.
+PROBED = 32
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -32,31 +37,8 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def similar(overlap: int, a: int, b: int, percent: int) -> bool:
-    return 100 * overlap >= percent * (a + b - overlap)
-
-
-class Forest:
-    """Disjoint sets of 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def divide_skip(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links between sets (sorted, distinct uint64 elements), as many as join components. side: only across sides."""
+    """Links between sets (sorted, distinct elements), as many as join components. side: only across sides."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets = [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -66,11 +48,12 @@ def divide_skip(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     _, element = np.unique(np.concatenate(sets), return_inverse=True)
     by_element = np.argsort(element, kind="stable")
     lists = owner[by_element]  # of all elements, one after the other; the sets of a list are in order of size
+    entries = element[by_element] * len(sets) + lists  # sorted: a list is searched by (element, set)
     starts = np.concatenate([[0], np.cumsum(np.bincount(element))])
     place = np.empty(len(element), dtype=np.int64)
     place[by_element] = np.arange(len(element))
     ends = np.cumsum(sizes)
-    forest, links = Forest(len(sets)), []
+    label, links = np.arange(len(sets)), []  # of the components
     for x in range(1, len(sets)):
         n = int(sizes[x])
         mine = element[ends[x] - n : ends[x]]
@@ -82,38 +65,67 @@ def divide_skip(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
         aside = min(need - 1, int(need / (MU * math.log2(longest + 1) + 1)))
         by_length = np.argsort(-lengths, kind="stable")
         long, short = by_length[:aside], by_length[aside:]
-        counts = np.bincount(_merged(lists, starts[mine[short]], lengths[short]), minlength=x)
-        fit = counts >= need - aside
-        fit &= 100 * sizes[:x] >= percent * n
+        found, counts = _merged(lists, starts[mine[short]], lengths[short], need - aside)
+        fit = 100 * sizes[found] >= percent * n
         if side is not None:
-            fit &= side[:x] != side[x]
-        found = np.flatnonzero(fit)
-        if not len(found):
-            continue
+            fit &= side[found] != side[x]
+        best = np.argsort(-counts[fit], kind="stable")
+        found, counts = found[fit][best], counts[fit][best]
         if len(found) * len(long) > int(lengths[long].sum()):  # so many that merging the long lists costs less than probing them
-            total = counts[found] + np.bincount(_merged(lists, starts[mine[long]], lengths[long]), minlength=x)[found]
-            for c, k in zip(found.tolist(), total.tolist(), strict=True):
-                if similar(k, n, int(sizes[c]), percent) and forest.join(c, x):
+            counts = counts + np.bincount(_entries(lists, starts[mine[long]], lengths[long]), minlength=x)[found]
+            long = long[:0]
+        while len(found):
+            now, overlap = found[:PROBED], counts[:PROBED]
+            if len(long):
+                asked = mine[long][None, :] * len(sets) + now[:, None]
+                at = np.minimum(np.searchsorted(entries, asked), len(entries) - 1)
+                overlap = overlap + (entries[at] == asked).sum(axis=1)
+            for c in now[100 * overlap >= percent * (n + sizes[now] - overlap)].tolist():
+                if label[c] != label[x]:
+                    label[label == label[x]] = label[c]
                     links.append((order[c], order[x]))
-            continue
-        probes = sets[x][long]
-        for c in found[np.argsort(-counts[found], kind="stable")].tolist():
-            if forest.root(c) == forest.root(x):
-                continue
-            other = sets[c]
-            at = np.minimum(np.searchsorted(other, probes), len(other) - 1)
-            if similar(int(counts[c]) + int((other[at] == probes).sum()), n, int(sizes[c]), percent) and forest.join(c, x):
-                links.append((order[c], order[x]))
+            left = label[found[PROBED:]] != label[x]
+            found, counts = found[PROBED:][left], counts[PROBED:][left]
     return links
 
 
-def _merged(lists: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _entries(lists: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The first `lengths` entries of the lists that begin at `starts`."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return lists[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+def _merged(lists: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """What occurs in at least so many of the lists, in order, and in how many."""
+    if int(lengths.sum()) > HEAP:
+        counts = np.bincount(_entries(lists, starts, lengths))
+        found = np.flatnonzero(counts >= max(1, least))
+        return found, counts[found]
+    heap = [(int(lists[a]), int(a), int(a + n)) for a, n in zip(starts, lengths, strict=True) if n]
+    heapq.heapify(heap)
+    found, counts = [], []
+    while heap:
+        top, k = heap[0][0], 0
+        while heap and heap[0][0] == top:
+            _, a, end = heap[0]
+            k += 1
+            if a + 1 < end:
+                heapq.heapreplace(heap, (int(lists[a + 1]), a + 1, end))
+            else:
+                heapq.heappop(heap)
+        if k >= least:
+            found.append(top)
+            counts.append(k)
+    return np.array(found, np.int64), np.array(counts, np.int64)
+
+
+def common_span(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """From the first to behind the last element of a that is in b, in a's own order."""
+    at = np.flatnonzero(np.isin(a, b))
+    return int(at[0]), int(at[-1]) + 1
+
+
 def in_cells(sets: DataFrame) -> DataFrame:
     """block, i, j, side, id, elements: each set in the cells where its part of the block meets the block's parts.
 
@@ -126,36 +138,46 @@ def in_cells(sets: DataFrame) -> DataFrame:
     return cells.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("side"), "id", "elements")
 
 
-def jaccard_links(sets: DataFrame, percent: int) -> DataFrame:
+def jaccard_links(sets: DataFrame, percent: int, spans: bool = False) -> DataFrame:
     """a, b: links between the ids of sets at least so similar, inside blocks; enough of them to give all components.
 
-    sets: block, id (string), elements (array<long>, distinct). An id occurs once in a block.
+    sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: also a_from, a_to, b_from
+    and b_to, the places of the first common element and behind the last one, where elements come in an order.
     """
+    kind = sets.schema["id"].dataType
+    names = ["a", "b", "a_from", "a_to", "b_from", "b_to"] if spans else ["a", "b"]
+    id_type = pa.string() if kind.simpleString() == "string" else pa.int64()
+    types = [id_type] * 2 + [pa.int32()] * (len(names) - 2)
 
     def search(batches):
         key, ids, sides, elements = None, [], [], []
 
         def links():
             across = np.array(sides) if key[1] != key[2] else None
-            found = divide_skip(elements, percent, across) if len(ids) > 1 else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([ids[a] for a, _ in found], pa.string()), "b": pa.array([ids[b] for _, b in found], pa.string())})
+            rows = []
+            for a, b in divide_skip([np.unique(x) for x in elements], percent, across):
+                row = (ids[a], ids[b])
+                if spans:
+                    row += (*common_span(elements[a], elements[b]), *common_span(elements[b], elements[a]))
+                rows.append(row)
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
             blocks, i, j, side, id_ = (batch.column(c).to_pylist() for c in range(5))
-            values = batch.column(5)
-            for row in range(batch.num_rows):
+            values, at = batch.column(5).flatten().to_numpy(), 0
+            for row, size in enumerate(batch.column(5).value_lengths().to_pylist()):
                 if (now := (blocks[row], i[row], j[row])) != key:
                     if len(ids) > 1:
                         yield links()
                     key, ids, sides, elements = now, [], [], []
                 ids.append(id_[row])
                 sides.append(side[row])
-                elements.append(np.sort(values[row].values.to_numpy().astype(np.uint64)))
+                elements.append(values[at : at + size])
+                at += size
         if len(ids) > 1:
             yield links()
 
     cells = in_cells(sets)
     dealt = cells.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return map_arrow(dealt, search, "a string, b string")
-
-
+    return map_arrow(dealt, search, ", ".join(f"{n} {'int' if n not in 'ab' else kind.simpleString()}" for n in names))

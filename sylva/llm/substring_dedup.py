@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import map_arrow
-from .common import WordHashes, documents, fits_broadcast, mixed, shingle_hashes, text_hash, word_hashes, written
+from .common import WordHashes, documents, fits_broadcast, map_arrow, mixed, shingle_hashes, text_hash, word_hashes, written
 from .components import components
 from .set_joins import jaccard_links
 
