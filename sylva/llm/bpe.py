@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.kernels import map_arrow
-from .common import documents
+from .common import documents, gathered
 from .pretokens import PreTokenizer
 
 LONG = 256
 #: Pre-tokens in one recursive query, rows in one decoding query, and remembered pre-tokens: bounds on memory.
 WORDS, ROWS, KNOWN = 40_000, 1_000_000, 1_000_000
+#: Rows whose new pre-tokens are contracted together.
+GATHERED = 8000
 
 # A row has the key of the pair that it begins: the rank of the merged token, then the place. One window over all words in
 # order reads the neighbours: it sorts once for each step, where windows by word would be many and small.
@@ -221,7 +223,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
 
     def encode(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in gathered(batches, GATHERED):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in _runs([len(t) for t in texts], ROWS):
                 ids, ends = c.encode(texts[a:b])
@@ -257,7 +259,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
 
     def kernel(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in gathered(batches, GATHERED):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in _runs([len(t) for t in texts], ROWS):
                 ids, ends = c.encode(texts[a:b])

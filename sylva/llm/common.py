@@ -25,6 +25,8 @@ BROADCAST_BYTES = 32 << 20
 
 #: Rows that a kernel gets at once: what it keeps for a batch doesn't follow the session's batch size.
 SLICE = 512
+#: Rows that the JVM hands to Python at once, where the session leaves Spark's own number: whole texts are in them.
+BATCH_ROWS, SPARKS_OWN = 1000, "10000"
 
 _workspaces: dict[str, SparkSession] = {}
 
@@ -33,12 +35,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == SPARKS_OWN:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches: of at least so many rows or bytes, but for the last."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= rows or sum(b.nbytes for b in waiting) >= size:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting = []
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(kernel, schema); the kernel gets slices of at most SLICE rows."""
 
     def sliced(batches):
         return kernel(batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
 
+    small_batches(df.sparkSession)
     return kernels.map_arrow(df, sliced, schema)
 
 
@@ -69,11 +90,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that `written` has made and that nothing reads any more."""
+def release(*tables: DataFrame, collect: bool = True) -> None:
+    """Deletes tables that `written` has made and that nothing reads any more.
+
+    collect: the driver collects its garbage, too; shuffle files stay on the executors' disks until then.
+    """
     for table in tables:
         path = table._sylva_path
-        _delete(_workspaces.pop(path), path)
+        spark = _workspaces.pop(path)
+        _delete(spark, path)
+    if collect:
+        spark._jvm.System.gc()
 
 
 def clean_up() -> None:

@@ -26,22 +26,24 @@ def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     return out.where("u != v").distinct(), least
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every u has one edge and no v is a u: then each v is the least of its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    loose = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0")
+    return not loose.limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component for every end of an edge: the least id that edges lead to. edges: two columns of one type.
 
-    Alternates large and small stars until the edges no longer change; each round is written to the shared folder, and
-    the one before it deleted.
+    Alternates large and small stars until every component is one; each round is written to the shared folder, and the
+    one before it deleted.
     """
     a, b = edges.columns
     edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    state = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now.n == 0 or now == state:
-            break
-        state = now
+    while not _settled(edges):
         for large in (True, False):
             out, least = _star(edges, large)
             before, edges = edges, written(out, "edges")
-            release(before, least)
+            release(before, least, collect=False)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

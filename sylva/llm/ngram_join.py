@@ -26,6 +26,8 @@ from .set_joins import jaccard_links
 
 GRAM = 3
 PERCENT = 90
+#: Signatures are looked through in so many shares.
+PASSES = 4
 #: At most so many common n-grams are known to every task (1 MB).
 COMMON = 1 << 17
 
@@ -149,16 +151,30 @@ def signed(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """id (the 64 bits of a set), component: the candidates, by what signatures they share."""
+    """id (the 64 bits of a set), component: the candidates, by what signatures they share.
+
+    Signatures are many; they are looked through in PASSES, each with its share of them, so that neither a task's sums nor
+    the shuffled rows on the disks are those of all.
+    """
     keys = rows.select("block", F.explode("signatures").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select("key", "least"), "shared")
-    return components(keys.join(maybe_broadcast(shared), "key").where("block != least").select("block", "least").distinct())
+    pairs = []
+    for i in range(PASSES):
+        own = keys.where(F.pmod("key", F.lit(PASSES)) == i)
+        shared = written(own.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select("key", "least"), "shared")
+        pairs.append(written(own.join(maybe_broadcast(shared), "key").where("block != least").select("block", "least").distinct(), "pairs"))
+        release(shared)
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    out = written(components(every), "blocks")
+    release(*pairs)
+    return out
 
 
 def linked(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component (a set_id; of a row without a set, null) of each row."""
     rows = signed(docs, n, percent)
-    candidates = written(blocks(rows), "blocks")
+    candidates = blocks(rows)
     with_signatures, rows = rows, written(rows.drop("signatures"), "rows")
     release(with_signatures)
     first = rows.where("n_shingles > 0").groupBy("set_id", "block").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"))

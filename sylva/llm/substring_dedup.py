@@ -1,23 +1,30 @@
-"""Substring dedup: paragraphs that collide by MinHash, verified, and grown to passages.
-
-Passages are repeated in the midst of other text, so a paragraph here is not a line but a run of words between
-content-defined cuts (about ten words): the cuts inside a repeated passage are the same wherever it stands.
-
-1. Every paragraph has a hash and, from MINHASHED words on, MinHash bands over its five-word shingles. 2. Equal paragraphs are
-one class; classes that collide in a band are candidates, whose exact Jaccard similarity is computed inside blocks
-(set_joins), and similar ones are merged. 3. An occurrence is compared with its class's first one in the corpus:
-hashes of the words before and after, in steps of STEP, say how far the two agree. Where they agree over
-MIN_WORDS words, the span is a repeated passage. Where some don't, the occurrences are grouped by each choice of contexts
-that gives MIN_WORDS words and compared with their group's first, so any two that share so many meet. 4. Windows of WIDE words around the occurrences are banded too: where
-they collide and differ, both texts are grown from the occurrence over changed words, and a span of MIN_WORDS words with an
-exact Jaccard similarity of PERCENT is a repeated passage, too. Overlapping spans of a document are one. 5. Passages that share
-paragraph classes, directly or through others, are one component; all but those with the first occurrences are removals.
-
-BANDS bands of ROWS rows find a pair of similarity 0.8 with a chance of 0.98, equal ones always.
-
-Nulls: a null or blank text has no paragraph. Rows with the same doc_id and text are one document; a null doc_id counts
-last. Repetition within one document alone is none across documents. An empty table gives an empty result; other
-columns are ignored. A text is read whole, whatever its length; no paragraph has more than LONGEST words.
+"""Substring dedup: paragraphs that collide by MinHash bands, verified by exact Jaccard similarity, and their components.
+
+Repeated passages stand in the midst of other text, so paragraphs can't be lines. A paragraph here is WORDS words around a
+center, a shingle that is chosen by content: of each GAP neighbours the one with the least hash. So a passage that two
+documents share has the same centers in both. Each center has two paragraphs, for it stands in the first or in the last
+quarter, so that a changed word spoils one of them at most. Two paragraphs of 55 words have 51 shingles; 80 % of similarity
+asks for 46 common ones: a run of 50 words, or 55 with a changed word among them.
+
+1. What has no run of words in common with another document has no similar paragraph either: a run of 23 shingles
+is left of each similar pair (an edited word takes five). Of each REACH neighbouring runs of RUN words one is
+chosen by its hash, so such a run of shingles holds one; only around the chosen runs that two documents have, paragraphs are
+made. 2. Equal paragraphs are a class. Classes with the same center collide if they agree in one of BANDS bands of ROWS
+MinHash values each: a pair with 46 of 56 common shingles by a chance of 0.99, and a passage has several. 3. The components
+of collisions are blocks, in which set_joins finds all pairs with an exact similarity of PERCENT, whatever their number.
+4. The components of these links are the kinds. In a kind that several documents have, the paragraphs of the first document
+(by doc_id) stay, the others are removals; of a linked paragraph only what lies between the first and the last shingle that
+its partner has. 5. Spans of a document that overlap are one passage; passages that share kinds, directly or through others,
+are a component.
+
+A run of 51 words leaves a paragraph seven places, of which GAP neighbours always hold a center. In 400 tries each, runs of 51,
+53 and 55 words were found all, 60 words with one changed in the middle in 0.99, with the 16th changed in 0.97. A passage's
+ends may be missed by some words, as its first and last paragraphs needn't begin and end where it does.
+
+Nulls: a null text, and one with fewer than MIN_WORDS words, has no paragraph. Rows with the same doc_id and text are one
+document; a null doc_id counts last. Repetition within one document alone is none across documents. Of texts with the same
+words all but the first are removals from end to end, in windows of WORDS. An empty table gives an empty result; other columns
+are ignored. A text is read whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -27,381 +34,234 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, fits_broadcast, map_arrow, mixed, shingle_hashes, text_hash, word_hashes, written
+from .common import WordHashes, documents, map_arrow, maybe_broadcast, mixed, release, shingle_hashes, text_hash, word_hashes, written
 from .components import components
 from .set_joins import jaccard_links
 
 SHINGLE, PERCENT = 5, 80
-#: Words of a paragraph: at least, the chance of a cut after each further one (1 in), at most.
-SHORTEST, SPREAD, LONGEST = 5, 5, 64
+#: Words of a paragraph; of one that a text's begin or end cuts off, at least.
+WORDS, MIN_WORDS = 55, 50
+#: Of so many neighbouring shingles at least one is a center; where it stands among a paragraph's shingles.
+GAP, OFFSETS = 7, (12, 38)
 BANDS, ROWS = 4, 2
-#: Below so many words, two different paragraphs have too few shingles to be similar.
-MINHASHED = 8
-#: How far an occurrence is compared with the first one, each way.
-STEP, STEPS = 8, 6
-MIN_WORDS = 36
-#: Words of the windows, from an occurrence on and up to it, that are banded for near passages; at least so many at a text's
-#: ends; over how many words two windows are the same: enough for the exact comparison to see it.
-WIDE, NARROW, SAME = 40, 24, MIN_WORDS + STEP
-#: How many words each way a near pair is grown, past how many changed ones at once, and how many equal ones must follow them.
-REACH, CHANGED, RESUMED = 64, 4, 4
+#: Words of the runs by which texts are chosen; of so many neighbouring runs at least one counts.
+RUN, REACH = 12, 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base modulo 2^64, and of its inverse."""
-    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def chosen(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The places that are the last least of some `width` neighbours (of all, where there are fewer)."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    least = (hashes & ~low) | (low - np.arange(len(hashes), dtype=np.uint64))
+    width = min(width, len(hashes))
+    size = 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < width:
+        least = np.minimum(least[: size - width], least[width - size :])
+    at = (low - (least & low)).astype(np.int64)
+    return at[np.append(True, at[1:] != at[:-1])]
 
 
-class Cutter:
-    """Cuts texts into paragraphs and hashes runs of their words."""
+class Reader:
+    """Words, runs and paragraphs of texts."""
 
     def __init__(self) -> None:
         self.known = WordHashes()
-        self.up, self.down = _powers(1 << 12)
-
-    def words(self, text: str) -> np.ndarray:
-        return word_hashes(text.encode().split(), self.known)
-
-    def bounds(self, h: np.ndarray) -> np.ndarray:
-        """Where paragraphs begin, and the end."""
-        n = len(h)
-        if not n:
-            return np.zeros(1, np.int64)
-        pair = h.copy()
-        pair[1:] += h[:-1] * np.uint64(_BASE)
-        out, start = [0], 0
-        for cut in [*(np.flatnonzero(mixed(pair) % np.uint64(SPREAD) == 0) + 1).tolist(), n]:
-            while cut - start > LONGEST:
-                start += LONGEST
-                out.append(start)
-            if cut - start >= SHORTEST:
-                start = cut
-                out.append(start)
-        if out[-1] < n:
-            out.append(n)
-        return np.array(out)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def words(self, text: str | None) -> np.ndarray:
+        return word_hashes((text or "").encode().split(), self.known)
 
     def runs(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix sums for run()."""
+        """Places and hashes of the runs that count; none of a text too short for a paragraph."""
+        if len(h) < MIN_WORDS:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        all_runs = shingle_hashes(h, RUN)
+        at = chosen(all_runs, REACH)
+        return at, all_runs[at]
+
+    def paragraphs(self, h: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """class, first word, end and named center of each paragraph, and the hashes of all shingles. near: flags of the places where centers count."""
+        grams = shingle_hashes(h, SHINGLE)
+        center = chosen(grams, GAP)
+        if near is not None:
+            center = center[near[center]]
+        start = (center[:, None] - np.array(OFFSETS)).ravel()
+        center = np.repeat(center, len(OFFSETS))
+        a, b = np.maximum(start, 0), np.minimum(start + WORDS, len(h))
+        wide = b - a >= MIN_WORDS
+        start, center, a, b = start[wide], center[wide], a[wide], b[wide]
         if len(h) >= len(self.up):
-            self.up, self.down = _powers(2 * len(h))
+            self.up = np.cumprod(np.append(np.uint64(1), np.full(2 * len(h), _BASE, np.uint64)))
+            self.down = np.cumprod(np.append(np.uint64(1), np.full(2 * len(h), pow(_BASE, -1, 1 << 64), np.uint64)))
         sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * self.up[: len(h)], out=sums[1:])
-        return sums, self.down
+        whole = (sums[b] - sums[a]) * self.down[a]  # equal runs of words have equal ones wherever they stand
+        named = mixed(grams[center] + (center - start).astype(np.uint64))
+        return mixed(whole ^ named), a, b, named, grams
 
     @staticmethod
-    def run(prepared: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of the words from a to b; equal runs have equal ones wherever they stand."""
-        sums, down = prepared
-        return mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
-
-
-def _contexts(run, h_len: int, at: np.ndarray, way: int) -> np.ndarray:
-    """32-bit hashes of the STEP, 2 STEP ... words before (way -1) or after (1) each place; 0 beyond the text."""
-    out = np.zeros((len(at), STEPS), np.int32)
-    for k in range(STEPS):
-        other = at + way * STEP * (k + 1)
-        inside = (other >= 0) & (other <= h_len)
-        a, b = np.minimum(at, other)[inside], np.maximum(at, other)[inside]
-        out[inside, k] = (run(a, b) >> np.uint64(33)).astype(np.int32) | 1
-    return out
+    def bands(grams: np.ndarray, a: np.ndarray, b: np.ndarray, center: np.ndarray) -> np.ndarray:
+        """The keys by which paragraphs collide: of center and band."""
+        edges = np.stack([a, b - SHINGLE + 1], axis=1).ravel()
+        # Each second run, between a paragraph's end and the next one's begin, isn't used.
+        values = np.stack([np.minimum.reduceat(np.append(mixed(grams ^ s), ~np.uint64(0)), edges)[::2] for s in _SEEDS]) if len(a) else np.zeros((len(_SEEDS), 0), np.uint64)
+        return np.stack([mixed(center ^ mixed(sum((values[k * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(k + 1)))) for k in range(BANDS)])
 
 
-def _bands(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Band keys of runs of shingles that begin at `starts` (the last ends with the array)."""
-    values = np.stack([np.minimum.reduceat(mixed(shingles ^ s), starts) for s in _SEEDS])
-    return np.stack([mixed(sum((values[b * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(b + 1))) for b in range(BANDS)], axis=1)
+def _lists(values: list[np.ndarray], kind: pa.DataType, ends: list[int] | None = None) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]) if ends is None else ends
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else [], kind))
 
 
-def _windows(h: np.ndarray, prepared, start: np.ndarray, n: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (two to an occurrence) and band keys (twice BANDS) of the windows around occurrences; a short window has hash 0.
+def _place(doc_id: str = "doc_id", more: str = "text_hash") -> Column:
+    """What orders documents: doc_id (null last), then the text's hash."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), doc_id, more)
 
-    own: a number of the text. A window that the text's end cuts off before SAME words has a hash that no other text has.
-    """
-    a = np.stack([start, np.maximum(start + n - WIDE, 0)], axis=1).ravel()
-    b = np.stack([np.minimum(start + WIDE, len(h)), start + n], axis=1).ravel()
-    long = b - a >= NARROW
-    wholes, bands = np.zeros(len(a), np.uint64), np.zeros((len(a), BANDS), np.uint64)
-    if long.any():
-        a, b = a[long], b[long]
-        after = np.tile([True, False], len(start))[long]
-        x, y = np.where(after, a, np.maximum(b - SAME, 0)), np.where(after, np.minimum(a + SAME, len(h)), b)
-        wholes[long] = Cutter.run(prepared, x, y) ^ np.where(y - x < SAME, mixed(x.astype(np.uint64) + np.array([own]).astype(np.uint64)), np.uint64(0))
-        grams = shingle_hashes(h, SHINGLE)
-        edges = np.stack([a, b - SHINGLE + 1], axis=1).ravel()
-        # Each second run, between a window's end and the next one's begin, isn't used.
-        values = np.stack([np.minimum.reduceat(np.append(mixed(grams ^ s), ~np.uint64(0)), edges)[::2] for s in _SEEDS])
-        bands[long] = np.stack([mixed(sum((values[k * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(k + 1))) for k in range(BANDS)], axis=1)
-    return wholes.reshape(-1, 2), bands.reshape(-1, 2 * BANDS)
-
-
-def near_span(x: list[int], i: int, y: list[int], j: int) -> tuple[int, int, int, int] | None:
-    """The widest span around places i and j over which x and y are similar as sets of shingles: from and to in x, in y."""
-
-    def grown(x: list[int], y: list[int]) -> list[tuple[int, int]]:
-        """How far both agree from their begin on: the ends of the equal runs, with few changed words between them."""
-        ends, p, q = [], 0, 0
-        while True:
-            while p < len(x) and q < len(y) and x[p] == y[q]:
-                p, q = p + 1, q + 1
-            ends.append((p, q))
-            for d, e in _SKIPS:
-                if len(x) - p - d >= RESUMED and x[p + d : p + d + RESUMED] == y[q + e : q + e + RESUMED]:
-                    p, q = p + d, q + e
-                    break
-            else:
-                return ends
-
-    def shingles(words: list[int]) -> set[tuple[int, ...]]:
-        return {tuple(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
-
-    right, left = grown(x[i:], y[j:]), grown(x[:i][::-1], y[:j][::-1])
-    while True:
-        (r, s), (p, q) = right[-1], left[-1]
-        if min(p + r, q + s) < MIN_WORDS:
-            return None
-        a, b = shingles(x[i - p : i + r]), shingles(y[j - q : j + s])
-        if 100 * len(a & b) >= PERCENT * len(a | b):
-            return i - p, i + r, j - q, j + s
-        # The shorter outermost run goes.
-        tails = [side[-1][0] - side[-2][0] if len(side) > 1 else 1 << 30 for side in (left, right)]
-        if min(tails) == 1 << 30:
-            return None
-        (left if tails[0] <= tails[1] else right).pop()
-
-
-_SKIPS = sorted(((d, e) for d in range(CHANGED + 1) for e in range(CHANGED + 1) if d or e), key=lambda x: (max(x), abs(x[0] - x[1])))
-
-
-def paragraph_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class, start, n, bands of every paragraph, as a table without texts."""
-    names = ["class", "start", "n", "bands"]
 
-    def kernel(batches):
-        cutter = Cutter()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found, ends = [], [0]
-                for text in part.column(2):
-                    h = cutter.words(text.as_py() or "")
-                    bounds = cutter.bounds(h)
-                    a, b = bounds[:-1], bounds[1:]
-                    ends.append(ends[-1] + len(a))
-                    if not len(a):
-                        continue
-                    prepared = cutter.runs(h)
-                    bands = np.zeros((len(a), BANDS), np.uint64)
-                    if len(enough := np.flatnonzero(b - a >= MINHASHED)):
-                        grams = shingle_hashes(h, SHINGLE)
-                        of = np.concatenate([grams[x : y - SHINGLE + 1] for x, y in zip(a[enough].tolist(), b[enough].tolist(), strict=True)])
-                        sizes = b[enough] - a[enough] - SHINGLE + 1
-                        bands[enough] = _bands(of, np.cumsum(sizes) - sizes)
-                    found.append((cutter.run(prepared, a, b).astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), bands.astype(np.int64)))
-                columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 2, np.zeros((0, BANDS), np.int64)]
-                filled = np.where((columns[2] >= MINHASHED), BANDS, 0) if len(columns[0]) else np.zeros(0, np.int64)
-                lists = [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2])]
-                lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *filled]).astype(np.int32)), pa.array(columns[3][filled > 0].ravel())))
-                rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(lists, names))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], ["doc_id", "text_hash", "x"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    kind = "x array<struct<class:long,start:int,n:int,bands:array<long>>>"
-    out = map_arrow(rows, kernel, f"doc_id long, text_hash long, {kind}")
-    return written(out.select("doc_id", "text_hash", F.explode("x").alias("x")).select("doc_id", "text_hash", "x.*"), "paragraphs")
-
-
-def _row(*more: str) -> Column:
-    """What orders occurrences: doc_id (null last), text hash, and more."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", *more)
-
-
-def _fitting(df: DataFrame, row_bytes: int) -> DataFrame:
-    return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
-
-
-def near_classes(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """id, component of the classes that are similar to others."""
-    keys = table.where(F.size("bands") > 0).select("class", F.posexplode("bands").alias("band", "key")).select("class", F.xxhash64("band", "key").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key", "least")
-    shared = written(shared, "shared")
-    blocks = written(components(keys.join(_fitting(shared, 24), "key").where("class != least").select("class", "least").distinct()), "blocks")
-    one = table.join(_fitting(blocks, 24), table["class"] == blocks["id"]).groupBy("id", "component").agg(F.min(_row("start", "n")).alias("row"))
-    wanted = written(one.select("id", F.col("component").alias("block"), F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"), "row.start", "row.n"), "wanted")
+def shared_runs(rows: DataFrame) -> DataFrame:
+    """text_hash, keys: the runs that count and that another document has, too, for each different text that has some; as a table."""
 
     def kernel(batches):
-        cutter = Cutter()
+        reader = Reader()
         for batch in batches:
-            sets = []
-            for text, start, n in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                words = (text.as_py() or "").encode().split()[start : start + n]
-                sets.append(np.unique(shingle_hashes(word_hashes(words, cutter.known), SHINGLE)).astype(np.int64))
-            ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["block", "id", "elements"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    found = texts.join(_fitting(wanted, 64), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("block", F.col("id").cast("string").alias("id"), "text", "start", "n")
-    sets = written(map_arrow(found, kernel, "block long, id string, elements array<long>").dropDuplicates(["block", "id"]), "sets")
-    links = jaccard_links(sets, PERCENT)
-    return components(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+            keys = [np.unique(reader.runs(reader.words(t.as_py()))[1]).astype(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(keys, pa.int64())], ["doc_id", "text_hash", "keys"])
 
+    table = written(map_arrow(rows, kernel, "doc_id long, text_hash long, keys array<long>").where(F.size("keys") > 0), "runs")
+    document = F.xxhash64("doc_id", "text_hash")
+    each = table.select(document.alias("document"), F.explode("keys").alias("key"))
+    often = each.groupBy("key").agg(F.min("document").alias("a"), F.max("document").alias("b")).where("a != b").select("key")
+    often = written(often, "often")
+    hits = table.select("text_hash", F.explode("keys").alias("key")).join(maybe_broadcast(often), "key")
+    out = written(hits.groupBy("text_hash").agg(F.collect_set("key").alias("keys")), "hits")
+    release(table, often)
+    return out
 
-def _agreed(side: str) -> Column:
-    """How many words an occurrence and the first one agree on, on one side."""
-    return F.aggregate(F.zip_with(side, f"first_{side}", lambda a, b: (a == b) & (a != 0)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s.n + F.when(s.on & x, STEP).otherwise(0)).alias("n"), (s.on & x).alias("on")), lambda s: s.n)
 
+def paragraph_table(rows: DataFrame, texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """text_hash, copied, x (class, start, n, k0 ...): the paragraphs of each different text around shared runs, as a table.
 
-def with_contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """found (doc_id, text_hash, start, n, kind of paragraphs) with before and after: hashes of the words around each, and windows and bands (_windows), as a table."""
+    texts: text_hash, doc_id (of the first document with it), copied.
+    """
+    names = ["class", "start", "n", *(f"k{k}" for k in range(BANDS))]
 
     def kernel(batches):
-        cutter = Cutter()
+        reader = Reader()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = part.column(3)
-                flat = lists.flatten()
-                sides: tuple[list, ...] = ([], [], [], [])
-                for text, places, own in zip(part.column(2), lists, part.column(1).to_pylist(), strict=True):
-                    h = cutter.words(text.as_py() or "")
-                    prepared = cutter.runs(h)
-                    start, n = (places.values.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
-                    for side, edge, way in ((sides[0], start, -1), (sides[1], start + n, 1)):
-                        side.append(_contexts(lambda x, y, p=prepared: cutter.run(p, x, y), len(h), edge, way))
-                    for side, values in zip(sides[2:], _windows(h, prepared, start, n, own), strict=True):
-                        side.append(values.astype(np.int64))
-                columns = [flat.field(c) for c in ("start", "n", "kind")]
-                for side, wide, of in zip(sides, (STEPS, STEPS, 2, 2 * BANDS), (np.int32, np.int32, np.int64, np.int64), strict=True):
-                    values = np.concatenate(side) if side else np.zeros((0, wide), of)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * wide), pa.array(values.ravel())))
-                rows = pa.StructArray.from_arrays(columns, ["start", "n", "kind", "before", "after", "windows", "bands"])
-                ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["doc_id", "text_hash", "x"])
-
-    by_row = written(found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "n", "kind")).alias("places")), "places")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    rows = texts.join(_fitting(by_row, 400), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text_hash", "text", "places")
-    kind = "x array<struct<start:int,n:int,kind:long,before:array<int>,after:array<int>,windows:array<long>,bands:array<long>>>"
-    out = map_arrow(rows, kernel, f"doc_id long, text_hash long, {kind}")
-    return written(out.select("doc_id", "text_hash", F.explode("x").alias("x")).select("doc_id", "text_hash", "x.*"), "occurrences")
-
-
-def _shares(min_words: int) -> Column:
-    """The ways to have min_words words with STEP-wise contexts: i steps before and j after, and the hash of kind and contexts.
-
-    Similar paragraphs needn't have the same length, so theirs are a step shorter and longer, too.
-    """
-    steps = F.greatest(F.ceil((F.lit(min_words) - F.col("n")) / STEP), F.lit(0)).cast("int")
-    spread = F.when(F.col("merged"), 1).otherwise(0)
-    sums = F.sequence(F.greatest(steps - spread, F.lit(0)), steps + spread)
-    ways = F.flatten(F.transform(sums, lambda t: F.transform(F.sequence(F.lit(0), t), lambda i: F.struct(i.alias("i"), (t - i).alias("j")))))
-    side = lambda of, k: F.when(k == 0, 1).otherwise(F.get(of, k - 1))
-    # Words after are asked for as well where i is 0, and so on; a context beyond the text is 0.
-    ways = F.filter(ways, lambda w: (w["i"] <= STEPS) & (w["j"] <= STEPS) & (side("before", w["i"]) != 0) & (side("after", w["j"]) != 0))
-    return F.transform(ways, lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j"), F.xxhash64("kind", w["i"], w["j"], side("before", w["i"]), side("after", w["j"])).alias("key")))
-
+            found, ends = [], [0]
+            for text, keys in zip(batch.column(2), batch.column(3), strict=True):
+                h = reader.words(text.as_py())
+                at, runs = reader.runs(h)
+                at = at[np.isin(runs, keys.values.to_numpy().astype(np.uint64))]
+                flags = np.zeros(len(h) + 1, np.int64)  # a common run may begin and end so many words before and after
+                np.add.at(flags, np.maximum(at - REACH, 0), 1)
+                np.add.at(flags, np.minimum(at + RUN + REACH - SHINGLE + 1, len(h)), -1)
+                class_, a, b, center, grams = reader.paragraphs(h, np.cumsum(flags) > 0)
+                found.append((class_.astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), *reader.bands(grams, a, b, center).astype(np.int64)))
+                ends.append(ends[-1] + len(a))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * BANDS]
+            columns = [pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], kind) for kind in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))], ["text_hash", "copied", "x"])
+
+    wanted = maybe_broadcast(hits.join(texts, "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), "copied", "keys"))
+    found = rows.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text_hash", "copied", "text", "keys")
+    kind = "x array<struct<class:long,start:int,n:int," + ",".join(f"k{k}:long" for k in range(BANDS)) + ">>"
+    return written(map_arrow(found, kernel, f"text_hash long, copied boolean, {kind}"), "paragraphs")
+
+
+def class_table(paragraphs: DataFrame) -> DataFrame:
+    """class, text_hash (of one text that has it), repeated (whether several documents have it), k0 ...; as a table."""
+    keys = [f"k{k}" for k in range(BANDS)]
+    each = paragraphs.select("text_hash", "copied", F.explode("x").alias("x"))
+    sums = each.groupBy(F.col("x.class").alias("class")).agg(
+        F.min("text_hash").alias("text_hash"), F.max("text_hash").alias("other"), F.max("copied").alias("copied"), *(F.min(f"x.{k}").alias(k) for k in keys)
+    )
+    return written(sums.select("class", "text_hash", (F.col("copied") | (F.col("text_hash") != F.col("other"))).alias("repeated"), *keys), "classes")
+
+
+def class_links(rows: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, a_from, a_to, b_from, b_to: links between similar classes, enough to join their components; as a table."""
+    keys = classes.select("class", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
+    shared = written(keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key", "least"), "shared")
+    blocks = written(components(keys.join(maybe_broadcast(shared), "key").where("class != least").select("class", "least").distinct()), "blocks")
+    release(shared)
+    found = classes.select("class", "text_hash").join(blocks, classes["class"] == blocks["id"])
+    found = found.groupBy("text_hash").agg(F.collect_list(F.struct("class", "component")).alias("x"))
+    wanted = found.join(texts.select("text_hash", "doc_id"), "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), F.col("x.class").alias("classes"), F.col("x.component").alias("blocks"))
+    wanted = written(wanted, "wanted")
 
-def shared_spans(found: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_hash, a, b, kind, removed: spans of min_words words that an occurrence shares with the first one that has them.
+    def kernel(batches):
+        reader = Reader()
+        for batch in batches:
+            blocks, ids, elements = [], [], []
+            for text, classes, of in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                asked = dict(zip(classes.as_py(), of.as_py(), strict=True))
+                class_, a, b, _, grams = reader.paragraphs(reader.words(text.as_py()))
+                for k, x, y in zip(class_.astype(np.int64).tolist(), a.tolist(), b.tolist(), strict=True):
+                    if (block := asked.pop(k, None)) is not None:
+                        blocks.append(block)
+                        ids.append(k)
+                        elements.append((grams[x : y - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                if len(elements) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(ids, pa.int64()), _lists(elements, pa.int32())], ["block", "id", "elements"])
+                    blocks, ids, elements = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(ids, pa.int64()), _lists(elements, pa.int32())], ["block", "id", "elements"])
+
+    docs = rows.join(maybe_broadcast(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "classes", "blocks")
+    sets = written(map_arrow(docs, kernel, "block long, id long, elements array<int>"), "sets")
+    out = written(jaccard_links(sets, PERCENT, spans=True), "links")
+    release(blocks, wanted, sets)
+    return out
 
-    found: occurrences with contexts, place and merged (whether its kind has similar paragraphs).
-    """
-    document = F.xxhash64("place.doc_id", "place.text_hash")
-    keys = found.select("kind", "n", "place", F.explode(_shares(min_words)).alias("x")).select("kind", "n", "place", "x.*")
-    first = keys.groupBy("key").agg(F.min("place").alias("first"), F.min(document).alias("d"), F.max(document).alias("e")).where("d != e").select("key", "first")
-    first = written(first, "first_of_key")
-    met = keys.join(_fitting(first, 64), "key").where("(place.none, place.doc_id, place.text_hash) IS DISTINCT FROM (first.none, first.doc_id, first.text_hash)")
-    met = met.where(STEP * (F.col("i") + F.col("j")) + F.col("n") >= min_words)
-    sides = F.array(*(F.struct(*(F.col(f"{p}.{c}").alias(c) for c in ("doc_id", "text_hash")), (F.col(f"{p}.start") - STEP * F.col("i")).alias("a"), (F.col(f"{p}.start") + F.col(f"{p}.n") + STEP * F.col("j")).alias("b"), "kind", F.lit(p == "place").alias("removed")) for p in ("place", "first")))
-    return met.select(F.explode(sides).alias("s")).select("s.*").distinct()
 
+def similar_spans(paragraphs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """text_hash, a, b, kind: the paragraphs of each different text that other documents have, too, by their words; as a table."""
+    merged = written(components(links.select("a", "b")), "merged")
+    ends = [links.select(F.col(x).alias("class"), F.col(f"{x}_from").alias("lo"), (F.col(f"{x}_to") + SHINGLE - 1).alias("hi")) for x in "ab"]
+    parts = ends[0].unionByName(ends[1]).groupBy("class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    whole = F.col("repeated")
+    kinds = classes.select("class", "text_hash", "repeated").join(merged.withColumnRenamed("id", "class"), "class", "left").where(whole | F.col("component").isNotNull())
+    kinds = kinds.join(parts, "class", "left").select("class", "text_hash", "repeated", F.coalesce("component", "class").alias("kind"), F.when(~whole, F.col("lo")).alias("lo"), F.when(~whole, F.col("hi")).alias("hi"))
+    kinds = written(kinds, "kinds")
+    # A kind of which all paragraphs are in one document is none across documents.
+    across = kinds.groupBy("kind").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y"), F.max("repeated").alias("r")).where("r OR x != y").select("kind")
+    kept = written(kinds.join(across, "kind").select("class", "kind", "lo", "hi"), "kept_kinds")
+    each = paragraphs.select("text_hash", F.explode("x").alias("x")).select("text_hash", "x.class", "x.start", "x.n")
+    spans = each.join(maybe_broadcast(kept), "class")
+    a, b = F.col("start") + F.coalesce("lo", F.lit(0)), F.col("start") + F.least("n", F.coalesce("hi", "n"))
+    out = written(spans.select("text_hash", a.alias("a"), b.alias("b"), "kind"), "text_spans")
+    release(merged, kinds, kept)
+    return out
 
-def near_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text_hash, a, b, kind, removed: verified spans of passages that are similar and not the same.
 
-    Occurrences of a kind of which a window collides in a band are candidates. Of each different window the first
-    occurrence is compared with the first one of all: the others with the same window share it word for word.
-    """
-    place = F.struct("place.none", "place.doc_id", "place.text_hash", "place.start")
-    keys = found.select("kind", place.alias("place"), "windows", F.posexplode("bands").alias("at", "band"))
-    keys = keys.select("kind", "place", F.element_at("windows", F.floor(F.col("at") / BANDS).cast("int") + 1).alias("window"), F.xxhash64("kind", "at", "band").alias("key")).where("window != 0")
-    keys = written(keys.groupBy("key", "window").agg(F.min(F.struct("place", "kind")).alias("one")), "near_keys")
-    first = keys.groupBy("key").agg(F.min("one").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    first = written(first, "near_first")
-    pairs = keys.join(_fitting(first, 96), "key").where("(one.place.none, one.place.doc_id, one.place.text_hash) IS DISTINCT FROM (first.place.none, first.place.doc_id, first.place.text_hash)")
-    pairs = pairs.select(F.col("one.kind").alias("kind"), F.col("one.place").alias("x"), F.col("first.place").alias("y")).distinct()
-    pairs = written(pairs, "near_pairs")
-    sides = pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct().groupBy(F.col("p.doc_id").alias("d"), F.col("p.text_hash").alias("h")).agg(F.collect_list("p.start").alias("starts"))
-    sides = written(sides, "near_sides")
-
-    def around(batches):
-        cutter = Cutter()
-        for batch in batches:
-            for text, starts, doc, of in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = cutter.words(text.as_py() or "").astype(np.int64)
-                for at in range(0, len(starts), 256):
-                    some = starts[at : at + 256]
-                    words = [h[max(0, x - REACH) : x + REACH] for x in some]
-                    ends = np.cumsum([0, *map(len, words)])
-                    columns = [pa.array([doc] * len(some), pa.int64()), pa.array([of] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words)))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "start", "words"])
-
-    def verify(batches):
-        for batch in batches:
-            out = []
-            for kind, x, y, mine, first in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                span = near_span(mine, min(REACH, x["start"]), first, min(REACH, y["start"]))
-                if span:
-                    for p, (a, b), removed in ((x, span[:2], True), (y, span[2:], False)):
-                        zero = max(0, p["start"] - REACH)
-                        out.append((p["doc_id"], p["text_hash"], zero + a, zero + b, kind, removed))
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], ["doc_id", "text_hash", "a", "b", "kind", "removed"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    rows = texts.join(_fitting(sides, 400), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text_hash", "text", "starts")
-    words = map_arrow(rows, around, "doc_id long, text_hash long, start int, words array<long>").dropDuplicates(["doc_id", "text_hash", "start"])
-    words = written(words.select(F.xxhash64("doc_id", "text_hash", "start").alias("at"), "words"), "near_words")
-    for side, name in (("x", "mine"), ("y", "theirs")):
-        own = words.select("at", F.col("words").alias(name))
-        pairs = pairs.withColumn("at", F.xxhash64(f"{side}.doc_id", f"{side}.text_hash", f"{side}.start")).join(_fitting(own, 1200), "at").drop("at")
-    return written(map_arrow(pairs.select("kind", "x", "y", "mine", "theirs"), verify, "doc_id long, text_hash long, a int, b int, kind long, removed boolean").distinct(), "near_spans")
-
-
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start_word, n_words, component_id, first_doc_id, removed: the passages that several documents have."""
-    table = paragraph_table(docs)
-    near = written(near_classes(docs, table), "near")
-    document = F.xxhash64("doc_id", "text_hash")
-    across = table.groupBy("class").agg(F.min(document).alias("a"), F.max(document).alias("b")).where("a != b").select("class")
-    classes = across.unionByName(near.select(F.col("id").alias("class"))).distinct()
-    kinds = written(classes.join(_fitting(near, 24), classes["class"] == near["id"], "left").select("class", F.coalesce("component", "class").alias("kind")), "kinds")
-    found = with_contexts(docs, table.select("doc_id", "text_hash", "start", "n", "class").join(_fitting(kinds, 24), "class").drop("class"))
-    found = found.withColumn("place", _row("start", "n"))
-    near_passages = near_spans(docs, found)
-    first = written(found.groupBy("kind").agg(F.min("place").alias("first")), "first")
-    found = found.join(_fitting(first, 64), "kind")
-    starts = found.where("place = first").select("kind", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["kind"])
-    starts = written(starts, "starts")
-    other = F.struct("place.none", "place.doc_id", "place.text_hash") != F.struct("first.none", "first.doc_id", "first.text_hash")
-    spans = found.where(other).join(_fitting(starts, 96), "kind").withColumn("left", _agreed("before")).withColumn("right", _agreed("after"))
-    enough = F.col("left") + F.col("n") + F.col("right") >= min_words
-    # Where an occurrence doesn't agree with the first one of its kind, it may with a later one.
-    split = written(spans.where(~enough).select("kind").distinct(), "split")
-    merged = near.select(F.col("component").alias("kind"), F.lit(True).alias("merged")).distinct()
-    again = found.join(_fitting(split, 16), "kind").join(_fitting(merged, 16), "kind", "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
-    shared = written(shared_spans(again, min_words), "shared_spans")
-    spans = written(spans.where(enough).select("doc_id", "text_hash", "start", "n", "left", "right", "kind", "first"), "spans")
-    here = spans.select("doc_id", "text_hash", (F.col("start") - F.col("left")).alias("a"), (F.col("start") + F.col("n") + F.col("right")).alias("b"), "kind", F.lit(True).alias("removed"))
-    # The first occurrence's own span is as long as the longest that agrees with it.
-    there = spans.groupBy("kind").agg(F.first("first").alias("first"), F.max("left").alias("left"), F.max("right").alias("right"))
-    there = there.select("first.doc_id", "first.text_hash", (F.col("first.start") - F.col("left")).alias("a"), (F.col("first.start") + F.col("first.n") + F.col("right")).alias("b"), "kind", F.lit(False).alias("removed"))
-    return _passages(here.unionByName(there).unionByName(shared).unionByName(near_passages))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text").where(F.col("text").isNotNull())
+    named = written(rows.groupBy("doc_id", "text_hash").count(), "documents")
+    if named.where("count > 1").limit(1).count():  # whole rows repeated
+        rows = rows.dropDuplicates(["doc_id", "text_hash"])
+    texts = written(named.groupBy("text_hash").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).select("text_hash", "first.doc_id", (F.col("n") > 1).alias("copied")), "texts")
+    hits = shared_runs(rows)
+    paragraphs = paragraph_table(rows, texts, hits)
+    release(hits)
+    classes = class_table(paragraphs)
+    links = class_links(rows, texts, classes)
+    spans = similar_spans(paragraphs, classes, links)
+    release(paragraphs, classes, links)
+    first = spans.select("text_hash", "kind").distinct().join(maybe_broadcast(texts), "text_hash").groupBy("kind").agg(F.min(_place()).alias("first"))
+    first = written(first.select("kind", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_hash")), "first_of_kind")
+    spans = spans.join(maybe_broadcast(first), "kind").select("text_hash", "a", "b", "kind", "first_doc", "first_hash")
+    spans = written(spans, "spans")  # of texts; the documents of a text with many copies meet them in a join that AQE can split
+    every = spans.join(named.select("doc_id", "text_hash"), "text_hash")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_hash"))
+    return _passages(every.select("doc_id", "text_hash", "a", "b", "kind", (~stays).alias("removed")))
 
 
 def _passages(spans: DataFrame) -> DataFrame:
@@ -420,10 +280,11 @@ def _passages(spans: DataFrame) -> DataFrame:
     inside = Window.partitionBy("doc_id", "text_hash", "number")
     edges = marked.select("kind", F.min("kind").over(inside).alias("least")).where("kind != least").distinct()
     joined = written(components(edges), "joined")
-    out = passages.join(_fitting(joined, 24), passages["kind"] == joined["id"], "left").withColumn("component_id", F.coalesce("component", "kind"))
+    out = passages.join(maybe_broadcast(joined), passages["kind"] == joined["id"], "left").withColumn("component_id", F.coalesce("component", "kind"))
     out = written(out.select("doc_id", "text_hash", "start_word", (F.col("end") - F.col("start_word")).cast("int").alias("n_words"), "component_id", "removed"), "passages")
     first = written(out.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id")), "first")
-    return out.join(_fitting(first, 24), "component_id").select("doc_id", "text_hash", "start_word", "n_words", "component_id", "first_doc_id", "removed")
+    release(marked, joined)
+    return out.join(maybe_broadcast(first), "component_id").select("doc_id", "text_hash", "start_word", "n_words", "component_id", "first_doc_id", "removed")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

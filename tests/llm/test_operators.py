@@ -109,21 +109,56 @@ def test_pretokens_in_parts_are_those_of_the_whole():
         assert split.counts(text) == Counter(split.find(text))
 
 
-def test_op4_finds_passages(spark, docs, rows, empty):
+def shares(rows, n, other=None):
+    """The rows, by doc_id and text, that have a run of n words which another such row has, too."""
     seen = defaultdict(set)
     for r in rows:
         w = (r[1] or "").split()
-        for i in range(len(w) - 49):
-            seen[tuple(w[i : i + 50])].add((r[0], r[1]))
-    repeated = {d for found in seen.values() if len(found) > 1 for d, _ in found}
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])].add((r[0], r[1]))
+    return {d for found in seen.values() if len(found) > 1 for d, _ in found}
+
+
+def test_op4_finds_passages(spark, docs, rows, empty):
     found = substring_dedup.repeated_passages(docs).collect()
-    assert repeated <= {r.doc_id for r in found}
-    assert {r.doc_id for r in found} - repeated <= {None}
+    assert shares(rows, 50) <= {r.doc_id for r in found}
+    assert {r.doc_id for r in found} - {None} <= shares(rows, 25) - {None}
     assert any(r.removed for r in found)
-    assert all(r.n_words >= substring_dedup.MIN_WORDS for r in found)
+    assert all(r.n_words >= 46 for r in found)
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_op4_spans_and_components(spark):
+    """Passages of 50 to 120 words, in two to four documents each, against what was planted."""
+    rng = np.random.default_rng(8)
+    texts, planted = [], []
+    for k in range(40):
+        passage = words_of(rng, 52 + 2 * k)
+        for _ in range(2 + k % 3):
+            before = words_of(rng, int(rng.integers(0, 60)))
+            planted.append((len(before), len(passage), k))
+            texts.append([*before, *passage, *words_of(rng, int(rng.integers(0, 60)))])
+    alone = [words_of(rng, 150) for _ in range(40)]
+    short = words_of(rng, 49)  # under the limit
+    alone += [[*words_of(rng, 30), *short, *words_of(rng, 30)] for _ in range(6)]
+    order = rng.permutation(len(texts) + len(alone)).tolist()
+    docs = spark.createDataFrame([(order[i], " ".join(x)) for i, x in enumerate([*texts, *alone])], "doc_id long, text string")
+    found = {r.doc_id: r for r in substring_dedup.repeated_passages(docs).collect()}
+    assert set(found) == {order[i] for i in range(len(texts))}
+    by_passage = defaultdict(list)
+    for i, (start, n, k) in enumerate(planted):
+        r = found[order[i]]
+        assert start <= r.start_word <= start + 8
+        assert start + n - 8 <= r.start_word + r.n_words <= start + n
+        by_passage[k].append(r)
+    for group in by_passage.values():
+        assert len({r.component_id for r in group}) == 1
+        first = min(r.doc_id for r in group)
+        assert [r.doc_id for r in group if not r.removed] == [first]
+        assert {r.first_doc_id for r in group} == {first}
+    assert len({r.component_id for r in found.values()}) == 40
+
+
 def words_of(rng, n):
     return [f"{a}{b}" for a, b in rng.integers(0, 10**6, (n, 2))]
 
@@ -137,10 +172,31 @@ def test_op4_finds_passages_with_a_changed_word(spark):
         texts += [[*words_of(rng, 40), *x, *words_of(rng, 40)] for x in (passage, changed)]
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
     found = substring_dedup.repeated_passages(docs).collect()
-    wide = {r.doc_id for r in found if r.start_word == 40 and r.n_words >= 60}
-    assert len(wide) >= 0.95 * len(texts)
+    assert len({r.doc_id for r in found if r.n_words >= 50}) >= 0.95 * len(texts)
     assert all(40 <= r.start_word and r.start_word + r.n_words <= 101 for r in found)
     assert {r.doc_id for r in found if r.removed} <= set(range(1, 120, 2))
+    links = defaultdict(set)
+    for r in found:
+        links[r.component_id].add(r.doc_id // 2)
+    assert all(len(x) == 1 for x in links.values())
+
+
+def test_op4_links_variants_of_one_passage(spark):
+    """Of three documents only the second is like both others: its passage has no changed word, theirs have one each."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(30):
+        passage = words_of(rng, 75)
+        for at in (25, None, 50):
+            mine = [*passage]
+            if at is not None:
+                mine[at] = "changed"
+            texts.append([*words_of(rng, 40), *mine, *words_of(rng, 40)])
+    found = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()
+    whole = defaultdict(set)
+    for r in found:
+        whole[r.component_id].add(r.doc_id)
+    assert sum(len(x) == 3 for x in whole.values()) >= 28
 
 
 def test_op4_finds_passages_whose_pieces_came_before(spark):
@@ -156,15 +212,18 @@ def test_op4_finds_passages_whose_pieces_came_before(spark):
     assert {r.doc_id for r in found if r.removed} == set(range(len(texts) + 1, len(texts) + len(later), 2))
 
 
-def test_near_span_is_as_similar_as_asked():
+def test_centers_are_chosen_by_content():
     rng = np.random.default_rng(4)
-    x = rng.integers(0, 1 << 60, 80).tolist()
-    other = rng.integers(0, 1 << 60, 80).tolist()
-    assert substring_dedup.near_span(x, 10, x, 10) == (0, 80, 0, 80)
-    y = [*other[:5], *x[10:40], 1, *x[41:70], *other[70:]]
-    assert substring_dedup.near_span(x, 20, y, 15) == (10, 70, 5, 65)
-    y = [w if i % 6 else -i for i, w in enumerate(x)]
-    assert substring_dedup.near_span(x, 20, y, 20) is None
+    run = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    places = []
+    for n in (0, 7, 100):
+        before = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        at = substring_dedup.chosen(np.concatenate([before, run, before]), 9)
+        assert (np.diff(at) <= 9).all()
+        places.append([i - n for i in at.tolist() if 8 <= i - n < 52])
+    assert places[0] == places[1] == places[2]
+    assert substring_dedup.chosen(run[:5], 9).tolist() == [int(run[:5].argmin())]
+    assert substring_dedup.chosen(run[:0], 9).tolist() == []
 
 
 def test_op5_sharding(spark, docs, rows, empty):
