@@ -80,23 +80,23 @@ def inferred(seen: dict) -> tuple[str, str, str]:
     """(type, confidence, reason) from the observations of a column; the first rule that holds."""
     sure = "high" if seen["several"] else "medium"
     if not seen["n"]:
-        return "character", "none", "No non-missing lexical values were observed."
+        return "character", "none", "there are no values to judge by"
     if seen["blank"]:
-        return "character", "high", "Blank lexical values are preserved as character data."
+        return "character", "high", "some values are blank, which only text can keep"
     if seen["dates"]:
-        return "date", sure, "Every observed value is a valid ISO date (YYYY-MM-DD)."
+        return "date", sure, "all values are calendar dates written year-month-day"
     if seen["booleans"] and seen["words"]:
-        return "logical", "high" if seen["several_words"] else "medium", "Observed values use XML boolean lexical forms including true/false."
+        return "logical", "high" if seen["several_words"] else "medium", "all values are flags, some spelled out as true or false"
     if seen["booleans"]:
-        return "character", "medium", "Only 0/1 were observed; these are too ambiguous to infer logical or numeric rather than coded character data."
-    zeroes = ("character", "high", "Numeric-looking values contain significant leading zeroes, so character is safer.")
+        return "character", "medium", "all values are 0 or 1, which may be flags, numbers or codes"
+    zeroes = ("character", "high", "some numbers begin with a zero that a numeric type would lose")
     if seen["integer_shape"]:
         if seen["leading"]:
             return zeroes
         if seen["integers"]:
-            return "integer", sure, "Every observed value is an integer lexical form without leading-zero ambiguity."
+            return "integer", sure, "all values are whole numbers, none with a zero in front"
     if seen["numbers"]:
         if seen["leading"]:
             return zeroes
-        return "double", sure, "Every observed value is a finite numeric lexical form and at least one is non-integer-shaped."
-    return "character", "high", "No conservative non-character interpretation fits every observed lexical value."
+        return "double", sure, "all values are finite numbers, and not all of them whole"
+    return "character", "high", "no other type has room for all values"

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import XmlStructureError
+from ..functions.dictionaries import dictionary
 from ..functions.naming import locals_column, make_unique
-from ..functions.types import converted, inferred, observations
+from ..functions.types import converted, inferred, lexical, observations
 from ..plans.analyst_names import MISC, Namespaces, entity_aliases, is_untyped, key_score, namespaces
 from ..schema import ANALYST_COLUMNS
 from ..sources.nodes import parse_files, with_paths
@@ -48,6 +49,12 @@ class AnalystTable:
     _fields: DataFrame
     _cells: DataFrame
     _data: list[str]
+    _kept: DataFrame
+
+    def release(self) -> None:
+        """Gives back the memory in which the nodes and fields are kept; the table is then made anew if it is read."""
+        self._nodes.unpersist()
+        self._kept.unpersist()
 
     def amplification(self) -> DataFrame:
         """How often each column's values are repeated on the rows below their owners."""
@@ -83,50 +90,64 @@ def _bytes() -> Column:
     return F.coalesce(F.octet_length("value"), F.lit(0))
 
 
-def _literal(path) -> Column:
-    return F.array(*map(F.lit, path))
-
-
 def alternating_paths(elements: DataFrame) -> list[tuple[str, ...]]:
-    """Parents whose element children alternate between one path and others, and the paths of those children."""
-    equals = Window.partitionBy("document_id", "parent_id", "path")
-    children = elements.where(F.size("path") > 1).select("document_id", "parent_id", "path", "node_order", F.count("*").over(equals).alias("equals"))
-    groups = children.groupBy("document_id", "parent_id").agg(F.array_sort(F.collect_list(F.struct("node_order", "path", "equals"))).alias("x")).where((F.size("x") >= 4) & (F.size("x") % 2 == 0))
-    first = F.col("x")[0]["path"]
-    odd = F.filter("x", lambda _, i: i % 2 == 0)
-    even = F.filter("x", lambda _, i: i % 2 == 1)
-    found = groups.where(F.forall(odd, lambda c: c["path"] == first) & F.forall(even, lambda c: c["path"] != first) & F.exists(even, lambda c: c["equals"] == 1))
-    paths = found.select(F.explode(F.concat(F.array(F.slice(first, F.lit(1), F.size(first) - 1)), F.transform("x", lambda c: c["path"]))).alias("path")).distinct()
-    return [tuple(r.path) for r in paths.collect()]
-
-
-def entity_paths(nodes: DataFrame) -> dict[tuple[str, ...], int]:
-    """The entities' paths in first-seen order, with their counts."""
+    """Parents whose element children alternate between one path and others, and the paths of those children.
+
+    The children are counted by path first: only parents with as many of the first child's path as of all others are
+    looked at child by child, in order, without gathering them in a row.
+    """
+    siblings = ["document_id", "parent_id"]
+    children = elements.where(F.size("path") > 1).select(*siblings, "path", "node_order")
+    counts = children.groupBy(*siblings, "path").agg(F.count("*").alias("n"), F.min("node_order").alias("at"))
+    sums = counts.groupBy(*siblings).agg(F.sum("n").alias("all"), F.min_by(F.struct("path", "n"), "at").alias("lead"), F.count_if(F.col("n") == 1).alias("once"))
+    likely = sums.where((F.col("all") >= 4) & (F.col("all") == 2 * F.col("lead.n")) & (F.col("once") > 0)).select(*siblings, F.col("lead.path").alias("lead"))
+    lead = F.col("path") == F.col("lead")
+    before = F.lag(lead).over(Window.partitionBy(*siblings).orderBy("node_order"))
+    checked = children.join(likely, siblings).withColumn("alternates", F.coalesce(lead != before, lead))
+    found = checked.groupBy(*siblings).agg(F.min("alternates").alias("alternates")).where("alternates").select(*siblings)
+    paths = children.join(found, siblings, "left_semi").select("path").distinct().collect()
+    below = {tuple(r.path) for r in paths}
+    return sorted(below | {p[:-1] for p in below})
+
+
+def entity_paths(nodes: DataFrame) -> tuple[dict[tuple[str, ...], int], list[tuple[str, ...]]]:
+    """The entities' paths in first-seen order, with their counts; and all paths."""
     elements = nodes.where("node_type = 'element'")
     paths = {tuple(r.path): r for r in path_summary(nodes).collect()}
     first = {tuple(r.path): (r.first.document_id, r.first.node_order) for r in elements.groupBy("path").agg(F.min(F.struct("document_id", "node_order")).alias("first")).collect()}
     found = {p for p, r in paths.items() if len(p) == 1 or r.max_per_parent > 1}
     if len(paths) > 1:
         found |= set(alternating_paths(elements))
-    return {p: paths[p].occurrences for p in sorted(found & set(paths), key=first.__getitem__)}
+    return {p: paths[p].occurrences for p in sorted(found & set(paths), key=first.__getitem__)}, sorted(paths)
+
 
+def owned(nodes: DataFrame, entities: list[tuple[str, ...]], paths: list[tuple[str, ...]]) -> DataFrame:
+    """nodes with entity_depth, entity_path, entity_node_id: the nearest entity around each; and the depth of the one above an element.
 
-def _owner_depth(upto: Column, entities: Column) -> Column:
-    return F.element_at(F.filter(F.sequence(F.lit(1), upto), lambda d: F.array_contains(entities, F.slice("path", F.lit(1), d))), -1)
+    What is nearest depends on the path alone, so the nodes are joined to the dictionary of paths.
+    """
+    known = set(entities)
 
+    def depth(path: tuple[str, ...]) -> int | None:
+        return next((d for d in range(len(path), 0, -1) if path[:d] in known), None)
 
-def owned(nodes: DataFrame, entities: list[tuple[str, ...]]) -> DataFrame:
-    """nodes with entity_depth, entity_path, entity_node_id: the nearest entity around each."""
-    every = F.array(*map(_literal, entities))
-    rows = nodes.withColumn("entity_depth", F.when(F.size("path") > 0, _owner_depth(F.size("path"), every)))
+    owners = dictionary(nodes.sparkSession, [(list(p), depth(p), depth(p[:-1])) for p in paths], "path array<string>, entity_depth int, above int")
+    rows = nodes.join(owners, "path", "left")
     return rows.withColumn("entity_path", F.slice("path", F.lit(1), F.col("entity_depth"))).withColumn("entity_node_id", F.element_at("anc_ids", F.col("entity_depth")))
 
 
-def field_rows(rows: DataFrame) -> DataFrame:
+def mixed_paths(nodes: DataFrame, paths: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The paths of elements that may hold both text and elements: some hold text, some elements."""
+    parents = {p[:-1] for p in paths}
+    texts = nodes.where(F.col("node_type").isin("text", "cdata")).select("path").distinct().collect()
+    return sorted(p for r in texts if (p := tuple(r.path)) in parents)
+
+
+def field_rows(rows: DataFrame, mixed_at: list[tuple[str, ...]]) -> DataFrame:
     """A row for each field: its owner, kind, relative path, attribute's name, order, value and text nodes.
 
     rows: nodes with their owners. What an element holds directly is summed up by parent; the text of a whole subtree
-    only for elements that have both text and elements in them.
+    only for elements that have both text and elements in them, which are at the paths of mixed_at.
     """
     kind = F.col("node_type")
     relative = F.slice("path", F.col("entity_depth") + 1, F.size("path") - F.col("entity_depth"))
@@ -144,11 +165,17 @@ def field_rows(rows: DataFrame) -> DataFrame:
     which = F.when((texts > 0) & ~has_elements, "value").when((texts > 0) & has_elements, "text_content").when(~has_elements & ~has_attributes, "presence")
     elements = elements.withColumn("kind", which).where("kind IS NOT NULL").withColumn("texts", texts)
     simple = elements.where("kind != 'text_content'").select(*shared, owner_depth, F.lit(None).cast("string").alias("name"), "kind", F.when(F.col("kind") == "presence", "TRUE").otherwise(F.col("value")).alias("value"), "texts")
+    out = attributes.unionByName(simple)
+    if not mixed_at:
+        return out
+    at = dictionary(rows.sparkSession, [(list(p),) for p in mixed_at], "above array<string>")
     mixed = elements.where("kind = 'text_content'").select(*shared, owner_depth, "node_id", "kind", "texts")
-    below = rows.where(text).select("document_id", F.explode("anc_ids").alias("node_id"), F.struct("node_order", "value").alias("part"))
-    whole = below.join(mixed.select("document_id", "node_id"), ["document_id", "node_id"], "left_semi").groupBy("document_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["value"]), "").alias("value"))
+    upwards = F.posexplode("anc_ids").alias("depth", "node_id")
+    below = rows.where(text).select("document_id", "path", F.struct("node_order", "value").alias("part"), upwards).withColumn("above", F.slice("path", F.lit(1), F.col("depth") + 1))
+    below = below.join(at, "above", "left_semi").join(mixed.select("document_id", "node_id"), ["document_id", "node_id"], "left_semi")
+    whole = below.groupBy("document_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["value"]), "").alias("value"))
     contents = mixed.join(whole, ["document_id", "node_id"]).select("document_id", "entity_node_id", "entity_path", "relative", "node_order", "owner_depth", F.lit(None).cast("string").alias("name"), "kind", "value", "texts")
-    return attributes.unionByName(simple).unionByName(contents)
+    return out.unionByName(contents)
 
 
 def _signature() -> Column:
@@ -196,20 +223,20 @@ def xml_analyst_table(nodes: DataFrame, infer_types: bool = True, include_misc:
     kinds = nodes.where(F.col("node_type").isin("element", "attribute"))
     names = kinds.groupBy("node_type", "namespace_uri", "prefix", "local_name").agg(F.min(F.struct("document_id", "node_order")).alias("first")).collect()
     spaces = namespaces(sorted(names, key=lambda r: tuple(r.first)))
-    entities = entity_paths(nodes)
+    entities, paths = entity_paths(nodes)
     if not entities:
         raise XmlStructureError("the nodes have no elements")
     aliases = dict(zip(entities, entity_aliases([[spaces.element(p) for p in path] for path in entities]), strict=True))
-    rows = owned(nodes, list(entities))
-    fields = field_rows(rows).withColumn("signature", _signature())
+    rows = owned(nodes, list(entities), paths)
+    fields = field_rows(rows, mixed_paths(nodes, paths)).withColumn("signature", _signature())
     fields = fields.withColumn("signature", F.when(F.col("kind") == "presence", F.concat("signature", F.lit("\u001epresence"))).otherwise(F.col("signature")))
     slot = Window.partitionBy("document_id", "entity_node_id", "signature").orderBy("node_order")
-    fields = fields.withColumn("occurrence", F.row_number().over(slot)).persist()
+    kept = fields = fields.withColumn("occurrence", F.row_number().over(slot)).persist()
     catalog = _catalog(fields.withColumn("signature", F.regexp_replace("signature", "\u001epresence$", "")), spaces, aliases)
     spark = nodes.sparkSession
     known = [(list(c.entity_path), c.signature, i, column) for c in catalog for i, column in enumerate(c.columns, 1)]
-    dictionary = spark.createDataFrame(known, "entity_path array<string>, signature string, occurrence int, column string")
-    fields = fields.join(F.broadcast(dictionary), ["entity_path", "signature", "occurrence"])
+    columns = dictionary(spark, known, "entity_path array<string>, signature string, occurrence int, column string")
+    fields = fields.join(columns, ["entity_path", "signature", "occurrence"])
     data = [column for c in catalog for column in c.columns]
     presence = {column for c in catalog if c.kinds == ("presence",) for column in c.columns}
     whole = [column for c in catalog if "text_content" in c.kinds for column in c.columns]
@@ -218,10 +245,6 @@ def xml_analyst_table(nodes: DataFrame, infer_types: bool = True, include_misc:
     names_of = F.create_map(*(F.lit(x) for p, a in aliases.items() for x in ("\u001f".join(p), a)))
     alias = F.element_at(names_of, F.array_join("entity_path", "\u001f"))
     elements = rows.where("node_type = 'element' AND size(path) = entity_depth")
-    every = F.array(*map(_literal, entities))
-    above = F.when(F.size("path") > 1, _owner_depth(F.greatest(F.size("path") - 1, F.lit(1)), every))
-    above = F.when(F.size("path") > 1, above)
-    elements = elements.withColumn("above", above)
     order = Window.partitionBy("xml_document_id", "xml_entity").orderBy("xml_node_id")
     parent = F.element_at("anc_ids", F.col("above"))
     head = elements.select(
@@ -248,8 +271,8 @@ def xml_analyst_table(nodes: DataFrame, infer_types: bool = True, include_misc:
         head = head.unionByName(extra, allowMissingColumns=True)
     joined = head.join(own.select(F.col("document_id").alias("xml_document_id"), F.col("owner").alias("_own"), "own"), ["xml_document_id", "_own"], "left")
     joined = joined.join(own.select(F.col("document_id").alias("xml_document_id"), F.col("owner").alias("_parent"), F.col("own").alias("context")), ["xml_document_id", "_parent"], "left")
-    kept = F.map_filter("context", lambda k, _: ~k.isin(whole)) if whole else F.col("context")
-    joined = joined.withColumn("context", kept)
+    if whole:
+        joined = joined.withColumn("context", F.map_filter("context", lambda k, _: ~k.isin(whole)))
 
     types = _types(fields, [c for c in data if c not in presence and not is_untyped(c)]) if infer_types else {}
     types |= dict.fromkeys(presence, "logical")
@@ -268,7 +291,7 @@ def xml_analyst_table(nodes: DataFrame, infer_types: bool = True, include_misc:
     table = joined.withColumn("xml_key_value", key_value).withColumn("xml_key_column", F.when(F.col("xml_key_value").isNotNull(), key_column)).withColumn("xml_namespaces", F.lit(spaces.description))
     table = table.select(*ANALYST_COLUMNS, *(v.alias(k) for k, v in cells.items()), *misc)
     long = joined.select(F.col("xml_depth").alias("depth"), F.explode(F.map_concat(F.coalesce("own", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.map_filter(F.coalesce("context", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: F.col("own").isNull() | ~F.map_contains_key(F.col("own"), k)))).alias("column", "value")).where(F.col("xml_entity") != MISC)
-    return AnalystTable(table, entities, aliases, spaces.description, catalog, keys, nodes, fields, long, data)
+    return AnalystTable(table, entities, aliases, spaces.description, catalog, keys, nodes, fields, long, data, kept)
 
 
 def _types(fields: DataFrame, columns: list[str]) -> dict[str, str]:
@@ -292,7 +315,7 @@ def _keys(fields: DataFrame, aliases: dict[tuple[str, ...], str], data: list[str
         of_kind = [c for c in types if types[c] == kind]
         value = F.when(F.col("column").isin(of_kind), converted(F.col("value"), kind).cast("string")).otherwise(value)
     counts = some.withColumn("shown", value).groupBy("entity", "column", "document_id", "shown").count()
-    seen = counts.groupBy("entity", "column").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.min(F.lower("shown").isin("true", "false")).alias("boolean")).collect()
+    seen = counts.groupBy("entity", "column").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.min(F.lower(lexical(F.col("shown"))).isin("true", "false")).alias("boolean")).collect()
     fit = {(r.entity, r["column"]): r.n for r in seen if r.most == 1 and not r.boolean}
     out = {}
     for e in aliases.values():
@@ -307,11 +330,23 @@ def rectangle_xml_analyst(spark: SparkSession, file: str | list[str], whitespace
     return xml_analyst_table(parse_files(spark, file, whitespace=whitespace), infer_types, include_misc, validate=False)
 
 
+def _chain(df: DataFrame, entity: str | None) -> int:
+    """How many entities at most are above one: by the names of entities and of their parents, of which there are few."""
+    above: dict[str, set[str]] = {}
+    for r in df.where(F.col("xml_parent_entity").isNotNull()).select("xml_entity", "xml_parent_entity").distinct().collect():
+        above.setdefault(r.xml_entity, set()).add(r.xml_parent_entity)
+
+    def height(name: str, seen: tuple[str, ...] = ()) -> int:
+        return 1 + max((height(p, (*seen, name)) for p in above.get(name, ()) if p not in seen and p != name), default=-1)
+
+    return max((height(n) for n in ([entity] if entity is not None else above)), default=0)
+
+
 def xml_analyst_expand_context(table: AnalystTable | DataFrame, entity: str | None = None, levels: int | None = None) -> DataFrame:
     """Fills empty cells from the columns of entities further up, the nearest first.
 
-    Each level is a join of the table with itself by the parent's id, until no row has a parent left; a chain of
-    entities is as long as the document is deep, not as it is large.
+    Each level is a join of the table with itself by the parent's id; there are as many as entities' names can stand
+    above each other, so the plan is made at once and no level is run twice.
     """
     df = table.table if isinstance(table, AnalystTable) else table
     twice = df.groupBy("xml_document_id", "xml_entity_id").count().where("count > 1").limit(1).collect()
@@ -328,8 +363,7 @@ def xml_analyst_expand_context(table: AnalystTable | DataFrame, entity: str | No
     columns = out.columns
     names = [r.xml_entity for r in df.select("xml_entity").distinct().collect()]
     out = out.withColumn("_up", F.col("xml_parent_entity_id"))
-    done = 0
-    while (levels is None or done < levels) and out.where(F.col("_up").isNotNull()).limit(1).count():
+    for _ in range(_chain(df, entity) if levels is None else levels):
         near = keys.select(F.col("xml_document_id"), F.col("_id").alias("_up"), "_entity", "_next", "_row")
         out = out.join(near, ["xml_document_id", "_up"], "left")
         filled = []
@@ -337,7 +371,6 @@ def xml_analyst_expand_context(table: AnalystTable | DataFrame, entity: str | No
             owners = [n for n in names if c.startswith(f"{n}__")] if c in data else []
             filled.append(F.coalesce(F.col(c), F.when(F.col("_entity").isin(owners), F.col("_row")[c])).alias(c) if owners else F.col(c))
         out = out.select(*filled, F.col("_next").alias("_up"))
-        done += 1
     return out.select(*columns)
 
 

@@ -43,6 +43,16 @@ def _checked_id(n: Column, value: Column, spec: XmlRectSpec) -> Column:
     return F.when((n != 1) | (F.length(value) == 0), F.raise_error(message).cast("string")).otherwise(value)
 
 
+def with_unique_ids(rows: DataFrame, spec: XmlRectSpec) -> DataFrame:
+    """rows, but the query fails at a record_id that two records of a document have. Generated ones are unique."""
+    if spec.identifier is None:
+        return rows
+    same = Window.partitionBy("document_id", "record_id")
+    message = F.concat(F.lit("duplicate record id: "), F.col("record_id"))
+    twice = F.min("record_node_id").over(same) != F.max("record_node_id").over(same)
+    return rows.withColumn("record_id", F.when(twice, F.raise_error(message).cast("string")).otherwise(F.col("record_id")))
+
+
 def check_record_ids(rows: DataFrame) -> None:
     """Raises if two records of a document have the same record_id."""
     twice = rows.select("document_id", "record_node_id", "record_id").distinct().groupBy("document_id", "record_id").count().where("count > 1").limit(1).collect()
@@ -79,9 +89,10 @@ def wide_rectangle(nodes: DataFrame, spec: XmlRectSpec) -> DataFrame:
     return out.select("document_id", "record_index", record_id.alias("record_id"), "record_node_id", *columns).select(*WIDE_COLUMNS, *(f.name for f in spec.fields))
 
 
-def rectangle(nodes: DataFrame, spec: XmlRectSpec) -> DataFrame:
-    """The lazy plan. What doesn't fit fails when it runs."""
-    return (wide_rectangle if spec.representation == "wide" else long_rectangle)(nodes, spec)
+def rectangle(nodes: DataFrame, spec: XmlRectSpec, checked: bool = False) -> DataFrame:
+    """The lazy plan. What doesn't fit fails when it runs. checked: the record ids have been found unique."""
+    rows = (wide_rectangle if spec.representation == "wide" else long_rectangle)(nodes, spec)
+    return rows if checked else with_unique_ids(rows, spec)
 
 
 def check_rectangle(nodes: DataFrame, spec: XmlRectSpec) -> None:
@@ -119,7 +130,7 @@ def xml_rectangle(nodes: DataFrame, spec: XmlRectSpec | XmlProfile, parallel=Fal
     spec = as_spec(nodes.sparkSession, spec, nodes)
     if check:
         check_rectangle(nodes, spec)
-    return rectangle(nodes, spec)
+    return rectangle(nodes, spec, checked=check)
 
 
 def rectangle_xml(spark: SparkSession, file: str | list[str], spec: XmlRectSpec | XmlProfile, whitespace: str | None = None, parallel=False, workers=None, strategy: str = "auto", chunk_records=None, task_records=None, progress: bool = False, document_id: str | None = None, check: bool = True) -> DataFrame:

@@ -112,9 +112,8 @@ def _compact(token: str) -> str:
 
 
 def _exact(token: str) -> bool:
-    """Whether a token, or the part after its namespace alias, is an identifier's name."""
-    token = token.removeprefix("attr_").lower()
-    return _compact(token) in IDENTIFIERS or _compact(token.rpartition("_")[2]) in IDENTIFIERS
+    """Whether a token's last part is an identifier's name; what stands before an underscore, as a namespace's alias, isn't looked at."""
+    return _compact(token.removeprefix("attr_").rpartition("_")[2]) in IDENTIFIERS
 
 
 def key_score(entity: str, column: str) -> int:

@@ -88,14 +88,14 @@ def row_candidates(structure: XmlStructure, xsd: XsdInspection | None) -> list[t
         if p.complex and (p.repeated or by_xsd):
             found.append((p, "sample+xsd" if p.repeated and by_xsd else "sample" if p.repeated else "xsd"))
     if not found:
-        reason = "No repeated complex record element was supported by the sample or supplied XSD; the document root is the conservative fallback."
+        reason = "nothing with elements inside repeats, in the sample or by the schema, so the root is all that is left"
         return [(RowCandidate(p.display_path, p.namespace_uri, p.occurrences, p.depth, "single_document", "sample", reason), p) for p in structure.paths if p.depth == 1]
     least = min(p.depth for p, _ in found)
     out = []
     for p, evidence in found:
         first = p.depth == least
-        where = "at the shallowest supported depth" if first else "nested below a shallower candidate"
-        out.append((RowCandidate(p.display_path, p.namespace_uri, p.occurrences, p.depth, "primary" if first else "alternative", evidence, f"Repeated complex record candidate {where} (evidence: {evidence})."), p))
+        where = "no other candidate lies less deep" if first else "another candidate lies less deep"
+        out.append((RowCandidate(p.display_path, p.namespace_uri, p.occurrences, p.depth, "primary" if first else "alternative", evidence, f"repeats and has elements inside, by {evidence}; {where}"), p))
     return sorted(out, key=lambda x: (x[0].priority != "primary", x[0].depth, -x[0].occurrences, x[0].path))
 
 
@@ -110,12 +110,12 @@ def id_candidates(values: DataFrame, catalog: list[Source], records: int) -> lis
         name, attribute = s.label.split("/")[-1].removeprefix("@").lower(), s.value_kind == "attribute"
         named = name == "id" or name.endswith(("_id", "-id"))
         if name == "id" and attribute:
-            out.append(IdCandidate(s.label, s.value_kind, "strong", "Complete, unique scalar attribute conventionally named id."))
+            out.append(IdCandidate(s.label, s.value_kind, "strong", "an attribute named id, once in every record and never the same"))
         elif named:
-            out.append(IdCandidate(s.label, s.value_kind, "strong", "Complete, unique scalar value with an ID-like name."))
+            out.append(IdCandidate(s.label, s.value_kind, "strong", "its name ends like an identifier's; once in every record and never the same"))
         else:
-            what = "attribute" if attribute else "value"
-            out.append(IdCandidate(s.label, s.value_kind, "plausible" if attribute else "possible", f"Complete, unique scalar {what}; semantics should be confirmed by the user."))
+            what = "an attribute" if attribute else "a value"
+            out.append(IdCandidate(s.label, s.value_kind, "plausible" if attribute else "possible", f"{what} that every record has once and no two share; whether it identifies them is for the user to say"))
     return sorted(out, key=lambda c: ("strong", "plausible", "possible").index(c.priority))
 
 

@@ -6,9 +6,6 @@ XML is built with plain string functions, one document for a group of rows, so t
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from ..operators.structure import path_table
 from ..operators.validate import validate_xml_nodes, xml_node_children
 from ..sources.nodes import parsed_nodes
 from ..sources.parse import well_formed
+from ..sources.workspace import workspace, write_documents
 from ..streaming.rectangles import rectangle_xml_csv, rectangle_xml_parquet, stream_rectangles
 from .profile import XmlProfile, compile_xml_profile, xml_profile
 from .propose import propose_xml_profile, review_xml_proposal
@@ -87,8 +85,8 @@ def customer_documents(spark: SparkSession, sf_dir: str, content: Column) -> Dat
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("document_id"), content.alias("content"))
 
 
-def nodes_of(sources: DataFrame, whitespace: str = "drop_blank") -> DataFrame:
-    return parsed_nodes(sources.repartition("document_id"), whitespace)
+def nodes_of(sources: DataFrame, whitespace: str = "drop_blank", columns: list[str] | None = None) -> DataFrame:
+    return parsed_nodes(sources.repartition("document_id"), whitespace, columns=columns)
 
 
 def compiled(spark: SparkSession, sources: DataFrame, profile: XmlProfile) -> XmlRectSpec:
@@ -129,12 +127,12 @@ def nodes_customer(spark, sf_dir):
 
 
 def nodes_kind_counts(spark, sf_dir):
-    return nodes_of(order_documents(spark, sf_dir)).groupBy("node_type").agg(F.count("*").alias("n"))
+    return nodes_of(order_documents(spark, sf_dir), columns=["node_type"]).groupBy("node_type").agg(F.count("*").alias("n"))
 
 
 def nodes_preserve_ws(spark, sf_dir):
     sources = customer_documents(spark, sf_dir, xml("<c>\n  <name>{name}</name>\n  <key>{key}</key>\n</c>", name=F.col("c_name"), key=F.col("c_custkey")))
-    both = nodes_of(sources, "preserve").withColumn("policy", F.lit("preserve")).unionByName(nodes_of(sources, "drop_blank").withColumn("policy", F.lit("drop_blank")))
+    both = nodes_of(sources, "preserve", ["node_type"]).withColumn("policy", F.lit("preserve")).unionByName(nodes_of(sources, "drop_blank", ["node_type"]).withColumn("policy", F.lit("drop_blank")))
     return both.groupBy("policy").agg(F.count("*").alias("nodes"), F.count_if(F.col("node_type") == "text").alias("texts"))
 
 
@@ -148,7 +146,7 @@ def node_children(spark, sf_dir):
 
 
 def structure_paths(spark, sf_dir):
-    return path_table(nodes_of(order_documents(spark, sf_dir))).select("display_path", "depth", "occurrences", "max_per_parent", "repeated", "complex")
+    return path_table(nodes_of(order_documents(spark, sf_dir), columns=["node_type", "path", "anc_ids", "sibling_occurrence"])).select("display_path", "depth", "occurrences", "max_per_parent", "repeated", "complex")
 
 
 def independent_repeats_long(spark, sf_dir):
@@ -205,12 +203,6 @@ def id_candidates(spark, sf_dir):
 
 
 def row_candidates(spark, sf_dir):
-    sources = order_documents(spark, sf_dir).where("document_id = '1'")
-    return review_xml_proposal(spark, propose_xml_profile(spark, nodes_of(sources).persist()), "rows").select("path", "occurrences", "priority", "evidence")
-
-
-def row_candidates_all(spark, sf_dir):
-    """row_candidates over every order."""
     return review_xml_proposal(spark, propose_xml_profile(spark, nodes_of(order_documents(spark, sf_dir)).persist()), "rows").select("path", "occurrences", "priority", "evidence")
 
 
@@ -293,64 +285,39 @@ def conversations_long(spark, sf_dir):
     return rows.select(F.col("document_id").cast("long").alias("conv_id"), F.coalesce("entity_index", F.lit(1)).alias("entity_index"), "value")
 
 
-def _files(sources: DataFrame, folder: Path) -> None:
-    for row in sources.toLocalIterator():
-        (folder / f"{row.document_id}.xml").write_text(row.content, encoding="utf-8")
-
-
 def sink_parquet(spark, sf_dir):
-    folder = Path(tempfile.mkdtemp(prefix="sylva-sink-"))
-    sources = nation_documents(spark, sf_dir).where("document_id = '3'")
-    _files(sources, folder)
-    spec = compiled(spark, sources, xml_profile("customer", "@id", {"name": "name", "balance": "balance"}, {"balance": "integer"}))
-    rectangle_xml_parquet(spark, str(folder / "3.xml"), spec, str(folder / "out"), batch_rows=25)
-    return spark.read.parquet(str(folder / "out")).select("record_index", "record_id", "name", "balance")
+    """All customers, as one file."""
+    folder, sources = workspace(spark, "sink"), flat_customers(spark, sf_dir)
+    files = write_documents(sources, folder)
+    spec = compiled(spark, sources, xml_profile("c", "@id", {"name": "name", "balance": "balance"}, {"balance": "integer"}))
+    rectangle_xml_parquet(spark, files, spec, str(folder.child("out")), batch_rows=5000)
+    return spark.read.parquet(str(folder.child("out"))).select("record_index", "record_id", "name", "balance")
 
 
 def sink_csv(spark, sf_dir):
-    folder = Path(tempfile.mkdtemp(prefix="sylva-sink-"))
-    sources = nation_documents(spark, sf_dir).where("document_id = '3'")
-    _files(sources, folder)
+    """All customers, as a file for each nation."""
+    folder, sources = workspace(spark, "sink"), nation_documents(spark, sf_dir)
+    files = write_documents(sources, folder)
     spec = compiled(spark, sources, xml_profile("customer", "@id", {"name": "name", "balance": "balance"}))
-    rectangle_xml_csv(spark, str(folder / "3.xml"), spec, str(folder / "out.csv"))
-    return spark.read.csv(str(folder / "out.csv"), header=True, schema="document_id string, record_index int, record_id string, record_node_id int, name string, balance string").select("record_index", "record_id", "name", "balance")
-
-
-def sink_parquet_all(spark, sf_dir):
-    """sink_parquet over a file of all customers."""
-    folder = Path(tempfile.mkdtemp(prefix="sylva-sink-"))
-    sources = flat_customers(spark, sf_dir)
-    _files(sources, folder)
-    spec = compiled(spark, sources, xml_profile("c", "@id", {"name": "name", "balance": "balance"}, {"balance": "integer"}))
-    rectangle_xml_parquet(spark, str(folder / "customers.xml"), spec, str(folder / "out"), batch_rows=5000)
-    return spark.read.parquet(str(folder / "out")).select("record_index", "record_id", "name", "balance")
-
-
-def sink_csv_all(spark, sf_dir):
-    """sink_csv over a file of all customers."""
-    folder = Path(tempfile.mkdtemp(prefix="sylva-sink-"))
-    sources = flat_customers(spark, sf_dir)
-    _files(sources, folder)
-    spec = compiled(spark, sources, xml_profile("c", "@id", {"name": "name", "balance": "balance"}))
-    rectangle_xml_csv(spark, str(folder / "customers.xml"), spec, str(folder / "out.csv"))
-    return spark.read.csv(str(folder / "out.csv"), header=True, schema="document_id string, record_index int, record_id string, record_node_id int, name string, balance string").select("record_index", "record_id", "name", "balance")
+    rectangle_xml_csv(spark, files, spec, str(folder.child("out.csv")))
+    schema = "document_id string, record_index int, record_id string, record_node_id int, name string, balance string"
+    return spark.read.csv(str(folder.child("out.csv")), header=True, schema=schema).select("document_id", "record_index", "record_id", "name", "balance")
 
 
 def streamed(spark, sf_dir):
-    folder = Path(tempfile.mkdtemp(prefix="sylva-stream-"))
-    (folder / "in").mkdir()
-    sources = nation_documents(spark, sf_dir)
-    _files(sources, folder / "in")
+    folder, sources = workspace(spark, "stream"), nation_documents(spark, sf_dir)
+    write_documents(sources, folder.child("in"))
     spec = compiled(spark, sources, xml_profile("customer", "@id", {"name": "name"}))
-    query = stream_rectangles(spark, str(folder / "in"), spec, lambda df, n: df.write.mode("append").parquet(str(folder / "out")), str(folder / "checkpoint"), max_files=10)
+    out = str(folder.child("out"))
+    query = stream_rectangles(spark, str(folder.child("in")), spec, lambda df, n: df.write.mode("append").parquet(out), str(folder.child("checkpoint")), max_files=10)
     query.awaitTermination()
-    return spark.read.parquet(str(folder / "out")).select("document_id", "record_index", "record_id", "name")
+    return spark.read.parquet(out).select("document_id", "record_index", "record_id", "name")
 
 
 QUERIES = {f.__name__: f for f in (
     orders_wide, orders_generated_id, orders_items_long, nodes_customer, nodes_kind_counts, nodes_preserve_ws, nodes_valid, node_children, structure_paths, independent_repeats_long,
     long_value_index, wide_missing, namespace_rows, text_roundtrip, attr_normalization, type_inference, id_candidates, row_candidates, analyst_orders, analyst_keys, analyst_presence,
-    mixed_content, analyst_misc, analyst_expand, alternating_pairs, amplification, malformed_pages, conversations_long, sink_parquet, sink_csv, streamed, row_candidates_all, sink_parquet_all, sink_csv_all,
+    mixed_content, analyst_misc, analyst_expand, alternating_pairs, amplification, malformed_pages, conversations_long, sink_parquet, sink_csv, streamed,
 )}
 
 _BUCKET = f"CAST(o_custkey % {BUCKETS} AS VARCHAR)"
@@ -404,8 +371,8 @@ ORACLES = {
     "id_candidates": """WITH u AS (SELECT count(DISTINCT c_name) = count(*) AS name, count(DISTINCT round(c_acctbal * 100)) = count(*) AS balance FROM customer)
         SELECT '@id' AS source, 'attribute' AS value_kind, 'strong' AS priority UNION ALL SELECT 'ratio', 'text', 'possible' UNION ALL SELECT 'code', 'text', 'possible'
         UNION ALL SELECT 'name', 'text', 'possible' FROM u WHERE name UNION ALL SELECT 'balance', 'text', 'possible' FROM u WHERE balance""",
-    "row_candidates": f"""SELECT 'orders/order' AS path, count(*) AS occurrences, 'primary' AS priority, 'sample' AS evidence FROM orders WHERE o_custkey % {BUCKETS} = 1
-        UNION ALL SELECT 'orders/order/item', count(*), 'alternative', 'sample' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % {BUCKETS} = 1""",
+    "row_candidates": """SELECT 'orders/order' AS path, count(*) AS occurrences, 'primary' AS priority, 'sample' AS evidence FROM orders
+        UNION ALL SELECT 'orders/order/item', count(*), 'alternative', 'sample' FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     "analyst_orders": f"""SELECT {_BUCKET} AS document_id, 'order' AS xml_parent_entity, CAST(row_number() OVER (PARTITION BY o_custkey % {BUCKETS} ORDER BY o_orderkey, l_linenumber, l_partkey, CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR) || '<') AS INTEGER) AS xml_occurrence,
         'O-' || o_orderkey AS order_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(o_orderdate AS DATE) AS order_date, l_partkey AS part, CAST(trunc(l_quantity) AS BIGINT) AS qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     "analyst_keys": """SELECT 'customer' AS xml_entity, 'customer__attr_id' AS xml_key_column, 'C-' || c_custkey AS xml_key_value, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -425,11 +392,7 @@ ORACLES = {
         UNION ALL SELECT 'supplier__attr_code', 'attribute', n, n, 0, codes, codes, 0 FROM su UNION ALL SELECT 'supplier__title', 'value', n, n, 0, titles, titles, 0 FROM su""",
     "malformed_pages": "SELECT page_id, false AS well_formed FROM pages",
     "conversations_long": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS entity_index, text AS value FROM conversations",
-    "sink_parquet": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name, CAST(round(c_acctbal * 100) AS INTEGER) AS balance FROM customer WHERE c_nationkey = 3""",
-    "sink_csv": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS INTEGER) AS VARCHAR) AS balance FROM customer WHERE c_nationkey = 3""",
-    "row_candidates_all": """SELECT 'orders/order' AS path, count(*) AS occurrences, 'primary' AS priority, 'sample' AS evidence FROM orders
-        UNION ALL SELECT 'orders/order/item', count(*), 'alternative', 'sample' FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
-    "sink_parquet_all": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, CAST(c_custkey AS VARCHAR) AS record_id, c_name AS name, CAST(round(c_acctbal * 100) AS INTEGER) AS balance FROM customer""",
-    "sink_csv_all": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, CAST(c_custkey AS VARCHAR) AS record_id, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS INTEGER) AS VARCHAR) AS balance FROM customer""",
+    "sink_parquet": """SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS record_index, CAST(c_custkey AS VARCHAR) AS record_id, c_name AS name, CAST(round(c_acctbal * 100) AS INTEGER) AS balance FROM customer""",
+    "sink_csv": f"""WITH {_NATION_ROWS} SELECT c_nationkey || '.xml' AS document_id, CAST(rn AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name, CAST(CAST(round(c_acctbal * 100) AS INTEGER) AS VARCHAR) AS balance FROM c""",
     "streamed": f"""WITH {_NATION_ROWS} SELECT c_nationkey || '.xml' AS document_id, CAST(rn AS INTEGER) AS record_index, 'C-' || c_custkey AS record_id, c_name AS name FROM c""",
 }

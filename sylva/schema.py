@@ -6,28 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    """From 'name kind' parts; a ! after the kind means that the column has no nulls."""
-    kinds = {"string": T.StringType(), "int": T.IntegerType(), "ints": T.ArrayType(T.IntegerType()), "strings": T.ArrayType(T.StringType())}
-    fields = []
-    for part in text.split(","):
-        name, kind = part.split()
-        fields.append(T.StructField(name, kinds[kind.rstrip("!")], not kind.endswith("!")))
-    return T.StructType(fields)
-
-
+# Names, order, types and nulls of the canonical table's columns.
 #: The canonical node table.
-NODES = _struct(
-    "document_id string!, node_id int!, parent_id int, node_order int!, sibling_order int, depth int!, node_type string!,"
-    "qualified_name string, local_name string, prefix string, namespace_uri string, value string"
+NODES = T.StructType(
+    [
+        T.StructField("document_id", T.StringType(), False),
+        T.StructField("node_id", T.IntegerType(), False),
+        T.StructField("parent_id", T.IntegerType()),
+        T.StructField("node_order", T.IntegerType(), False),
+        T.StructField("sibling_order", T.IntegerType()),
+        T.StructField("depth", T.IntegerType(), False),
+        T.StructField("node_type", T.StringType(), False),
+        T.StructField("qualified_name", T.StringType()),
+        T.StructField("local_name", T.StringType()),
+        T.StructField("prefix", T.StringType()),
+        T.StructField("namespace_uri", T.StringType()),
+        T.StructField("value", T.StringType()),
+    ]
 )
 
 #: What the parse kernel adds, so that no later step has to walk the tree: the expanded names of the elements from the
 #: root to the owning element (of an element: itself), their ids, and an element's number among its equals.
-PATH_COLUMNS = _struct("path strings, anc_ids ints, sibling_occurrence int")
+PATH_COLUMNS = T.StructType(
+    [
+        T.StructField("path", T.ArrayType(T.StringType())),
+        T.StructField("anc_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("sibling_occurrence", T.IntegerType()),
+    ]
+)
 
 PARSED = T.StructType(NODES.fields + PATH_COLUMNS.fields)
 
+# The columns of rectangles and analyst tables.
 LONG_COLUMNS = [
     "document_id", "record_index", "record_id", "entity", "entity_index", "field", "value_index", "value", "value_kind",
     "source", "record_node_id", "entity_node_id", "parent_entity_node_id", "source_node_id", "source_path",

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import XmlCallbackError, XmlParseError, XmlStructureError
 from ..functions.kernels import map_arrow
@@ -35,13 +36,14 @@ def check_count(value: object, name: str) -> int:
     return value
 
 
-def parsed_nodes(sources: DataFrame, whitespace: str = "preserve", batch_rows: int = BATCH_ROWS, malformed: str = "raise") -> DataFrame:
+def parsed_nodes(sources: DataFrame, whitespace: str = "preserve", batch_rows: int = BATCH_ROWS, malformed: str = "raise", columns: list[str] | None = None) -> DataFrame:
     """The nodes of many documents, with the path columns. sources: document_id, and content as string or binary.
 
     Every document is parsed by one task, as a stream; a row of null content gives no rows. malformed: "raise", or
-    "drop" to leave documents out that aren't well-formed.
+    "drop" to leave documents out that aren't well-formed. columns: those that are wanted; the kernel makes no others.
     """
     check_whitespace(whitespace)
+    schema = PARSED if columns is None else T.StructType([PARSED[c] for c in columns])
     if malformed not in ("raise", "drop"):
         raise ValueError("malformed must be 'raise' or 'drop'")
 
@@ -52,7 +54,7 @@ def parsed_nodes(sources: DataFrame, whitespace: str = "preserve", batch_rows: i
             for document_id, content in zip(batch.column(0), batch.column(1), strict=True):
                 if not content.is_valid:
                     continue
-                parts = parse_document(document_id.as_py(), content.as_py(), whitespace, batch_rows)
+                parts = parse_document(document_id.as_py(), content.as_py(), whitespace, batch_rows, schema.names)
                 if malformed == "drop":  # nothing of a document is emitted before it is known to be well-formed
                     try:
                         parts = list(parts)
@@ -67,7 +69,7 @@ def parsed_nodes(sources: DataFrame, whitespace: str = "preserve", batch_rows: i
             if waiting:
                 yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
-    return map_arrow(sources.select("document_id", "content"), kernel, PARSED)
+    return map_arrow(sources.select("document_id", "content"), kernel, schema)
 
 
 def file_sources(spark: SparkSession, path: str | list[str], document_id: str | None = None) -> DataFrame:

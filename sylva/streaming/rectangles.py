@@ -5,18 +5,20 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 from dataclasses import replace
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import XmlCallbackError, XmlProfileError
+from ..errors import XmlCallbackError, XmlProfileError, XmlStructureError
+from ..functions.kernels import map_arrow
 from ..operators.analyst import AnalystTable, rectangle_xml_analyst
 from ..operators.rectangle import check_execution, check_record_ids, check_rectangle, rectangle
+from ..functions.naming import local_of
 from ..plans.spec import XmlRectSpec
 from ..sources.nodes import check_count, parse_files, parsed_nodes
-from ..sources.publish import check_output, published, remove
+from ..sources.publish import Place, check_output, published
 
 ID_CHECKS = ("memory", "none")
 ORDER = {"wide": ("document_id", "record_index"), "long": ("document_id", "record_index", "source_node_id")}
@@ -34,17 +36,23 @@ def _rows(spark: SparkSession, file, spec: XmlRectSpec, document_id, whitespace,
         raise ValueError(f"id_check must be one of {', '.join(ID_CHECKS)}")
     nodes = parse_files(spark, file, document_id, whitespace or spec.whitespace, check_count(chunk_rows, "chunk_rows")).persist()
     try:
+        if not nodes.where((F.col("node_type") == "element") & (F.col("path") == F.array(*map(F.lit, spec.record_path)))).limit(1).count():
+            raise XmlStructureError(f"no element of the input is a record: '{'/'.join(map(local_of, spec.record_path))}' isn't there")
         check_rectangle(nodes, spec if id_check == "memory" else _without_id_check(spec))
     except Exception:
         nodes.unpersist()
         raise
-    return nodes, rectangle(nodes, spec).orderBy(*ORDER[spec.representation])
+    return nodes, rectangle(nodes, spec, checked=True).orderBy(*ORDER[spec.representation])
 
 
 def _without_id_check(spec: XmlRectSpec) -> XmlRectSpec:
     return replace(spec, identifier=None)
 
 
+def _files(file: str | list[str]) -> tuple[str, ...]:
+    return (file,) if isinstance(file, str) else tuple(file)
+
+
 def _stats(nodes: DataFrame, spec: XmlRectSpec, result_rows: int, result_chunks: int, id_check: str, chunk_rows: int) -> dict:
     n = len(spec.record_path)
     inside = F.size("path") >= n
@@ -54,7 +62,7 @@ def _stats(nodes: DataFrame, spec: XmlRectSpec, result_rows: int, result_chunks:
     nodes_read = nodes.count()
     return {
         "document_id": documents[0] if len(documents) == 1 else None, "node_count": nodes_read, "parser_chunks": -(-nodes_read // chunk_rows), "record_count": sizes.records,
-        "result_rows": result_rows, "result_chunks": result_chunks, "max_record_nodes": sizes.most or 0, "id_check": id_check,
+        "result_rows": result_rows, "result_chunks": result_chunks, "max_record_nodes": sizes.most or 0, "id_check": id_check if spec.identifier is not None else "not needed (generated IDs)",
     }
 
 
@@ -113,24 +121,36 @@ def _text(value: object, na: str) -> str:
     return str(value)
 
 
-def write_csv(df: DataFrame, path: Path, na: str = "") -> int:
-    """One file in the frame's order: strings quoted, missing values bare. The driver holds a partition at a time."""
-    strings = [isinstance(f.dataType, T.StringType) for f in df.schema]
-    n = 0
-    with path.open("w", encoding="utf-8", newline="") as f:
-        f.write(",".join('"' + c.replace('"', '""') + '"' for c in df.columns) + "\n")
-        for row in df.toLocalIterator():
-            cells = ('"' + x.replace('"', '""') + '"' if quoted and x is not None else _text(x, na) for quoted, x in zip(strings, row, strict=True))
-            f.write(",".join(cells) + "\n")
-            n += 1
-    return n
+def write_csv(df: DataFrame, staged: Place, na: str = "") -> int:
+    """One file in the frame's order, which must be a global sort: strings quoted, missing values bare; returns the rows.
+
+    The lines are made and written by the executors, a file for each partition; their bytes are joined behind the header.
+    """
+    quoted = [isinstance(f.dataType, T.StringType) for f in df.schema]
+
+    def lines(batches):
+        for batch in batches:
+            columns = []
+            for column, q in zip(batch.columns, quoted, strict=True):
+                columns.append([('"' + x.replace('"', '""') + '"' if q and x is not None else _text(x, na)) for x in column.to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(map(",".join, zip(*columns, strict=True)), pa.string())], ["value"])
+
+    counted = Observation()
+    folder = staged.sibling(f"{staged.name}.parts")
+    try:
+        map_arrow(df.observe(counted, F.count(F.lit(1)).alias("n")), lines, "value string").write.text(str(folder.at))
+        header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns) + "\n"
+        staged.write(header.encode(), [x for x in folder.children() if x.name.startswith("part-")])
+    finally:
+        folder.remove()
+    return counted.get["n"]
 
 
 def rectangle_xml_csv(spark: SparkSession, file, spec: XmlRectSpec, output: str, overwrite: bool = False, document_id: str | None = None, whitespace: str | None = None, chunk_rows: int = 100_000, batch_rows: int = 100_000, id_check: str = "memory", **execution) -> dict:
     """A rectangle as one CSV file, header first even without rows."""
     check_execution(**execution)
     check_stream_spec(spec)
-    path = check_output(output, overwrite, (file,) if isinstance(file, str) else tuple(file))
+    path = check_output(spark, output, overwrite, _files(file))
     nodes, rows = _rows(spark, file, spec, document_id, whitespace, chunk_rows, id_check)
     try:
         n = published(path, lambda staged: write_csv(rows, staged))
@@ -143,17 +163,20 @@ def rectangle_xml_parquet(spark: SparkSession, file, spec: XmlRectSpec, output_d
     """A rectangle as a folder of part-NNNNNN.parquet, in order, of at most batch_rows rows; one empty part if there are none."""
     check_execution(**execution)
     check_stream_spec(spec)
-    path = check_output(output_dir, overwrite, (file,) if isinstance(file, str) else tuple(file), folder=True)
+    path = check_output(spark, output_dir, overwrite, _files(file), folder=True)
     nodes, rows = _rows(spark, file, spec, document_id, whitespace, chunk_rows, id_check)
 
-    def make(staged: Path) -> tuple[int, int]:
-        rows.write.option("compression", compression).option("maxRecordsPerFile", batch_rows).parquet(str(staged))
-        parts = sorted(staged.glob("part-*.parquet"))
-        for x in set(staged.iterdir()) - set(parts):
-            remove(x)
-        for i, part in enumerate(parts, 1):
-            part.rename(staged / f"part-{i:06d}.parquet")
-        return spark.read.schema(rows.schema).parquet(str(staged)).count(), len(parts)
+    def make(staged: Place) -> tuple[int, int]:
+        counted = Observation()
+        rows.observe(counted, F.count(F.lit(1)).alias("n")).write.option("compression", compression).option("maxRecordsPerFile", batch_rows).parquet(str(staged.at))
+        parts = 0
+        for x in staged.children():
+            if x.name.startswith("part-"):
+                parts += 1
+                x.rename(staged.child(f"part-{parts:06d}.parquet"))
+            else:
+                x.remove()
+        return counted.get["n"], parts
 
     try:
         n, parts = published(path, make)
@@ -164,7 +187,7 @@ def rectangle_xml_parquet(spark: SparkSession, file, spec: XmlRectSpec, output_d
 
 def rectangle_xml_analyst_csv(spark: SparkSession, file, output: str, whitespace: str = "drop_blank", infer_types: bool = True, include_misc: bool = True, na: str = "\\N", overwrite: bool = False) -> AnalystTable:
     """An analyst table as one CSV file. Refused where the mark of missing values is among the data."""
-    path = check_output(output, overwrite, (file,) if isinstance(file, str) else tuple(file), make_parent=True)
+    path = check_output(spark, output, overwrite, _files(file), make_parent=True)
     made = rectangle_xml_analyst(spark, file, whitespace, infer_types, include_misc)
     table = made.table.orderBy("xml_document_id", "xml_node_id")
     strings = [f.name for f in table.schema if isinstance(f.dataType, T.StringType)]
@@ -178,30 +201,32 @@ def rectangle_xml_analyst_csv(spark: SparkSession, file, output: str, whitespace
 
 def rectangle_xml_analyst_parquet(spark: SparkSession, file, output: str, whitespace: str = "drop_blank", infer_types: bool = True, include_misc: bool = True, overwrite: bool = False, compression: str = "snappy") -> AnalystTable:
     """An analyst table as one Parquet file."""
-    path = check_output(output, overwrite, (file,) if isinstance(file, str) else tuple(file))
+    path = check_output(spark, output, overwrite, _files(file))
     made = rectangle_xml_analyst(spark, file, whitespace, infer_types, include_misc)
 
-    def make(staged: Path) -> None:
-        folder = staged.with_name(f"{staged.name}.d")
+    def make(staged: Place) -> None:
+        folder = staged.sibling(f"{staged.name}.parts")
         try:
-            made.table.orderBy("xml_document_id", "xml_node_id").coalesce(1).write.option("compression", compression).parquet(str(folder))
-            next(folder.glob("part-*.parquet")).rename(staged)
+            made.table.orderBy("xml_document_id", "xml_node_id").coalesce(1).write.option("compression", compression).parquet(str(folder.at))
+            next(x for x in folder.children() if x.name.startswith("part-")).rename(staged)
         finally:
-            if folder.exists():
-                remove(folder)
+            folder.remove()
 
     published(path, make)
     return made
 
 
 def stream_rectangles(spark: SparkSession, folder: str, spec: XmlRectSpec, sink: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*.xml", max_files: int = 100, id_check: str = "memory"):
-    """A streaming query over files that arrive in a folder: each micro-batch is parsed, rectangled and given to sink."""
+    """A streaming query over files that arrive in a folder: each micro-batch is parsed, rectangled and given to sink.
+
+    A document arrives whole, so its records' ids are checked in its batch.
+    """
     check_stream_spec(spec)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).load(folder)
 
     def each(batch: DataFrame, number: int) -> None:
         sources = batch.select(F.element_at(F.split("path", "/"), -1).alias("document_id"), "content")
-        rows = rectangle(parsed_nodes(sources, spec.whitespace), spec)
+        rows = rectangle(parsed_nodes(sources, spec.whitespace), spec, checked=True)
         if id_check == "memory":
             rows = rows.persist()
             check_record_ids(rows)

@@ -1,5 +1,5 @@
 import pytest
-from fixtures import CATALOG, NAMESPACES, ORDERS, SHIPMENTS, TYPES
+from fixtures import CARDS, GAUGES, HARVEST, MUSEUM, VOYAGES
 
 import sylva
 
@@ -14,91 +14,90 @@ def entity(table, name):
 
 
 def test_one_atomic_table(spark):
-    found = made(spark, CATALOG, include_misc=True)
+    found = made(spark, MUSEUM, include_misc=True)
     rows = found.table.orderBy("xml_node_id").collect()
-    assert [r.xml_entity for r in rows] == ["catalog", "item", "item", "payment", "payment", "xml_misc", "xml_misc"]
+    assert [r.xml_entity for r in rows] == ["museum", "xml_misc", "exhibit", "exhibit", "exhibit", "guard", "guard"]
     assert not any(kind.startswith(("array", "map", "struct")) for _, kind in found.table.dtypes)
-    items = entity(found, "item")
-    assert [r.catalog__group__attr_id for r in items] == ["G-1", "G-1"]
-    assert [r.catalog__group__attr_note for r in items] == ["", ""]
-    assert (items[0].item__description__text_content, items[0].item__description__b, items[0].item__flag__present) == ("Hello bold world.", "bold", True)
-    assert [r.xml_misc__type for r in rows[-2:]] == ["comment", "pi"]
-    assert rows[0].xml_key_column is None
+    exhibits = entity(found, "exhibit")
+    assert {(r.museum__wing__attr_floor, r.museum__wing__attr_label) for r in exhibits} == {("2", "")}
+    assert (exhibits[0].exhibit__caption__text_content, exhibits[0].exhibit__caption__i, exhibits[0].exhibit__loaned__present) == ("Amber bee in resin", "bee", True)
+    assert (exhibits[1].exhibit__caption__text_content, exhibits[1].exhibit__loaned__present) == (None, None)
+    assert [(r.guard__attr_shift, r.guard__radio) for r in entity(found, "guard")] == [("late", 5), ("early", 6)]
+    assert (rows[1].xml_misc__type, rows[1].xml_misc__value) == ("comment", "closed on Mondays")
     audit = found.audit()
-    assert audit["canonical_attributes"] == audit["projected_attributes"] == 7
-    assert audit["canonical_text_nodes"] == audit["projected_text_nodes"] == 9
-    assert audit["expected_entity_rows"] == audit["emitted_entity_rows"] == 5
+    assert audit["canonical_attributes"] == audit["projected_attributes"] == 8
+    assert audit["canonical_text_nodes"] == audit["projected_text_nodes"] == 8
+    assert audit["expected_entity_rows"] == audit["emitted_entity_rows"] == 6
 
 
 def test_independent_branches(spark):
-    found = made(spark, SHIPMENTS)
-    assert found.table.count() == 5
-    assert [(r.item__attr_sku, r.shipments__shipment__attr_id) for r in entity(found, "item")] == [("A-10", "S-001"), ("B-20", "S-001")]
-    assert [r.payment__attr_method for r in entity(found, "payment")] == ["card", "voucher"]
+    found = made(spark, HARVEST)
+    assert sorted(r.xml_entity for r in found.table.collect()) == ["farm", "frost", "frost", "seed", "seed", "seed"]
+    assert [(r.seed__attr_kg, r.seed__value, r.farm__plot__attr_code) for r in entity(found, "seed")] == [(40, "rye", "N4"), (25, "oat", "N4"), (8, "flax", "N4")]
+    assert [r.frost__attr_day for r in entity(found, "frost")] == [12, 13]
 
 
 def test_context_is_one_hop_and_expands(spark):
-    text = '<root code="R"><middle code="M1"><leaf id="L1">A</leaf><leaf id="L2">B</leaf></middle><middle code="M2"><leaf id="L3">C</leaf><leaf id="L4">D</leaf></middle></root>'
+    text = '<isle name="Unst"><glen name="Dale"><croft no="a"/><croft no="b"/><croft no="c"/></glen><glen name="Wick"><croft no="d"/><croft no="e"/></glen></isle>'
     found = made(spark, text)
-    leaf = entity(found, "leaf")
-    assert [r.middle__attr_code for r in leaf] == ["M1", "M1", "M2", "M2"]
-    assert all(r.root__attr_code is None for r in leaf)
-    wide = sylva.xml_analyst_expand_context(found, "leaf").orderBy("xml_node_id").collect()
-    assert [(r.root__attr_code, r.leaf__attr_id) for r in wide] == [("R", f"L{i}") for i in range(1, 5)]
-    assert all(r.root__attr_code is None for r in sylva.xml_analyst_expand_context(found, "leaf", levels=1).collect())
+    croft = entity(found, "croft")
+    assert [r.glen__attr_name for r in croft] == ["Dale"] * 3 + ["Wick"] * 2
+    assert all(r.isle__attr_name is None for r in croft)
+    wide = sylva.xml_analyst_expand_context(found, "croft").orderBy("xml_node_id").collect()
+    assert [(r.isle__attr_name, r.croft__attr_no) for r in wide] == [("Unst", x) for x in "abcde"]
+    assert all(r.isle__attr_name is None for r in sylva.xml_analyst_expand_context(found, "croft", levels=1).collect())
 
 
 def test_subtree_text_stays_with_its_owner(spark):
-    found = made(spark, '<root>header<group><item id="A">alpha</item><item id="B">beta</item></group></root>')
-    assert entity(found, "root")[0].root__text_content == "headeralphabeta"
-    assert all(r.root__text_content is None for r in entity(found, "item"))
+    found = made(spark, "<tale>once <part><verse n='1'>a king</verse><verse n='2'> and a cat</verse></part> met</tale>")
+    assert entity(found, "tale")[0].tale__text_content == "once a king and a cat met"
+    assert all(r.tale__text_content is None for r in entity(found, "verse"))
 
 
 def test_amplification(spark):
-    row = made(spark, '<root><group code="G"><item>A</item><item>B</item></group></root>').amplification().where("column = 'root__group__attr_code'").collect()[0]
-    assert (row.field_kind, row.owner_rows, row.emitted_rows, row.context_rows, row.owner_bytes, row.emitted_bytes, row.max_propagation_depth) == ("attribute", 1, 3, 2, 1, 3, 2)
+    row = made(spark, '<yard><lot mark="QQ"><crate>1</crate><crate>2</crate><crate>3</crate></lot></yard>').amplification().where("column = 'yard__lot__attr_mark'").collect()[0]
+    assert (row.field_kind, row.owner_rows, row.emitted_rows, row.context_rows, row.owner_bytes, row.emitted_bytes, row.max_propagation_depth) == ("attribute", 1, 4, 3, 2, 8, 2)
 
 
 def test_types(spark):
-    kinds = dict(made(spark, TYPES).table.dtypes)
-    assert [kinds[f"measurement__{c}"] for c in ("count", "ratio", "active", "observed", "code")] == ["int", "double", "boolean", "date", "string"]
-    assert dict(made(spark, TYPES, infer_types=False).table.dtypes)["measurement__count"] == "string"
+    kinds = dict(made(spark, GAUGES).table.dtypes)
+    assert [kinds[f"gauge__{c}"] for c in ("hits", "level", "open", "checked", "plate")] == ["int", "double", "boolean", "date", "string"]
+    assert dict(made(spark, GAUGES, infer_types=False).table.dtypes)["gauge__hits"] == "string"
 
 
 def test_namespaces(spark):
-    found = made(spark, NAMESPACES)
+    found = made(spark, CARDS)
     assert found.table.count() == 1
-    assert any("a_item" in c for c in found.table.columns)
-    assert any("b_item" in c for c in found.table.columns)
-    assert found.namespaces == "(default)=urn:example:default; a=urn:example:a; b=urn:example:b"
+    assert {"deck__card", "deck__r_card", "deck__k_card", "deck__r_card__attr_k_marked"} <= set(found.table.columns)
+    assert found.namespaces == "(default)=urn:sylva:plain; k=urn:sylva:black; r=urn:sylva:red"
 
 
 def test_default_namespace_stays_readable(spark):
-    text = '<Patient xmlns="urn:example:patient" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="urn:example:patient p.xsd"><id value="p-1"/></Patient>'
-    columns = made(spark, text).table.columns
-    assert "Patient__id__attr_value" in columns
-    assert "Patient__attr_xsi_schemaLocation" in columns
+    columns = made(spark, '<sky xmlns="urn:sylva:sky" xmlns:q="urn:sylva:q" q:seen="by night"><star q:hue="blue">Vega</star></sky>').table.columns
+    assert {"sky__attr_q_seen", "sky__star", "sky__star__attr_q_hue"} <= set(columns)
 
 
-def records(*inner, name="record"):
-    return f"<{name}s>" + "".join(f"<{name}>{x}</{name}>" for x in inner) + f"</{name}s>"
+def two(name, first, second):
+    return f"<all><{name}>{first}</{name}><{name}>{second}</{name}></all>"
 
 
+# What identifies a record: an identifier's name at the record or one step below it, unique among the records, not a flag.
 @pytest.mark.parametrize(
     ("text", "name", "column", "values"),
     [
-        (ORDERS, "order", "order__attr_id", ["A-001", "A-002"]),
-        (records('<id value="p-1"/>', '<id value="p-2"/>', name="patient"), "patient", "patient__id__attr_value", ["p-1", "p-2"]),
-        (records('<identifier source="A">R-1</identifier>', '<identifier source="B">R-2</identifier>'), "record", "record__identifier", ["R-1", "R-2"]),
-        (records("<EmailAddress>a</EmailAddress><hideGroupId>true</hideGroupId>", "<EmailAddress>b</EmailAddress><hideGroupId>false</hideGroupId>"), "record", None, [None, None]),
-        (records('<address addr="192.0.2.1"/>', '<address addr="192.0.2.2"/>', name="host"), "host", "host__address__attr_addr", ["192.0.2.1", "192.0.2.2"]),
-        (records("<parent><groupId>1</groupId></parent>", "<parent><groupId>2</groupId></parent>"), "record", None, [None, None]),
-        (records("<recordId>a</recordId><parent><groupId>1</groupId></parent>", "<recordId>b</recordId><parent><groupId>2</groupId></parent>"), "record", "record__recordId", ["a", "b"]),
-        (records("<groupId>g1</groupId><artifactId>a1</artifactId>", "<groupId>g2</groupId><artifactId>a2</artifactId>", name="dependency"), "dependency", None, [None, None]),
-        (records("<CustomizationID>p</CustomizationID><ID>I-1</ID>", "<CustomizationID>q</CustomizationID><ID>I-2</ID>", name="invoice"), "invoice", "invoice__ID", ["I-1", "I-2"]),
-        (records("<reference>R</reference><uri>u</uri>", "<reference>S</reference><uri>v</uri>"), "record", None, [None, None]),
-        (records('<sample accession="S-1"><title>A</title></sample>', '<sample accession="S-2"><title>B</title></sample>', name="set"), "set", None, [None, None]),
-        (records("<id>A</id>", "<reference>R</reference>"), "record", "record__id", ["A", None]),
+        (VOYAGES, "voyage", None, [None] * 3),
+        (VOYAGES.replace(" no=", " id="), "voyage", "voyage__attr_id", ["V17", "V18", "V19"]),
+        (two("whale", "<uuid>w-9</uuid>", "<uuid>w-8</uuid>"), "whale", "whale__uuid", ["w-9", "w-8"]),
+        (two("whale", "<uuid>w-9</uuid>", "<uuid>w-9</uuid>"), "whale", None, [None, None]),
+        (two("whale", '<guid value="1-a"/>', '<guid value="1-b"/>'), "whale", "whale__guid__attr_value", ["1-a", "1-b"]),
+        (two("whale", '<pod addr="n4"/>', '<pod addr="n5"/>'), "whale", "whale__pod__attr_addr", ["n4", "n5"]),
+        (two("whale", "<whaleId>7a</whaleId><podId>x</podId>", "<whaleId>7b</whaleId><podId>y</podId>"), "whale", "whale__whaleId", ["7a", "7b"]),
+        (two("whale", "<whaleId>7a</whaleId><about>Moby</about>", "<whaleId>7b</whaleId><about>Keiko</about>"), "whale", "whale__about", ["Moby", "Keiko"]),
+        (two("whale", "<tooth><uuid>t1</uuid></tooth>", "<tooth><uuid>t2</uuid></tooth>"), "whale", None, [None, None]),
+        (two("whale", "<rapid>yes</rapid><link>l1</link>", "<rapid>no</rapid><link>l2</link>"), "whale", None, [None, None]),
+        (two("whale", "<record_reference>r1</record_reference>", "<record_reference>r2</record_reference>"), "whale", None, [None, None]),
+        (two("whale", "<uuid> TRUE</uuid>", "<uuid>false </uuid>"), "whale", None, [None, None]),
+        (two("whale", "<guid>only</guid>", "<sound>low</sound>"), "whale", "whale__guid", ["only", None]),
     ],
 )
 def test_source_keys(spark, text, name, column, values):
@@ -108,12 +107,12 @@ def test_source_keys(spark, text, name, column, values):
 
 
 def test_alternating_siblings_are_entities(spark):
-    found = made(spark, "<c><k>a</k><s>1</s><k>b</k><i>2</i></c>")
-    assert {r.xml_entity for r in found.table.collect()} == {"c", "k", "s", "i"}
+    found = made(spark, "<q><day>mon</day><rain>1</rain><day>tue</day><sun>2</sun></q>")
+    assert {r.xml_entity for r in found.table.collect()} == {"q", "day", "rain", "sun"}
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "c.xml").write_text(CATALOG)
+    (tmp_path / "c.xml").write_text(MUSEUM)
     sylva.rectangle_xml_analyst_csv(spark, str(tmp_path / "c.xml"), str(tmp_path / "new" / "c.csv"), include_misc=False)
     text = (tmp_path / "new" / "c.csv").read_text()
     assert "\\N" in text
@@ -121,7 +120,7 @@ def test_files(spark, tmp_path):
     found = sylva.rectangle_xml_analyst_parquet(spark, str(tmp_path / "c.xml"), str(tmp_path / "c.parquet"))
     assert (tmp_path / "c.parquet").is_file()
     assert spark.read.parquet(str(tmp_path / "c.parquet")).dtypes == found.table.dtypes
-    (tmp_path / "n.xml").write_text("<root><value>\\N</value></root>")
+    (tmp_path / "n.xml").write_text("<jar><lid>\\N</lid></jar>")
     with pytest.raises(ValueError, match="occurs as genuine source data"):
         sylva.rectangle_xml_analyst_csv(spark, str(tmp_path / "n.xml"), str(tmp_path / "n.csv"))
     assert not (tmp_path / "n.csv").exists()
