@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, maybe_broadcast, written
 
 #: Sets and elements in a part of a block.
 PART_SETS, PART_ELEMENTS = 1000, 500_000
@@ -126,42 +126,61 @@ def common_span(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(at[0]), int(at[-1]) + 1
 
 
-def in_cells(sets: DataFrame) -> DataFrame:
+def block_parts(sizes: DataFrame) -> DataFrame:
+    """block, parts of the blocks that are cut, as a table. sizes: block, sets, total (elements)."""
+    parts = F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("total") / PART_ELEMENTS)).cast("int")
+    return written(sizes.select("block", parts.alias("parts")).where("parts > 1"), "parts")
+
+
+def in_cells(sets: DataFrame, parts: DataFrame) -> DataFrame:
     """block, i, j, side, id, elements: each set in the cells where its part of the block meets the block's parts.
 
-    sets: block, id, elements (array<long>). A block of one part has one cell.
+    sets: block, id, elements. parts: of the blocks that are cut. A block of one part has one cell.
     """
-    size = sets.groupBy("block").agg(F.count("*").alias("sets"), F.sum(F.size("elements")).alias("total"))
-    parts = size.select("block", F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("total") / PART_ELEMENTS)).cast("int").alias("parts"))
-    own = sets.join(written(parts, "parts"), "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    n = F.coalesce("parts", F.lit(1))
+    own = sets.join(maybe_broadcast(parts), "block", "left").withColumn("parts", n).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cells.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("side"), "id", "elements")
 
 
-def jaccard_links(sets: DataFrame, percent: int, spans: bool = False) -> DataFrame:
-    """a, b: links between the ids of sets at least so similar, inside blocks; enough of them to give all components.
+def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, parts: DataFrame | None = None) -> DataFrame:
+    """a, b: links between sets at least so similar, inside blocks, as stars: the least id of a cell's component, and another.
 
-    sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: also a_from, a_to, b_from
-    and b_to, the places of the first common element and behind the last one, where elements come in an order.
+    sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: also lo and hi, where in b's
+    elements, which come in an order, the first one and behind the last one is that a partner has; for b = a, too.
+    parts: of block_parts, if sets are to be read once only.
     """
     kind = sets.schema["id"].dataType
-    names = ["a", "b", "a_from", "a_to", "b_from", "b_to"] if spans else ["a", "b"]
     id_type = pa.string() if kind.simpleString() == "string" else pa.int64()
+    names = ["a", "b", "lo", "hi"] if spans else ["a", "b"]
     types = [id_type] * 2 + [pa.int32()] * (len(names) - 2)
 
+    def stars(ids: list, elements: list[np.ndarray], across: np.ndarray | None) -> pa.RecordBatch:
+        up: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while up.setdefault(i, i) != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        reach: dict[int, tuple[int, int]] = {}
+        for a, b in divide_skip([np.unique(x) for x in elements], percent, across):
+            x, y = root(a), root(b)
+            up[max(x, y, key=ids.__getitem__)] = min(x, y, key=ids.__getitem__)
+            if spans:
+                for one, other in ((a, b), (b, a)):
+                    lo, hi = common_span(elements[one], elements[other])
+                    had = reach.get(one, (lo, hi))
+                    reach[one] = (min(lo, had[0]), max(hi, had[1]))
+        rows = [(ids[root(i)], ids[i], *reach.get(i, ())) for i in up if spans or root(i) != i]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
     def search(batches):
         key, ids, sides, elements = None, [], [], []
 
         def links():
-            across = np.array(sides) if key[1] != key[2] else None
-            rows = []
-            for a, b in divide_skip([np.unique(x) for x in elements], percent, across):
-                row = (ids[a], ids[b])
-                if spans:
-                    row += (*common_span(elements[a], elements[b]), *common_span(elements[b], elements[a]))
-                rows.append(row)
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            return stars(ids, elements, np.array(sides) if key[1] != key[2] else None)
 
         for batch in batches:
             blocks, i, j, side, id_ = (batch.column(c).to_pylist() for c in range(5))
@@ -178,6 +197,8 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False) -> DataFra
         if len(ids) > 1:
             yield links()
 
-    cells = in_cells(sets)
+    if parts is None:
+        parts = block_parts(sets.groupBy("block").agg(F.count("*").alias("sets"), F.sum(F.size("elements")).alias("total")))
+    cells = in_cells(sets, parts)
     dealt = cells.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     return map_arrow(dealt, search, ", ".join(f"{n} {'int' if n not in 'ab' else kind.simpleString()}" for n in names))

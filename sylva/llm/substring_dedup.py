@@ -9,17 +9,17 @@ asks for 46 common ones: a run of 50 words, or 55 with a changed word among them
 1. What has no run of words in common with another document has no similar paragraph either: a run of 23 shingles
 is left of each similar pair (an edited word takes five). Of each REACH neighbouring runs of RUN words one is
 chosen by its hash, so such a run of shingles holds one; only around the chosen runs that two documents have, paragraphs are
-made. 2. Equal paragraphs are a class. Classes with the same center collide if they agree in one of BANDS bands of ROWS
-MinHash values each: a pair with 46 of 56 common shingles by a chance of 0.99, and a passage has several. 3. The components
-of collisions are blocks, in which set_joins finds all pairs with an exact similarity of PERCENT, whatever their number.
+made. 2. Equal paragraphs are a class. Classes collide if they agree in center and in one of BANDS bands, of ROWS MinHash
+values each: a pair with 46 of 56 common shingles by a chance of 0.99, and a passage has several. 3. The classes of a center
+that collide are a block, in which set_joins finds all pairs with an exact similarity of PERCENT, whatever their number.
 4. The components of these links are the kinds. In a kind that several documents have, the paragraphs of the first document
 (by doc_id) stay, the others are removals; of a linked paragraph only what lies between the first and the last shingle that
 its partner has. 5. Spans of a document that overlap are one passage; passages that share kinds, directly or through others,
 are a component.
 
-A run of 51 words leaves a paragraph seven places, of which GAP neighbours always hold a center. In 400 tries each, runs of 51,
-53 and 55 words were found all, 60 words with one changed in the middle in 0.99, with the 16th changed in 0.97. A passage's
-ends may be missed by some words, as its first and last paragraphs needn't begin and end where it does.
+In 300 tries each, all runs of 51 words and more were found; 60 words with one changed in the middle in 0.99, with the 16th
+changed in 0.97, 70 and 100 words with one changed in the middle in 0.99 and all. A passage's ends may be missed by some words, as its
+first and last paragraphs needn't begin and end where it does.
 
 Nulls: a null text, and one with fewer than MIN_WORDS words, has no paragraph. Rows with the same doc_id and text are one
 document; a null doc_id counts last. Repetition within one document alone is none across documents. Of texts with the same
@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, documents, map_arrow, maybe_broadcast, mixed, release, shingle_hashes, text_hash, word_hashes, written
 from .components import components
-from .set_joins import jaccard_links
+from .set_joins import block_parts, jaccard_links
 
 SHINGLE, PERCENT = 5, 80
 #: Words of a paragraph; of one that a text's begin or end cuts off, at least.
 WORDS, MIN_WORDS = 55, 50
 #: Of so many neighbouring shingles at least one is a center; where it stands among a paragraph's shingles.
 GAP, OFFSETS = 7, (12, 38)
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 3, 1
 #: Words of the runs by which texts are chosen; of so many neighbouring runs at least one counts.
 RUN, REACH = 12, 17
 
@@ -146,11 +146,11 @@ def shared_runs(rows: DataFrame) -> DataFrame:
 
 
 def paragraph_table(rows: DataFrame, texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """text_hash, copied, x (class, start, n, k0 ...): the paragraphs of each different text around shared runs, as a table.
+    """text_hash, copied, x (class, start, n, named center, k0 ...): the paragraphs of each different text around shared runs, as a table.
 
     texts: text_hash, doc_id (of the first document with it), copied.
     """
-    names = ["class", "start", "n", *(f"k{k}" for k in range(BANDS))]
+    names = ["class", "start", "n", "named", *(f"k{k}" for k in range(BANDS))]
 
     def kernel(batches):
         reader = Reader()
@@ -163,22 +163,22 @@ def paragraph_table(rows: DataFrame, texts: DataFrame, hits: DataFrame) -> DataF
                 flags = np.zeros(len(h) + 1, np.int64)  # a common run may begin and end so many words before and after
                 np.add.at(flags, np.maximum(at - REACH, 0), 1)
                 np.add.at(flags, np.minimum(at + RUN + REACH - SHINGLE + 1, len(h)), -1)
-                class_, a, b, center, grams = reader.paragraphs(h, np.cumsum(flags) > 0)
-                found.append((class_.astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), *reader.bands(grams, a, b, center).astype(np.int64)))
+                class_, a, b, named, grams = reader.paragraphs(h, np.cumsum(flags) > 0)
+                found.append((class_.astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), named.astype(np.int64), *reader.bands(grams, a, b, named).astype(np.int64)))
                 ends.append(ends[-1] + len(a))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * BANDS]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * (1 + BANDS)]
             columns = [pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], kind) for kind in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))], ["text_hash", "copied", "x"])
 
     wanted = maybe_broadcast(hits.join(texts, "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), "copied", "keys"))
     found = rows.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text_hash", "copied", "text", "keys")
-    kind = "x array<struct<class:long,start:int,n:int," + ",".join(f"k{k}:long" for k in range(BANDS)) + ">>"
+    kind = "x array<struct<class:long,start:int,n:int,named:long," + ",".join(f"k{k}:long" for k in range(BANDS)) + ">>"
     return written(map_arrow(found, kernel, f"text_hash long, copied boolean, {kind}"), "paragraphs")
 
 
 def class_table(paragraphs: DataFrame) -> DataFrame:
-    """class, text_hash (of one text that has it), repeated (whether several documents have it), k0 ...; as a table."""
-    keys = [f"k{k}" for k in range(BANDS)]
+    """class, text_hash (of one text that has it), repeated (whether several documents have it), named, k0 ...; as a table."""
+    keys = ["named", *(f"k{k}" for k in range(BANDS))]
     each = paragraphs.select("text_hash", "copied", F.explode("x").alias("x"))
     sums = each.groupBy(F.col("x.class").alias("class")).agg(
         F.min("text_hash").alias("text_hash"), F.max("text_hash").alias("other"), F.max("copied").alias("copied"), *(F.min(f"x.{k}").alias(k) for k in keys)
@@ -186,15 +186,28 @@ def class_table(paragraphs: DataFrame) -> DataFrame:
     return written(sums.select("class", "text_hash", (F.col("copied") | (F.col("text_hash") != F.col("other"))).alias("repeated"), *keys), "classes")
 
 
-def class_links(rows: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, a_from, a_to, b_from, b_to: links between similar classes, enough to join their components; as a table."""
-    keys = classes.select("class", F.explode(F.array(*(f"k{k}" for k in range(BANDS)))).alias("key"))
-    shared = written(keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key", "least"), "shared")
-    blocks = written(components(keys.join(maybe_broadcast(shared), "key").where("class != least").select("class", "least").distinct()), "blocks")
-    release(shared)
-    found = classes.select("class", "text_hash").join(blocks, classes["class"] == blocks["id"])
-    found = found.groupBy("text_hash").agg(F.collect_list(F.struct("class", "component")).alias("x"))
-    wanted = found.join(texts.select("text_hash", "doc_id"), "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), F.col("x.class").alias("classes"), F.col("x.component").alias("blocks"))
+def colliding(classes: DataFrame) -> DataFrame:
+    """class, text_hash, named of the classes that another one agrees with in center and in a band, as a table. Band by band."""
+    found = []
+    for k in range(BANDS):
+        keys = classes.select("class", "text_hash", "named", F.col(f"k{k}").alias("key"))
+        shared = written(keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key"), "shared")
+        found.append(written(keys.join(maybe_broadcast(shared), "key").select("class", "text_hash", "named"), "band"))
+        release(shared)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    out = written(every.distinct(), "colliding")
+    release(*found)
+    return out
+
+
+def class_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b, lo, hi: links between similar classes, as stars; as a table. found: classes that collide."""
+    sizes = found.groupBy(F.col("named").alias("block")).agg(F.count("*").alias("sets"), (F.count("*") * (WORDS - SHINGLE + 1)).alias("total"))
+    parts = block_parts(sizes)
+    found = found.groupBy("text_hash").agg(F.collect_list(F.struct("class", "named")).alias("x"))
+    wanted = found.join(maybe_broadcast(texts.select("text_hash", "doc_id")), "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), F.col("x.class").alias("classes"), F.col("x.named").alias("blocks"))
     wanted = written(wanted, "wanted")
 
     def kernel(batches):
@@ -215,17 +228,16 @@ def class_links(rows: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(ids, pa.int64()), _lists(elements, pa.int32())], ["block", "id", "elements"])
 
     docs = rows.join(maybe_broadcast(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "classes", "blocks")
-    sets = written(map_arrow(docs, kernel, "block long, id long, elements array<int>"), "sets")
-    out = written(jaccard_links(sets, PERCENT, spans=True), "links")
-    release(blocks, wanted, sets)
+    sets = map_arrow(docs, kernel, "block long, id long, elements array<int>")
+    out = written(jaccard_links(sets, PERCENT, spans=True, parts=parts), "links")
+    release(wanted, parts)
     return out
 
 
-def similar_spans(paragraphs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+def similar_spans(places: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """text_hash, a, b, kind: the paragraphs of each different text that other documents have, too, by their words; as a table."""
     merged = written(components(links.select("a", "b")), "merged")
-    ends = [links.select(F.col(x).alias("class"), F.col(f"{x}_from").alias("lo"), (F.col(f"{x}_to") + SHINGLE - 1).alias("hi")) for x in "ab"]
-    parts = ends[0].unionByName(ends[1]).groupBy("class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    parts = links.groupBy(F.col("b").alias("class")).agg(F.min("lo").alias("lo"), (F.max("hi") + SHINGLE - 1).alias("hi"))
     whole = F.col("repeated")
     kinds = classes.select("class", "text_hash", "repeated").join(merged.withColumnRenamed("id", "class"), "class", "left").where(whole | F.col("component").isNotNull())
     kinds = kinds.join(parts, "class", "left").select("class", "text_hash", "repeated", F.coalesce("component", "class").alias("kind"), F.when(~whole, F.col("lo")).alias("lo"), F.when(~whole, F.col("hi")).alias("hi"))
@@ -233,8 +245,7 @@ def similar_spans(paragraphs: DataFrame, classes: DataFrame, links: DataFrame) -
     # A kind of which all paragraphs are in one document is none across documents.
     across = kinds.groupBy("kind").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y"), F.max("repeated").alias("r")).where("r OR x != y").select("kind")
     kept = written(kinds.join(across, "kind").select("class", "kind", "lo", "hi"), "kept_kinds")
-    each = paragraphs.select("text_hash", F.explode("x").alias("x")).select("text_hash", "x.class", "x.start", "x.n")
-    spans = each.join(maybe_broadcast(kept), "class")
+    spans = places.join(maybe_broadcast(kept), "class")
     a, b = F.col("start") + F.coalesce("lo", F.lit(0)), F.col("start") + F.least("n", F.coalesce("hi", "n"))
     out = written(spans.select("text_hash", a.alias("a"), b.alias("b"), "kind"), "text_spans")
     release(merged, kinds, kept)
@@ -252,9 +263,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     paragraphs = paragraph_table(rows, texts, hits)
     release(hits)
     classes = class_table(paragraphs)
-    links = class_links(rows, texts, classes)
-    spans = similar_spans(paragraphs, classes, links)
-    release(paragraphs, classes, links)
+    places = written(paragraphs.select("text_hash", F.explode("x").alias("x")).select("text_hash", "x.class", "x.start", "x.n"), "places")
+    release(paragraphs)
+    found = colliding(classes)
+    whole, classes = classes, written(classes.select("class", "text_hash", "repeated"), "slim")
+    release(whole)
+    links = class_links(rows, texts, found)
+    release(found)
+    spans = similar_spans(places, classes, links)
+    release(places, classes, links)
     first = spans.select("text_hash", "kind").distinct().join(maybe_broadcast(texts), "text_hash").groupBy("kind").agg(F.min(_place()).alias("first"))
     first = written(first.select("kind", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_hash")), "first_of_kind")
     spans = spans.join(maybe_broadcast(first), "kind").select("text_hash", "a", "b", "kind", "first_doc", "first_hash")
@@ -276,12 +293,15 @@ def _passages(spans: DataFrame) -> DataFrame:
     by_fate = Window.partitionBy("doc_id", "text_hash", "removed").orderBy("a", "b", "kind")
     reach = F.max("b").over(by_fate.rowsBetween(Window.unboundedPreceding, -1))
     apart = marked.withColumn("new", (reach.isNull() | (F.col("a") >= reach)).cast("int")).withColumn("own", F.sum("new").over(by_fate.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = apart.groupBy("doc_id", "text_hash", "removed", "own").agg(F.min("a").alias("start_word"), F.max("b").alias("end"), F.min("kind").alias("kind"))
-    inside = Window.partitionBy("doc_id", "text_hash", "number")
-    edges = marked.select("kind", F.min("kind").over(inside).alias("least")).where("kind != least").distinct()
+    passages = apart.groupBy("doc_id", "text_hash", "removed", "own").agg(F.min("a").alias("start_word"), F.max("b").alias("end"), F.first(F.xxhash64("doc_id", "text_hash", "number")).alias("passage"))
+    # Passages meet in their kinds: each is joined to the least passage of a kind, which for most of its kinds is the same one.
+    members = marked.select(F.xxhash64("doc_id", "text_hash", "number").alias("passage"), "kind").distinct()
+    least = written(members.groupBy("kind").agg(F.min("passage").alias("least")), "least")
+    edges = members.join(least, "kind").select("passage", "least").where("passage != least").distinct()
     joined = written(components(edges), "joined")
-    out = passages.join(maybe_broadcast(joined), passages["kind"] == joined["id"], "left").withColumn("component_id", F.coalesce("component", "kind"))
+    out = passages.join(maybe_broadcast(joined), passages["passage"] == joined["id"], "left").withColumn("component_id", F.coalesce("component", "passage"))
     out = written(out.select("doc_id", "text_hash", "start_word", (F.col("end") - F.col("start_word")).cast("int").alias("n_words"), "component_id", "removed"), "passages")
+    release(least, collect=False)
     first = written(out.groupBy("component_id").agg(F.min("doc_id").alias("first_doc_id")), "first")
     release(marked, joined)
     return out.join(maybe_broadcast(first), "component_id").select("doc_id", "text_hash", "start_word", "n_words", "component_id", "first_doc_id", "removed")
