@@ -2,17 +2,19 @@
 
 Every source is a queue of its documents in a shuffled order, passed through up to `epochs` times. A copy
 of a document gets a virtual finish time: the words of its source up to its end, divided by the source's
-weight. The copies of all sources, sorted by that time, are the mix; it ends where the budget is used up.
-A source that has run out leaves its share to the others by weight, as the queue prescribes.
+weight. The copies of all sources are sorted by that time, by range over all tasks, and summed up in this order; the mix
+ends where the budget is used up. A source that has run out leaves its share to the others by weight, as the queue prescribes.
 
 Nulls: a null text has no words, a null source is a source of its own, a null doc_id is a value like any
-other. Documents without words take no part (taken 0). Rows that are equal in all columns are
-interchangeable. An empty table gives an empty result. Columns of other names are kept out.
+other. Documents without words take no part (taken 0). Very long texts are counted whole; one that doesn't fit in what is
+left of the budget ends the mix. Rows with the same doc_id, source and text finish together and are taken alike; ties between
+others go by name, then by the shuffled order. Sources are a bounded catalogue: they are summed in one task, documents never.
+An empty table gives an empty result. Columns of other names are kept out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, documents, maybe_broadcast, text_hash, written
@@ -21,10 +23,8 @@ SEED = 11
 EPOCHS = 3
 #: The shuffled order of a source is cut into so many runs, which are summed apart.
 RUNS = 4096
-#: Virtual time is histogrammed in so many bins at each look for the end of the budget.
-BINS = 4096
-#: The end is looked for exactly once so few copies are left in its bin.
-EXACT = 20_000
+#: What orders the mix: the virtual finish time, and what tells apart copies that finish at one time.
+ORDER = ("finish", "name", "place", "doc_id", "text_hash")
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -67,13 +67,13 @@ def timed(queue: DataFrame, shares: DataFrame) -> DataFrame:
     """queue with done (words of the source up to the document's end, in one pass) and the source's figures, as a table.
 
     The running sum of a source is that of its runs plus that within a run, so that a source with most of the
-    rows is summed by as many tasks as there are runs.
+    rows is summed by as many tasks as there are runs. Equal rows are peers in the window and get the same sum.
     """
     before = Window.partitionBy("name").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = queue.groupBy("name", "run").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(shares, "name")
-    within = Window.partitionBy("name", "run").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("name", "run").orderBy("place", "doc_id", "text_hash").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = queue.join(runs, ["name", "run"]).withColumn("done", F.col("before") + F.sum("size").over(within))
-    return written(out.select("doc_id", "source", "text_hash", "name", "size", "source_size", "weight", "target", "done"), "timed")
+    return written(out.select("doc_id", "source", "text_hash", "name", "place", "size", "source_size", "weight", "target", "done"), "timed")
 
 
 def copies(times: DataFrame, epochs: int = EPOCHS) -> DataFrame:
@@ -82,75 +82,51 @@ def copies(times: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return times.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn("finish", finish)
 
 
-def mix_end(queue: DataFrame, budget: int) -> tuple[float, str]:
-    """The last (finish, name) in the mix: the copies up to there, in global order, hold at most the budget.
+def range_sorted(queue: DataFrame) -> DataFrame:
+    """The copies in the order of the mix, as a table of ranges (part), with until: the words of the mix up to each one's end.
 
-    The order is a range sort: virtual time is cut into bins, the bins' words are summed, and the bin in which
-    the budget ends is cut again, until its few copies are sorted one by one. Only the bins' sums, at most BINS
-    rows, and those few copies leave the executors.
+    Ranges are sorted and summed apart, each by one task; what is before a range is the sum of those before it.
     """
-    low, high = 0.0, queue.agg(F.max("finish")).first()[0]
-    left, rest = budget, queue
-    if high is None:
-        return 0.0, ""
-    while True:
-        inside = queue.where((F.col("finish") > low) & (F.col("finish") <= high)) if low or rest is not queue else queue
-        width = (high - low) / BINS
-        index = F.least(F.ceil((F.col("finish") - low) / width), F.lit(BINS)) if width > 0 else F.lit(1)
-        bins = inside.groupBy(index.cast("int").alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last"))
-        end = None
-        for b in sorted(bins.collect()):
-            if b.words > left:
-                end = b
-                break
-            left -= b.words
-            low = b.last
-        if end is None:
-            return high, "~"
-        if end.n <= EXACT or end.first == end.last:
-            break
-        low, high, rest = max(low, _below(end.first)), end.last, inside
-    last = (low, "~")
-    within = queue.where((F.col("finish") > low) & (F.col("finish") <= end.last)).groupBy("finish", "name").agg(F.sum("size").alias("words"))
-    for x in within.orderBy("finish", "name").limit(EXACT).collect():
-        if x.words > left:
-            break
-        left -= x.words
-        last = (x.finish, x["name"])
-    return last
-
-
-def _below(x: float) -> float:
-    import math
-
-    return math.nextafter(x, -math.inf)
+    parts = queue.select(*ORDER, "size").repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id())
+    parts = written(parts, "sorted")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("part").agg(F.sum("size").alias("words")).select("part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("part").orderBy(*ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return parts.join(maybe_broadcast(starts), "part").withColumn("until", F.col("start") + F.sum("size").over(within))
+
+
+def mix_end(queue: DataFrame, budget: int) -> Row | None:
+    """The last copy in the mix, by what orders it: the copies up to there hold at most the budget. None: nothing fits."""
+    return range_sorted(queue).where(F.col("until") <= budget).agg(F.max(F.struct(*ORDER)).alias("last")).first().last
 
 
 def mix_sources(docs: DataFrame, weights=cycled_weights, epochs: int = EPOCHS, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """The mix's share of every document: doc_id, source, text_hash, size, source_size, target, copies, taken (words).
 
-    weights: name, weight as a DataFrame, or a function of the queue that makes it. Sort `copies` of the result's
-    queue by (finish, name) for the order itself.
+    weights: name, weight as a DataFrame, or a function of the queue that makes it. range_sorted(copies(timed(...))) has
+    the order itself.
     """
     queue = queued(docs, seed)
     shares = written(targets(queue, weights(queue) if callable(weights) else weights, epochs, budget), "shares")
     times = timed(queue, shares)
     if budget is None:
         budget = shares.agg(F.sum("source_size")).first()[0] or 0
-    finish, name = mix_end(copies(times, epochs), int(budget))
-    passes = [(F.lit(e) * F.col("source_size") + F.col("done")) / F.col("weight") for e in range(epochs)]
-    taken = sum(((p < finish) | ((p == finish) & (F.col("name") <= name))).cast("int") for p in passes)
+    last = mix_end(copies(times, epochs), int(budget))
+    if last is None:
+        taken = F.lit(0)
+    else:
+        end = F.struct(*(F.lit(last[c]).cast(times.schema[c].dataType if c != "finish" else "double").alias(c) for c in ORDER))
+        passes = [F.struct(((F.lit(e) * F.col("source_size") + F.col("done")) / F.col("weight")).alias("finish"), *ORDER[1:]) for e in range(epochs)]
+        taken = sum(((p <= end).cast("int") for p in passes), F.lit(0))
     out = times.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs with a row for each pass of the mix over a document; rows with the same doc_id, source and text are one document."""
-    taken = mix_sources(docs, **how).where("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("_sylva_copies"), F.count("*").alias("n"))
-    taken = written(taken.select(F.col("doc_id").alias("_sylva_id"), F.col("source").alias("_sylva_source"), F.col("text_hash").alias("_sylva_hash"), "_sylva_copies", "n"), "taken")
-    if taken.where("n > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "source", "text"])
-    right = maybe_broadcast(taken.drop("n"))
+    """docs with a row for each pass of the mix over a document; rows with the same doc_id, source and text are taken alike."""
+    taken = mix_sources(docs, **how).where("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.max("copies").alias("_sylva_copies"))
+    taken = written(taken.select(F.col("doc_id").alias("_sylva_id"), F.col("source").alias("_sylva_source"), F.col("text_hash").alias("_sylva_hash"), "_sylva_copies"), "taken")
+    right = maybe_broadcast(taken)
     same = (text_hash(docs["text"]) == F.col("_sylva_hash")) & docs["doc_id"].eqNullSafe(F.col("_sylva_id")) & docs["source"].eqNullSafe(F.col("_sylva_source"))
     passes = F.explode(F.sequence(F.lit(1), F.col("_sylva_copies").cast("int"))).alias("_sylva_pass")
     return docs.join(right, same).select(*(docs[c] for c in docs.columns), passes).drop("_sylva_pass")
