@@ -3,7 +3,7 @@
 Each task has a DuckDB database of its own with the merge table of the vocabulary. The distinct pre-tokens of a
 batch become rows (word, position, token); a recursive query joins neighbours to the merge table and contracts
 each word's leftmost pair of least rank, until no word has a pair. The ids of a text are those of its pre-tokens
-in order. Decoding joins (position, id) rows to the vocabulary and aggregates each text's bytes in order of position.
+in order. Decoding joins (text, position, id) rows to the vocabulary and aggregates each text's pieces in order of position.
 
 Nulls: a null text is encoded as an empty one, null ids decode to nothing; doc_id may be null or repeated. A
 pre-token of more than LONG bytes is contracted pair by pair outside SQL, where the steps of a recursive query
@@ -27,8 +27,9 @@ from .common import documents, gathered
 from .pretokens import PreTokenizer
 
 LONG = 256
-#: Pre-tokens in one recursive query, rows in one decoding query, and remembered pre-tokens: bounds on memory.
-WORDS, ROWS, KNOWN = 40_000, 1_000_000, 1_000_000
+#: Rows of all steps of one recursive query (at most the squares of its words' lengths), rows in one decoding query, and
+#: remembered pre-tokens: bounds on memory. Nothing is spilled to a machine's disk.
+STEP_ROWS, ROWS, KNOWN = 4_000_000, 1_000_000, 1_000_000
 #: Rows whose new pre-tokens are contracted together.
 GATHERED = 8000
 
@@ -63,8 +64,8 @@ FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) last ON s.w = last.w
 GROUP BY s.w ORDER BY s.w
 """
 
-# The bytes in order of place; a text's are then one slice.
-DECODE = "SELECT piece FROM rows JOIN vocabulary USING (tok) ORDER BY pos"
+# An id that the vocabulary doesn't have gives a null piece.
+DECODE = "SELECT text, list(piece ORDER BY pos) AS pieces FROM rows LEFT JOIN vocabulary USING (tok) GROUP BY text ORDER BY text"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,7 +82,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.split = PreTokenizer(pattern).split
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         l, r, merged = np.array(pairs, dtype=np.int64).T
         merges = pa.table({"pair": (l << 32) + r, "merged": merged.astype(np.int32)})
@@ -119,8 +120,8 @@ class Codec:
         for p, _ in single:
             self.known[p] = len(self.known)
         self._keep(np.ones(len(single), np.int64), np.array([n for _, n in single], np.int32))
-        for i in range(0, len(short), WORDS):
-            part = short[i : i + WORDS]
+        for i, j in _runs([len(b) ** 2 for _, b in short], STEP_ROWS):
+            part = short[i:j]
             for p, _ in part:
                 self.known[p] = len(self.known)
             self._keep(*self.contract([b for _, b in part]))
@@ -164,20 +165,23 @@ class Codec:
         return ids, np.concatenate([[0], ends])[counts]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The bytes of each text; ends: where each text's ids end, from 0."""
-        self.db.register("rows", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "tok": ids}))
-        parts = self.db.sql(DECODE).to_arrow_table()["piece"].chunks
+        """The bytes of each text; ends: where each text's ids end, from 0. An ordered aggregation of their pieces."""
+        text = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+        self.db.register("rows", pa.table({"text": text, "pos": np.arange(len(ids), dtype=np.int32), "tok": ids}))
+        found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("rows")
-        if sum(map(len, parts)) != len(ids):
-            raise ValueError("an id that the vocabulary doesn't have")
-        places, data = [np.zeros(1, np.int64)], []
-        for part in parts:  # a chunk's bytes lie one after the other
-            _, offsets, values = part.buffers()
-            at = np.frombuffer(offsets, np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
-            data.append(memoryview(values or b"")[at[0] : at[-1]])
-            places.append(places[-1][-1] + at[1:] - at[0])
-        whole, at = b"".join(data), np.concatenate(places)[ends].tolist()
-        return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        out = [b""] * (len(ends) - 1)
+        for batch in found.to_batches():
+            lists = batch.column("pieces")
+            pieces = lists.values
+            if pieces.null_count:
+                raise ValueError("an id that the vocabulary doesn't have")
+            _, offsets, values = pieces.buffers()
+            at = np.frombuffer(offsets, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1][lists.offsets.to_numpy()]
+            data = memoryview(values or b"")  # the pieces of a list lie one after the other
+            for i, a, b in zip(batch.column("text").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[i] = bytes(data[a:b])
+        return out
 
 
 def contract_long(tokens: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
