@@ -8,7 +8,9 @@ just their hashes.
 
 Nulls: a null text has no lines and stays null; a null doc_id counts last. Repeated rows (doc_id and text the same)
 are one document: its chunks stay or go in all of them. A chunk of one line, or with fewer than two lines that have
-words, is never removed. An empty table gives an empty result. Extra columns are carried along.
+words, is never removed. Very long texts are read whole; their chunks travel as hashes until they are known to be repeated.
+Ties can't be: two chunks of one place don't begin alike. An empty table gives an empty result. Extra columns are carried
+along; those that are called like the counts that dedup_lines adds give way to them.
 """
 
 from __future__ import annotations
@@ -79,10 +81,13 @@ def removed_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     repeated = table.join(maybe_broadcast(often), "chunk")
     by_row = repeated.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("chunk", "start", "lines")).alias("x"))
     by_row = written(by_row.select(F.col("doc_id").alias("_sylva_id"), F.col("text_hash").alias("_sylva_hash"), "x"), "repeated")
-    texts = docs.select("doc_id", "text")
-    rows = texts.join(maybe_broadcast(by_row), _of_row(texts, by_row)).select("doc_id", "_sylva_hash", F.split("text", "\n").alias("all"), F.explode("x").alias("x"))
+    # The lines are made below the join: above it, each chunk would split the text anew.
+    texts = docs.select("doc_id", "text", F.split("text", "\n").alias("all"))
+    rows = texts.join(maybe_broadcast(by_row), _of_row(texts, by_row)).select("doc_id", "_sylva_hash", "all", "x")
+    sliced = F.transform("x", lambda c: F.struct(c["chunk"].alias("chunk"), c["start"].alias("start"), c["lines"].alias("lines"), F.array_join(F.slice("all", c["start"] + 1, c["lines"]), "\n").alias("bytes")))
+    rows = rows.select("doc_id", "_sylva_hash", F.explode(sliced).alias("x"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_sylva_hash").alias("text_hash"), F.col("x.start").alias("start"))
-    found = rows.select("x.chunk", F.array_join(F.slice("all", F.col("x.start") + 1, F.col("x.lines")), "\n").alias("bytes"), place.alias("place"), "x.lines")
+    found = rows.select("x.chunk", "x.bytes", place.alias("place"), "x.lines")
     found = written(found, "candidates")
     first = written(found.groupBy("chunk", "bytes").agg(F.min("place").alias("first")), "first")  # apart, so that AQE can split a hot chunk's rows
     gone = found.join(first, ["chunk", "bytes"]).where("place != first")
@@ -93,20 +98,31 @@ def removed_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     return written(gone, "gone")
 
 
-def dedup_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """docs with text as it is left, and n_lines, n_removed_lines, n_removed_chunks."""
+COUNTS = ("n_lines", "n_removed_lines", "n_removed_chunks")
+
+
+def deduped(docs: DataFrame, counts: str = "_sylva_counts", spread: int = SPREAD) -> DataFrame:
+    """docs with text as it is left, and a column `counts`: a struct of n_lines, n_removed_lines and n_removed_chunks."""
     gone = removed_lines(docs, spread)
-    out = docs.join(maybe_broadcast(gone), _of_row(docs, gone), "left")
-    lines = F.split(docs["text"], "\n")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_sylva_lines"), i)), "\n")
-    counts = {
-        "n_lines": F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed_lines": F.when(F.col("_sylva_lines").isNull(), 0).otherwise(F.size("_sylva_lines")).cast("long"),
-        "n_removed_chunks": F.coalesce("_sylva_chunks", F.lit(0)).cast("long"),
-    }
+    rows = docs.withColumn("_sylva_all", F.split("text", "\n"))  # below the join, like the lines of removed_lines
+    out = rows.join(maybe_broadcast(gone), _of_row(rows, gone), "left")
+    docs, lines = rows.drop("_sylva_all"), F.col("_sylva_all")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_sylva_lines"))
+    left = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("_sylva_lines").isNull(), docs["text"]).otherwise(left)
+    values = (
+        F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)),
+        F.when(F.col("_sylva_lines").isNull(), 0).otherwise(F.size("_sylva_lines")),
+        F.coalesce("_sylva_chunks", F.lit(0)),
+    )
     kept = [docs[c] if c != "text" else text.alias("text") for c in docs.columns]
-    return out.select(*kept, *(v.alias(k) for k, v in counts.items()))
+    return out.select(*kept, F.struct(*(v.cast("long").alias(c) for c, v in zip(COUNTS, values, strict=True))).alias(counts))
+
+
+def dedup_lines(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """docs with text as it is left, and n_lines, n_removed_lines, n_removed_chunks."""
+    docs = docs.drop(*COUNTS)
+    return deduped(docs, spread=spread).select(*docs.columns, "_sylva_counts.*")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
