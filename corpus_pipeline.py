@@ -13,38 +13,48 @@ from pyspark.sql import functions as F
 from sylva.llm.bpe import encoded
 from sylva.llm.classifier import fit, kept
 from sylva.llm.common import documents, written
-from sylva.llm.line_dedup import dedup_lines
+from sylva.llm.line_dedup import deduped
 from sylva.llm.mixing import mixed_documents
 from sylva.llm.ngram_join import one_of_each
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go, equal ones alike; a null text is judged as an empty one."""
     return kept(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; so do documents of which no word is left. n_chars follows the text."""
-    out = dedup_lines(docs)
-    out = out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Repeated chunks of lines go; so do documents of which no word is left. n_chars follows the text.
+
+    A null text stays, equal rows lose the same lines, and columns of any names are carried along.
+    """
+    out = deduped(docs, "_sylva_counts")
+    touched = F.col("_sylva_counts.n_removed_lines") > 0
+    out = out.where(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, length).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(touched, length).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays. Five words and 80 %, as stages on word shingles have it."""
+    """One document of each component of near copies stays. Five words and 80 %, as stages on word shingles have it.
+
+    Of equal rows one stays. A null text, or one without words, is a copy of nothing and stays.
+    """
     return one_of_each(docs, n=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass of the mix over a document; documents without a word aren't in the mix."""
+    """A row for each pass of the mix over a document; equal rows are taken alike.
+
+    A document without a word, or with a null text, isn't in the mix; null sources are a source of their own.
+    """
     return mixed_documents(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids (the tokens of the whole text) and n_tokens."""
+    """doc_id, source, ids (the tokens of the whole text) and n_tokens, for every row; a null text has no tokens."""
     import public_tokenizers
 
     ids = encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("doc_id", "source"))
