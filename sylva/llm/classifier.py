@@ -4,8 +4,8 @@ Two views of a document: its text (how often each byte, hashed word and hashed p
 lines repeat) and its metadata (source and language, by hashed indicators; nothing that the text says, its length included).
 A logistic model of each view is calibrated on labelled documents kept apart. Round by round each view scores all unlabelled
 documents, and of those of which it is confident (CONFIDENT, calibrated) the most certain ones teach the other view. A view
-that has learned from them is kept only if its loss on further labelled documents kept apart doesn't rise: a view that knows
-little passes on nothing, and none gets worse. At the end the calibrated scores are weighed by a last logistic model; it
+that has learned from them is kept only if its loss on further labelled documents kept apart falls by LEAST_GAIN: a view that
+knows little passes on nothing, and none gets worse. At the end the calibrated scores are weighed by a last logistic model; it
 scores every document.
 
 The models are fitted on at most LABELLED labelled documents, picked by a hash of doc_id, so by the same rule at any size.
@@ -36,6 +36,8 @@ from .common import WordHashes, documents, map_arrow, maybe_broadcast, shingle_h
 LABELLED = 6000
 #: Rounds, and documents that a view learns from in each, of both kinds as the labels have them.
 ROUNDS, PER_ROUND = 2, 100
+#: By how much a round must lower a view's loss.
+LEAST_GAIN = 0.005
 #: A view is confident of a document from this calibrated chance on, for or against.
 CONFIDENT = 0.95
 HASHED, WORD_BINS = 64, 128
@@ -191,7 +193,7 @@ def co_train(x: dict[str, np.ndarray], y: np.ndarray, certain, rounds: int = ROU
                 continue
             before, got[v] = got[v], ([*got[v][0], features], [*got[v][1], labels])
             now = calibrated(v)
-            if _loss(now[0], x[v][judge], y[judge]) <= _loss(models[v][0], x[v][judge], y[judge]):
+            if _loss(now[0], x[v][judge], y[judge]) < _loss(models[v][0], x[v][judge], y[judge]) - LEAST_GAIN:
                 models[v] = now
             else:
                 got[v] = before

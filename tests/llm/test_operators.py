@@ -360,6 +360,51 @@ def test_op7_learns(spark, tmp_path):
     assert classifier.scored(docs.select("doc_id", "text"), model).count() == 402
 
 
+def test_op7_gains_from_co_training_or_leaves_it(spark):
+    """On labels kept apart, the rounds leave the order of scores as good as it is without them."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = common.documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    learned = labels.where("doc_id % 2 = 0")
+
+    def ordered(rounds):
+        found = [r for r in classifier.scored(docs, classifier.fit(docs, learned, rounds=rounds)).collect() if r.doc_id in truth and r.doc_id % 2]
+        good, bad = ([r.score for r in found if truth[r.doc_id] == k] for k in (1, 0))
+        return np.mean([(np.array(good) > b).mean() + (np.array(good) == b).mean() / 2 for b in bad])
+
+    without = ordered(0)
+    assert without > 0.95
+    assert ordered(2) >= without - 0.005
+
+
+def test_op7_rounds_teach_what_labels_do_not(spark):
+    """The metadata says what kind a document is, and the text too; labels are few and all of one source."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        words = rng.choice(["loss", "gain", "free", "click"] if bad else ["river", "stone", "cloud", "tree"], 30)
+        rows.append((i, " ".join(words), "feed" if bad else "book", "en"))
+    docs = spark.createDataFrame([*rows, (700, None, None, None), (None, "river stone", "book", "en")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(120)], "doc_id long, quality int")
+    taught = {v: set() for v in classifier.VIEWS}
+    seen = []
+
+    def certain(models, most):
+        seen.append(classifier.most_certain(docs.where("doc_id >= 120").select("text", "source", "lang", common.text_hash().alias("text_hash")), models, most, taught))
+        return seen[-1]
+
+    model = classifier.fit(docs, labels)
+    assert all((r.score >= 0.5) == (r.doc_id % 3 != 0) for r in classifier.scored(docs, model).collect() if r.doc_id is not None and r.doc_id < 600)
+    batch = [r for r in docs.where("doc_id < 120").collect()]
+    x = {"text": np.array([classifier.text_features(r.text, common.WordHashes()) for r in batch]), "meta": np.array([classifier.metadata_features(r.source, r.lang) for r in batch])}
+    classifier.co_train(x, np.array([float(r.doc_id % 3 != 0) for r in batch]), certain, rounds=2, per_round=30)
+    for lessons in seen:
+        for features, kinds in lessons.values():
+            assert len(features) == len(kinds) <= 30
+    assert sum(len(k) for lessons in seen for _, k in lessons.values()) == sum(map(len, taught.values())) > 0
+
+
 def test_op8_line_dedup(spark, docs, rows, empty):
     first, expected = {}, []
     for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -383,6 +428,17 @@ def test_op8_line_dedup(spark, docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_op8_survives_columns_of_its_names(spark):
+    run = "one line\nanother line\na third"
+    rows = [(1, f"x\n{run}", 7, "n"), (2, f"{run}\ny", 8, "m"), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_removed_lines string")
+    found = {r.doc_id: r for r in line_dedup.deduped(docs).collect()}
+    assert (found[2].text, found[2].n_lines, found[2].n_removed_lines, found[2]._sylva_counts.n_removed_lines) == ("y", 8, "m", 3)
+    assert (found[1].text, found[3].text) == (rows[0][1], None)
+    counted = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert (counted[2].n_lines, counted[2].n_removed_lines, counted[3].n_lines) == (4, 3, 0)
+
+
 def test_boundaries_survive_a_shift():
     lines = [f"line number {i * 7919 % 1000}" for i in range(60)]
     a, b = ({h for h, _, _ in line_dedup.chunks("\n".join(x))} for x in (lines, ["new", *lines]))
@@ -431,6 +487,13 @@ def test_op9_quality_rules(spark, docs, rows, empty, monkeypatch):
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
             assert r.kept == (not r.base_failed and 100 * r.lost_words <= 50 * r.n_words)
         assert sum(r.lost_words > 0 for r in found) >= sum(n for n in hosts.values() if n > 5)
+        kept = [r.row for r in quality_rules.cleaned(table, limit=5).collect()]
+        verdicts = Counter((r.doc_id, r.text_hash) for r in found if r.kept)
+        assert len(kept) == sum(verdicts.values())
+        left = {r.row: r.text for r in quality_rules.cleaned(table, limit=5).collect()}
+        for r in with_line:
+            if r[6] in left and hosts[r[2]] > 5:
+                assert left[r[6]] == "\n".join(x for x in r[1].split("\n") if "footer" not in x)
     assert quality_rules.apply_rules(empty).count() == 0
 
 
