@@ -6,8 +6,9 @@ The short ones are merged, by a heap or, where they hold many entries, by counti
 looked up in the long ones by binary search. Only links that join two components are returned: their closure is that of
 all links.
 
-A block with many sets is cut into parts, and each two parts meet in a cell of their own, so no task holds more
-than a cell, whatever the size of a block.
+A block with many sets is cut by size into buckets so wide that similar sets are in one or in neighbours, and these into
+parts. Each two parts that can have similar sets meet in a cell of their own, so no task holds more than a cell, whatever
+the size of a block.
 """
 
 from __future__ import annotations
@@ -127,28 +128,50 @@ def common_span(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def block_parts(sizes: DataFrame) -> DataFrame:
-    """block, parts of the blocks that are cut, as a table. sizes: block, sets, total (elements)."""
-    parts = F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("total") / PART_ELEMENTS)).cast("int")
-    return written(sizes.select("block", parts.alias("parts")).where("parts > 1"), "parts")
+    """block, bucket, own, up, down: the parts of the buckets of blocks that are cut, and of the buckets next to them; as a table.
+
+    sizes: block, bucket, sets, total (elements).
+    """
+    parts = lambda sets, total: F.greatest(F.ceil(sets / PART_SETS), F.ceil(total / PART_ELEMENTS)).cast("int")
+    large = sizes.groupBy("block").agg(parts(F.sum("sets"), F.sum("total")).alias("n")).where("n > 1").select("block")
+    cut = written(sizes.join(large, "block").select("block", "bucket", parts(F.col("sets"), F.col("total")).alias("own")), "parts")
+    for name, step in (("up", 1), ("down", -1)):
+        other = cut.select("block", (F.col("bucket") - step).alias("bucket"), F.col("own").alias(name))
+        cut = cut.join(other, ["block", "bucket"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return cut
 
 
 def in_cells(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """block, i, j, side, id, elements: each set in the cells where its part of the block meets the block's parts.
+    """block, x, y, i, j, side, id, elements: each set in the cells where its part (x, i or y, j) of the block meets others.
 
-    sets: block, id, elements. parts: of the blocks that are cut. A block of one part has one cell.
+    sets: block, bucket, id, elements. parts: of block_parts. A block that isn't cut has one cell.
     """
-    n = F.coalesce("parts", F.lit(1))
-    own = sets.join(maybe_broadcast(parts), "block", "left").withColumn("parts", n).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return cells.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("side"), "id", "elements")
+    own = sets.join(maybe_broadcast(written(parts, "cuts")), ["block", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1))).cast("int"))
+    bucket, part, no = F.col("bucket"), F.col("part"), F.array().cast("array<int>")
+
+    def upto(n: str):
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(no)
+
+    def cell(x, y, i, j, side):
+        return F.struct(x.alias("x"), y.alias("y"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    zero = F.lit(0)
+    cells = F.when(F.col("own").isNull(), F.array(cell(zero, zero, zero, zero, F.lit(False)))).otherwise(
+        F.concat(
+            F.transform(upto("own"), lambda j: cell(bucket, bucket, F.least(part, j), F.greatest(part, j), part > j)),
+            F.transform(upto("up"), lambda j: cell(bucket, bucket + 1, part, j, F.lit(False))),
+            F.transform(upto("down"), lambda j: cell(bucket - 1, bucket, j, part, F.lit(True))),
+        )
+    )
+    return own.withColumn("cell", F.explode(cells)).select("block", "cell.*", "id", "elements")
 
 
-def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, parts: DataFrame | None = None) -> DataFrame:
+def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """a, b: links between sets at least so similar, inside blocks, as stars: the least id of a cell's component, and another.
 
     sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: also lo and hi, where in b's
     elements, which come in an order, the first one and behind the last one is that a partner has; for b = a, too.
-    parts: of block_parts, if sets are to be read once only.
+    counts: block, sets, total (elements), where they are known and all sets are about as large, so that sets are read once only.
     """
     kind = sets.schema["id"].dataType
     id_type = pa.string() if kind.simpleString() == "string" else pa.int64()
@@ -180,13 +203,15 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, parts: Dat
         key, ids, sides, elements = None, [], [], []
 
         def links():
-            return stars(ids, elements, np.array(sides) if key[1] != key[2] else None)
+            _, x, y, i, j = key
+            return stars(ids, elements, np.array(sides) if (x, i) != (y, j) else None)
 
         for batch in batches:
-            blocks, i, j, side, id_ = (batch.column(c).to_pylist() for c in range(5))
-            values, at = batch.column(5).flatten().to_numpy(), 0
-            for row, size in enumerate(batch.column(5).value_lengths().to_pylist()):
-                if (now := (blocks[row], i[row], j[row])) != key:
+            *cells, side, id_ = (batch.column(c).to_pylist() for c in range(7))
+            cells = list(zip(*cells, strict=True))
+            values, at = batch.column(7).flatten().to_numpy(), 0
+            for row, size in enumerate(batch.column(7).value_lengths().to_pylist()):
+                if (now := cells[row]) != key:
                     if len(ids) > 1:
                         yield links()
                     key, ids, sides, elements = now, [], [], []
@@ -197,8 +222,13 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, parts: Dat
         if len(ids) > 1:
             yield links()
 
-    if parts is None:
-        parts = block_parts(sets.groupBy("block").agg(F.count("*").alias("sets"), F.sum(F.size("elements")).alias("total")))
-    cells = in_cells(sets, parts)
-    dealt = cells.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    if counts is None:
+        # Sizes of similar sets differ by less than a bucket; the sum keeps exact bounds on their side.
+        bucket = F.floor((F.log(F.size("elements").cast("double")) + 1e-9) / math.log(100 / percent)).cast("int")
+        sets = sets.withColumn("bucket", bucket)
+        sizes = sets.groupBy("block", "bucket").agg(F.count("*").alias("sets"), F.sum(F.size("elements")).alias("total"))
+    else:
+        sets, sizes = sets.withColumn("bucket", F.lit(0)), counts.withColumn("bucket", F.lit(0))
+    cells = in_cells(sets, block_parts(sizes))
+    dealt = cells.repartition("block", "x", "y", "i", "j").sortWithinPartitions("block", "x", "y", "i", "j")
     return map_arrow(dealt, search, ", ".join(f"{n} {'int' if n not in 'ab' else kind.simpleString()}" for n in names))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, documents, map_arrow, maybe_broadcast, mixed, release, shingle_hashes, text_hash, word_hashes, written
 from .components import components
-from .set_joins import block_parts, jaccard_links
+from .set_joins import jaccard_links
 
 SHINGLE, PERCENT = 5, 80
 #: Words of a paragraph; of one that a text's begin or end cuts off, at least.
@@ -204,8 +204,7 @@ def colliding(classes: DataFrame) -> DataFrame:
 
 def class_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     """a, b, lo, hi: links between similar classes, as stars; as a table. found: classes that collide."""
-    sizes = found.groupBy(F.col("named").alias("block")).agg(F.count("*").alias("sets"), (F.count("*") * (WORDS - SHINGLE + 1)).alias("total"))
-    parts = block_parts(sizes)
+    counts = written(found.groupBy(F.col("named").alias("block")).agg(F.count("*").alias("sets"), (F.count("*") * (WORDS - SHINGLE + 1)).alias("total")), "counts")
     found = found.groupBy("text_hash").agg(F.collect_list(F.struct("class", "named")).alias("x"))
     wanted = found.join(maybe_broadcast(texts.select("text_hash", "doc_id")), "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), F.col("x.class").alias("classes"), F.col("x.named").alias("blocks"))
     wanted = written(wanted, "wanted")
@@ -229,8 +228,8 @@ def class_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFram
 
     docs = rows.join(maybe_broadcast(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "classes", "blocks")
     sets = map_arrow(docs, kernel, "block long, id long, elements array<int>")
-    out = written(jaccard_links(sets, PERCENT, spans=True, parts=parts), "links")
-    release(wanted, parts)
+    out = written(jaccard_links(sets, PERCENT, spans=True, counts=counts), "links")
+    release(wanted, counts)
     return out
 
 

@@ -328,6 +328,34 @@ def test_divide_skip_is_exact(percent):
     assert closure(divide_skip(sets, percent, side)) == closure([(a, b) for a, b in every if side[a] != side[b]])
 
 
+def test_cut_blocks_give_the_same_links(spark, monkeypatch):
+    """Blocks cut into buckets and parts against all pairs, with sizes at the very bounds of similarity."""
+    from sylva.llm import set_joins
+
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(set_joins, "PART_SETS", 6)
+    sets = []
+    for core in range(4):
+        for _ in range(25):
+            n = int(rng.integers(4, 90))
+            kept = np.arange(n)[rng.random(n) > rng.choice([0, 0.05, 0.2])]
+            sets.append(sorted({int(x) + 1000 * core for x in kept} | {int(rng.integers(10**6, 10**9)) for _ in range(int(rng.integers(0, 3)))}))
+    sets += [list(range(5000, 5000 + n)) for n in (4, 5, 16, 20, 64, 80, 100, 125)]  # each two are alike by 0.8
+    table = spark.createDataFrame([(i % 2 * 0, i, x) for i, x in enumerate(sets) if x], "block long, id long, elements array<long>")
+    links = set_joins.jaccard_links(table, 80).collect()
+    up = list(range(len(sets)))
+
+    def joined(pairs):
+        up = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = [min(x, y) if z in (x, y) else z for z in up]
+        return up
+
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))]
+    assert joined([(r.a, r.b) for r in links]) == joined(every) != up
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
