@@ -77,7 +77,7 @@ def rectangle_files(spark, sf_dir):
     }
     out = None
     for way, rows in ways.items():
-        rows = rows.select(F.lit(way).alias("way"), F.regexp_replace("document_id", r"\\.xml$", "").alias("document_id"), "record_id", "name", "balance")
+        rows = rows.select(F.lit(way).alias("way"), F.regexp_replace("document_id", r"\.xml$", "").alias("document_id"), "record_id", "name", "balance")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -232,6 +232,8 @@ def refusals(spark, sf_dir):
 
     no_record = folder.child("none.xml")
     no_record.write(b"<os/>")
+    marked = folder.child("marked.xml")
+    marked.write(b"<a><b>gone</b><b>here</b></a>")
     cases: dict[str, Callable] = {
         "whitespace": lambda: xml_text_to_nodes_memory(spark, orders, whitespace="trim"),
         "no text": lambda: xml_text_to_nodes_memory(spark, ""),
@@ -256,7 +258,7 @@ def refusals(spark, sf_dir):
         "output is input": lambda: rectangle_xml_csv(spark, file, spec, file, overwrite=True),
         "output's folder": lambda: rectangle_xml_csv(spark, file, spec, str(folder.child("none/out.csv").at)),
         "id check": lambda: xml_stream_rectangle(spark, file, spec, callback, id_check="disk"),
-        "sentinel": lambda: rectangle_xml_analyst_csv(spark, file, str(folder.child("a.csv").at), na="1"),
+        "sentinel": lambda: rectangle_xml_analyst_csv(spark, str(marked.at), str(folder.child("a.csv").at), na="gone"),
         "nodes": lambda: validate_xml_nodes(nodes.drop("value")),
         "gap": lambda: validate_xml_nodes(nodes.where("node_id != 3")),
         "child of nothing": lambda: xml_node_children(nodes, 999),

@@ -2,11 +2,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-from sylva.plans import queries
+from sylva.plans import api_queries, queries
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+QUERIES, ORACLES = queries.QUERIES | api_queries.QUERIES, queries.ORACLES | api_queries.ORACLES
+
 
 def as_rows(frame):
     import pandas as pd
@@ -25,18 +27,19 @@ def as_rows(frame):
 def test_names():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert set(queries.ORACLES) == set(queries.QUERIES)
+    assert set(api_queries.ORACLES) == set(api_queries.QUERIES)
 
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["orders_items_long", "nodes_customer", "analyst_orders", "analyst_misc", "wide_missing"])
+@pytest.mark.parametrize("name", ["orders_items_long", "nodes_customer", "analyst_orders", "analyst_misc", "wide_missing", "text_nodes", "stream_callbacks", "default_names", "xsd_declarations", "node_violations"])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
-    found, expected = queries.QUERIES[name](spark, SMALL).toPandas(), db.execute(queries.ORACLES[name]).df()
+    found, expected = QUERIES[name](spark, SMALL).toPandas(), db.execute(ORACLES[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     assert as_rows(found) == as_rows(expected)
     spark.catalog.clearCache()
@@ -46,19 +49,19 @@ def whole(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
-    found, expected = queries.QUERIES[name](spark, SMALL).toPandas(), db.execute(queries.ORACLES[name]).df()
+    found, expected = QUERIES[name](spark, SMALL).toPandas(), db.execute(ORACLES[name]).df()
     assert as_rows(found) == as_rows(expected)
     spark.catalog.clearCache()
     return found, db
 
 
 def test_row_candidates_cover_every_order(spark):
-    found, db = whole(spark, "row_candidates_all")
+    found, db = whole(spark, "row_candidates")
     counts = dict(zip(found.path, found.occurrences, strict=True))
     assert counts["orders/order"] == db.execute("SELECT count(*) FROM orders").fetchone()[0]
 
 
-@pytest.mark.parametrize("name", ["sink_parquet_all", "sink_csv_all"])
+@pytest.mark.parametrize("name", ["sink_parquet", "sink_csv"])
 def test_sinks_take_every_customer(spark, name):
     found, db = whole(spark, name)
     assert len(found) == db.execute("SELECT count(*) FROM customer").fetchone()[0]
