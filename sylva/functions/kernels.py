@@ -29,9 +29,3 @@ def map_arrow(df: DataFrame, kernel, schema) -> DataFrame:
     """df.mapInArrow(kernel, schema), where the kernel may use this package's modules."""
     ship(df.sparkSession)
     return df.mapInArrow(kernel, schema)
-
-
-def group_arrow(df: DataFrame, keys: list[str], kernel, schema) -> DataFrame:
-    """df.groupBy(keys).applyInArrow(kernel, schema), likewise."""
-    ship(df.sparkSession)
-    return df.groupBy(*keys).applyInArrow(kernel, schema)
