@@ -31,6 +31,8 @@ MU = 0.01
 HEAP = 64
 #: Candidates that are looked up in the long lists at once; those that these links join to the query are then passed over.
 PROBED = 32
+#: Cells of at most so many sets are merged together, up to so many elements, all their lists by counting: no list is long there.
+SMALL, TOGETHER = 16, 100_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -127,6 +129,61 @@ def common_span(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(at[0]), int(at[-1]) + 1
 
 
+def small_links(cells: list[tuple[list[np.ndarray], np.ndarray | None]], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the sets of many small cells, one after the other: a set of the same component, whether it has a link, and lo and hi.
+
+    cells: sets (elements in order), and sides if only links across them count. T-occurrence with all lists merged at once:
+    the entries of a cell's list are paired, and the pairs counted.
+    """
+    sets = [x for elements, _ in cells for x in elements]
+    sizes = np.array([len(x) for x in sets])
+    cell = np.repeat(np.arange(len(cells)), [len(elements) for elements, _ in cells])
+    side = np.concatenate([np.zeros(len(e), np.int64) if across is None else across.astype(np.int64) for e, across in cells])
+    crossing = np.array([across is not None for _, across in cells])[cell]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    element = np.concatenate(sets)
+    order = np.lexsort((place, owner, element, cell[owner]))
+    element, owner, place = element[order], owner[order], place[order]
+    new_list = np.append(True, (element[1:] != element[:-1]) | (cell[owner[1:]] != cell[owner[:-1]]))
+    kept = new_list | np.append(True, owner[1:] != owner[:-1])  # an element counts once in a set
+    list_ = np.cumsum(new_list)[kept]
+    owner, place = owner[kept], place[kept]
+    distinct = np.bincount(owner, minlength=len(sets))
+    pairs, at_a, at_b = [], [], []
+    for d in range(1, max(len(elements) for elements, _ in cells)):
+        same = np.flatnonzero(list_[:-d] == list_[d:])
+        if not len(same):
+            break
+        pairs.append(owner[same] * len(sets) + owner[same + d])
+        at_a.append(place[same])
+        at_b.append(place[same + d])
+    label, linked = np.arange(len(sets)), np.zeros(len(sets), bool)
+    lo, hi = np.full(len(sets), np.iinfo(np.int32).max), np.zeros(len(sets), np.int64)
+    if pairs:
+        pairs, at_a, at_b = np.concatenate(pairs), np.concatenate(at_a), np.concatenate(at_b)
+        order = np.argsort(pairs, kind="stable")
+        pairs, at_a, at_b = pairs[order], at_a[order], at_b[order]
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        overlap = np.diff(np.append(first, len(pairs)))
+        a, b = np.divmod(pairs[first], len(sets))
+        fit = 100 * overlap >= percent * (distinct[a] + distinct[b] - overlap)
+        fit &= ~crossing[a] | (side[a] != side[b])
+        reach = [(f.reduceat(x, first)[fit], of[fit]) for of, x in ((a, at_a), (b, at_b)) for f in (np.minimum, np.maximum)]
+        a, b = a[fit], b[fit]
+        for k in (0, 2):
+            np.minimum.at(lo, reach[k][1], reach[k][0])
+            np.maximum.at(hi, reach[k + 1][1], reach[k + 1][0] + 1)
+        linked[a] = linked[b] = True
+        while True:
+            before = label.copy()
+            np.minimum.at(label, a, label[b])
+            np.minimum.at(label, b, label[a])
+            if (label == before).all():
+                break
+    return label, linked, lo, hi
+
+
 def block_parts(sizes: DataFrame) -> DataFrame:
     """block, bucket, own, up, down: the parts of the buckets of blocks that are cut, and of the buckets next to them; as a table.
 
@@ -167,7 +224,7 @@ def in_cells(sets: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: DataFrame | None = None) -> DataFrame:
-    """a, b: links between sets at least so similar, inside blocks, as stars: the least id of a cell's component, and another.
+    """a, b: links between sets at least so similar, inside blocks, as stars: one id of a cell's component, and another.
 
     sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: also lo and hi, where in b's
     elements, which come in an order, the first one and behind the last one is that a partner has; for b = a, too.
@@ -201,10 +258,27 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
 
     def search(batches):
         key, ids, sides, elements = None, [], [], []
+        small, waiting = [], 0
+
+        def together():
+            label, linked, lo, hi = small_links([(e, across) for _, e, across in small], percent)
+            names_ = [x for mine, _, _ in small for x in mine]
+            at = np.flatnonzero(linked if spans else linked & (label != np.arange(len(label))))
+            columns = [[names_[i] for i in label[at]], [names_[i] for i in at], lo[at], hi[at]][: len(names)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         def links():
+            nonlocal small, waiting
             _, x, y, i, j = key
-            return stars(ids, elements, np.array(sides) if (x, i) != (y, j) else None)
+            across = np.array(sides) if (x, i) != (y, j) else None
+            if len(ids) > SMALL:
+                yield stars(ids, elements, across)
+            elif len(ids) > 1:
+                small.append((ids, elements, across))
+                waiting += sum(map(len, elements))
+            if waiting > TOGETHER:
+                yield together()
+                small, waiting = [], 0
 
         for batch in batches:
             *cells, side, id_ = (batch.column(c).to_pylist() for c in range(7))
@@ -212,15 +286,17 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
             values, at = batch.column(7).flatten().to_numpy(), 0
             for row, size in enumerate(batch.column(7).value_lengths().to_pylist()):
                 if (now := cells[row]) != key:
-                    if len(ids) > 1:
-                        yield links()
+                    if key is not None:
+                        yield from links()
                     key, ids, sides, elements = now, [], [], []
                 ids.append(id_[row])
                 sides.append(side[row])
                 elements.append(values[at : at + size])
                 at += size
-        if len(ids) > 1:
-            yield links()
+        if key is not None:
+            yield from links()
+        if small:
+            yield together()
 
     if counts is None:
         # Sizes of similar sets differ by less than a bucket; the sum keeps exact bounds on their side.
