@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 from .common import map_arrow, maybe_broadcast, written
 
 #: Sets and elements in a part of a block.
-PART_SETS, PART_ELEMENTS = 1000, 500_000
+PART_SETS, PART_ELEMENTS = 3000, 500_000
 #: The weight of DivideSkip's choice of how many lists are long.
 MU = 0.01
 #: Up to so many entries of short lists are merged by a heap; more are counted, which gives the same.
 HEAP = 64
 #: Candidates that are looked up in the long lists at once; those that these links join to the query are then passed over.
 PROBED = 32
-#: Cells of at most so many sets are merged together, up to so many elements, all their lists by counting: no list is long there.
-SMALL, TOGETHER = 16, 100_000
+#: Cells of at most so many sets are merged together, all their lists by counting, up to so many entries in pairs: no list is
+#: long there.
+SMALL, TOGETHER = 48, 2_000_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -275,7 +276,7 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
                 yield stars(ids, elements, across)
             elif len(ids) > 1:
                 small.append((ids, elements, across))
-                waiting += sum(map(len, elements))
+                waiting += sum(map(len, elements)) * len(ids) // 2
             if waiting > TOGETHER:
                 yield together()
                 small, waiting = [], 0
