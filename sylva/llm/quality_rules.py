@@ -184,7 +184,7 @@ norm AS (SELECT doc_id, host, array_to_string(regexp_extract_all(lower(line), '[
 freq AS (SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT doc_id) > {LINE_DOCUMENTS}),
 lost AS (SELECT doc_id, sum(n) AS lost_words FROM norm JOIN freq USING (host, line) GROUP BY doc_id),
 each AS (SELECT doc_id, host, i, line, array_to_string(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), ' ') AS norm FROM (SELECT doc_id, host, unnest(split) AS line, unnest(range(len(split))) AS i FROM w)),
-clean AS (SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.host IS NULL), '')) AS cleaned_md5 FROM each e LEFT JOIN freq f ON f.host = e.host AND f.line = e.norm GROUP BY doc_id),
+clean AS (SELECT e.doc_id, md5(coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (f.host IS NULL), '')) AS cleaned_md5 FROM each e LEFT JOIN freq f ON f.host = e.host AND f.line = e.norm GROUP BY e.doc_id),
 base AS (SELECT doc_id, len(words) AS n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
