@@ -406,25 +406,25 @@ def test_op7_gains_from_co_training_or_leaves_it(spark):
 
 
 def test_op7_rounds_teach_what_labels_do_not(spark):
-    """The metadata says what kind a document is, and the text too; labels are few and all of one source."""
+    """The metadata says what kind a document is, and the text too. With few labels no view is confident enough to teach."""
     rng = np.random.default_rng(1)
     rows = []
-    for i in range(600):
+    for i in range(1500):
         bad = i % 3 == 0
         words = rng.choice(["loss", "gain", "free", "click"] if bad else ["river", "stone", "cloud", "tree"], 30)
         rows.append((i, " ".join(words), "feed" if bad else "book", "en"))
-    docs = spark.createDataFrame([*rows, (700, None, None, None), (None, "river stone", "book", "en")], "doc_id long, text string, source string, lang string")
-    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(120)], "doc_id long, quality int")
+    docs = spark.createDataFrame([*rows, (1700, None, None, None), (None, "river stone", "book", "en")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(900)], "doc_id long, quality int")
     taught = {v: set() for v in classifier.VIEWS}
     seen = []
 
     def certain(models, most):
-        seen.append(classifier.most_certain(docs.where("doc_id >= 120").select("text", "source", "lang", common.text_hash().alias("text_hash")), models, most, taught))
+        seen.append(classifier.most_certain(docs.where("doc_id >= 900").select("text", "source", "lang", common.text_hash().alias("text_hash")), models, most, taught))
         return seen[-1]
 
     model = classifier.fit(docs, labels)
-    assert all((r.score >= 0.5) == (r.doc_id % 3 != 0) for r in classifier.scored(docs, model).collect() if r.doc_id is not None and r.doc_id < 600)
-    batch = [r for r in docs.where("doc_id < 120").collect()]
+    assert all((r.score >= 0.5) == (r.doc_id % 3 != 0) for r in classifier.scored(docs, model).collect() if r.doc_id is not None and r.doc_id < 1500)
+    batch = [r for r in docs.where("doc_id < 900").collect()]
     x = {"text": np.array([classifier.text_features(r.text, common.WordHashes()) for r in batch]), "meta": np.array([classifier.metadata_features(r.source, r.lang) for r in batch])}
     classifier.co_train(x, np.array([float(r.doc_id % 3 != 0) for r in batch]), certain, rounds=2, per_round=30)
     for lessons in seen:
