@@ -12,7 +12,7 @@ from ..schema import NAMED, NODES
 def violations(nodes: DataFrame) -> DataFrame:
     """number, message, document_id, node_id of every broken rule. One pass by document and one join with the parents."""
     by_document = Window.partitionBy("document_id").orderBy("node_id")
-    parent = nodes.select("document_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("p_depth"), F.col("node_type").alias("p_type"), F.lit(True).alias("found")).dropDuplicates(["document_id", "parent_id"])
+    parent = nodes.select("document_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("p_depth"), F.col("node_type").alias("p_type"), F.lit(True).alias("found")).dropDuplicates(["document_id", "parent_id"]).hint("merge")  # Spark takes what a kernel returns for as small as its documents
     siblings = Window.partitionBy("document_id", "parent_id", F.col("node_type") == "attribute")
     rows = nodes.withColumn("seat", F.row_number().over(by_document)).withColumn("copies", F.count("*").over(Window.partitionBy("document_id", "node_id")))
     rows = rows.withColumn("roots", F.sum(F.when(F.col("node_type") == "document", 1).otherwise(0)).over(Window.partitionBy("document_id")))

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from sylva.operators.validate import violations
 from sylva.plans import api_queries, queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,3 +66,10 @@ def test_row_candidates_cover_every_order(spark):
 def test_sinks_take_every_customer(spark, name):
     found, db = whole(spark, name)
     assert len(found) == db.execute("SELECT count(*) FROM customer").fetchone()[0]
+
+
+def test_what_grows_with_documents_is_not_broadcast(spark):
+    """Spark can't know how many nodes a kernel makes of a document, nor how long a document is, so its own choice may be a broadcast."""
+    nations = queries.nation_documents(spark, SMALL)
+    for made in (nations, queries.order_documents(spark, SMALL), queries.order_region_documents(spark, SMALL), violations(queries.nodes_of(nations))):
+        assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
