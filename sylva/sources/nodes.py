@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +15,11 @@ from ..errors import XmlCallbackError, XmlParseError, XmlStructureError
 from ..functions.kernels import map_arrow
 from ..schema import NODES, PARSED, PATH_COLUMNS
 from .parse import BATCH_ROWS, WHITESPACE, parse_document
+from .workspace import workspace
 
 CANONICAL = NODES.names
+#: Rows that the driver reads at once.
+PART_ROWS = 100_000
 
 
 def check_whitespace(whitespace: str) -> str:
@@ -106,7 +110,8 @@ def xml_to_nodes_stream(spark: SparkSession, file: str | list[str], document_id:
 def xml_stream_nodes(spark: SparkSession, file: str, callback: Callable, document_id: str | None = None, whitespace: str = "preserve", chunk_rows: int = 100_000) -> dict:
     """Calls back with pandas frames of at most chunk_rows canonical rows, in order; returns document_id, node_count, chunk_count.
 
-    The driver holds one partition at a time. An exception of the callback is raised as XmlCallbackError.
+    The executors write the nodes in order to parts of at most chunk_rows rows; the driver holds one part and one chunk at a
+    time. An exception of the callback is raised as XmlCallbackError.
     """
     check_count(chunk_rows, "chunk_rows")
     nodes = xml_to_nodes_stream(spark, file, document_id, whitespace, chunk_rows)
@@ -125,16 +130,38 @@ def xml_stream_nodes(spark: SparkSession, file: str, callback: Callable, documen
         stats["chunk_count"] += 1
         rows.clear()
 
-    for row in nodes.sortWithinPartitions("document_id", "node_order").toLocalIterator():
-        stats["document_id"] = stats["document_id"] or row.document_id
-        rows.append(tuple(row))
-        if len(rows) == chunk_rows:
-            emit()
+    for part in ordered_parts(spark, nodes, several=len(file_sources(spark, file).select("document_id").limit(2).collect()) > 1):
+        if part and not stats["document_id"]:
+            stats["document_id"] = part[0][0]
+        while part:
+            room = chunk_rows - len(rows)
+            rows += part[:room]
+            part = part[room:]
+            if len(rows) == chunk_rows:
+                emit()
     if rows:
         emit()
     return stats
 
 
+def ordered_parts(spark: SparkSession, nodes: DataFrame, several: bool = True, most: int = PART_ROWS) -> Iterator[list[tuple]]:
+    """The rows of a canonical table in lists of at most `most`: partition by partition, each by document and node_order.
+
+    several: whether a partition may hold several documents; of one, the kernel's rows are in order as they come.
+    """
+    folder = workspace(spark, "nodes")
+    try:
+        ordered = nodes.sortWithinPartitions("document_id", "node_order") if several else nodes
+        ordered.write.option("maxRecordsPerFile", most).mode("overwrite").parquet(str(folder.at))
+        # part-<partition>-<job>-c<number of the file in the partition>...
+        parts = sorted((int(m[1]), int(m[2]), str(x.at)) for x in folder.children() if (m := re.match(r"part-(\d+)-.*-c(\d+)\.", x.name)))
+        for *_, path in parts:
+            part = spark.read.schema(nodes.schema).parquet(path).coalesce(1).sortWithinPartitions("document_id", "node_order").toArrow()
+            yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+    finally:
+        folder.remove()
+
+
 def with_paths(nodes: DataFrame) -> DataFrame:
     """Adds the path columns to a canonical table that didn't come from the kernel.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import sylva
 from sylva.schema import NODES
-from sylva.sources.nodes import parsed_nodes, with_paths
+from sylva.sources.nodes import ordered_parts, parsed_nodes, with_paths
 from sylva.sources.parse import parse_document
 
 
@@ -102,6 +102,21 @@ def test_files_and_streams(spark, tmp_path):
     assert isinstance(found.value.__cause__, KeyError)
 
 
+def test_streams_reach_the_driver_in_parts(spark, tmp_path):
+    """One document of 302 nodes, and two in a partition: never more than 50 rows at once, in order."""
+    text = "<r>" + "<a>x</a>" * 150 + "</r>"
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.xml").write_text(text)
+    one = sylva.xml_to_nodes_memory(spark, str(tmp_path / "a.xml"))
+    parts = list(ordered_parts(spark, one, several=False, most=50))
+    assert max(map(len, parts)) <= 50
+    assert [row[1] for p in parts for row in p] == list(range(1, one.count() + 1))
+    both = sylva.xml_to_nodes_memory(spark, str(tmp_path)).coalesce(1)
+    parts = list(ordered_parts(spark, both, most=50))
+    assert max(map(len, parts)) <= 50
+    assert [row[:2] for p in parts for row in p] == [(d, n) for d in ("a.xml", "b.xml") for n in range(1, one.count() + 1)]
+
+
 @pytest.mark.parametrize(
     ("change", "message"),
     [
