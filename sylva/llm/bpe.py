@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.kernels import kept as kept_in_worker
 from ..functions.kernels import map_arrow
 from .common import documents, gathered
 from .pretokens import PreTokenizer
@@ -205,6 +206,7 @@ def contract_long(tokens: list[int], pairs: dict[tuple[int, int], int]) -> list[
     return [t for t, x in zip(tokens, alive, strict=True) if x]
 
 
+@kept_in_worker
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)

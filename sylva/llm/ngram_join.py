@@ -27,7 +27,7 @@ from .set_joins import jaccard_links
 GRAM = 3
 PERCENT = 90
 #: Signatures are looked through in so many shares.
-PASSES = 4
+PASSES = 8
 #: At most so many common n-grams are known to every task (1 MB).
 COMMON = 1 << 17
 

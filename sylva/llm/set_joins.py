@@ -8,7 +8,8 @@ all links.
 
 A block with many sets is cut by size into buckets so wide that similar sets are in one or in neighbours, and these into
 parts. Each two parts that can have similar sets meet in a cell of their own, so no task holds more than a cell, whatever
-the size of a block.
+the size of a block. A part is copied into each of its cells, which for a large block is many times: the cells are dealt to
+rounds, so that the copies of one round are about as many as the sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, maybe_broadcast, written
+from .common import map_arrow, maybe_broadcast, release, written
 
 #: Sets and elements in a part of a block.
 PART_SETS, PART_ELEMENTS = 3000, 500_000
@@ -34,6 +35,8 @@ PROBED = 32
 #: Cells of at most so many sets are merged together, all their lists by counting, up to so many entries in pairs: no list is
 #: long there.
 SMALL, TOGETHER = 48, 2_000_000
+#: The elements that the cells of a round hold, copies included, are about so many times those of all sets.
+ROUND = 1.5
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -199,12 +202,20 @@ def block_parts(sizes: DataFrame) -> DataFrame:
     return cut
 
 
-def in_cells(sets: DataFrame, parts: DataFrame) -> DataFrame:
+def rounds_of(sizes: DataFrame, parts: DataFrame) -> int:
+    """In how many rounds the cells are looked through. sizes, parts: of block_parts."""
+    copies = F.coalesce(F.col("own") + F.col("up") + F.col("down"), F.lit(1))
+    sums = sizes.join(parts, ["block", "bucket"], "left").agg(F.sum("total").alias("elements"), F.sum(F.col("total") * copies).alias("copied")).first()
+    return max(1, math.ceil((sums.copied or 0) / (ROUND * (sums.elements or 1))))
+
+
+def in_cells(sets: DataFrame, parts: DataFrame, rounds: int = 1, now: int = 0) -> DataFrame:
     """block, x, y, i, j, side, id, elements: each set in the cells where its part (x, i or y, j) of the block meets others.
 
-    sets: block, bucket, id, elements. parts: of block_parts. A block that isn't cut has one cell.
+    sets: block, bucket, id, elements. parts: of block_parts, as a table. A block that isn't cut has one cell. Of all rounds,
+    those of one.
     """
-    own = sets.join(maybe_broadcast(written(parts, "cuts")), ["block", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1))).cast("int"))
+    own = sets.join(maybe_broadcast(parts), ["block", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1))).cast("int"))
     bucket, part, no = F.col("bucket"), F.col("part"), F.array().cast("array<int>")
 
     def upto(n: str):
@@ -221,6 +232,8 @@ def in_cells(sets: DataFrame, parts: DataFrame) -> DataFrame:
             F.transform(upto("down"), lambda j: cell(bucket - 1, bucket, j, part, F.lit(True))),
         )
     )
+    if rounds > 1:
+        cells = F.filter(cells, lambda c: F.pmod(F.xxhash64("block", c["x"], c["y"], c["i"], c["j"]), F.lit(rounds)) == now)
     return own.withColumn("cell", F.explode(cells)).select("block", "cell.*", "id", "elements")
 
 
@@ -306,6 +319,21 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
         sizes = sets.groupBy("block", "bucket").agg(F.count("*").alias("sets"), F.sum(F.size("elements")).alias("total"))
     else:
         sets, sizes = sets.withColumn("bucket", F.lit(0)), counts.withColumn("bucket", F.lit(0))
-    cells = in_cells(sets, block_parts(sizes))
-    dealt = cells.repartition("block", "x", "y", "i", "j").sortWithinPartitions("block", "x", "y", "i", "j")
-    return map_arrow(dealt, search, ", ".join(f"{n} {'int' if n not in 'ab' else kind.simpleString()}" for n in names))
+    sizes = written(sizes, "sizes")
+    parts = written(block_parts(sizes), "cuts")
+    rounds = rounds_of(sizes, parts)
+    release(sizes, collect=False)
+
+    def found(now: int) -> DataFrame:
+        cells = in_cells(sets, parts, rounds, now)
+        dealt = cells.repartition("block", "x", "y", "i", "j").sortWithinPartitions("block", "x", "y", "i", "j")
+        return map_arrow(dealt, search, ", ".join(f"{n} {'int' if n not in 'ab' else kind.simpleString()}" for n in names))
+
+    out = None
+    for now in range(rounds):
+        links = found(now)
+        if rounds > 1:
+            links = written(links, "round")
+            sets.sparkSession._jvm.System.gc()  # the round's copies go from the disks
+        out = links if out is None else out.unionByName(links)
+    return out

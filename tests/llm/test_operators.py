@@ -78,6 +78,16 @@ def test_bpe_is_the_library(text):
     assert codec.decode(ids, ends) == [text.encode()] * 2
 
 
+def test_workers_keep_a_codec_for_their_own_kernels_only():
+    from sylva.functions import kernels
+
+    c = bpe.codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    kernels.drop_kept(bpe.__name__)
+    assert bpe.codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN) is c
+    kernels.drop_kept(ngram_join.__name__)
+    assert bpe.codec.cache_info().currsize == 0
+
+
 def test_op2_and_op3_are_the_libraries(spark, docs, rows, empty):
     import tiktoken
     from tokenizers import Tokenizer
@@ -356,6 +366,35 @@ def test_cut_blocks_give_the_same_links(spark, monkeypatch):
     assert joined([(r.a, r.b) for r in links]) == joined(every) != up
 
 
+def test_rounds_bound_the_copies(spark, monkeypatch):
+    """A block that is cut into many parts is copied into many cells, but not at once; the links are those of one round."""
+    from sylva.llm import set_joins
+
+    monkeypatch.setattr(set_joins, "PART_SETS", 4)
+    rng = np.random.default_rng(3)
+    rows = [(0, i, sorted({i % 20 * 1000 + int(x) for x in rng.choice(52, 50, replace=False)})) for i in range(120)]
+    table = spark.createDataFrame(rows, "block long, id long, elements array<long>")
+    held = []
+    dealt = set_joins.in_cells
+
+    def seen(*args):
+        out = dealt(*args)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(set_joins, "in_cells", seen)
+    links, sums = {}, {}
+    for bound in (1000, 1.5):
+        monkeypatch.setattr(set_joins, "ROUND", bound)
+        held.clear()
+        links[bound] = sorted(map(tuple, set_joins.jaccard_links(table, 80).collect()))
+        sums[bound] = list(held)
+    assert len(sums[1000]) == 1 and len(sums[1.5]) > 5
+    assert sum(sums[1.5]) == sums[1000][0] > 10 * len(rows)  # every cell once
+    assert max(sums[1.5]) < 4 * len(rows)
+    assert set(links[1.5]) == set(links[1000]) and links[1000]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
