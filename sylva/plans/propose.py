@@ -131,8 +131,11 @@ def field_candidates(values: DataFrame, catalog: list[Source], records: int, xsd
     return out
 
 
-def propose_xml_profile(spark: SparkSession, sample: str | DataFrame, rows: str | None = None, namespace: str | None = None, xsd: str | XsdInspection | None = None, whitespace: str = "drop_blank") -> XmlProposal:
-    """Evidence from a sample (a file or a canonical table) and, if given, a schema."""
+def propose_xml_profile(spark: SparkSession, sample: str | DataFrame, rows: str | None = None, namespace: str | None = None, xsd: str | XsdInspection | None = None, whitespace: str = "drop_blank", rows_only: bool = False) -> XmlProposal:
+    """Evidence from a sample (a file or a canonical table) and, if given, a schema.
+
+    rows_only: only what rows may be, which takes one aggregation over the nodes' paths; nothing is said of identifiers and fields.
+    """
     if isinstance(xsd, str):
         xsd = inspect_xsd(xsd)
     if namespace is not None and rows is None:
@@ -145,7 +148,7 @@ def propose_xml_profile(spark: SparkSession, sample: str | DataFrame, rows: str
         first = [p for c, p in candidates if c.priority in ("primary", "single_document")]
         record, how = (first[0], "heuristic_for_review") if len(first) == 1 else (None, "choice_required")
     out = XmlProposal(structure.source, whitespace, how, record.display_path if record else None, record.namespace_uri or None if record else None, [c for c, _ in candidates], xsd=xsd)
-    if record is None:
+    if record is None or rows_only:
         return out
     values = long_values(structure.nodes, record.path, [p.path for p in structure.repeated_below(record)]).persist()
     try:

@@ -62,6 +62,13 @@ def test_row_candidates_cover_every_order(spark):
     assert counts["orders/order"] == db.execute("SELECT count(*) FROM orders").fetchone()[0]
 
 
+def test_row_candidates_keep_no_nodes(spark):
+    """The candidates come of one aggregation: neither the nodes nor the values of all documents are kept."""
+    spark.catalog.clearCache()
+    queries.row_candidates(spark, SMALL).collect()
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
 @pytest.mark.parametrize("name", ["sink_parquet", "sink_csv"])
 def test_sinks_take_every_customer(spark, name):
     found, db = whole(spark, name)
