@@ -19,6 +19,8 @@ from ..functions.types import converted, inferred, lexical, observations
 from ..plans.analyst_names import MISC, Namespaces, entity_aliases, is_untyped, key_score, namespaces
 from ..schema import ANALYST_COLUMNS
 from ..sources.nodes import parse_files, with_paths
+from ..sources.publish import Place
+from ..sources.workspace import workspace
 from .structure import path_summary
 from .validate import validate_xml_nodes
 
@@ -49,12 +51,11 @@ class AnalystTable:
     _fields: DataFrame
     _cells: DataFrame
     _data: list[str]
-    _kept: DataFrame
+    _kept: Place
 
     def release(self) -> None:
-        """Gives back the memory in which the nodes and fields are kept; the table is then made anew if it is read."""
-        self._nodes.unpersist()
-        self._kept.unpersist()
+        """Deletes the nodes and fields that are kept in the shared folder; the table can't be read any more. Else they go with the process."""
+        self._kept.remove()
 
     def amplification(self) -> DataFrame:
         """How often each column's values are repeated on the rows below their owners."""
@@ -85,6 +86,12 @@ class AnalystTable:
         return nodes | fields | {"expected_entity_rows": sum(self.entity_paths.values()), "emitted_entity_rows": rows}
 
 
+def stored(df: DataFrame, place: Place) -> DataFrame:
+    """df as a table in the shared folder: it names few paths many times, which Parquet writes once; a cache would hold each anew."""
+    df.write.parquet(str(place.at))
+    return df.sparkSession.read.schema(df.schema).parquet(str(place.at))
+
+
 def _bytes() -> Column:
     """Bytes of a cell as text; a presence counts as TRUE."""
     return F.coalesce(F.octet_length("value"), F.lit(0))
@@ -103,9 +110,9 @@ def alternating_paths(elements: DataFrame) -> list[tuple[str, ...]]:
     likely = sums.where((F.col("all") >= 4) & (F.col("all") == 2 * F.col("lead.n")) & (F.col("once") > 0)).select(*siblings, F.col("lead.path").alias("lead"))
     lead = F.col("path") == F.col("lead")
     before = F.lag(lead).over(Window.partitionBy(*siblings).orderBy("node_order"))
-    checked = children.join(likely, siblings).withColumn("alternates", F.coalesce(lead != before, lead))
+    checked = children.join(likely.hint("merge"), siblings).withColumn("alternates", F.coalesce(lead != before, lead))
     found = checked.groupBy(*siblings).agg(F.min("alternates").alias("alternates")).where("alternates").select(*siblings)
-    paths = children.join(found, siblings, "left_semi").select("path").distinct().collect()
+    paths = children.join(found.hint("merge"), siblings, "left_semi").select("path").distinct().collect()
     below = {tuple(r.path) for r in paths}
     return sorted(below | {p[:-1] for p in below})
 
@@ -160,7 +167,7 @@ def field_rows(rows: DataFrame, mixed_at: list[tuple[str, ...]]) -> DataFrame:
         F.max(kind == "element").alias("has_elements"), F.max(kind == "attribute").alias("has_attributes"), F.count_if(text).alias("texts"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text, F.struct("node_order", "value")))), lambda x: x["value"]), "").alias("value"),
     )
-    elements = rows.where(kind == "element").join(inside, ["document_id", "node_id"], "left").drop(rows["value"])
+    elements = rows.where(kind == "element").join(inside.hint("merge"), ["document_id", "node_id"], "left").drop(rows["value"])
     has_elements, has_attributes, texts = F.coalesce("has_elements", F.lit(False)), F.coalesce("has_attributes", F.lit(False)), F.coalesce("texts", F.lit(0))
     which = F.when((texts > 0) & ~has_elements, "value").when((texts > 0) & has_elements, "text_content").when(~has_elements & ~has_attributes, "presence")
     elements = elements.withColumn("kind", which).where("kind IS NOT NULL").withColumn("texts", texts)
@@ -219,7 +226,8 @@ def xml_analyst_table(nodes: DataFrame, infer_types: bool = True, include_misc:
     """The analyst table of a canonical table."""
     if validate:
         validate_xml_nodes(nodes)
-    nodes = with_paths(nodes).persist()
+    kept = workspace(nodes.sparkSession, "analyst")
+    nodes = stored(with_paths(nodes).drop("sibling_order"), kept.child("nodes"))
     kinds = nodes.where(F.col("node_type").isin("element", "attribute"))
     names = kinds.groupBy("node_type", "namespace_uri", "prefix", "local_name").agg(F.min(F.struct("document_id", "node_order")).alias("first")).collect()
     spaces = namespaces(sorted(names, key=lambda r: tuple(r.first)))
@@ -231,7 +239,7 @@ def xml_analyst_table(nodes: DataFrame, infer_types: bool = True, include_misc:
     fields = field_rows(rows, mixed_paths(nodes, paths)).withColumn("signature", _signature())
     fields = fields.withColumn("signature", F.when(F.col("kind") == "presence", F.concat("signature", F.lit("\u001epresence"))).otherwise(F.col("signature")))
     slot = Window.partitionBy("document_id", "entity_node_id", "signature").orderBy("node_order")
-    kept = fields = fields.withColumn("occurrence", F.row_number().over(slot)).persist()
+    fields = stored(fields.withColumn("occurrence", F.row_number().over(slot)), kept.child("fields"))
     catalog = _catalog(fields.withColumn("signature", F.regexp_replace("signature", "\u001epresence$", "")), spaces, aliases)
     spark = nodes.sparkSession
     known = [(list(c.entity_path), c.signature, i, column) for c in catalog for i, column in enumerate(c.columns, 1)]
@@ -269,8 +277,8 @@ def xml_analyst_table(nodes: DataFrame, infer_types: bool = True, include_misc:
             F.col("node_type").alias(misc[0]), F.col("qualified_name").alias(misc[1]), F.col("value").alias(misc[2]),
         )
         head = head.unionByName(extra, allowMissingColumns=True)
-    joined = head.join(own.select(F.col("document_id").alias("xml_document_id"), F.col("owner").alias("_own"), "own"), ["xml_document_id", "_own"], "left")
-    joined = joined.join(own.select(F.col("document_id").alias("xml_document_id"), F.col("owner").alias("_parent"), F.col("own").alias("context")), ["xml_document_id", "_parent"], "left")
+    joined = head.join(own.select(F.col("document_id").alias("xml_document_id"), F.col("owner").alias("_own"), "own").hint("merge"), ["xml_document_id", "_own"], "left")
+    joined = joined.join(own.select(F.col("document_id").alias("xml_document_id"), F.col("owner").alias("_parent"), F.col("own").alias("context")).hint("merge"), ["xml_document_id", "_parent"], "left")
     if whole:
         joined = joined.withColumn("context", F.map_filter("context", lambda k, _: ~k.isin(whole)))
 

@@ -124,3 +124,13 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError, match="occurs as genuine source data"):
         sylva.rectangle_xml_analyst_csv(spark, str(tmp_path / "n.xml"), str(tmp_path / "n.csv"))
     assert not (tmp_path / "n.csv").exists()
+
+
+def test_nodes_are_kept_in_the_shared_folder(spark):
+    """Nodes and fields are tables there, not caches; release() deletes them."""
+    spark.catalog.clearCache()
+    made = sylva.xml_analyst_table(sylva.xml_text_to_nodes_memory(spark, VOYAGES))
+    assert made.table.count() and spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert [p.name for p in made._kept.children()] == ["fields", "nodes"]
+    made.release()
+    assert not made._kept.exists()
