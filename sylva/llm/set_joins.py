@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, maybe_broadcast, release, written
+from .common import gathered, map_arrow, maybe_broadcast, release, written
 
 #: Sets and elements in a part of a block.
 PART_SETS, PART_ELEMENTS = 3000, 500_000
@@ -127,14 +127,8 @@ def _merged(lists: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: i
     return np.array(found, np.int64), np.array(counts, np.int64)
 
 
-def common_span(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """From the first to behind the last element of a that is in b, in a's own order."""
-    at = np.flatnonzero(np.isin(a, b))
-    return int(at[0]), int(at[-1]) + 1
-
-
-def small_links(cells: list[tuple[list[np.ndarray], np.ndarray | None]], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the sets of many small cells, one after the other: a set of the same component, whether it has a link, and lo and hi.
+def small_links(cells: list[tuple[list[np.ndarray], np.ndarray | None]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the sets of many small cells, one after the other: a set of the same component, and whether it has a link.
 
     cells: sets (elements in order), and sides if only links across them count. T-occurrence with all lists merged at once:
     the entries of a cell's list are paired, and the pairs counted.
@@ -145,39 +139,29 @@ def small_links(cells: list[tuple[list[np.ndarray], np.ndarray | None]], percent
     side = np.concatenate([np.zeros(len(e), np.int64) if across is None else across.astype(np.int64) for e, across in cells])
     crossing = np.array([across is not None for _, across in cells])[cell]
     owner = np.repeat(np.arange(len(sets)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     element = np.concatenate(sets)
-    order = np.lexsort((place, owner, element, cell[owner]))
-    element, owner, place = element[order], owner[order], place[order]
+    order = np.lexsort((owner, element, cell[owner]))
+    element, owner = element[order], owner[order]
     new_list = np.append(True, (element[1:] != element[:-1]) | (cell[owner[1:]] != cell[owner[:-1]]))
     kept = new_list | np.append(True, owner[1:] != owner[:-1])  # an element counts once in a set
     list_ = np.cumsum(new_list)[kept]
-    owner, place = owner[kept], place[kept]
+    owner = owner[kept]
     distinct = np.bincount(owner, minlength=len(sets))
-    pairs, at_a, at_b = [], [], []
+    pairs = []
     for d in range(1, max(len(elements) for elements, _ in cells)):
         same = np.flatnonzero(list_[:-d] == list_[d:])
         if not len(same):
             break
         pairs.append(owner[same] * len(sets) + owner[same + d])
-        at_a.append(place[same])
-        at_b.append(place[same + d])
     label, linked = np.arange(len(sets)), np.zeros(len(sets), bool)
-    lo, hi = np.full(len(sets), np.iinfo(np.int32).max), np.zeros(len(sets), np.int64)
     if pairs:
-        pairs, at_a, at_b = np.concatenate(pairs), np.concatenate(at_a), np.concatenate(at_b)
-        order = np.argsort(pairs, kind="stable")
-        pairs, at_a, at_b = pairs[order], at_a[order], at_b[order]
+        pairs = np.sort(np.concatenate(pairs))
         first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
         overlap = np.diff(np.append(first, len(pairs)))
         a, b = np.divmod(pairs[first], len(sets))
         fit = 100 * overlap >= percent * (distinct[a] + distinct[b] - overlap)
         fit &= ~crossing[a] | (side[a] != side[b])
-        reach = [(f.reduceat(x, first)[fit], of[fit]) for of, x in ((a, at_a), (b, at_b)) for f in (np.minimum, np.maximum)]
         a, b = a[fit], b[fit]
-        for k in (0, 2):
-            np.minimum.at(lo, reach[k][1], reach[k][0])
-            np.maximum.at(hi, reach[k + 1][1], reach[k + 1][0] + 1)
         linked[a] = linked[b] = True
         while True:
             before = label.copy()
@@ -185,6 +169,118 @@ def small_links(cells: list[tuple[list[np.ndarray], np.ndarray | None]], percent
             np.minimum.at(label, b, label[a])
             if (label == before).all():
                 break
+    return label, linked
+
+
+#: Sets whose cells are compared together, pairs verified at once, and sets of a cell up to which all its pairs are compared.
+COMPARED, VERIFIED, ALL_PAIRS = 8000, 1000, 48
+
+
+class Sets:
+    """Sets as rows of a matrix, with 256 bits of each: what one set's bits have over another's bounds their overlap from above."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, percent: int):
+        self.percent, self.sizes = percent, sizes
+        self.places = np.arange(int(sizes.max(initial=1)))
+        begins = np.cumsum(sizes) - sizes
+        # A shorter row repeats its last element: the same set.
+        self.rows = values[begins[:, None] + np.minimum(self.places, sizes[:, None] - 1)]
+        order = np.argsort(self.rows, axis=1, kind="stable")
+        inorder = np.take_along_axis(self.rows, order, axis=1)
+        new = np.ones(inorder.shape, bool)
+        new[:, 1:] = inorder[:, 1:] != inorder[:, :-1]
+        self.first = np.empty_like(new)
+        np.put_along_axis(self.first, order, new, axis=1)
+        self.distinct = new.sum(axis=1)
+        flags = np.zeros((len(sizes), 256), bool)
+        flags[np.arange(len(sizes))[:, None], self.rows & 255] = True
+        self.bits = np.packbits(flags, axis=1).view(np.uint64)
+        self.spare = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64) - self.distinct
+
+    def maybe(self, a, b) -> np.ndarray:
+        """Flags of the pairs that may be similar; similar ones all are among them."""
+        common = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64)
+        least = -(-self.percent * (self.distinct[a] + self.distinct[b]) // (100 + self.percent))
+        return common >= np.maximum(self.spare[a], self.spare[b]) + least
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """a and b of the pairs that are similar, and from where to behind where either's elements are in the other."""
+        out = []
+        for at in range(0, len(a), VERIFIED):
+            x, y = a[at : at + VERIFIED], b[at : at + VERIFIED]
+            same = self.rows[x][:, :, None] == self.rows[y][:, None, :]
+            in_y, in_x = same.any(axis=2), same.any(axis=1)
+            overlap = (in_y & self.first[x]).sum(axis=1)
+            fit = 100 * overlap >= self.percent * (self.distinct[x] + self.distinct[y] - overlap)
+            x, y, spans = x[fit], y[fit], []
+            for of, flags in ((x, in_y[fit]), (y, in_x[fit])):
+                flags &= self.places < self.sizes[of][:, None]
+                spans += [flags.argmax(axis=1), flags.shape[1] - flags[:, ::-1].argmax(axis=1)]
+            out.append((x, y, *spans))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6
+
+
+def span_links(values: np.ndarray, sizes: np.ndarray, cells: np.ndarray, sides: np.ndarray, crossing: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """For the sets of many cells: one of the same component, whether it has a link, and lo and hi, from where to behind where partners have its elements.
+
+    values, sizes: all sets' elements. cells: numbers of their cells, ascending. Where crossing, only links across sides count.
+    All pairs of a small cell are compared. In a larger one each set is compared with those that no link joins to it by then.
+    """
+    sets, n = Sets(values, sizes, percent), len(sizes)
+    label, linked = np.arange(n), np.zeros(n, bool)
+    lo, hi = np.full(n, np.iinfo(np.int32).max), np.zeros(n, np.int64)
+
+    def keep(a, b, a_lo, a_hi, b_lo, b_hi):
+        linked[a] = linked[b] = True
+        for at, low, high in ((a, a_lo, a_hi), (b, b_lo, b_hi)):
+            np.minimum.at(lo, at, low)
+            np.maximum.at(hi, at, high)
+
+    starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if n else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], n)
+    large = np.repeat(ends - starts > ALL_PAIRS, ends - starts)
+    pairs = []
+    for d in range(1, ALL_PAIRS):
+        a = np.flatnonzero((cells[:-d] == cells[d:]) & ~large[d:])
+        if not len(a):
+            break
+        b = a + d
+        meet = ~crossing[a] | (sides[a] != sides[b])
+        a, b = a[meet], b[meet]
+        found = sets.maybe(a, b)
+        pairs.append((a[found], b[found]))
+    if pairs:
+        a, b, *spans = sets.similar(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+        keep(a, b, *spans)
+        while True:
+            before = label.copy()
+            np.minimum.at(label, a, label[b])
+            np.minimum.at(label, b, label[a])
+            if (label == before).all():
+                break
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        if end - start <= ALL_PAIRS:
+            continue
+        for x in range(start, end):
+            others = start + np.flatnonzero(label[start:end] != label[x])
+            if not len(others):
+                if (label[start:end] == label[start]).all():
+                    break
+                continue
+            if crossing[start]:
+                others = others[sides[others] != sides[x]]
+            others = others[sets.maybe(x, others)]
+            while len(others):
+                now = others[:PROBED]
+                a, b, *spans = sets.similar(np.full(len(now), x), now)
+                keep(a, b, *spans)
+                joined = np.unique(label[b])
+                if len(joined):
+                    mine = label[start:end]
+                    least = min(int(label[x]), int(joined[0]))
+                    mine[np.isin(mine, joined) | (mine == label[x])] = least
+                others = others[PROBED:]
+                others = others[label[others] != label[x]]
     return label, linked, lo, hi
 
 
@@ -241,7 +337,8 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
     """a, b: links between sets at least so similar, inside blocks, as stars: one id of a cell's component, and another.
 
     sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: also lo and hi, where in b's
-    elements, which come in an order, the first one and behind the last one is that a partner has; for b = a, too.
+    elements, which come in an order, the first one and behind the last one is that a partner has; for b = a, too. These links
+    are found by span_links, from whole numbers as ids and sets that aren't empty.
     counts: block, sets, total (elements), where they are known and all sets are about as large, so that sets are read once only.
     """
     kind = sets.schema["id"].dataType
@@ -257,16 +354,10 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
                 up[i] = i = up[up[i]]
             return i
 
-        reach: dict[int, tuple[int, int]] = {}
         for a, b in divide_skip([np.unique(x) for x in elements], percent, across):
             x, y = root(a), root(b)
             up[max(x, y, key=ids.__getitem__)] = min(x, y, key=ids.__getitem__)
-            if spans:
-                for one, other in ((a, b), (b, a)):
-                    lo, hi = common_span(elements[one], elements[other])
-                    had = reach.get(one, (lo, hi))
-                    reach[one] = (min(lo, had[0]), max(hi, had[1]))
-        rows = [(ids[root(i)], ids[i], *reach.get(i, ())) for i in up if spans or root(i) != i]
+        rows = [(ids[root(i)], ids[i]) for i in up if root(i) != i]
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -275,10 +366,10 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
         small, waiting = [], 0
 
         def together():
-            label, linked, lo, hi = small_links([(e, across) for _, e, across in small], percent)
+            label, linked = small_links([(e, across) for _, e, across in small], percent)
             names_ = [x for mine, _, _ in small for x in mine]
-            at = np.flatnonzero(linked if spans else linked & (label != np.arange(len(label))))
-            columns = [[names_[i] for i in label[at]], [names_[i] for i in at], lo[at], hi[at]][: len(names)]
+            at = np.flatnonzero(linked & (label != np.arange(len(label))))
+            columns = [[names_[i] for i in label[at]], [names_[i] for i in at]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         def links():
@@ -312,6 +403,29 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
         if small:
             yield together()
 
+    def compare(batches):
+        rest = None
+        for batch in gathered(batches, COMPARED):
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            keys = np.stack([batch.column(c).to_numpy() for c in range(5)])
+            new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
+            whole = int(np.flatnonzero(new)[-1])  # the last cell may go on
+            rest = batch.slice(whole)
+            if whole:
+                yield compared(batch.slice(0, whole), keys[:, :whole], new[:whole])
+        if rest is not None:
+            yield compared(rest, keys[:, whole:], new[whole:])
+
+    def compared(batch, keys, new):
+        _, x, y, i, j = keys
+        sides = batch.column(5).to_numpy(zero_copy_only=False)
+        ids = batch.column(6).to_numpy()
+        sizes = batch.column(7).value_lengths().to_numpy().astype(np.int64)
+        label, linked, lo, hi = span_links(batch.column(7).flatten().to_numpy(), sizes, np.cumsum(new), sides, (x != y) | (i != j), percent)
+        at = np.flatnonzero(linked)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids[label[at]], ids[at], lo[at], hi[at]), types, strict=True)], names)
+
     if counts is None:
         # Sizes of similar sets differ by less than a bucket; the sum keeps exact bounds on their side.
         bucket = F.floor((F.log(F.size("elements").cast("double")) + 1e-9) / math.log(100 / percent)).cast("int")
@@ -327,7 +441,7 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
     def found(now: int) -> DataFrame:
         cells = in_cells(sets, parts, rounds, now)
         dealt = cells.repartition("block", "x", "y", "i", "j").sortWithinPartitions("block", "x", "y", "i", "j")
-        return map_arrow(dealt, search, ", ".join(f"{n} {'int' if n not in 'ab' else kind.simpleString()}" for n in names))
+        return map_arrow(dealt, compare if spans else search, ", ".join(f"{n} {'int' if n not in 'ab' else kind.simpleString()}" for n in names))
 
     out = None
     for now in range(rounds):

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as public
 import pytest
 
-from sylva.llm import bpe, classifier, common, fingerprints, line_dedup, mixing, ngram_join, quality_rules, sharding, substring_dedup, token_counts
+from sylva.llm import bpe, classifier, common, fingerprints, line_dedup, mixing, ngram_join, quality_rules, set_joins, sharding, substring_dedup, token_counts
 from sylva.llm.components import components
 from sylva.llm.pretokens import PreTokenizer
 from sylva.llm.set_joins import divide_skip
@@ -395,6 +395,46 @@ def test_rounds_bound_the_copies(spark, monkeypatch):
     assert set(links[1.5]) == set(links[1000]) and links[1000]
 
 
+@pytest.mark.parametrize("all_pairs", [4, 48])
+def test_span_links_are_exact(monkeypatch, all_pairs):
+    monkeypatch.setattr(set_joins, "ALL_PAIRS", all_pairs)
+    rng = np.random.default_rng(all_pairs)
+    sets, cells = [], []
+    for cell in range(12):
+        base = rng.integers(-(1 << 31), 1 << 31, 60).astype(np.int32)
+        for _ in range(rng.integers(1, 30)):
+            at = rng.integers(0, 8)
+            one = base[at : at + rng.integers(46, 52)].copy()
+            one[rng.integers(0, len(one), rng.integers(0, 8))] = rng.integers(-(1 << 31), 1 << 31)
+            one[: rng.choice([0, 0, 15])] = one[0]  # an element may come again
+            sets.append(one)
+            cells.append(cell)
+    cells, sides = np.array(cells), rng.random(len(cells)) < 0.5
+    crossing = cells % 2 == 1
+    label, linked, lo, hi = set_joins.span_links(np.concatenate(sets), np.array(list(map(len, sets))), cells, sides, crossing, 80)
+    meets = lambda a, b: cells[a] == cells[b] and not (crossing[a] and sides[a] == sides[b])
+    similar = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if meets(a, b) and similar(a, b)]
+    least = list(range(len(sets)))
+    for a, b in pairs:
+        least = [min(least[a], least[b]) if x in (least[a], least[b]) else x for x in least]
+    assert label.tolist() == least and linked.tolist() == [any(a in p for p in pairs) for a in range(len(sets))]
+    for a in np.flatnonzero(linked):
+        spans = [np.flatnonzero(np.isin(sets[a], sets[sum(p) - a])) for p in pairs if a in p]
+        assert min(x[0] for x in spans) <= lo[a] <= max(x[0] for x in spans) and min(x[-1] for x in spans) < hi[a] <= max(x[-1] for x in spans) + 1
+
+
+def test_a_set_is_verified_once_among_many_similar_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    passage, n, verified = rng.integers(0, 1 << 31, 46), 1500, []
+    sets = np.hstack([np.tile(passage, (n, 1)), rng.integers(0, 1 << 31, (n, 5))]).astype(np.int32)
+    verify = set_joins.Sets.similar
+    monkeypatch.setattr(set_joins.Sets, "similar", lambda self, a, b: (verified.append(len(a)), verify(self, a, b))[1])
+    label, linked, lo, hi = set_joins.span_links(sets.ravel(), np.full(n, 51), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool), 80)
+    assert linked.all() and not label.any() and not lo.any() and (hi == 46).all()
+    assert sum(verified) < 2 * n
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
