@@ -16,16 +16,17 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..functions.kernels import kept as kept_in_worker
 from ..functions.kernels import map_arrow
 from .common import documents, gathered
-from .pretokens import PreTokenizer
+from .pretokens import Numbered, PreTokenizer
 
 LONG = 256
 #: Rows of all steps of one recursive query (at most the squares of its words' lengths), rows in one decoding query, and
@@ -81,12 +82,13 @@ class Codec:
         import duckdb
 
         self.ranks = read_ranks(path)
-        self.split = PreTokenizer(pattern).split
+        self.texts = Numbered(PreTokenizer(pattern))
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         l, r, merged = np.array(pairs, dtype=np.int64).T
         merges = pa.table({"pair": (l << 32) + r, "merged": merged.astype(np.int32)})
+        self.names = pa.array(map(str, range(max(self.ranks.values()) + 1)), pa.string())
         vocabulary = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array(self.ranks.keys(), pa.binary())})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
@@ -95,41 +97,33 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        self.total = 0
-
-    def _keep(self, lengths: np.ndarray, ids: np.ndarray) -> None:
-        ends = np.cumsum(lengths)
-        self.starts.append(self.total + ends - lengths)
-        self.lengths.append(lengths)
-        self.ids.append(ids)
-        self.total += len(ids)
+        self.texts.forget()
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes new pre-tokens; they get numbers in order."""
-        short, single, long = [], [], []
-        for p in pieces:
-            b = p.encode()
-            n = self.ranks.get(b)
-            if n is not None:
-                single.append((p, n))
-            elif len(b) > LONG:
-                long.append((p, b))
-            else:
-                short.append((p, b))
-        for p, _ in single:
-            self.known[p] = len(self.known)
-        self._keep(np.ones(len(single), np.int64), np.array([n for _, n in single], np.int32))
-        for i, j in _runs([len(b) ** 2 for _, b in short], STEP_ROWS):
-            part = short[i:j]
-            for p, _ in part:
-                self.known[p] = len(self.known)
-            self._keep(*self.contract([b for _, b in part]))
-        for p, b in long:
-            self.known[p] = len(self.known)
-            ids = np.array(contract_long(self.bytes[np.frombuffer(b, np.uint8)].tolist(), self.pairs), np.int32)
-            self._keep(np.array([len(ids)]), ids)
+        """Encodes new pre-tokens, which have the next numbers, in order."""
+        words = [p.encode() for p in pieces]
+        starts, lengths = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+        found, total = [self.ids], len(self.ids)
+        ranks = list(map(self.ranks.get, words))
+        single = [i for i, n in enumerate(ranks) if n is not None]
+        rest = [i for i, n in enumerate(ranks) if n is None]
+
+        def keep(at: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal total
+            lengths[at], starts[at] = sizes, total + np.cumsum(sizes) - sizes
+            found.append(ids)
+            total += len(ids)
+
+        keep(single, np.ones(len(single), np.int64), np.array([ranks[i] for i in single], np.int32))
+        short = [i for i in rest if len(words[i]) <= LONG]
+        for i, j in _runs([len(words[i]) ** 2 for i in short], STEP_ROWS):
+            keep(short[i:j], *self.contract([words[k] for k in short[i:j]]))
+        for i in rest:
+            if len(words[i]) > LONG:
+                ids = np.array(contract_long(self.bytes[np.frombuffer(words[i], np.uint8)].tolist(), self.pairs), np.int32)
+                keep([i], np.array([len(ids)]), ids)
+        self.starts, self.lengths, self.ids = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths]), np.concatenate(found)
 
     @property
     def pairs(self) -> dict[tuple[int, int], int]:
@@ -150,19 +144,14 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids end."""
-        if len(self.known) > KNOWN:
+        if len(self.texts.pieces) > KNOWN or self.texts.full:
             self.forget()
-        split = [self.split(t) for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            self.learn(sorted(new))
-            for name in ("starts", "lengths", "ids"):
-                setattr(self, name, [np.concatenate(getattr(self, name))])
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        lengths = self.lengths[0][at]
+        at, counts = self.texts.cut(pa.array(texts, pa.string()))
+        if len(self.texts.pieces) > len(self.lengths):
+            self.learn(list(islice(self.texts.pieces, len(self.lengths), None)))
+        lengths = self.lengths[at]
         ends = np.cumsum(lengths)
-        ids = self.ids[0][np.repeat(self.starts[0][at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        counts = np.cumsum([0, *map(len, split)])
+        ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[counts]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -270,11 +259,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
             for a, b in _runs([len(t) for t in texts], ROWS):
                 ids, ends = c.encode(texts[a:b])
                 out = c.decode(ids, ends)
-                names = list(map(str, ids.tolist()))
-                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+                names = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c.names.take(pa.array(ids))), " ")
                 columns = [
                     pa.array(np.diff(ends), pa.int64()),
-                    pa.array([hashlib.sha256(" ".join(names[x:y]).encode()).hexdigest() for x, y in spans], pa.string()),
+                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in names], pa.string()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in batch.columns[:-1]), *columns], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 
 from sylva.llm import bpe, classifier, common, fingerprints, line_dedup, mixing, ngram_join, quality_rules, set_joins, sharding, substring_dedup, token_counts
 from sylva.llm.components import components
-from sylva.llm.pretokens import PreTokenizer
+from sylva.llm.pretokens import Numbered, PreTokenizer
 from sylva.llm.set_joins import divide_skip
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,6 +120,38 @@ def test_pretokens_in_parts_are_those_of_the_whole():
         assert split.counts(text) == Counter(split.find(text))
 
 
+@pytest.mark.parametrize("special", [(), ("<|x|>", "<y z>")])
+def test_numbered_pretokens_are_those_of_the_whole(special):
+    splitter = PreTokenizer(public.PATTERN, special)
+    texts = ["a b c", " a", "a ", None, "a  b", "a\n b", "a \nb", "a\n\nb c.\n", "x\u3000 y", "x\u00a0y z", "it's we're 's", "", " ", "  ", "\n", "a <|x|> b<|x|>", "<y z> <y", "٠١abc½ \U0001f642"]
+    numbered = Numbered(splitter)
+    for some in (texts, texts[::-1], texts[4:5], [], ["a"]):
+        found, ends = numbered.cut(pa.array(["skipped", *some], pa.string()).slice(1))
+        names = list(numbered.pieces)
+        assert [[names[i] for i in found[a:b]] for a, b in zip(ends[:-1], ends[1:])] == [splitter.whole(t or "") for t in some]
+
+
+def test_a_part_is_split_once_for_all_texts():
+    splitter, asked = PreTokenizer(public.PATTERN), []
+    find = splitter.find
+    splitter.find = lambda text: (asked.append(text), find(text))[1]
+    numbered = Numbered(splitter)
+    for _ in range(3):
+        numbered.cut(pa.array(["one two-three two-three", "one two-three"] * 50))
+    assert sorted(asked) == [" one", " two-three", "one"]
+
+
+def test_a_codec_that_forgets_gives_the_same(docs, monkeypatch):
+    path = public.path("byte_bpe_50k.tiktoken")
+    whole = bpe.Codec(path, public.PATTERN)
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    expected = [x.tolist() for x in whole.encode(texts)]
+    monkeypatch.setattr(Numbered, "PARTS", 3)
+    small = bpe.Codec(path, public.PATTERN)
+    ids = [small.encode([t])[0].tolist() for t in texts]
+    assert sum(ids, []) == expected[0] and np.cumsum([0, *map(len, ids)]).tolist() == expected[1]
+
+
 def shares(rows, n, other=None):
     """The rows, by doc_id and text, that have a run of n words which another such row has, too."""
     seen = defaultdict(set)
