@@ -78,11 +78,11 @@ class PreTokenizer:
 class Numbered:
     """Texts as numbers of their pre-tokens, for a worker to keep: each part between spaces is split once, whole batches are looked up."""
 
-    #: Parts, and characters in them, after which its owner should forget.
-    PARTS, CHARACTERS = 1_200_000, 24_000_000
+    #: Parts, and characters in each of so many on average, after which its owner should forget.
+    PARTS, CHARACTERS = 1_200_000, 20
 
-    def __init__(self, splitter: PreTokenizer):
-        self.splitter = splitter
+    def __init__(self, splitter: PreTokenizer, parts: int | None = None):
+        self.splitter, self.most = splitter, parts or self.PARTS
         self.forget()
 
     def forget(self) -> None:
@@ -95,7 +95,7 @@ class Numbered:
 
     @property
     def full(self) -> bool:
-        return len(self.parts) > self.PARTS or self.characters > self.CHARACTERS
+        return len(self.parts) > self.most or self.characters > self.most * self.CHARACTERS
 
     def _numbers(self, pieces: Iterable[str]) -> np.ndarray:
         known = self.pieces

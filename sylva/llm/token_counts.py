@@ -12,22 +12,24 @@ texts are one token, as the library has it. An empty table gives an empty result
 from __future__ import annotations
 
 import os
-from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import kept as kept_in_worker
 from ..functions.kernels import map_arrow
-from .common import documents, utf8_bytes, written
-from .pretokens import PreTokenizer
+from .common import documents, small_batches, utf8_bytes, written
+from .pretokens import Numbered, PreTokenizer
 
 LIMIT = 1024
 #: At most so many of the most frequent pre-tokens are broadcast (some 3 MB); the number doesn't follow the input.
 HEAD = 1 << 18
-#: A kernel hands on the distinct pre-tokens it has gathered when there are so many.
-GATHERED = 400_000
+#: Rows that are split together; a kernel hands on the distinct pre-tokens it has gathered when there are so many, or parts.
+ROWS, GATHERED, PARTS = 512, 400_000, 500_000
 
 
 @lru_cache(maxsize=2)
@@ -41,9 +43,10 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=2)
-def _splitter(path: str) -> PreTokenizer:
-    """The splitter of a byte-level tokenizer file, which has no normalizer and doesn't add a space."""
+@kept_in_worker
+@lru_cache(maxsize=1)
+def _splitter(path: str) -> Numbered:
+    """Splits texts as does a byte-level tokenizer file, which has no normalizer and doesn't add a space."""
     import json
 
     import public_tokenizers
@@ -53,26 +56,39 @@ def _splitter(path: str) -> PreTokenizer:
     before = spec["pre_tokenizer"]
     if spec["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
         raise ValueError(f"{path}: not a plain byte-level tokenizer")
-    return PreTokenizer(public_tokenizers.PATTERN, tuple(x["content"] for x in spec["added_tokens"]))
+    return Numbered(PreTokenizer(public_tokenizers.PATTERN, tuple(x["content"] for x in spec["added_tokens"])), PARTS)
+
+
+def _slices(batches):
+    """The same rows in batches of at most ROWS: what splitting keeps for a batch is many times its texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def distinct_pretokens(docs: DataFrame, path: str) -> DataFrame:
     """piece, n: every distinct pre-token of all texts and how often it occurs. Each task sums its own before the shuffle."""
 
     def gather(batches):
-        splitter, seen = _splitter(path), Counter()
+        splitter, seen = _splitter(path), np.zeros(0, np.int64)
 
         def table():
-            out = pa.RecordBatch.from_pydict({"piece": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
-            seen.clear()
-            return out
+            some = np.flatnonzero(seen)
+            pieces = pa.array(splitter.pieces.keys(), pa.string()).take(pa.array(some))
+            return pa.RecordBatch.from_arrays([pieces, pa.array(seen[some])], ["piece", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(splitter.counts(text.as_py() or ""))
-                if len(seen) > GATHERED:
+        for batch in _slices(batches):
+            if splitter.full or len(splitter.pieces) > GATHERED:
+                if len(seen):
                     yield table()
-        yield table()
+                splitter.forget()
+                seen = np.zeros(0, np.int64)
+            found, _ = splitter.cut(batch.column(0))
+            counts = np.bincount(found, minlength=len(splitter.pieces))
+            counts[: len(seen)] += seen
+            seen = counts
+        if len(seen):
+            yield table()
 
     return map_arrow(docs.select("text"), gather, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
@@ -104,26 +120,30 @@ def frequent_pieces(dictionary: DataFrame, head: int) -> DataFrame:
 
 def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of docs."""
+    small_batches(docs.sparkSession)
     dictionary = written(piece_counts(distinct_pretokens(docs, path), path), "pieces")
     frequent = docs.sparkSession.sparkContext.broadcast({x.piece: x.pieces for x in frequent_pieces(dictionary, head).toLocalIterator()})
 
     def sums(batches):
         splitter, known = _splitter(path), frequent.value
-        for batch in batches:
-            total, pieces, times, ends = [], [], [], [0]
-            for text in batch.column(2):
-                n = 0
-                for piece, k in splitter.counts(text.as_py() or "").items():
-                    one = known.get(piece)
-                    if one is None:
-                        pieces.append(piece)
-                        times.append(k)
-                    else:
-                        n += k * one
-                total.append(n)
-                ends.append(len(pieces))
-            rare = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(times, pa.int32())], ["piece", "k"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], ["doc_id", "n_bytes", "n", "rare"])
+        names, tokens = [], np.zeros(0, np.int64)  # of each pre-token; 0: a rare one
+        for batch in _slices(batches):
+            if splitter.full or len(splitter.pieces) > GATHERED:
+                splitter.forget()
+                names, tokens = [], np.zeros(0, np.int64)
+            at, ends = splitter.cut(batch.column(2))
+            new = list(islice(splitter.pieces, len(names), None))
+            names += new
+            tokens = np.concatenate([tokens, np.array([known.get(p, 0) for p in new], np.int64)])
+            total = np.diff(np.concatenate([[0], np.cumsum(tokens[at])])[ends])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            rare = tokens[at] == 0
+            size = len(tokens) + 1
+            each, times = np.unique(row[rare] * size + at[rare], return_counts=True)
+            row, at = np.divmod(each, size)
+            pieces = pa.array([names[i] for i in at.tolist()], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pieces, pa.array(times, pa.int32())], ["piece", "k"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), lists], ["doc_id", "n_bytes", "n", "rare"])
 
     rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8_bytes().alias("n_bytes"), "text"), sums, "doc_id long, n_bytes long, n long, rare array<struct<piece:string,k:int>>")
     # The row's own figures travel as one more element, whose key no pre-token has: letters, digits and signs never share one.

@@ -152,6 +152,11 @@ def test_a_codec_that_forgets_gives_the_same(docs, monkeypatch):
     assert sum(ids, []) == expected[0] and np.cumsum([0, *map(len, ids)]).tolist() == expected[1]
 
 
+def test_op3_splits_few_texts_at_once():
+    batches = list(token_counts._slices([pa.RecordBatch.from_pydict({"text": ["a"] * 1100}), pa.RecordBatch.from_pydict({"text": ["b"]})]))
+    assert [b.num_rows for b in batches] == [512, 512, 76, 1]
+
+
 def shares(rows, n, other=None):
     """The rows, by doc_id and text, that have a run of n words which another such row has, too."""
     seen = defaultdict(set)
