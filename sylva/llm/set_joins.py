@@ -224,7 +224,7 @@ def span_links(values: np.ndarray, sizes: np.ndarray, cells: np.ndarray, sides:
     """For the sets of many cells: one of the same component, whether it has a link, and lo and hi, from where to behind where partners have its elements.
 
     values, sizes: all sets' elements. cells: numbers of their cells, ascending. Where crossing, only links across sides count.
-    All pairs of a small cell are compared. In a larger one each set is compared with those that no link joins to it by then.
+    All pairs of a small cell are compared; of a larger one those that share a rare element and that no link joins by then.
     """
     sets, n = Sets(values, sizes, percent), len(sizes)
     label, linked = np.arange(n), np.zeros(n, bool)
@@ -261,29 +261,72 @@ def span_links(values: np.ndarray, sizes: np.ndarray, cells: np.ndarray, sides:
     for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
         if end - start <= ALL_PAIRS:
             continue
-        for x in range(start, end):
-            others = start + np.flatnonzero(label[start:end] != label[x])
-            if not len(others):
-                if (label[start:end] == label[start]).all():
-                    break
-                continue
+        for a, b in _meetings(sets, start, end, label):
             if crossing[start]:
-                others = others[sides[others] != sides[x]]
-            others = others[sets.maybe(x, others)]
-            while len(others):
-                now = others[:PROBED]
-                a, b, *spans = sets.similar(np.full(len(now), x), now)
-                keep(a, b, *spans)
-                joined = np.unique(label[b])
-                if len(joined):
-                    mine = label[start:end]
-                    least = min(int(label[x]), int(joined[0]))
-                    mine[np.isin(mine, joined) | (mine == label[x])] = least
-                others = others[PROBED:]
-                others = others[label[others] != label[x]]
+                apart = sides[a] != sides[b]
+                a, b = a[apart], b[apart]
+            near = sets.maybe(a, b)
+            a, b, *spans = sets.similar(a[near], b[near])
+            keep(a, b, *spans)
+            label[start:end] = start + _united(label[start:end] - start, a - start, b - start)
     return label, linked, lo, hi
 
 
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least of each component) after links between a and b."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def _meetings(sets: Sets, start: int, end: int, label: np.ndarray):
+    """Pairs of a large cell, some at a time, among which are all similar ones that no earlier link joins. label changes meanwhile.
+
+    Of each set only its rarest elements count, so many that similar sets have one of them in common. In each of their lists
+    all sets meet the first one, then those meet that are still apart.
+    """
+    n, percent = end - start, sets.percent
+    rows, first, distinct = sets.rows[start:end], sets.first[start:end], sets.distinct[start:end]
+    _, element, often = np.unique(rows, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    ranks = np.sort(np.where(first, rank[element.reshape(rows.shape)], len(often)), axis=1)
+    least = -(-percent * (distinct + np.maximum(distinct.min(), -(-percent * distinct // 100))) // (100 + percent))
+    owner, place = np.nonzero(np.arange(rows.shape[1]) < (distinct - least + 1)[:, None])
+    of = ranks[owner, place]
+    order = np.argsort(of, kind="stable")
+    of, owner = of[order], owner[order] + start
+    begins = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    leader = np.repeat(owner[begins], np.diff(np.append(begins, len(of))))
+    pairs = np.unique((leader * end + owner)[leader != owner])
+    for at in range(0, len(pairs), n):
+        a, b = np.divmod(pairs[at : at + n], end)
+        apart = label[a] != label[b]
+        yield a[apart], b[apart]
+    # Lists of one component alone have nothing more to give.
+    mixed_lists = np.logical_or.reduceat(label[owner] != label[leader], begins)
+    left = np.repeat(mixed_lists, np.diff(np.append(begins, len(of))))
+    of, owner = of[left], owner[left]
+    at = np.arange(len(of))
+    for d in range(1, len(of)):
+        at = at[at < len(of) - d]
+        at = at[of[at] == of[at + d]]
+        if not len(at):
+            return
+        a, b = owner[at], owner[at + d]
+        apart = label[a] != label[b]
+        if apart.any():
+            a, b = np.divmod(np.unique(a[apart] * end + b[apart]), end)
+            yield a, b
+
+
 def block_parts(sizes: DataFrame) -> DataFrame:
     """block, bucket, own, up, down: the parts of the buckets of blocks that are cut, and of the buckets next to them; as a table.
 
