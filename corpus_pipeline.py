@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm.bpe import encoded
 from sylva.llm.classifier import fit, kept
-from sylva.llm.common import documents, written
+from sylva.llm.common import documents, give_back, written
 from sylva.llm.line_dedup import deduped
 from sylva.llm.mixing import mixed_documents
 from sylva.llm.ngram_join import one_of_each
@@ -57,6 +57,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids (the tokens of the whole text) and n_tokens, for every row; a null text has no tokens."""
     import public_tokenizers
 
+    give_back(spark)  # the stage's memory is that of Python, and the stages before have filled the executors' heaps
     ids = encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("doc_id", "source"))
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))
 

@@ -103,6 +103,12 @@ def release(*tables: DataFrame, collect: bool = True) -> None:
         spark._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Each executor's JVM collects its garbage and returns free heap to the system: shuffles fill the heap, and it would stay as large beside Python workers."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def clean_up() -> None:
     """Deletes every table that `written` has made in this process; frames that read them end with it."""
     for path, spark in list(_workspaces.items()):

@@ -1,3 +1,5 @@
+import gc
+
 import corpus_pipeline
 from sylva.llm import ngram_join, queries
 from sylva.llm.common import documents, written
@@ -35,3 +37,14 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SMALL), "empty")
         assert docs.count() == 0
+
+
+def test_bpe_begins_with_small_heaps(spark):
+    """What earlier stages have left in the executors' heaps is given back to the system before Python workers need it."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    garbage = [spark.sparkContext._gateway.new_array(spark._jvm.byte, 100 << 20) for _ in range(4)]
+    full = heap.totalMemory()
+    del garbage
+    gc.collect()
+    corpus_pipeline.bpe(spark, documents(spark, SMALL), SMALL)
+    assert heap.totalMemory() < full
