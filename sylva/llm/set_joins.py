@@ -351,8 +351,8 @@ def rounds_of(sizes: DataFrame, parts: DataFrame) -> int:
 def in_cells(sets: DataFrame, parts: DataFrame, rounds: int = 1, now: int = 0) -> DataFrame:
     """block, x, y, i, j, side, id, elements: each set in the cells where its part (x, i or y, j) of the block meets others.
 
-    sets: block, bucket, id, elements. parts: of block_parts, as a table. A block that isn't cut has one cell. Of all rounds,
-    those of one.
+    sets: block, bucket, id, elements. parts: of block_parts, as a table. A block that isn't cut has one cell, with i and j -1.
+    Of all rounds, those of one.
     """
     own = sets.join(maybe_broadcast(parts), ["block", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1))).cast("int"))
     bucket, part, no = F.col("bucket"), F.col("part"), F.array().cast("array<int>")
@@ -363,8 +363,8 @@ def in_cells(sets: DataFrame, parts: DataFrame, rounds: int = 1, now: int = 0) -
     def cell(x, y, i, j, side):
         return F.struct(x.alias("x"), y.alias("y"), i.alias("i"), j.alias("j"), side.alias("side"))
 
-    zero = F.lit(0)
-    cells = F.when(F.col("own").isNull(), F.array(cell(zero, zero, zero, zero, F.lit(False)))).otherwise(
+    zero, whole = F.lit(0), F.lit(-1)
+    cells = F.when(F.col("own").isNull(), F.array(cell(zero, zero, whole, whole, F.lit(False)))).otherwise(
         F.concat(
             F.transform(upto("own"), lambda j: cell(bucket, bucket, F.least(part, j), F.greatest(part, j), part > j)),
             F.transform(upto("up"), lambda j: cell(bucket, bucket + 1, part, j, F.lit(False))),
@@ -380,14 +380,15 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
     """a, b: links between sets at least so similar, inside blocks, as stars: one id of a cell's component, and another.
 
     sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: also lo and hi, where in b's
-    elements, which come in an order, the first one and behind the last one is that a partner has; for b = a, too. These links
-    are found by span_links, from whole numbers as ids and sets that aren't empty.
+    elements, which come in an order, the first one and behind the last one is that a partner has; for b = a, too; and whole,
+    whether the block has one cell: there a names b's component, and no other link has b. These links are found by span_links,
+    from whole numbers as ids and sets that aren't empty.
     counts: block, sets, total (elements), where they are known and all sets are about as large, so that sets are read once only.
     """
     kind = sets.schema["id"].dataType
     id_type = pa.string() if kind.simpleString() == "string" else pa.int64()
-    names = ["a", "b", "lo", "hi"] if spans else ["a", "b"]
-    types = [id_type] * 2 + [pa.int32()] * (len(names) - 2)
+    names = ["a", "b", "lo", "hi", "whole"] if spans else ["a", "b"]
+    types = [id_type] * 2 + [pa.int32(), pa.int32(), pa.bool_()][: len(names) - 2]
 
     def stars(ids: list, elements: list[np.ndarray], across: np.ndarray | None) -> pa.RecordBatch:
         up: dict[int, int] = {}
@@ -467,7 +468,7 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
         sizes = batch.column(7).value_lengths().to_numpy().astype(np.int64)
         label, linked, lo, hi = span_links(batch.column(7).flatten().to_numpy(), sizes, np.cumsum(new), sides, (x != y) | (i != j), percent)
         at = np.flatnonzero(linked)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids[label[at]], ids[at], lo[at], hi[at]), types, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids[label[at]], ids[at], lo[at], hi[at], i[at] < 0), types, strict=True)], names)
 
     if counts is None:
         # Sizes of similar sets differ by less than a bucket; the sum keeps exact bounds on their side.
@@ -484,7 +485,7 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
     def found(now: int) -> DataFrame:
         cells = in_cells(sets, parts, rounds, now)
         dealt = cells.repartition("block", "x", "y", "i", "j").sortWithinPartitions("block", "x", "y", "i", "j")
-        return map_arrow(dealt, compare if spans else search, ", ".join(f"{n} {'int' if n not in 'ab' else kind.simpleString()}" for n in names))
+        return map_arrow(dealt, compare if spans else search, f"a {kind.simpleString()}, b {kind.simpleString()}" + ", lo int, hi int, whole boolean" * spans)
 
     out = None
     for now in range(rounds):

@@ -48,6 +48,8 @@ BANDS, ROWS = 3, 1
 RUN, REACH = 12, 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: A paragraph's bands are kept in one number, so many bits of each: they tell the paragraphs of one center apart.
+BITS = 64 // BANDS
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
@@ -108,11 +110,12 @@ class Reader:
 
     @staticmethod
     def bands(grams: np.ndarray, a: np.ndarray, b: np.ndarray, center: np.ndarray) -> np.ndarray:
-        """The keys by which paragraphs collide: of center and band."""
+        """The keys by which paragraphs of a center collide, BITS of each band in one number."""
         edges = np.stack([a, b - SHINGLE + 1], axis=1).ravel()
         # Each second run, between a paragraph's end and the next one's begin, isn't used.
         values = np.stack([np.minimum.reduceat(np.append(mixed(grams ^ s), ~np.uint64(0)), edges)[::2] for s in _SEEDS]) if len(a) else np.zeros((len(_SEEDS), 0), np.uint64)
-        return np.stack([mixed(center ^ mixed(sum((values[k * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(k + 1)))) for k in range(BANDS)])
+        keys = [mixed(center ^ mixed(sum((values[k * ROWS + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(k + 1)))) for k in range(BANDS)]
+        return sum((key >> np.uint64(64 - BITS)) << np.uint64(BITS * k) for k, key in enumerate(keys))
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType, ends: list[int] | None = None) -> pa.ListArray:
@@ -146,11 +149,11 @@ def shared_runs(rows: DataFrame) -> DataFrame:
 
 
 def paragraph_table(rows: DataFrame, texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """text_hash, copied, x (class, start, n, named center, k0 ...): the paragraphs of each different text around shared runs, as a table.
+    """text_hash, copied, x (class, start, n, named center, bands): the paragraphs of each different text around shared runs, as a table.
 
     texts: text_hash, doc_id (of the first document with it), copied.
     """
-    names = ["class", "start", "n", "named", *(f"k{k}" for k in range(BANDS))]
+    names = ["class", "start", "n", "named", "bands"]
 
     def kernel(batches):
         reader = Reader()
@@ -164,21 +167,21 @@ def paragraph_table(rows: DataFrame, texts: DataFrame, hits: DataFrame) -> DataF
                 np.add.at(flags, np.maximum(at - REACH, 0), 1)
                 np.add.at(flags, np.minimum(at + RUN + REACH - SHINGLE + 1, len(h)), -1)
                 class_, a, b, named, grams = reader.paragraphs(h, np.cumsum(flags) > 0)
-                found.append((class_.astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), named.astype(np.int64), *reader.bands(grams, a, b, named).astype(np.int64)))
+                found.append((class_.astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), named.astype(np.int64), reader.bands(grams, a, b, named).astype(np.int64)))
                 ends.append(ends[-1] + len(a))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * (1 + BANDS)]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             columns = [pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], kind) for kind in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))], ["text_hash", "copied", "x"])
 
     wanted = maybe_broadcast(hits.join(texts, "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), "copied", "keys"))
     found = rows.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text_hash", "copied", "text", "keys")
-    kind = "x array<struct<class:long,start:int,n:int,named:long," + ",".join(f"k{k}:long" for k in range(BANDS)) + ">>"
+    kind = "x array<struct<class:long,start:int,n:int,named:long,bands:long>>"
     return written(map_arrow(found, kernel, f"text_hash long, copied boolean, {kind}"), "paragraphs")
 
 
 def class_table(paragraphs: DataFrame) -> DataFrame:
-    """class, text_hash (of one text that has it), repeated (whether several documents have it), named, k0 ...; as a table."""
-    keys = ["named", *(f"k{k}" for k in range(BANDS))]
+    """class, text_hash (of one text that has it), repeated (whether several documents have it), named, bands; as a table."""
+    keys = ["named", "bands"]
     each = paragraphs.select("text_hash", "copied", F.explode("x").alias("x"))
     sums = each.groupBy(F.col("x.class").alias("class")).agg(
         F.min("text_hash").alias("text_hash"), F.max("text_hash").alias("other"), F.max("copied").alias("copied"), *(F.min(f"x.{k}").alias(k) for k in keys)
@@ -190,7 +193,8 @@ def colliding(classes: DataFrame) -> DataFrame:
     """class, text_hash, named of the classes that another one agrees with in center and in a band, as a table. Band by band."""
     found = []
     for k in range(BANDS):
-        keys = classes.select("class", "text_hash", "named", F.col(f"k{k}").alias("key"))
+        band = F.shiftrightunsigned("bands", BITS * k).bitwiseAND((1 << BITS) - 1)
+        keys = classes.select("class", "text_hash", "named", F.xxhash64("named", band).alias("key"))
         shared = written(keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key"), "shared")
         found.append(written(keys.join(maybe_broadcast(shared), "key").select("class", "text_hash", "named"), "band"))
         release(shared)
@@ -203,7 +207,7 @@ def colliding(classes: DataFrame) -> DataFrame:
 
 
 def class_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
-    """a, b, lo, hi: links between similar classes, as stars; as a table. found: classes that collide."""
+    """a, b, lo, hi, whole: links between similar classes, as stars; as a table. found: classes that collide."""
     counts = written(found.groupBy(F.col("named").alias("block")).agg(F.count("*").alias("sets"), (F.count("*") * (WORDS - SHINGLE + 1)).alias("total")), "counts")
     found = found.groupBy("text_hash").agg(F.collect_list(F.struct("class", "named")).alias("x"))
     wanted = found.join(maybe_broadcast(texts.select("text_hash", "doc_id")), "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), F.col("x.class").alias("classes"), F.col("x.named").alias("blocks"))
@@ -235,11 +239,13 @@ def class_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFram
 
 def similar_spans(places: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """text_hash, a, b, kind: the paragraphs of each different text that other documents have, too, by their words; as a table."""
-    merged = written(components(links.select("a", "b")), "merged")
-    parts = links.groupBy(F.col("b").alias("class")).agg(F.min("lo").alias("lo"), (F.max("hi") + SHINGLE - 1).alias("hi"))
+    # A class has one center: what one cell has linked is a component already. Only blocks of several cells have more to join.
+    cut = links.where("NOT whole")
+    merged = written(components(cut.select("a", "b")), "merged")
+    parts = cut.groupBy(F.col("b").alias("class")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(merged.withColumnRenamed("id", "class"), "class")
+    parts = parts.unionByName(links.where("whole").select(F.col("b").alias("class"), "lo", "hi", F.col("a").alias("component"))).withColumn("hi", F.col("hi") + SHINGLE - 1)
     whole = F.col("repeated")
-    kinds = classes.select("class", "text_hash", "repeated").join(merged.withColumnRenamed("id", "class"), "class", "left").where(whole | F.col("component").isNotNull())
-    kinds = kinds.join(parts, "class", "left").select("class", "text_hash", "repeated", F.coalesce("component", "class").alias("kind"), F.when(~whole, F.col("lo")).alias("lo"), F.when(~whole, F.col("hi")).alias("hi"))
+    kinds = classes.select("class", "text_hash", "repeated").join(parts, "class", "left").where(whole | F.col("component").isNotNull()).select("class", "text_hash", "repeated", F.coalesce("component", "class").alias("kind"), F.when(~whole, F.col("lo")).alias("lo"), F.when(~whole, F.col("hi")).alias("hi"))
     kinds = written(kinds, "kinds")
     # A kind of which all paragraphs are in one document is none across documents.
     across = kinds.groupBy("kind").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y"), F.max("repeated").alias("r")).where("r OR x != y").select("kind")
@@ -262,6 +268,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     paragraphs = paragraph_table(rows, texts, hits)
     release(hits)
     classes = class_table(paragraphs)
+    rows.sparkSession._jvm.System.gc()  # the shuffled paragraphs go from the disks
     places = written(paragraphs.select("text_hash", F.explode("x").alias("x")).select("text_hash", "x.class", "x.start", "x.n"), "places")
     release(paragraphs)
     found = colliding(classes)

@@ -247,6 +247,24 @@ def test_op4_links_variants_of_one_passage(spark):
     assert sum(len(x) == 3 for x in whole.values()) >= 28
 
 
+def test_op4_joins_what_cells_have_linked_in_cut_blocks_only(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(4):
+        passage = words_of(rng, 90)
+        for at in range(5, 85, 10):
+            texts.append([*words_of(rng, 30), *passage[:at], "changed", *passage[at + 1 :], *words_of(rng, 30)])
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    joined, components = [], substring_dedup.components
+    monkeypatch.setattr(substring_dedup, "components", lambda edges: (joined.append(edges.count()), components(edges))[1])
+    found = sorted(map(tuple, substring_dedup.repeated_passages(docs).collect()))
+    assert len({r[0] for r in found}) >= 28
+    assert joined[0] == 0
+    monkeypatch.setattr(set_joins, "PART_SETS", 2)
+    assert sorted(map(tuple, substring_dedup.repeated_passages(docs).collect())) == found
+    assert joined[2] > 0
+
+
 def test_op4_finds_passages_whose_pieces_came_before(spark):
     rng = np.random.default_rng(5)
     texts, later = [], []
