@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import gathered, map_arrow, maybe_broadcast, release, written
@@ -327,6 +327,26 @@ def _meetings(sets: Sets, start: int, end: int, label: np.ndarray):
             yield a, b
 
 
+def is_cut(sets: Column, total: Column) -> Column:
+    """Whether a block with so many sets and elements is cut into parts."""
+    return (sets > PART_SETS) | (total > PART_ELEMENTS)
+
+
+def whole_groups(batches, columns: int):
+    """The same rows, those with equal values in the first columns together, and the columns' values. Equal rows lie together."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        keys = np.stack([batch.column(c).to_numpy() for c in range(columns)])
+        whole = int(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))[-1])  # the last group may go on
+        rest = batch.slice(whole)
+        if whole:
+            yield batch.slice(0, whole), keys[:, :whole]
+    if rest is not None:
+        yield rest, keys[:, whole:]
+
+
 def block_parts(sizes: DataFrame) -> DataFrame:
     """block, bucket, own, up, down: the parts of the buckets of blocks that are cut, and of the buckets next to them; as a table.
 
@@ -349,9 +369,9 @@ def rounds_of(sizes: DataFrame, parts: DataFrame) -> int:
 
 
 def in_cells(sets: DataFrame, parts: DataFrame, rounds: int = 1, now: int = 0) -> DataFrame:
-    """block, x, y, i, j, side, id, elements: each set in the cells where its part (x, i or y, j) of the block meets others.
+    """block, x, y, i, j, side, id, elements, and what more sets have: each set in the cells where its part (x, i or y, j) of the block meets others.
 
-    sets: block, bucket, id, elements. parts: of block_parts, as a table. A block that isn't cut has one cell, with i and j -1.
+    sets: block, id, elements, bucket and more. parts: of block_parts, as a table. A block that isn't cut has one cell, with i and j -1.
     Of all rounds, those of one.
     """
     own = sets.join(maybe_broadcast(parts), ["block", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1))).cast("int"))
@@ -373,16 +393,17 @@ def in_cells(sets: DataFrame, parts: DataFrame, rounds: int = 1, now: int = 0) -
     )
     if rounds > 1:
         cells = F.filter(cells, lambda c: F.pmod(F.xxhash64("block", c["x"], c["y"], c["i"], c["j"]), F.lit(rounds)) == now)
-    return own.withColumn("cell", F.explode(cells)).select("block", "cell.*", "id", "elements")
+    return own.withColumn("cell", F.explode(cells)).select("block", "cell.*", *(c for c in sets.columns if c not in ("block", "bucket")))
 
 
 def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """a, b: links between sets at least so similar, inside blocks, as stars: one id of a cell's component, and another.
 
-    sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: also lo and hi, where in b's
-    elements, which come in an order, the first one and behind the last one is that a partner has; for b = a, too; and whole,
-    whether the block has one cell: there a names b's component, and no other link has b. These links are found by span_links,
-    from whole numbers as ids and sets that aren't empty.
+    sets: block, id, elements (an array of whole numbers). An id occurs once in a block. spans: sets also have owner, a number,
+    and repeated. Then there are lo and hi, too, where in b's elements, which come in an order, the first one and behind the last
+    one is that a partner has; for b = a as well; and whole, whether the block has one cell. There a names b's component, and of
+    the components that have several owners or a repeated set all sets are returned, repeated ones from end to end; of the others
+    none. These links are found by span_links, from whole numbers as ids and sets that aren't empty.
     counts: block, sets, total (elements), where they are known and all sets are about as large, so that sets are read once only.
     """
     kind = sets.schema["id"].dataType
@@ -448,27 +469,24 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
             yield together()
 
     def compare(batches):
-        rest = None
-        for batch in gathered(batches, COMPARED):
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            keys = np.stack([batch.column(c).to_numpy() for c in range(5)])
-            new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
-            whole = int(np.flatnonzero(new)[-1])  # the last cell may go on
-            rest = batch.slice(whole)
-            if whole:
-                yield compared(batch.slice(0, whole), keys[:, :whole], new[:whole])
-        if rest is not None:
-            yield compared(rest, keys[:, whole:], new[whole:])
+        for batch, keys in whole_groups(gathered(batches, COMPARED), 5):
+            yield compared(batch, keys)
 
-    def compared(batch, keys, new):
+    def compared(batch, keys):
         _, x, y, i, j = keys
-        sides = batch.column(5).to_numpy(zero_copy_only=False)
-        ids = batch.column(6).to_numpy()
+        new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
+        sides, repeated = (batch.column(c).to_numpy(zero_copy_only=False) for c in (5, 9))
+        ids, owner = batch.column(6).to_numpy(), batch.column(8).to_numpy()
         sizes = batch.column(7).value_lengths().to_numpy().astype(np.int64)
         label, linked, lo, hi = span_links(batch.column(7).flatten().to_numpy(), sizes, np.cumsum(new), sides, (x != y) | (i != j), percent)
-        at = np.flatnonzero(linked)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids[label[at]], ids[at], lo[at], hi[at], i[at] < 0), types, strict=True)], names)
+        least, most, often = owner.copy(), owner.copy(), repeated.copy()
+        np.minimum.at(least, label, owner)
+        np.maximum.at(most, label, owner)
+        np.logical_or.at(often, label, repeated)
+        whole = i < 0
+        lo, hi = np.where(whole & repeated, 0, lo), np.where(whole & repeated, sizes, hi)
+        at = np.flatnonzero(np.where(whole, (often | (least != most))[label], linked))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids[label[at]], ids[at], lo[at], hi[at], whole[at]), types, strict=True)], names)
 
     if counts is None:
         # Sizes of similar sets differ by less than a bucket; the sum keeps exact bounds on their side.
@@ -478,7 +496,8 @@ def jaccard_links(sets: DataFrame, percent: int, spans: bool = False, counts: Da
     else:
         sets, sizes = sets.withColumn("bucket", F.lit(0)), counts.withColumn("bucket", F.lit(0))
     sizes = written(sizes, "sizes")
-    parts = written(block_parts(sizes), "cuts")
+    # Where all sets of a block are in one bucket, small ones needn't be added up.
+    parts = written(block_parts(sizes if counts is None else sizes.where(is_cut(F.col("sets"), F.col("total")))), "cuts")
     rounds = rounds_of(sizes, parts)
     release(sizes, collect=False)
 

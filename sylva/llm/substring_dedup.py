@@ -9,7 +9,7 @@ asks for 46 common ones: a run of 50 words, or 55 with a changed word among them
 1. What has no run of words in common with another document has no similar paragraph either: a run of 23 shingles
 is left of each similar pair (an edited word takes five). Of each REACH neighbouring runs of RUN words one is
 chosen by its hash, so such a run of shingles holds one; only around the chosen runs that two documents have, paragraphs are
-made. 2. Equal paragraphs are a class. Classes collide if they agree in center and in one of BANDS bands, of ROWS MinHash
+made, and their shingles kept. 2. Equal paragraphs are a class. Classes collide if they agree in center and in one of BANDS bands, of ROWS MinHash
 values each: a pair with 46 of 56 common shingles by a chance of 0.99, and a passage has several. 3. The classes of a center
 that collide are a block, in which set_joins finds all pairs with an exact similarity of PERCENT, whatever their number.
 4. The components of these links are the kinds. In a kind that several documents have, the paragraphs of the first document
@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, map_arrow, maybe_broadcast, mixed, release, shingle_hashes, text_hash, word_hashes, written
+from .common import WordHashes, documents, gathered, map_arrow, maybe_broadcast, mixed, release, shingle_hashes, text_hash, word_hashes, written
 from .components import components
-from .set_joins import jaccard_links
+from .set_joins import is_cut, jaccard_links, whole_groups
 
 SHINGLE, PERCENT = 5, 80
 #: Words of a paragraph; of one that a text's begin or end cuts off, at least.
@@ -50,6 +50,8 @@ RUN, REACH = 12, 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: A paragraph's bands are kept in one number, so many bits of each: they tell the paragraphs of one center apart.
 BITS = 64 // BANDS
+#: Rows that the kernels over centers and their texts take at once.
+GATHERED = 8000
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
@@ -149,16 +151,16 @@ def shared_runs(rows: DataFrame) -> DataFrame:
 
 
 def paragraph_table(rows: DataFrame, texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """text_hash, copied, x (class, start, n, named center, bands): the paragraphs of each different text around shared runs, as a table.
+    """text_hash, copied, x (class, start, n, named center, bands), grams: the paragraphs of each different text around shared runs, as a table.
 
-    texts: text_hash, doc_id (of the first document with it), copied.
+    texts: text_hash, doc_id (of the first document with it), copied. grams: 32 bits of each shingle, 0 outside of paragraphs.
     """
     names = ["class", "start", "n", "named", "bands"]
 
     def kernel(batches):
         reader = Reader()
         for batch in batches:
-            found, ends = [], [0]
+            found, ends, shingles = [], [0], []
             for text, keys in zip(batch.column(2), batch.column(3), strict=True):
                 h = reader.words(text.as_py())
                 at, runs = reader.runs(h)
@@ -169,89 +171,113 @@ def paragraph_table(rows: DataFrame, texts: DataFrame, hits: DataFrame) -> DataF
                 class_, a, b, named, grams = reader.paragraphs(h, np.cumsum(flags) > 0)
                 found.append((class_.astype(np.int64), a.astype(np.int32), (b - a).astype(np.int32), named.astype(np.int64), reader.bands(grams, a, b, named).astype(np.int64)))
                 ends.append(ends[-1] + len(a))
+                inside = np.zeros(len(grams) + 1, np.int64)
+                np.add.at(inside, a, 1)
+                np.add.at(inside, b - SHINGLE + 1, -1)
+                shingles.append(np.where(np.cumsum(inside)[:-1] > 0, (grams >> np.uint64(32)).astype(np.uint32), np.uint32(0)).view(np.int32))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             columns = [pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], kind) for kind in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))], ["text_hash", "copied", "x"])
+            x = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x, _lists(shingles, pa.int32())], ["text_hash", "copied", "x", "grams"])
 
     wanted = maybe_broadcast(hits.join(texts, "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), "copied", "keys"))
     found = rows.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text_hash", "copied", "text", "keys")
     kind = "x array<struct<class:long,start:int,n:int,named:long,bands:long>>"
-    return written(map_arrow(found, kernel, f"text_hash long, copied boolean, {kind}"), "paragraphs")
+    return written(map_arrow(found, kernel, f"text_hash long, copied boolean, {kind}, grams array<int>"), "paragraphs")
 
 
-def class_table(paragraphs: DataFrame) -> DataFrame:
-    """class, text_hash (of one text that has it), repeated (whether several documents have it), named, bands; as a table."""
-    keys = ["named", "bands"]
-    each = paragraphs.select("text_hash", "copied", F.explode("x").alias("x"))
-    sums = each.groupBy(F.col("x.class").alias("class")).agg(
-        F.min("text_hash").alias("text_hash"), F.max("text_hash").alias("other"), F.max("copied").alias("copied"), *(F.min(f"x.{k}").alias(k) for k in keys)
-    )
-    return written(sums.select("class", "text_hash", (F.col("copied") | (F.col("text_hash") != F.col("other"))).alias("repeated"), *keys), "classes")
-
-
-def colliding(classes: DataFrame) -> DataFrame:
-    """class, text_hash, named of the classes that another one agrees with in center and in a band, as a table. Band by band."""
-    found = []
+def colliding(named: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Flags of the classes that another one agrees with in center and in a band. named: their centers, in order."""
+    center = np.cumsum(np.append(False, named[1:] != named[:-1])).astype(np.uint64)
+    out = np.zeros(len(named), bool)
     for k in range(BANDS):
-        band = F.shiftrightunsigned("bands", BITS * k).bitwiseAND((1 << BITS) - 1)
-        keys = classes.select("class", "text_hash", "named", F.xxhash64("named", band).alias("key"))
-        shared = written(keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("key"), "shared")
-        found.append(written(keys.join(maybe_broadcast(shared), "key").select("class", "text_hash", "named"), "band"))
-        release(shared)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    out = written(every.distinct(), "colliding")
-    release(*found)
+        band = (bands.view(np.uint64) >> np.uint64(BITS * k)) & np.uint64((1 << BITS) - 1)
+        _, key, often = np.unique((center << np.uint64(BITS)) | band, return_inverse=True, return_counts=True)
+        out |= often[key] > 1
     return out
 
 
-def class_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
-    """a, b, lo, hi, whole: links between similar classes, as stars; as a table. found: classes that collide."""
-    counts = written(found.groupBy(F.col("named").alias("block")).agg(F.count("*").alias("sets"), (F.count("*") * (WORDS - SHINGLE + 1)).alias("total")), "counts")
-    found = found.groupBy("text_hash").agg(F.collect_list(F.struct("class", "named")).alias("x"))
-    wanted = found.join(maybe_broadcast(texts.select("text_hash", "doc_id")), "text_hash").select(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"), F.col("x.class").alias("classes"), F.col("x.named").alias("blocks"))
-    wanted = written(wanted, "wanted")
+def center_table(paragraphs: DataFrame) -> DataFrame:
+    """class, text_hash, start, n, named, repeated, sets, first, lead: paragraphs whose class several documents have or that collides, as a table.
+
+    repeated: whether several documents have the class. sets: how many classes of its center collide, 0 if it doesn't. first: of
+    one paragraph of each class; lead: of one of each center with sets. All of a center meets in one task: its paragraphs are
+    shuffled once, for classes, bands and the sizes of blocks.
+    """
+    each = paragraphs.select("text_hash", "copied", F.explode("x").alias("x")).select("x.named", "x.class", "text_hash", "x.start", "x.n", "x.bands", "copied")
+
+    def centers(batch):
+        named, class_, text, _, _, bands, copied = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+        new = np.append(True, (named[1:] != named[:-1]) | (class_[1:] != class_[:-1]))
+        first = np.flatnonzero(new)
+        of = np.cumsum(new) - 1
+        repeated = np.logical_or.reduceat(copied, first) | (text[first] != text[np.append(first[1:], len(text)) - 1])
+        collides = colliding(named[first], bands[first])
+        center = np.cumsum(np.append(False, named[first[1:]] != named[first[:-1]]))
+        sets = np.where(collides, np.bincount(center, collides).astype(np.int64)[center], 0)
+        lead = np.zeros(len(named), bool)
+        asked = np.flatnonzero(collides)
+        lead[first[asked[np.append(True, center[asked[1:]] != center[asked[:-1]])[: len(asked)]]]] = True
+        at = np.flatnonzero((repeated | collides)[of])
+        columns = [batch.column(c).take(pa.array(at)) for c in (1, 2, 3, 4, 0)] + [pa.array(c) for c in (repeated[of][at], sets[of][at], new[at], lead[at])]
+        return pa.RecordBatch.from_arrays(columns, ["class", "text_hash", "start", "n", "named", "repeated", "sets", "first", "lead"])
 
     def kernel(batches):
-        reader = Reader()
-        for batch in batches:
-            blocks, ids, elements = [], [], []
-            for text, classes, of in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                asked = dict(zip(classes.as_py(), of.as_py(), strict=True))
-                class_, a, b, _, grams = reader.paragraphs(reader.words(text.as_py()))
-                for k, x, y in zip(class_.astype(np.int64).tolist(), a.tolist(), b.tolist(), strict=True):
-                    if (block := asked.pop(k, None)) is not None:
-                        blocks.append(block)
-                        ids.append(k)
-                        elements.append((grams[x : y - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                if len(elements) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(ids, pa.int64()), _lists(elements, pa.int32())], ["block", "id", "elements"])
-                    blocks, ids, elements = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(ids, pa.int64()), _lists(elements, pa.int32())], ["block", "id", "elements"])
-
-    docs = rows.join(maybe_broadcast(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "classes", "blocks")
-    sets = map_arrow(docs, kernel, "block long, id long, elements array<int>")
-    out = written(jaccard_links(sets, PERCENT, spans=True, counts=counts), "links")
-    release(wanted, counts)
-    return out
+        for batch, _ in whole_groups(gathered(batches, GATHERED), 1):
+            yield centers(batch)
+
+    dealt = each.repartition("named").sortWithinPartitions("named", "class", "text_hash", "start")
+    schema = "class long, text_hash long, start int, n int, named long, repeated boolean, sets long, first boolean, lead boolean"
+    return written(map_arrow(dealt, kernel, schema), "centers")
 
 
-def similar_spans(places: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+def class_links(grams: DataFrame, centers: DataFrame) -> DataFrame:
+    """a, b, lo, hi, whole: what set_joins finds in the classes that collide, as a table. grams: text_hash, grams; centers: of center_table."""
+    counts = centers.where("lead").select(F.col("named").alias("block"), "sets", (F.col("sets") * (WORDS - SHINGLE + 1)).alias("total"))
+    asked = centers.where("first AND sets > 0").select("text_hash", "class", "named", "start", "n", "repeated", F.lit(None).cast("array<int>").alias("grams"))
+    none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("class", "named", "start", "n", "repeated")]
+    both = asked.unionByName(grams.select("text_hash", *none, "grams")).repartition("text_hash").sortWithinPartitions("text_hash", F.col("class").asc_nulls_first())
+
+    def kernel(batches):
+        last = np.zeros(0, np.int32)  # the shingles of the text that the batch before has ended with
+        for batch in gathered(batches, GATHERED):
+            lengths = batch.column(6).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            values = np.concatenate([last, batch.column(6).flatten().to_numpy()])
+            at = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            is_text = np.ones(len(lengths), bool)
+            is_text[at] = False
+            begins = np.concatenate([[0], (len(last) + np.cumsum(lengths) - lengths)[is_text]])
+            text, class_, named, start, n, repeated = (batch.column(c).take(pa.array(at)) for c in range(6))
+            sizes = n.to_numpy().astype(np.int64) - SHINGLE + 1
+            ends = np.cumsum(sizes)
+            places = np.repeat(begins[np.cumsum(is_text)[at]] + start.to_numpy() - (ends - sizes), sizes) + np.arange(sizes.sum())
+            elements = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values[places]))
+            last = values[begins[-1] :]
+            yield pa.RecordBatch.from_arrays([named, class_, elements, text, repeated], ["block", "id", "elements", "owner", "repeated"])
+
+    sets = map_arrow(both, kernel, "block long, id long, elements array<int>, owner long, repeated boolean")
+    return written(jaccard_links(sets, PERCENT, spans=True, counts=counts), "links")
+
+
+def similar_spans(centers: DataFrame, links: DataFrame) -> DataFrame:
     """text_hash, a, b, kind: the paragraphs of each different text that other documents have, too, by their words; as a table."""
-    # A class has one center: what one cell has linked is a component already. Only blocks of several cells have more to join.
+    # A class has one center: in a block of one cell, the cell has told the kinds. Only blocks of several cells have more to join.
     cut = links.where("NOT whole")
     merged = written(components(cut.select("a", "b")), "merged")
     parts = cut.groupBy(F.col("b").alias("class")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(merged.withColumnRenamed("id", "class"), "class")
-    parts = parts.unionByName(links.where("whole").select(F.col("b").alias("class"), "lo", "hi", F.col("a").alias("component"))).withColumn("hi", F.col("hi") + SHINGLE - 1)
     whole = F.col("repeated")
-    kinds = classes.select("class", "text_hash", "repeated").join(parts, "class", "left").where(whole | F.col("component").isNotNull()).select("class", "text_hash", "repeated", F.coalesce("component", "class").alias("kind"), F.when(~whole, F.col("lo")).alias("lo"), F.when(~whole, F.col("hi")).alias("hi"))
+    there = centers.where(F.col("first") & is_cut(F.col("sets"), F.col("sets") * (WORDS - SHINGLE + 1))).select("class", "text_hash", "repeated")
+    kinds = there.join(parts, "class", "left").where(whole | F.col("component").isNotNull()).select("class", "text_hash", "repeated", F.coalesce("component", "class").alias("kind"), F.when(~whole, F.col("lo")).alias("lo"), F.when(~whole, F.col("hi")).alias("hi"))
     kinds = written(kinds, "kinds")
     # A kind of which all paragraphs are in one document is none across documents.
     across = kinds.groupBy("kind").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y"), F.max("repeated").alias("r")).where("r OR x != y").select("kind")
-    kept = written(kinds.join(across, "kind").select("class", "kind", "lo", "hi"), "kept_kinds")
-    spans = places.join(maybe_broadcast(kept), "class")
-    a, b = F.col("start") + F.coalesce("lo", F.lit(0)), F.col("start") + F.least("n", F.coalesce("hi", "n"))
+    kept = kinds.join(across, "kind").select("class", "kind", "lo", "hi")
+    kept = kept.unionByName(links.where("whole").select(F.col("b").alias("class"), F.col("a").alias("kind"), "lo", "hi"))
+    no = F.lit(None).cast("int")
+    kept = kept.unionByName(centers.where("first AND repeated AND sets = 0").select("class", F.col("class").alias("kind"), no.alias("lo"), no.alias("hi")))
+    kept = written(kept, "kept_kinds")
+    spans = centers.select("text_hash", "class", "start", "n").join(maybe_broadcast(kept), "class")
+    a, b = F.col("start") + F.coalesce("lo", F.lit(0)), F.col("start") + F.least("n", F.coalesce(F.col("hi") + SHINGLE - 1, "n"))
     out = written(spans.select("text_hash", a.alias("a"), b.alias("b"), "kind"), "text_spans")
     release(merged, kinds, kept)
     return out
@@ -267,17 +293,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     hits = shared_runs(rows)
     paragraphs = paragraph_table(rows, texts, hits)
     release(hits)
-    classes = class_table(paragraphs)
-    rows.sparkSession._jvm.System.gc()  # the shuffled paragraphs go from the disks
-    places = written(paragraphs.select("text_hash", F.explode("x").alias("x")).select("text_hash", "x.class", "x.start", "x.n"), "places")
-    release(paragraphs)
-    found = colliding(classes)
-    whole, classes = classes, written(classes.select("class", "text_hash", "repeated"), "slim")
-    release(whole)
-    links = class_links(rows, texts, found)
-    release(found)
-    spans = similar_spans(places, classes, links)
-    release(places, classes, links)
+    centers = center_table(paragraphs)
+    grams = written(paragraphs.select("text_hash", "grams"), "grams")
+    release(paragraphs)  # the shuffled paragraphs go from the disks, too
+    links = class_links(grams, centers)
+    release(grams)
+    spans = similar_spans(centers, links)
+    release(centers, links)
     first = spans.select("text_hash", "kind").distinct().join(maybe_broadcast(texts), "text_hash").groupBy("kind").agg(F.min(_place()).alias("first"))
     first = written(first.select("kind", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_hash")), "first_of_kind")
     spans = spans.join(maybe_broadcast(first), "kind").select("text_hash", "a", "b", "kind", "first_doc", "first_hash")

@@ -265,6 +265,43 @@ def test_op4_joins_what_cells_have_linked_in_cut_blocks_only(spark, monkeypatch)
     assert joined[2] > 0
 
 
+def test_op4_reads_texts_twice(spark, docs, monkeypatch):
+    """Once for runs, once for paragraphs: what is compared comes from the shingles kept with them."""
+    read, map_arrow = [], substring_dedup.map_arrow
+    monkeypatch.setattr(substring_dedup, "map_arrow", lambda df, *more: (read.append("text" in df.columns), map_arrow(df, *more))[1])
+    assert substring_dedup.repeated_passages(docs).count()
+    assert sum(read) == 2
+
+
+def test_op4_centers(spark, monkeypatch):
+    """Classes, what collides, and the sizes of blocks, with centers on either side of a batch's end, against plain Python."""
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(substring_dedup, "GATHERED", 7)
+    keys = rng.integers(-(1 << 62), 1 << 62, 30).tolist()
+    classes = [(i, keys[int(rng.integers(0, 30))], [int(b) for b in rng.integers(0, 6, 3)]) for i in range(150)]
+    rows = []
+    for i, named, bands in classes:
+        for k in range(int(rng.integers(1, 4))):
+            rows.append((int(rng.integers(-9, 9)), bool(rng.random() < 0.1), [(i, k, 55, named, sum(b << (21 * j) for j, b in enumerate(bands)))]))
+    kind = "text_hash long, copied boolean, x array<struct<class:long,start:int,n:int,named:long,bands:long>>"
+    found = defaultdict(list)
+    for r in substring_dedup.center_table(spark.createDataFrame(rows, kind).repartition(3)).collect():
+        found[r["class"]].append(r)
+    collides = {i for i, named, bands in classes if any(i != j and named == other and any(map(int.__eq__, bands, more)) for j, other, more in classes)}
+    sets = Counter(named for i, named, _ in classes if i in collides)
+    for i, named, _ in classes:
+        mine = [(text, x[0][1], copied) for text, copied, x in rows if x[0][0] == i]
+        repeated = len({text for text, _, _ in mine}) > 1 or any(copied for _, _, copied in mine)
+        if not repeated and i not in collides:
+            assert i not in found
+            continue
+        assert sorted((r.text_hash, r.start) for r in found[i]) == sorted(x[:2] for x in mine)
+        assert {(r.named, r.repeated, r.sets) for r in found[i]} == {(named, repeated, sets[named] if i in collides else 0)}
+        assert [(r.text_hash, r.start) for r in found[i] if r.first] == [min(x[:2] for x in mine)]
+    assert {r.named: r["class"] in collides for x in found.values() for r in x if r.lead} == dict.fromkeys(sets, True)
+    assert sum(r.lead for x in found.values() for r in x) == len(sets)
+
+
 def test_op4_finds_passages_whose_pieces_came_before(spark):
     rng = np.random.default_rng(5)
     texts, later = [], []
