@@ -32,8 +32,8 @@ LONG = 256
 #: Rows of all steps of one recursive query (at most the squares of its words' lengths), rows in one decoding query, and
 #: remembered pre-tokens: bounds on memory. Nothing is spilled to a machine's disk.
 STEP_ROWS, ROWS, KNOWN = 4_000_000, 1_000_000, 1_000_000
-#: Rows whose new pre-tokens are contracted together.
-GATHERED = 8000
+#: Rows whose new pre-tokens are contracted together, and characters whose parts are looked up at once.
+GATHERED, CUT = 8000, 8_000_000
 
 # A row has the key of the pair that it begins: the rank of the merged token, then the place. One window over all words in
 # order reads the neighbours: it sorts once for each step, where windows by word would be many and small.
@@ -144,9 +144,26 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids end."""
+        texts = pa.array(texts, pa.string())
+        return self._ids(texts, *self._parts(texts))
+
+    def runs(self, texts: pa.Array):
+        """a, b, ids, ends: encode() of neighbours texts[a:b] of at most ROWS characters. The parts of many runs are looked up at
+        once, each different one a single time."""
+        texts = pc.fill_null(texts, "")
+        sizes = pc.utf8_length(texts).to_pylist()
+        for first, last in _runs(sizes, CUT):
+            at, ends = self._parts(texts.slice(first, last - first))
+            for a, b in _runs(sizes[first:last], ROWS):
+                yield first + a, first + b, *self._ids(texts.slice(first + a, b - a), at[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+
+    def _parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.texts.pieces) > KNOWN or self.texts.full:
             self.forget()
-        at, counts = self.texts.cut(pa.array(texts, pa.string()))
+        return self.texts.parts_of(texts)
+
+    def _ids(self, texts: pa.Array, parts: np.ndarray, part_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, counts = self.texts.pieces_of(texts, parts, part_ends)
         if len(self.texts.pieces) > len(self.lengths):
             self.learn(list(islice(self.texts.pieces, len(self.lengths), None)))
         lengths = self.lengths[at]
@@ -219,9 +236,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
     def encode(batches):
         c = codec(path, pattern)
         for batch in gathered(batches, GATHERED):
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in _runs([len(t) for t in texts], ROWS):
-                ids, ends = c.encode(texts[a:b])
+            for a, b, ids, ends in c.runs(batch.column(batch.num_columns - 1)):
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in batch.columns[:-1]), lists], [*keep, "ids"])
 
@@ -255,9 +270,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     def kernel(batches):
         c = codec(path, pattern)
         for batch in gathered(batches, GATHERED):
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in _runs([len(t) for t in texts], ROWS):
-                ids, ends = c.encode(texts[a:b])
+            for a, b, ids, ends in c.runs(batch.column(batch.num_columns - 1)):
                 out = c.decode(ids, ends)
                 names = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c.names.take(pa.array(ids))), " ")
                 columns = [

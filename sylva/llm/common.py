@@ -47,8 +47,8 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int = 32 << 20)
     for batch in batches:
         waiting.append(batch)
         if sum(b.num_rows for b in waiting) >= rows or sum(b.nbytes for b in waiting) >= size:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-            waiting = []
+            table, waiting = pa.Table.from_batches(waiting).combine_chunks(), []
+            yield from table.to_batches()
     if waiting:
         yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 

@@ -117,18 +117,28 @@ class Numbered:
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all texts' pre-tokens, one after the other, and where each text's end, from 0. A null text has none."""
+        return self.pieces_of(texts, *self.parts_of(texts))
+
+    def parts_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' parts, and where each text's end, from 0. New ones are learned."""
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        texts = pc.fill_null(texts, "")
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
         ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)])
         flat = lists.flatten()
         parts = flat.dictionary_encode()
         names, firsts = parts.dictionary.to_pylist(), flat.take(pa.array(ends[:-1])).to_pylist()
         self._learn([p for p in names if p not in self.parts], False)
         self._learn([p for p in dict.fromkeys(firsts) if " " + p not in self.parts], True)
-        at = np.fromiter(map(self.parts.__getitem__, names), np.int64, len(names))[parts.indices.to_numpy()]
+        at = np.fromiter(map(self.parts.__getitem__, names), np.int32, len(names))[parts.indices.to_numpy()]
         at[ends[:-1]] = [self.parts[" " + p] for p in firsts]
+        return at, ends
+
+    def pieces_of(self, texts: pa.Array, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What cut() returns, from what parts_of() has returned for these texts."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        texts = pc.fill_null(texts, "")
         lengths = self.lengths[at]
         tops = np.cumsum(lengths)
         pieces = self.content[np.repeat(self.starts[at] - (tops - lengths), lengths) + np.arange(tops[-1])]

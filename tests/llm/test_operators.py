@@ -152,6 +152,22 @@ def test_a_codec_that_forgets_gives_the_same(docs, monkeypatch):
     assert sum(ids, []) == expected[0] and np.cumsum([0, *map(len, ids)]).tolist() == expected[1]
 
 
+def test_op2_cuts_runs_together(rows, monkeypatch):
+    c = bpe.Codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    texts = [r[1] or "" for r in rows if len(r[1] or "") < 5000]
+    expected = [c.encode([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(bpe, "ROWS", 1500)
+    for most, cuts in ((10**6, 1), (4000, None)):
+        monkeypatch.setattr(bpe, "CUT", most)
+        c.forget()
+        calls, parts_of = [], bpe.Numbered.parts_of
+        monkeypatch.setattr(c.texts, "parts_of", lambda x, calls=calls: (calls.append(len(x)), parts_of(c.texts, x))[1])
+        found = list(c.runs(pa.array(texts, pa.string())))
+        assert len(found) > 5 and [i for a, b, _, _ in found for i in range(a, b)] == list(range(len(texts)))
+        assert [ids[x:y].tolist() for _, _, ids, ends in found for x, y in zip(ends[:-1], ends[1:], strict=True)] == expected
+        assert sum(calls) == len(texts) and (len(calls) == cuts if cuts else 1 < len(calls) < len(found))
+
+
 def test_op3_splits_few_texts_at_once():
     batches = list(token_counts._slices([pa.RecordBatch.from_pydict({"text": ["a"] * 1100}), pa.RecordBatch.from_pydict({"text": ["b"]})]))
     assert [b.num_rows for b in batches] == [512, 512, 76, 1]
