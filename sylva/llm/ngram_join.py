@@ -3,8 +3,10 @@
 1. Equal sets are one class. 2. Classes that can be alike get into one block: similar sets differ in a bounded number of
 elements. The elements are dealt to more parts than that by a hash, so at least one part with elements is the same in
 both; classes that share the signature of a part are candidates. Sizes are cut into classes whose neighbours cover all
-partners, and a set signs for its own and the next smaller one. This is exact: no similar pair is missed. 3. Inside the
-blocks, T-occurrence search with DivideSkip finds the links (set_joins). 4. The links' components are those of the documents.
+partners, and a set signs for its own and the next smaller one. Candidates whose sketches (bits of their elements) say that
+they can't be alike aren't put together: else chance would chain ever more of a growing table to one block. This is exact:
+no similar pair is missed. 3. Inside the blocks, T-occurrence search with DivideSkip finds the links (set_joins). 4. The
+links' components are those of the documents.
 
 Nulls: a null or blank text has no set and is linked with nothing. A null doc_id counts last for the component's
 least id. Rows with one doc_id and different texts are different documents; repeated rows are copies. Very long texts
@@ -16,13 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, map_arrow, maybe_broadcast, mixed, release, shingle_hashes, text_hash, word_hashes, written
+from .common import WordHashes, documents, gathered, map_arrow, maybe_broadcast, mixed, release, shingle_hashes, text_hash, word_hashes, written
 from .components import components
-from .set_joins import jaccard_links
+from .set_joins import jaccard_links, whole_groups
 
 GRAM = 3
 PERCENT = 90
@@ -30,6 +33,9 @@ PERCENT = 90
 PASSES = 8
 #: At most so many common n-grams are known to every task (1 MB).
 COMMON = 1 << 17
+#: Members of signatures that are looked at together, members up to which all pairs of a signature are compared at once, and pairs
+#: compared at once.
+MEMBERS, FEW, PAIRS = 20_000, 32, 100_000
 
 
 def grams(text: str, known: WordHashes, n: int = GRAM) -> np.ndarray:
@@ -41,6 +47,86 @@ def set_id(elements: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(elements.tobytes())
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """A bit for each element, by its hash, among a power of two of bits: two to four for an element, 64 at least."""
+    flags = np.zeros(1 << max(6, (2 * len(elements) - 1).bit_length()), np.uint8)
+    flags[elements & np.uint64(len(flags) - 1)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of many sets, as matrices by width: what two have in common bounds the overlap of their sets from above."""
+
+    def __init__(self, sizes: np.ndarray, bits: pa.Array, percent: int):
+        self.percent, self.sizes = percent, sizes
+        self.words = pc.binary_length(bits).to_numpy().astype(np.int64) // 8
+        self.at = np.zeros(len(sizes), np.int64)  # of a set among those of its width
+        self.known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.at[own] = np.arange(len(own))
+            flat = b"".join(bits.take(pa.array(own)).to_pylist())
+            rows = np.frombuffer(flat, np.uint64).reshape(len(own), w)
+            self.known[w, w] = rows, np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+
+    def folded(self, words: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketches of a width, folded to a smaller one, and how many bits each has."""
+        found = self.known.get((words, to))
+        if found is None:
+            rows = self.folded(words, 2 * to)[0]
+            rows = rows[:, :to] | rows[:, to:]
+            found = self.known[words, to] = rows, np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+        return found
+
+    def maybe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Flags of the pairs that may be similar; similar ones all are among them."""
+        n, m = self.sizes[a], self.sizes[b]
+        out = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+        left = np.flatnonzero(out)
+        widths = self.words[a[left]] << 32 | self.words[b[left]]
+        for w in np.unique(widths).tolist():
+            x, y = w >> 32, w & 0xFFFFFFFF
+            (rows_a, bits_a), (rows_b, bits_b) = self.folded(x, min(x, y)), self.folded(y, min(x, y))
+            of = left[widths == w]
+            for start in range(0, len(of), max(1, PAIRS // min(x, y))):
+                now = of[start : start + max(1, PAIRS // min(x, y))]
+                i, j = self.at[a[now]], self.at[b[now]]
+                common = np.bitwise_count(rows_a[i] & rows_b[j]).sum(axis=1, dtype=np.int64)
+                overlap = common + np.minimum(n[now] - bits_a[i], m[now] - bits_b[j])
+                out[now] = (100 + self.percent) * overlap >= self.percent * (n[now] + m[now])
+        return out
+
+
+def chained(keys: np.ndarray, sketches: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members (by their places) of one key, ascending, that may be similar: as many as join whatever may be.
+
+    Of a key with many members each is compared only with those that nothing joins to it yet.
+    """
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(keys))
+    few = np.repeat(ends - starts <= FEW, ends - starts)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for d in range(1, FEW):
+        a = np.flatnonzero((keys[:-d] == keys[d:]) & few[d:])
+        if not len(a):
+            break
+        a = a[sketches.maybe(a, a + d)]
+        out.append((a, a + d))
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        if end - start <= FEW:
+            continue
+        left = np.arange(start, end)
+        while len(left) > 1:
+            waiting, left = [int(left[0])], left[1:]
+            while waiting and len(left):
+                x = waiting.pop()
+                near = sketches.maybe(np.full(len(left), x), left)
+                found, left = left[near], left[~near]
+                out.append((np.full(len(found), x), found))
+                waiting += found.tolist()
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 #: More parts than differing elements, so that sets with up to so many empty parts share one with elements.
 SPARE = 2
 
@@ -128,54 +214,66 @@ def common_grams(docs: DataFrame, n: int, most: int = COMMON) -> np.ndarray:
 
 
 def signed(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_id, block (64 bits of it), signatures of each row, as a table without texts."""
+    """doc_id, text_hash, n_shingles, set_id, block (64 bits of it), signatures, bits (a sketch) of each row, as a table without texts."""
 
     common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, n))
 
     def kernel(batches):
         known, signer = WordHashes(), Signer(percent, common.value)
         for batch in batches:
-            sizes, ids, keys, ends = [], [], [], [0]
+            sizes, ids, keys, ends, bits = [], [], [], [0], []
             for text in batch.column(2):
                 elements = grams(text.as_py() or "", known, n)
                 sizes.append(len(elements))
                 ids.append(set_id(elements))
                 keys.append(signer(elements))
+                bits.append(sketch(elements) if len(keys[-1]) else None)
                 ends.append(ends[-1] + len(keys[-1]))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "text_hash", "n_shingles", "set_id", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "signatures", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    out = map_arrow(rows, kernel, "doc_id long, text_hash long, n_shingles long, set_id string, signatures array<long>")
+    out = map_arrow(rows, kernel, "doc_id long, text_hash long, n_shingles long, set_id string, signatures array<long>, bits binary")
     return written(out.withColumn("block", F.xxhash64("set_id")), "signed")
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """id (the 64 bits of a set), component: the candidates, by what signatures they share.
+def blocks(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """id (the 64 bits of a set), component: the candidates, by what signatures they share and what their sketches allow.
 
     Signatures are many; they are looked through in PASSES, each with its share of them, so that neither a task's sums nor
-    the shuffled rows on the disks are those of all.
+    the shuffled rows on the disks are those of all. Of the few that several sets share, the sets are compared by their sketches.
     """
     keys = rows.select("block", F.explode("signatures").alias("key"))
-    pairs = []
+    members = []
     for i in range(PASSES):
         own = keys.where(F.pmod("key", F.lit(PASSES)) == i)
-        shared = written(own.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select("key", "least"), "shared")
-        pairs.append(written(own.join(maybe_broadcast(shared), "key").where("block != least").select("block", "least").distinct(), "pairs"))
+        shared = written(own.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select("key"), "shared")
+        members.append(written(own.join(maybe_broadcast(shared), "key").select("key", "block"), "members"))
         release(shared)
-    every = pairs[0]
-    for more in pairs[1:]:
+    every = members[0]
+    for more in members[1:]:
         every = every.unionByName(more)
-    out = written(components(every), "blocks")
-    release(*pairs)
+    some = every.select("block").distinct()
+    bits = written(rows.select("block", "n_shingles", "bits").dropDuplicates(["block"]).join(some, "block"), "bits")
+
+    def kernel(batches):
+        for batch, key in whole_groups(gathered(batches, MEMBERS), 1):
+            block = batch.column(1).to_numpy()
+            a, b = chained(key[0], Sketches(batch.column(2).to_numpy(), batch.column(3), percent))
+            yield pa.RecordBatch.from_arrays([pa.array(block[a]), pa.array(block[b])], ["block", "least"])
+
+    dealt = every.distinct().join(maybe_broadcast(bits), "block").select("key", "block", "n_shingles", "bits")
+    pairs = written(map_arrow(dealt.repartition("key").sortWithinPartitions("key"), kernel, "block long, least long").distinct(), "pairs")
+    out = written(components(pairs), "blocks")
+    release(pairs, bits, *members)
     return out
 
 
 def linked(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component (a set_id; of a row without a set, null) of each row."""
     rows = signed(docs, n, percent)
-    candidates = blocks(rows)
-    with_signatures, rows = rows, written(rows.drop("signatures"), "rows")
+    candidates = blocks(rows, percent)
+    with_signatures, rows = rows, written(rows.drop("signatures", "bits"), "rows")
     release(with_signatures)
     first = rows.where("n_shingles > 0").groupBy("set_id", "block").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"))
     wanted = first.join(candidates.select(F.col("id").alias("block"), F.col("component").alias("in")), "block").select("set_id", "in", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))

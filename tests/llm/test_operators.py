@@ -421,6 +421,50 @@ def test_signatures_miss_no_similar_pair(percent):
                 assert set(signer(a).tolist()) & set(signer(b).tolist())
 
 
+def test_sketches_miss_no_similar_pair(monkeypatch):
+    """Of keys with few members and with many: whatever is similar is in one chain, and sets of half the elements aren't."""
+    rng, percent = np.random.default_rng(11), 80
+    for few in (ngram_join.FEW, 2):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        sets, keys = [], []
+        for k in range(12):
+            start = rng.integers(0, 2**64, int(rng.integers(2, 700)), dtype=np.uint64)
+            for _ in range(int(rng.integers(1, 40))):
+                some = rng.random(len(start)) < rng.choice([0.5, 0.8, 0.9, 0.97])
+                sets.append(np.unique(np.append(start[some], rng.integers(0, 2**64, int(rng.integers(1, 1 + len(start) // 4 + 1)), dtype=np.uint64))))
+                keys.append(k)
+        keys, sizes = np.array(keys), np.array([len(x) for x in sets])
+        a, b = ngram_join.chained(keys, ngram_join.Sketches(sizes, pa.array([ngram_join.sketch(x) for x in sets], pa.binary()), percent))
+        assert (keys[a] == keys[b]).all()
+        label = set_joins._united(np.arange(len(sets)), a, b)
+        similar = 0
+        for i in range(len(sets)):
+            for j in range(i):
+                overlap = len(np.intersect1d(sets[i], sets[j]))
+                if keys[i] == keys[j] and 100 * overlap >= percent * (sizes[i] + sizes[j] - overlap):
+                    similar += 1
+                    assert label[i] == label[j]
+        assert similar > 50
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            overlap = len(np.intersect1d(sets[i], sets[j]))
+            assert overlap > 0.5 * min(sizes[i], sizes[j]) or min(sizes[i], sizes[j]) < 20
+
+
+def test_shared_passages_chain_no_block(spark):
+    """Each text shares half its words with the next: they share signatures, but none is similar to another, so none is looked at."""
+    rng = np.random.default_rng(12)
+    parts = [" ".join(words_of(rng, 60)) for _ in range(61)]
+    texts = [f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False)]
+    texts.append(texts[7] + " more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ngram_join.signed(docs, 5, 80)
+    keys = Counter(k for r in rows.collect() for k in r.signatures)
+    assert sum(n > 1 for n in keys.values()) > 60
+    assert ngram_join.blocks(rows, 80).count() == 2
+    found = {r.doc_id: r.component_id for r in ngram_join.with_component_ids(ngram_join.linked(docs, 5, 80)).collect()}
+    assert found == {i: 7 if i == 60 else i for i in range(61)}
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_divide_skip_is_exact(percent):
     rng = np.random.default_rng(percent)
