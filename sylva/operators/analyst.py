@@ -18,9 +18,11 @@ from ..functions.naming import locals_column, make_unique
 from ..functions.types import converted, inferred, lexical, observations
 from ..plans.analyst_names import MISC, Namespaces, entity_aliases, is_untyped, key_score, namespaces
 from ..schema import ANALYST_COLUMNS
-from ..sources.nodes import parse_files, with_paths
+from ..sources.nodes import check_whitespace, parse_files, parsed_nodes, with_paths
 from ..sources.publish import Place
 from ..sources.workspace import workspace
+from .analyst_plain import Facts, facts, source_path
+from .analyst_plain import rows as plain_rows
 from .structure import path_summary
 from .validate import validate_xml_nodes
 
@@ -97,6 +99,29 @@ def _bytes() -> Column:
     return F.coalesce(F.octet_length("value"), F.lit(0))
 
 
+class PlainAnalystTable(AnalystTable):
+    """The table of plain documents. What is asked of it beyond its rows comes of their nodes, which are made then."""
+
+    def __init__(self, make, *known):
+        super().__init__(*known[:6], None, None, None, *known[6:])
+        self._make, self._made = make, None
+
+    def _general(self) -> AnalystTable:
+        self._made = self._made or self._make()
+        return self._made
+
+    def release(self) -> None:
+        super().release()
+        if self._made is not None:
+            self._made.release()
+
+    def amplification(self) -> DataFrame:
+        return self._general().amplification()
+
+    def audit(self) -> dict:
+        return self._general().audit()
+
+
 def alternating_paths(elements: DataFrame) -> list[tuple[str, ...]]:
     """Parents whose element children alternate between one path and others, and the paths of those children.
 
@@ -208,7 +233,12 @@ def _catalog(fields: DataFrame, spaces: Namespaces, aliases: dict[tuple[str, ...
     rows = fields.groupBy("entity_path", "signature", F.when(F.col("kind") == "presence", True).otherwise(False).alias("presence")).agg(
         F.min(F.struct(place.alias("place"), "relative", "name", "kind")).alias("first"), F.max("occurrence").alias("most"), F.collect_set("kind").alias("kinds")
     )
-    found = sorted(rows.collect(), key=lambda r: tuple(r.first.place))
+    return _columns(rows.collect(), spaces, aliases)
+
+
+def _columns(rows: list, spaces: Namespaces, aliases: dict[tuple[str, ...], str]) -> list[AnalystColumn]:
+    """The same from rows of sources: entity_path, signature, presence, first, most, kinds."""
+    found = sorted(rows, key=lambda r: tuple(r.first.place))
 
     class Named:
         def __init__(self, r):
@@ -289,19 +319,87 @@ def xml_analyst_table(nodes: DataFrame, infer_types: bool = True, include_misc:
         text = F.coalesce(F.element_at("own", F.lit(c)), F.element_at("context", F.lit(c)))
         cells[c] = converted(text, types[c]) if c in types else text
     keys = _keys(fields, aliases, data, types)
-    key_column = F.element_at(F.create_map(*(F.lit(x) for e, c in keys.items() for x in (e, c))), F.col("xml_entity")) if keys else F.lit(None).cast("string")
-    key_value = F.lit(None).cast("string")
-    for e, c in keys.items():
-        own_value = F.element_at("own", F.lit(c))
-        shown = converted(own_value, types[c]).cast("string") if c in types else own_value
-        key_value = F.when(F.col("xml_entity") == e, shown).otherwise(key_value)
-    key_value = F.when(key_value != "", key_value)
+    key_value, key_column = _key_columns(keys, types, lambda c: F.element_at("own", F.lit(c)))
     table = joined.withColumn("xml_key_value", key_value).withColumn("xml_key_column", F.when(F.col("xml_key_value").isNotNull(), key_column)).withColumn("xml_namespaces", F.lit(spaces.description))
     table = table.select(*ANALYST_COLUMNS, *(v.alias(k) for k, v in cells.items()), *misc)
     long = joined.select(F.col("xml_depth").alias("depth"), F.explode(F.map_concat(F.coalesce("own", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.map_filter(F.coalesce("context", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: F.col("own").isNull() | ~F.map_contains_key(F.col("own"), k)))).alias("column", "value")).where(F.col("xml_entity") != MISC)
     return AnalystTable(table, entities, aliases, spaces.description, catalog, keys, nodes, fields, long, data, kept)
 
 
+def _key_columns(keys: dict[str, str], types: dict[str, str], own) -> tuple[Column, Column]:
+    """xml_key_value and, where it is null or not, the name of the entity's key column. own: the text of a column that an entity's row has itself."""
+    name = F.element_at(F.create_map(*(F.lit(x) for e, c in keys.items() for x in (e, c))), F.col("xml_entity")) if keys else F.lit(None).cast("string")
+    value = F.lit(None).cast("string")
+    for e, c in keys.items():
+        shown = converted(own(c), types[c]).cast("string") if c in types else own(c)
+        value = F.when(F.col("xml_entity") == e, shown).otherwise(value)
+    return F.when(value != "", value), name
+
+
+def xml_analyst_sources(sources: DataFrame, whitespace: str = "drop_blank", infer_types: bool = True, include_misc: bool = True) -> AnalystTable:
+    """The analyst table of documents. sources: document_id, and content as string or binary.
+
+    Sources are kept in the shared folder. Plain documents are read twice, without a table of their nodes; of others, and of all
+    beside them, the nodes are made.
+    """
+    drop_blank = check_whitespace(whitespace) == "drop_blank"
+    spark = sources.sparkSession
+    kept = workspace(spark, "analyst")
+    sources = stored(sources.select("document_id", "content"), kept.child("sources"))
+
+    def general() -> AnalystTable:
+        return xml_analyst_table(parsed_nodes(sources, whitespace), infer_types, include_misc, validate=False)
+
+    seen = Facts(stored(facts(sources, drop_blank), kept.child("facts")))
+    if not seen.plain:
+        return general()
+    entities = seen.entities()
+    if not entities:
+        raise XmlStructureError("the nodes have no elements")
+    spaces = namespaces(seen.names())
+    aliases = dict(zip(entities, entity_aliases([[spaces.element(p) for p in path] for path in entities]), strict=True))
+    found = seen.sources(entities)
+    catalog = _columns(found, spaces, aliases)
+    names = {(c.entity_path, c.signature): c.columns[0] for c in catalog}
+    columns = {(f.path, f.attribute, f.presence): names[f.entity_path, f.signature + ("\u001epresence" if f.presence else "")] for f in found}
+    data = [column for c in catalog for column in c.columns]
+    presence = {column for (*_, of), column in columns.items() if of}
+    values = seen.values(spark, columns)
+    types = _types(values, [c for c in data if c not in presence and not is_untyped(c)]) if infer_types else {}
+    types |= dict.fromkeys(presence, "logical")
+
+    wide = plain_rows(sources, list(entities), columns, drop_blank)
+    place = {column: f"c{i}" for i, column in enumerate(columns.values())}
+    scores, fit = _scores(aliases, data), {}
+    if scores:
+        plain = {(e, c): s for (e, c), s in scores.items() if c not in types}
+        flags = {r["column"] for r in values.where(F.col("value") != "").groupBy("column").agg(F.min(F.lower(lexical(F.col("value"))).isin("true", "false")).alias("flag")).where("flag").collect()} if plain else set()
+        owner = {columns[f.path, f.attribute, f.presence]: aliases[f.entity_path] for f in found}
+        counts = {columns[f.path, f.name, f.presence]: (f.n, f.most) for f in seen.fields}
+        fit = {(e, c): counts[c][0] for e, c in plain if owner[c] == e and counts[c][1] == 1 and c not in flags}
+        typed = {(e, c): s for (e, c), s in scores.items() if c in types and owner[c] == e}
+        if typed:  # equal only as they are shown
+            paths = F.array(*(F.array(*map(F.lit, p)) for p in entities))
+            of = F.array(*(F.struct(F.lit(c).alias("column"), F.col(place[c]).alias("value"), F.lit(list(aliases.values()).index(e)).alias("of")) for e, c in typed))
+            some = wide.select("document_id", "entity", F.element_at(paths, F.col("entity") + 1).alias("entity_path"), F.explode(of).alias("x")).where("x.of = entity AND x.value IS NOT NULL")
+            fit |= _key_counts(some.select("document_id", "entity_path", "x.column", "x.value"), typed, aliases, types)
+    keys = _ranked(scores, fit, aliases, data)
+
+    def of_entity(values: list) -> Column:
+        return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), F.col("entity") + 1)
+
+    above = [next((aliases[p[:d]] for d in range(len(p) - 1, 0, -1) if p[:d] in aliases), None) for p in entities]
+    head = wide.withColumnsRenamed({"document_id": "xml_document_id", "node_id": "xml_node_id", "parent_id": "xml_parent_node_id", "depth": "xml_depth", "occurrence": "xml_occurrence"}).withColumns({
+        "xml_entity": of_entity(list(aliases.values())), "xml_entity_id": F.format_string("e%09d", "xml_node_id"), "xml_parent_entity": of_entity(above),
+        "xml_parent_entity_id": F.when(F.col("above").isNotNull(), F.format_string("e%09d", "above")), "xml_source_path": of_entity([source_path(p) for p in entities]),
+        "xml_namespace_uri": F.lit(""), "xml_namespaces": F.lit(spaces.description),
+    })
+    key_value, key_column = _key_columns(keys, types, lambda c: F.col(place[c]))
+    table = head.withColumn("xml_key_value", key_value).withColumn("xml_key_column", F.when(F.col("xml_key_value").isNotNull(), key_column))
+    cells = [(converted(F.col(place[c]), types[c]) if c in types else F.col(place[c])).alias(c) for c in data]
+    return PlainAnalystTable(general, table.select(*ANALYST_COLUMNS, *cells), entities, aliases, spaces.description, catalog, keys, data, kept)
+
+
 def _types(fields: DataFrame, columns: list[str]) -> dict[str, str]:
     """Types other than character that are sure, by column: one job for all columns."""
     if not columns:
@@ -313,9 +411,19 @@ def _types(fields: DataFrame, columns: list[str]) -> dict[str, str]:
 
 def _keys(fields: DataFrame, aliases: dict[tuple[str, ...], str], data: list[str], types: dict[str, str]) -> dict[str, str]:
     """The source key column of each entity that has one: present, unique among the rows that have it, not all true or false."""
-    scores = {(e, c): s for e in aliases.values() for c in data if (s := key_score(e, c)) < 99}
+    scores = _scores(aliases, data)
     if not scores:
         return {}
+    return _ranked(scores, _key_counts(fields, scores, aliases, types), aliases, data)
+
+
+def _scores(aliases: dict[tuple[str, ...], str], data: list[str]) -> dict[tuple[str, str], int]:
+    """How well columns suit as keys of entities, where they do at all."""
+    return {(e, c): s for e in aliases.values() for c in data if (s := key_score(e, c)) < 99}
+
+
+def _key_counts(fields: DataFrame, scores: dict[tuple[str, str], int], aliases: dict[tuple[str, ...], str], types: dict[str, str]) -> dict[tuple[str, str], int]:
+    """How many rows have a value of the columns that can be keys: unique, not all true or false."""
     names_of = F.create_map(*(F.lit(x) for p, a in aliases.items() for x in ("\u001f".join(p), a)))
     some = fields.where(F.col("column").isin(sorted({c for _, c in scores})) & (F.col("value") != "")).withColumn("entity", F.element_at(names_of, F.array_join("entity_path", "\u001f")))
     value = F.col("value")
@@ -324,7 +432,10 @@ def _keys(fields: DataFrame, aliases: dict[tuple[str, ...], str], data: list[str
         value = F.when(F.col("column").isin(of_kind), converted(F.col("value"), kind).cast("string")).otherwise(value)
     counts = some.withColumn("shown", value).groupBy("entity", "column", "document_id", "shown").count()
     seen = counts.groupBy("entity", "column").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.min(F.lower(lexical(F.col("shown"))).isin("true", "false")).alias("boolean")).collect()
-    fit = {(r.entity, r["column"]): r.n for r in seen if r.most == 1 and not r.boolean}
+    return {(r.entity, r["column"]): r.n for r in seen if r.most == 1 and not r.boolean}
+
+
+def _ranked(scores: dict[tuple[str, str], int], fit: dict[tuple[str, str], int], aliases: dict[tuple[str, ...], str], data: list[str]) -> dict[str, str]:
     out = {}
     for e in aliases.values():
         ranked = sorted((scores[e, c], -fit[e, c], data.index(c), c) for (x, c) in scores if x == e and (e, c) in fit)

@@ -1,7 +1,13 @@
+import re
+
 import pytest
 from fixtures import CARDS, GAUGES, HARVEST, MUSEUM, VOYAGES
 
 import sylva
+from sylva.operators import analyst
+from sylva.plans import queries
+from sylva.sources import plain
+from sylva.sources.nodes import parsed_nodes
 
 
 def made(spark, text, **how):
@@ -134,3 +140,64 @@ def test_nodes_are_kept_in_the_shared_folder(spark):
     assert [p.name for p in made._kept.children()] == ["fields", "nodes"]
     made.release()
     assert not made._kept.exists()
+
+
+def bare(text):
+    """Without a declaration and comments, of no namespace."""
+    return re.sub(r' xmlns="[^"]*"|<[?]xml[^>]*>|<!--.*?-->', "", text)
+
+
+PLAIN = [
+    bare(VOYAGES),
+    bare(GAUGES),
+    bare(HARVEST),
+    '<isle name="Unst"><glen name="Dale"><croft no="a"/><croft no="b"/><croft no="c"/></glen><glen name="Wick"><croft no="d"/><croft no="e"/></glen></isle>',
+    "<q><day>mon</day><rain>1</rain><day>tue</day><sun>2</sun></q>",
+    '<log>\n <on id="+1" at="x &amp; &lt;y&gt;">5</on >\n <on id="1"><far><deep a="1" b = "">é &quot; &apos;</deep></far></on>\n <on id="3"/><on  id="4" ><flag/><note> </note></on></log>',
+    two("whale", "<uuid>w-9</uuid>", "<uuid>w-9</uuid>"),
+    two("whale", "<whaleId>7</whaleId><whaleCode>x</whaleCode>", "<whaleId>8</whaleId><whaleCode>1</whaleCode>"),
+    "<a/>",
+]
+OTHER = [VOYAGES, MUSEUM, CARDS, "<tale>once <part><verse n='1'>a king</verse></part> met</tale>", "<a b='1'/>", "<a><![CDATA[x]]></a>"]
+
+
+def shown(made):
+    names = made.table.columns
+    return names, made.table.dtypes, sorted(map(str, made.table.select(*sorted(names)).collect())), made.entity_paths, made.key_columns, [(c.entity_path, c.signature, c.kinds, c.columns) for c in made.column_sources]
+
+
+@pytest.mark.parametrize("texts", [*([t] for t in PLAIN), PLAIN[:3], PLAIN[3:6], *([t] for t in OTHER), [PLAIN[0], OTHER[0]]])
+@pytest.mark.parametrize("whitespace", ["drop_blank", "preserve"])
+def test_plain_documents_give_the_table_of_their_nodes(spark, texts, whitespace):
+    sources = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "document_id string, content string")
+    found = analyst.xml_analyst_sources(sources, whitespace)
+    assert shown(found) == shown(sylva.xml_analyst_table(parsed_nodes(sources, whitespace)))
+    if whitespace == "drop_blank":
+        assert isinstance(found, analyst.PlainAnalystTable) == all(t in PLAIN for t in texts)
+
+
+def test_plain_documents_in_small_pieces(monkeypatch):
+    text = PLAIN[5].encode()
+    whole = plain.PlainDocument(text, True)
+    monkeypatch.setattr(plain, "BYTES", 20)
+    parts = plain.PlainDocument(text, True)
+
+    def fields(d):
+        return [(p, n, x, e.tolist(), i.tolist(), v if v is None else v.to_pylist()) for p, n, x, e, i, v in d.fields()]
+
+    key = lambda f: (f[:3], sorted(zip(*(f[3:5] if f[5] is None else f[3:]), strict=True)))
+    assert list(map(key, fields(parts))) == list(map(key, fields(whole)))
+
+
+def test_plain_documents_need_no_nodes(spark):
+    """Of orders, only their texts and what is in them are kept: no row for each node."""
+    made = queries.analyst(spark, queries.order_documents(spark, "/root/testdata/sf0.001"), include_misc=False)
+    assert [p.name for p in made._kept.children()] == ["facts", "sources"]
+    assert made.table.where("xml_entity = 'order'").count() == made.entity_paths["orders", "order"]
+    assert made.audit()["emitted_entity_rows"] == made.table.count()
+
+
+@pytest.mark.parametrize("text", ["<a><b></a>", "<a>&none;</a>", "<a", "", "<a/><b/>", '<a b="1" b="2"/>'])
+def test_what_is_not_well_formed_is_an_error_still(spark, text):
+    with pytest.raises(Exception, match="Could not parse XML source"):
+        analyst.xml_analyst_sources(spark.createDataFrame([("d", text)], "document_id string, content string")).table.collect()
