@@ -20,8 +20,8 @@ from ..plans.analyst_names import MISC, Namespaces, entity_aliases, is_untyped,
 from ..schema import ANALYST_COLUMNS
 from ..sources.nodes import check_whitespace, parse_files, parsed_nodes, with_paths
 from ..sources.publish import Place
-from ..sources.workspace import workspace
-from .analyst_plain import Facts, facts, source_path
+from ..sources.workspace import room_for_python, workspace
+from .analyst_plain import Facts, facts, packed, source_path, unpacked
 from .analyst_plain import rows as plain_rows
 from .structure import path_summary
 from .validate import validate_xml_nodes
@@ -345,11 +345,16 @@ def xml_analyst_sources(sources: DataFrame, whitespace: str = "drop_blank", infe
     drop_blank = check_whitespace(whitespace) == "drop_blank"
     spark = sources.sparkSession
     kept = workspace(spark, "analyst")
-    sources = stored(sources.select("document_id", "content"), kept.child("sources"))
+    kind = sources.schema["content"].dataType.simpleString()
+    whole = stored(sources.select("document_id", "content"), kept.child("whole"))
+    room_for_python(spark)
+    sources = stored(packed(whole), kept.child("sources"))
+    kept.child("whole").remove()
 
     def general() -> AnalystTable:
-        return xml_analyst_table(parsed_nodes(sources, whitespace), infer_types, include_misc, validate=False)
+        return xml_analyst_table(parsed_nodes(unpacked(sources, kind), whitespace), infer_types, include_misc, validate=False)
 
+    room_for_python(spark)
     seen = Facts(stored(facts(sources, drop_blank), kept.child("facts")))
     if not seen.plain:
         return general()
@@ -364,6 +369,7 @@ def xml_analyst_sources(sources: DataFrame, whitespace: str = "drop_blank", infe
     columns = {(f.path, f.attribute, f.presence): names[f.entity_path, f.signature + ("\u001epresence" if f.presence else "")] for f in found}
     data = [column for c in catalog for column in c.columns]
     presence = {column for (*_, of), column in columns.items() if of}
+    room_for_python(spark)
     values = seen.values(spark, columns)
     types = _types(values, [c for c in data if c not in presence and not is_untyped(c)]) if infer_types else {}
     types |= dict.fromkeys(presence, "logical")

@@ -34,15 +34,43 @@ Found = namedtuple("Found", "entity_path signature presence first most kinds pat
 Name = namedtuple("Name", "node_type namespace_uri prefix local_name")
 
 
+#: Of documents at rest: what the JVM reads of them and sends is as long as this leaves it.
+CODEC = "zstd"
+
+
+def packed(sources: DataFrame) -> DataFrame:
+    """document_id, content (compressed UTF-8 or the bytes), size, text (whether it was a string); rows of null content go."""
+
+    def kernel(batches):
+        for batch in batches:
+            for document_id, content in zip(batch.column(0), batch.column(1), strict=True):
+                if content.is_valid:
+                    raw, text = content.as_buffer(), pa.types.is_string(content.type) or pa.types.is_large_string(content.type)
+                    row = [document_id.as_py()], [pa.compress(raw, CODEC, asbytes=True)], [raw.size], [text]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], ["document_id", "content", "size", "text"])
+
+    return map_arrow(sources.select("document_id", "content"), kernel, "document_id string, content binary, size long, text boolean")
+
+
+def unpacked(sources: DataFrame, kind: str) -> DataFrame:
+    """The sources again. kind: of their content."""
+
+    def kernel(batches):
+        for batch in batches:
+            for document_id, content, size, _ in zip(*batch.columns, strict=True):
+                raw = pa.decompress(content.as_buffer(), size.as_py(), CODEC, asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([document_id.as_py()], pa.string()), pa.array([raw], pa.binary()).cast(pa.string() if kind == "string" else pa.binary())], ["document_id", "content"])
+
+    return map_arrow(sources.select("document_id", "content", "size", "text"), kernel, f"document_id string, content {kind}")
+
+
 def _documents(batches, drop_blank: bool, check: bool):
-    """document_id and the plain document, or None, of each row."""
+    """document_id and the plain document, or None, of each row of packed sources."""
     for batch in batches:
-        for document_id, content in zip(batch.column(0), batch.column(1), strict=True):
-            if not content.is_valid:
-                continue
-            text = pa.types.is_string(content.type) or pa.types.is_large_string(content.type)
+        for document_id, content, size, text in zip(*batch.columns, strict=True):
+            pa.default_memory_pool().release_unused()
             try:
-                yield document_id.as_py(), PlainDocument(content.as_buffer().to_pybytes(), drop_blank, "utf-8" if text else None, check)
+                yield document_id.as_py(), PlainDocument(pa.decompress(content.as_buffer(), size.as_py(), CODEC, asbytes=True), drop_blank, "utf-8" if text.as_py() else None, check)
             except NotPlain:
                 yield document_id.as_py(), None
 
@@ -92,10 +120,11 @@ def facts(sources: DataFrame, drop_blank: bool = True) -> DataFrame:
                 if len(waiting) == ROWS:
                     yield taken()
                     waiting.clear()
+            document = None  # before the next one is made
         if waiting:
             yield taken()
 
-    return map_arrow(sources.select("document_id", "content"), kernel, FACTS)
+    return map_arrow(sources.select("document_id", "content", "size", "text"), kernel, FACTS)
 
 
 class Facts:
@@ -165,48 +194,52 @@ def rows(sources: DataFrame, entities: list[tuple[str, ...]], columns: dict[tupl
             elements = document.parent[elements]
         return elements
 
+    def rows_of(document_id: str, document: PlainDocument | None):
+        if document is None:  # the first reading has seen all
+            raise ValueError(f"document '{document_id}' has changed")
+        of = {number[p]: document.at_path[i] for i, p in enumerate(document.paths) if p in number}
+        rank = np.zeros(len(document.path), np.int32)
+        for mine in of.values():
+            rank[mine] = np.arange(len(mine))
+        own: dict[int, dict[int, tuple[np.ndarray, pa.Array]]] = {e: {} for e in of}  # by entity and column: places of its rows' values, -1 for none
+        for path, name, presence, elements, _, values in document.fields():
+            depth = next(d for d in range(len(path), 0, -1) if path[:d] in number)
+            e = number[path[:depth]]
+            at = np.full(len(of[e]), -1, np.int32)
+            at[rank[owners(document, elements, path, depth)]] = np.arange(len(elements)) if values is not None else 0
+            own[e][places[path, name, presence]] = at, pa.array(["TRUE"]) if values is None else values
+        for e, mine in of.items():
+            up = None
+            if above[e] is not None:
+                up = owners(document, mine, entities[e], len(entities[above[e]]))
+            for start in range(0, len(mine), ROWS):
+                now = mine[start : start + ROWS]
+                n = len(now)
+                out = [pa.repeat(pa.scalar(document_id, pa.string()), n), pa.repeat(pa.scalar(e, pa.int32()), n), pa.array(document.node_id[now], pa.int32())]
+                parents = document.parent[now]
+                out.append(pa.array(np.where(parents < 0, 1, document.node_id[parents]), pa.int32()))
+                out.append(pa.nulls(n, pa.int32()) if up is None else pa.array(document.node_id[up[start : start + n]], pa.int32()))
+                out += [pa.array(document.depth[now], pa.int32()), pa.array(np.arange(start + 1, start + n + 1), pa.int32())]
+                for c in range(len(columns)):
+                    if c in own[e]:
+                        at, values = own[e][c]
+                        at = at[start : start + n]
+                    elif up is not None and c in own[above[e]]:
+                        at, values = own[above[e]][c]
+                        at = at[rank[up[start : start + n]]]
+                    else:
+                        out.append(pa.nulls(n, pa.string()))
+                        continue
+                    out.append(values.take(pa.array(at, mask=at < 0)))
+                yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(out, types, strict=True)], names)
+
     def kernel(batches):
         for document_id, document in _documents(batches, drop_blank, False):
-            if document is None:  # the first reading has seen all
-                raise ValueError(f"document '{document_id}' has changed")
-            of = {number[p]: document.at_path[i] for i, p in enumerate(document.paths) if p in number}
-            rank = np.zeros(len(document.path), np.int64)
-            for mine in of.values():
-                rank[mine] = np.arange(len(mine))
-            own: dict[int, dict[int, tuple[np.ndarray, pa.Array]]] = {e: {} for e in of}  # by entity and column: places of its rows' values, -1 for none
-            for path, name, presence, elements, _, values in document.fields():
-                depth = next(d for d in range(len(path), 0, -1) if path[:d] in number)
-                e = number[path[:depth]]
-                at = np.full(len(of[e]), -1, np.int32)
-                at[rank[owners(document, elements, path, depth)]] = np.arange(len(elements)) if values is not None else 0
-                own[e][places[path, name, presence]] = at, pa.array(["TRUE"]) if values is None else values
-            for e, mine in of.items():
-                up = None
-                if above[e] is not None:
-                    up = owners(document, mine, entities[e], len(entities[above[e]]))
-                for start in range(0, len(mine), ROWS):
-                    now = mine[start : start + ROWS]
-                    n = len(now)
-                    out = [pa.repeat(pa.scalar(document_id, pa.string()), n), pa.repeat(pa.scalar(e, pa.int32()), n), pa.array(document.node_id[now], pa.int32())]
-                    parents = document.parent[now]
-                    out.append(pa.array(np.where(parents < 0, 1, document.node_id[parents]), pa.int32()))
-                    out.append(pa.nulls(n, pa.int32()) if up is None else pa.array(document.node_id[up[start : start + n]], pa.int32()))
-                    out += [pa.array(document.depth[now], pa.int32()), pa.array(np.arange(start + 1, start + n + 1), pa.int32())]
-                    for c in range(len(columns)):
-                        if c in own[e]:
-                            at, values = own[e][c]
-                            at = at[start : start + n]
-                        elif up is not None and c in own[above[e]]:
-                            at, values = own[above[e]][c]
-                            at = at[rank[up[start : start + n]]]
-                        else:
-                            out.append(pa.nulls(n, pa.string()))
-                            continue
-                        out.append(values.take(pa.array(at, mask=at < 0)))
-                    yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(out, types, strict=True)], names)
+            yield from rows_of(document_id, document)
+            document = None  # before the next one is made
 
     schema = "document_id string, entity int, node_id int, parent_id int, above int, depth int, occurrence int" + "".join(f", c{i} string" for i in range(len(columns)))
-    return map_arrow(sources.select("document_id", "content"), kernel, schema)
+    return map_arrow(sources.select("document_id", "content", "size", "text"), kernel, schema)
 
 
 def source_path(path: tuple[str, ...]) -> str:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .publish import Place
 
@@ -38,6 +39,17 @@ def clean_up() -> None:
 atexit.register(clean_up)
 
 
+#: Bytes that the JVM hands to Python at once, besides one document: so many long ones would be in both.
+BATCH_BYTES = "4m"
+
+
+def room_for_python(spark: SparkSession) -> None:
+    """Documents go to Python a few at a time, and the executors' JVMs return the heap that shuffles have filled."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def write_documents(sources: DataFrame, folder: Place) -> list[str]:
     """A file document_id.xml for each row of sources (document_id, content), written by the executors; the files' paths."""
     staged = folder.child(f".{uuid.uuid4().hex}")
